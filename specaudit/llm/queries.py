@@ -34,7 +34,46 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op6_simhash, op8_exact_dedup, op10_packing)}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.chat import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from specaudit.llm.line_dedup import drop_boilerplate
+
+    cleaned = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_quality, op3_chat_repair, op4_personal_data, op5_line_dedup, op6_simhash, op7_decontamination, op8_exact_dedup, op9_language, op10_packing)}
 
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {
@@ -45,5 +84,16 @@ WITH n AS (
   FROM documents),
 g AS (SELECT h, count(*) AS group_size, arg_min(doc_id, struct_pack(a := -n_cp, b := doc_id)) AS keep_id FROM n GROUP BY h)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, n.h AS text_sha256 FROM n JOIN g ON n.h = g.h
+""",
+    "op5_line_dedup": r"""
+WITH p AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('h' || source, '-') AS host, coalesce(text, '') AS text FROM documents),
+l AS (SELECT rid, doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM p),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+b AS (SELECT host, trim(line, ' ') AS line, count(DISTINCT rid) AS n FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
+x AS (SELECT b.host, b.line FROM b JOIN t USING (host) WHERE pages >= 20 AND n > 1 AND n > 0.05::DOUBLE * pages),
+m AS (SELECT l.*, x.line IS NOT NULL AS gone FROM l LEFT JOIN x ON x.host = l.host AND x.line = trim(l.line, ' ')),
+r AS (SELECT rid, doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+             coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM m GROUP BY rid, doc_id)
+SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256 FROM r
 """,
 }

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specaudit.llm.common import arrow_map, keyed_text, materialize, total_cores
@@ -68,7 +68,7 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     """The ``k``-th further 64-bit hash of hashed shingles (0: themselves)."""
     if not k:
         return h
-    z = h + np.uint64(k) * MIX[0]
+    z = h + np.uint64(k * int(MIX[0]) & (1 << 64) - 1)
     z = (z ^ (z >> np.uint64(30))) * MIX[1]
     z = (z ^ (z >> np.uint64(27))) * MIX[2]
     return z ^ (z >> np.uint64(31))
@@ -299,9 +299,13 @@ def trie_links(sigs: DataFrame, tables: list[tuple[int, int, int]], budget: int,
     return joined.select("t", "block", "block2", "items", "items2").mapInArrow(run, "a long, b long")
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, budget: int = 2, tables: list[tuple[int, int, int]] | None = None, total: int | None = None, lengths: int = 1, block: int = BLOCK) -> DataFrame:
-    """``doc_id, row, s0.., component_id``: the least id that links reach, and a number of its own for each row."""
-    docs = keyed_text(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    """``doc_id, row, digest, s0.., component_id, class``: the least id that links reach; a number of its own for each row and for each class."""
+    docs = keyed_text(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).withColumn("digest", _digest(F.col("text")))
     sigs = [f"s{k}" for k in range(lengths)]
     rows = materialize(fingerprints(docs, words, seed, lengths), "simhash-rows")
     # null ids: a class without any other id keeps a null name; numbers below every id stand in while links are followed
@@ -328,16 +332,21 @@ NEAR = {"words": 5, "seed": 42, "budget": 3, "tables": [(k, low, 32) for k in ra
 
 
 def near_duplicate_survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df``, one of each class of near-duplicates: that of the least id, then of the first row."""
+    """The rows of ``df``, one of each class of near-duplicates: that of the least id, then of the first row.
+
+    Rows are told apart by id and text digest; of rows that share both, one stays.
+    """
     how = NEAR | how
     marks = simhash_components(df, id_col, text_col, **how)
     first = marks.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("x"))
-    gone = marks.join(first, "class").where(F.col("row") != F.col("x.row")).select(F.col("doc_id").alias("__gone_id"))
-    kept = first.select(F.col("x.doc_id").alias("__gone_id"))
-    # an id may be repeated: then all its rows but one go
-    gone_ids = gone.join(kept, gone["__gone_id"].eqNullSafe(kept["__gone_id"]), "left_anti")
-    again = gone.join(kept, gone["__gone_id"].eqNullSafe(kept["__gone_id"]), "left_semi").distinct()
-    out = df.join(gone_ids.distinct(), df[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
-    repeated = out.join(again, out[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left_semi")
-    single = out.join(again, out[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
-    return single.unionByName(repeated.dropDuplicates([id_col]))
+    verdict = materialize(marks.join(first, "class").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("row") != F.col("x.row")).alias("gone")), "simhash-verdict")
+    gone = verdict.where("gone").select("__id", "__digest").distinct()
+    kept = verdict.where("not gone").select(F.col("__id").alias("__id2"), F.col("__digest").alias("__digest2"))
+    again = materialize(gone.join(kept, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__digest") == F.col("__digest2")), "left_semi"), "simhash-repeated")
+    keyed = df.withColumn("__key_id", df[id_col].cast("long")).withColumn("__key_digest", _digest(df[text_col]))
+    same = F.col("__key_id").eqNullSafe(F.col("__id")) & (F.col("__key_digest") == F.col("__digest"))
+    if not again.limit(1).count():
+        return keyed.join(gone, same, "left_anti").select(*(keyed[c] for c in df.columns))
+    single = keyed.join(gone, same, "left_anti")
+    repeated = keyed.join(again, same, "left_semi").dropDuplicates(["__key_id", "__key_digest"])
+    return single.unionByName(repeated).drop("__key_id", "__key_digest")

@@ -1,0 +1,349 @@
+"""Quality, chat repair, personal data, line dedup, decontamination, language and the pipeline, against brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from specaudit.llm import chat, langid, pii, quality
+from specaudit.llm.decontaminate import Index, contamination, drop_contaminated, shingles, words_of
+from specaudit.llm.line_dedup import drop_boilerplate, host_of
+
+TINY = "/root/testdata/sf0.001"
+
+
+# --- personal data -------------------------------------------------------------------------------------------------
+
+# The contract's expressions.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for no, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "card" and not (12 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), no, m.end(), kind))
+    return sorted(out)
+
+
+def pii_texts():
+    rng = random.Random(11)
+    bits = ["a@b.c", "x_y@", "@", ".", "..", "-", "_", "1.2.3.4", "256", "255", "007.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (310) 555-4510", "+", "555-123-4567", " ", "  ", "é", "😀", "tel ", "mail: ", "a (at) b dot com", "(", ")", "9", "00", "\n", "x", "fe80:1:2:3:4"]
+    return ["", None, "none here", "a" * 30_000 + "@b.c", "1" * 30_000, "1 " * 20_000, "a@b" + ".c" * 20_000, "a." * 20_000 + "@", "+" + "1" * 20_000, "1.1." * 10_000] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+
+
+def test_personal_data_base_spans(spark):
+    texts = pii_texts()
+    df = spark.createDataFrame([(k, t, 0, "x") for k, t in enumerate(texts)] + [(None, "a@b.cd", 1, "y"), (3, texts[3], 1, "y"), (3, texts[3], 1, "y")], "doc_id long, text string, kind int, match string")
+    rows = pii.personal_data(df).collect()
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        text = "a@b.cd" if r.doc_id is None else texts[r.doc_id]
+        base = base_spans(text)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[1] == k for b in base) for k in range(4)), text[:200]
+        listed = [f"{kind}:{a}:{b}" for a, _, b, kind in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest(), text[:200]
+        assert set(listed) <= set(r.spans.split(","))
+        order = [(int(a), pii.KINDS.index(k)) for k, a, _ in (x.split(":") for x in r.spans.split(",") if x)]
+        assert order == sorted(order)
+    assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_boosting_adds_announced_spans_and_leaves_plain_numbers(spark):
+    rows = [(k, f"words before tel 310-555-{k % 9000 + 1000} and words") for k in range(300)] + [(1000 + k, f"the table 310-555-{k % 9000 + 1000} is plain") for k in range(300)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].startswith("phone:17:") for k in range(300)) and not any(got[1000 + k] for k in range(300))
+
+
+def test_trees_learn_and_thresholds_hold():
+    x = [((1, 1, a, b, 0, 0, 0, c, 0, 0), int(a > 2 and c == 1), 5.0) for a, b, c in itertools.product(range(5), range(3), range(2))]
+    trees = pii.boost(x)
+    assert all((sum(pii._value(t, f) for t in trees) > 0) == bool(y) for f, y, _ in x)
+    least = pii.thresholds(trees, x)
+    assert least[1] < float("inf") and least[0] == float("inf")
+    assert all(y for f, y, _ in x if sum(pii._value(t, f) for t in trees) >= least[1])
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([("mail é a@b.cd now",), ("plain",)], "text string").withColumn("doc_id", __import__("pyspark").sql.functions.lit(1))
+    found = pii.spans(df)
+    text = __import__("pyspark").sql.functions.lit("mail é a@b.cd now")
+    assert {r[0] for r in found.where("size(base) > 0").select(pii.redacted(text, found["all"])).collect()} == {"mail é <email> now"}
+
+
+# --- chat ----------------------------------------------------------------------------------------------------------
+
+
+def cheapest(roles):
+    """Exhaustive search over target roles, merges and insertions."""
+    best = [float("inf")]
+
+    def go(k, state, cost):
+        if cost >= best[0]:
+            return
+        if k == len(roles):
+            best[0] = min(best[0], cost + chat.COSTS["insert"] * len(chat.CLOSE[state]))
+            return
+        for t in (1, 2, 3):
+            change = 0 if roles[k] == t - 1 else chat.COSTS["unknown"] if roles[k] == 3 else chat.COSTS["relabel"]
+            if state == t:
+                go(k + 1, t, cost + change + chat.COSTS["merge"])
+            for filled in range(3):
+                for path in itertools.product((1, 2, 3), repeat=filled):
+                    at, legal = state, True
+                    for x in (*path, t):
+                        legal = legal and x in chat.LEGAL[at]
+                        at = x
+                    if legal:
+                        go(k + 1, t, cost + change + chat.COSTS["insert"] * filled)
+
+    go(0, 0, 0.0)
+    return best[0]
+
+
+NAMES = ["system", "user", "assistant", "tool"]
+
+
+@pytest.mark.parametrize("run", [4096, 2])
+def test_chat_repair_is_cheapest_and_legal(spark, run):
+    rng = random.Random(7)
+    chats = {k: [rng.randrange(4) for _ in range(rng.randrange(1, 7))] for k in range(60)} | {99: [1, 2] * 40 + [1, 1, 3]}
+    rows = [(c, t, NAMES[r].upper() if t % 2 else f" {NAMES[r]} ", f"text {c} {t}", "x", 5) for c, roles in chats.items() for t, r in enumerate(roles)]
+    rows += [(None, 0, None, None, "x", 5), (None, None, "user", "y", "x", 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, run string, pos int")
+    by = {}
+    for r in chat.repair(df.repartition(7), run=run).collect():
+        by.setdefault(r.conv_id, []).append(r)
+    assert sum(map(len, by.values())) == len(rows)
+    for conv, own in by.items():
+        own.sort(key=lambda r: r.pos)
+        assert [r.pos for r in own] == list(range(len(own)))
+        text = "".join(r.piece for r in own)
+        turns = re.findall(r"<\|(\w+)\|>\n(.*?)\n?<\|end\|>\n", text, re.S)
+        said = [n for n, _ in turns]
+        state = 0
+        for n in said:
+            state2 = chat.ROLES.index(n) + 1
+            assert state2 in chat.LEGAL[state], (conv, said)
+            state = state2
+        assert state == chat.ASSISTANT
+        if conv is None:
+            continue
+        assert [r.turn for r in own] == list(range(len(own)))
+        inserted = sum(len([x for x in r.inserted.split(",") if x]) for r in own)
+        cost = 0.0
+        for r, role in zip(own, chats[conv], strict=True):
+            cost += (chat.COSTS["merge"] if "merge" in r.action else 0) + ((chat.COSTS["unknown"] if role == 3 else chat.COSTS["relabel"]) if "relabel" in r.action else 0)
+            assert f"text {conv} {r.turn}" in r.piece
+        merged = sum("merge" in r.action for r in own)
+        cost += chat.COSTS["insert"] * (len(said) - (len(own) - merged))
+        assert inserted <= len(said) - (len(own) - merged)
+        if conv != 99:
+            assert abs(cost - cheapest(chats[conv])) < 1e-9, (chats[conv], cost)
+    assert chat.repair(df.limit(0)).count() == 0
+
+
+# --- line dedup ----------------------------------------------------------------------------------------------------
+
+
+def test_line_dedup(spark):
+    rng = random.Random(2)
+    lines = ["menu", " menu ", "", "  ", "footer é", "same", *(f"line {k}" for k in range(200))]
+    rows = [(k, rng.choice(["a", "b", None, "tiny" if k % 40 == 0 else "a"]), "\n".join(rng.choice(lines[:6] if rng.random() < 0.2 else lines) for _ in range(rng.randrange(0, 9)))) for k in range(400)]
+    rows += [(5, "a", None), (5, "a", "menu\nmenu"), (5, "a", "menu\nmenu"), (None, "b", "menu")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, source string, text string, pages int, host string")
+    total, seen = Counter(h for _, h, _ in rows), Counter()
+    for _, h, t in rows:
+        seen.update((h, x) for x in {y.strip(" ") for y in (t or "").split("\n")} - {""})
+    expect = []
+    for d, h, t in rows:
+        own = (t or "").split("\n")
+        gone = [x for x in own if x.strip(" ") and total[h] >= 20 and seen[h, x.strip(" ")] > 1 and seen[h, x.strip(" ")] > 0.05 * total[h]]
+        expect.append((d, h, len(own), len(gone), "\n".join(x for x in own if x not in gone)))
+    got = [(r.doc_id, r.source, r["__n_lines"], r["__n_dropped"], r.text) for r in drop_boilerplate(df).collect()]
+    assert sorted(got, key=str) == sorted(expect, key=str) and any(e[3] for e in expect)
+    assert drop_boilerplate(df).columns[2:] == df.columns and drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_host_of_url(spark):
+    urls = {"https://User:x@Blog.Example.com:80/a?b=c@d": "blog.example.com", "http://a.b": "a.b", "none": "", "//x/y": ""}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r[0]: r[1] for r in df.select("u", host_of(df["u"])).collect()} == urls
+
+
+# --- decontamination -----------------------------------------------------------------------------------------------
+
+
+def leak_rows():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 3, 5])))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(12, 60))) + ". " + " ".join(word() for _ in range(rng.randrange(1, 9))) + ".") for k in range(50)]
+    items += [(77, "two words"), (78, ""), (79, None), (None, items[3][1])]
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(0, 900)))) for k in range(150)]
+    for k in range(40):
+        w = items[k][1].upper().split() if k % 3 else items[k][1].split()
+        if k % 4 == 0:
+            w[-1] = "changed"
+        if k % 7 == 0:
+            w[len(w) // 2] = "inner"
+        at = docs[k][1].split()
+        cut = rng.randrange(len(at) + 1)
+        docs[k] = (k, " ".join(at[:cut] + w + at[cut:]))
+    return items, [*docs, (200, None), (None, items[5][1]), (201, "here are two words, indeed"), (202, "two other words")]
+
+
+def test_decontamination_finds_every_leak(spark):
+    items, docs = leak_rows()
+    got = {(r.doc_id, r.item_id) for r in contamination(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, score int"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expect = set()
+    for d, t in docs:
+        w = words_of(t)
+        held, line = shingles(w), b" " + b" ".join(w) + b" "
+        for i, x in items:
+            own = shingles(words_of(x))
+            if own and (sum(s in held for s in own) / len(own) >= 0.8 if len(own) > 1 else b" " + next(iter(own)) + b" " in line):
+                expect.add((d, i))
+    assert expect <= got and len(expect) > 30
+    # what question and answer add holds four fifths of the question
+    assert all(d is None or d < 40 for d, _ in got - expect)
+    bench, many = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, score int")
+    assert {(r.doc_id, r.item_id) for r in contamination(many, bench, shard_words=300).collect()} >= expect
+    left = drop_contaminated(many, bench)
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((d for d, _ in docs if d not in {a for a, _ in got}), key=str) and left.columns == many.columns
+    assert contamination(many, bench.limit(0)).count() == 0 and contamination(many.limit(0), bench).count() == 0 and drop_contaminated(many, bench.limit(0)).count() == len(docs)
+
+
+def test_block_max_retrieves_what_full_scoring_does():
+    items, docs = leak_rows()
+    index = Index([(i, t) for i, t in items if i is not None])
+    for _, t in docs:
+        w = words_of(t)
+        expect = []
+        for p in range(-(-len(w) // index.stride)):
+            here = {index.vocabulary[x] for x in w[p * index.stride : (p + 2) * index.stride] if x in index.vocabulary}
+            expect += [(p, k) for k, (terms, impact) in enumerate(index.postings) if sum(v for x, v in zip(terms.tolist(), impact.tolist(), strict=True) if x in here) >= 0.3]
+        assert [(p, k) for p, k, _ in index.retrieve(w, 0.3)] == expect
+
+
+# --- language ------------------------------------------------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert 250 < len(held) < 420 and all(0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
+
+
+def test_language_of_odd_rows(spark):
+    import zlib
+
+    rows = [(k, "der hund und die katze" if k % 2 else "the dog and the cat", "de" if k % 2 else "en", "s") for k in range(60)]
+    rows += [(100, None, "en", "s"), (101, "", "en", "s"), (102, "12 !! 3", "de", "s"), (None, "und der", None, "s"), (103, "the é" * 1000, None, "s"), (5, "the", "en", "s"), (5, "the", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 3 == 1)
+        if r.doc_id in (100, 101, 102):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif r.doc_id is not None and r.doc_id < 60 and r.doc_id != 5:
+            assert r.lang_pred == ("de" if r.doc_id % 2 else "en")
+    assert {r.lang_pred for r in langid.identify(df.where("lang is null")).collect()} == {"und"}
+    assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_ngrams_of_long_texts_are_those_of_short_ones(monkeypatch):
+    text = "Ünïcode tèxt with letters " * 50
+    whole = langid.counts(text)
+    monkeypatch.setattr(langid, "PART", 64)
+    assert np.array_equal(langid.counts(text), whole)
+
+
+# --- quality -------------------------------------------------------------------------------------------------------
+
+
+def test_quality_against_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.quality(docs)
+    rows = scored.join(labels, "doc_id").collect()
+    assert scored.count() == docs.count()
+    good, junk = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(not r.kept for r in junk) >= 0.85 * len(junk)
+
+
+def test_quality_of_odd_rows(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["the", "of", "and", "".join(rng.choice("aeioustrn") for _ in range(rng.randrange(3, 8)))])
+    rows = [(k, ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(6)) + ".") for k in range(30)] + [(99, None), (98, ""), (97, " \n "), (None, "Words that stay are kept here."), (1, "x" * 50_000)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, kept string")
+    got = quality.quality(df).collect()
+    assert len(got) == len(rows) and all(not r.kept and r.score == 0 for r in got if r.doc_id in (97, 98, 99))
+    assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 30 and r.doc_id != 1)
+    assert quality.keep_good(df).columns == df.columns and quality.quality(df.limit(0)).count() == 0
+    assert {r.kept for r in quality.quality(df.where("doc_id in (97, 98, 99)")).collect()} == {False}
+
+
+def test_label_model_finds_the_kinds():
+    rng = random.Random(1)
+    n, truth = Counter(), {}
+    for _ in range(4000):
+        kind = rng.choices(range(5), [0.8, 0.05, 0.05, 0.05, 0.05])[0]
+        v = [0 if rng.random() < 0.2 else 1 if rng.random() < 0.995 else -1 for _ in quality.VOTERS]
+        if kind:
+            for name in quality.KINDS[kind - 1]:
+                v[quality.VOTERS.index(name)] = -1 if rng.random() < 0.95 else 1
+        n[tuple(v)] += 1
+        truth.setdefault(tuple(v), Counter())[not kind] += 1
+    post, share, _ = quality.label_model(n)
+    right = sum(c[post[v] >= 0.5] for v, c in truth.items())
+    assert right >= 0.95 * 4000 and abs(share[0] - 0.8) < 0.08
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, TINY)
+        assert after.columns == docs.columns, name
+        before, rows = {r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in after.collect()}
+        assert rows.keys() <= before.keys()
+        if name == "quality classifier":
+            gone = before.keys() - rows.keys()
+            labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{TINY}/labels.parquet").collect()}
+            assert sum(labels.get(d) == 1 for d in gone) <= 1 and len(gone) < 0.3 * len(before)
+        elif name == "line dedup":
+            assert rows.keys() == before.keys() and all(r.n_chars == len(r.text) for r in rows.values())
+            assert all(set(r.text.split("\n")) <= set(before[d].text.split("\n")) | {""} for d, r in rows.items())
+        elif name == "near-dedup":
+            kept_words = {d: shingles(r.text.encode().split()) for d, r in rows.items()}
+            for a, b in itertools.combinations(kept_words, 2):
+                x, y = kept_words[a], kept_words[b]
+                assert not x or len(x & y) < 0.95 * len(x | y), (a, b)
+        else:
+            assert len(rows) < len(before)
+        docs = after
+    kept = {r.doc_id for r in docs.collect()}
+    assert kept < texts.keys() and {r.doc_id for r in cp.run(spark, TINY).collect()} == kept
