@@ -1,7 +1,7 @@
 """Quality classifier by weak labels.
 
 Overlapping heuristics vote junk (-1), good (+1) or abstain (0) on every document.  Expectation
-maximisation over the counts of vote patterns (all documents; at most 3**9 patterns) estimates each
+maximisation over the counts of vote patterns (all documents; at most 3**10 patterns) estimates each
 heuristic's vote distribution for good and for junk texts and the share of good texts.  The posteriors
 label a sample of ``SAMPLE`` documents, chosen by hash, on which a linear scorer over hashed byte
 pairs and shape features is trained; it scores every document.
@@ -38,7 +38,7 @@ LOWER = np.zeros(256, bool)
 LOWER[97:123] = True
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-VOTERS = ("symbols", "upper", "shouting", "top word", "repeats", "word length", "line ends", "columns", "function words")
+VOTERS = ("symbols", "upper", "shouting", "top word", "repeats", "word length", "line ends", "columns", "function words", "stutter")
 
 
 def shape(text: str, byte_counts: np.ndarray) -> dict[str, float]:
@@ -48,8 +48,9 @@ def shape(text: str, byte_counts: np.ndarray) -> dict[str, float]:
     letters = max(1, int(byte_counts[UPPER | LOWER].sum()))
     tally = Counter(words)
     lines = [x for x in map(str.strip, text.split("\n")) if x.count(" ") >= 3]
+    h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+    stutter = float((h[1:] == h[:-1]).mean()) if n >= 10 else math.nan
     if n >= 30:
-        h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
         # windows of eight words, as a rolling mix
         w = np.zeros(n - 7, np.uint64)
         for k in range(8):
@@ -64,6 +65,7 @@ def shape(text: str, byte_counts: np.ndarray) -> dict[str, float]:
         "shouting": int(byte_counts[33] + byte_counts[63]) / max(1, n),
         "top": tally.most_common(1)[0][1] / n if n else 0.0,
         "fresh": fresh,
+        "stutter": stutter,
         "length": len(text) / max(1, n) - 1,
         "ends": sum(bool(re.search(r"[.!?:;\"»”]$", x)) for x in lines) / len(lines) if lines else math.nan,
         "columns": int(byte_counts[124] + byte_counts[9]) / max(1, n),
@@ -86,6 +88,7 @@ def votes(s: dict[str, float]) -> tuple[int, ...]:
         of(s["ends"], s["ends"] < 0.2, s["ends"] > 0.7),
         of(s["columns"], s["columns"] > 0.15, s["columns"] < 0.02),
         of(s["common"], long and s["common"] < 0.02, long and s["common"] > 0.1),
+        of(s["stutter"], s["stutter"] > 0.3, s["stutter"] < 0.05),
     )
 
 
@@ -100,12 +103,12 @@ def features(text: str) -> tuple[tuple[int, ...], np.ndarray]:
         code = b[:-1].astype(np.uint32) * np.uint32(256) + b[1:]
         pairs += np.bincount((code * np.uint32(2654435761)) >> np.uint32(32 - PLACES.bit_length() + 1), minlength=PLACES)
     s = shape(text, bytes_)
-    extra = [s["symbols"], s["upper"], min(1, s["shouting"]), s["top"], 1 - (1 if math.isnan(s["fresh"]) else s["fresh"]), min(3, s["length"] / 10), 0.5 if math.isnan(s["ends"]) else s["ends"], min(1, s["columns"]), s["common"], 1.0]
+    extra = [s["symbols"], s["upper"], min(1, s["shouting"]), s["top"], 1 - (1 if math.isnan(s["fresh"]) else s["fresh"]), min(3, s["length"] / 10), 0.5 if math.isnan(s["ends"]) else s["ends"], min(1, s["columns"]), s["common"], 0.0 if math.isnan(s["stutter"]) else s["stutter"], 1.0]
     return votes(s), np.concatenate([np.sqrt(pairs / max(1, pairs.sum())), extra]).astype(np.float32)
 
 
 #: Kinds of junk, each anchored by the voters that name it.
-KINDS = (("symbols",), ("upper", "shouting"), ("top word", "repeats"), ("columns",))
+KINDS = (("symbols",), ("upper", "shouting"), ("top word", "repeats", "stutter"), ("columns",))
 #: An anchor votes junk on its kind at least this often, and on good texts at most that often (other voters at most the last).
 ANCHOR, SLIP, OTHER_SLIP = 0.7, 0.02, 0.3
 
@@ -127,11 +130,13 @@ def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tupl
     p[:] = (0.1, 0.3, 0.6)
     for y, own in enumerate(anchors, 1):
         p[y, own] = (0.9, 0.05, 0.05)
+    # a kind comes into question only where one of its anchors votes junk
+    barred = np.stack([np.zeros(len(keys), bool), *(~(v[:, own] == 0).any(axis=1) for own in anchors)])
     share = np.full(len(p), 0.2 / len(KINDS))
     share[0] = 0.8
     post = None
     for _ in range(rounds):
-        log = np.log(share)[:, None] + np.einsum("pvk,yvk->yp", hot, np.log(p))
+        log = np.where(barred, -np.inf, np.log(share)[:, None] + np.einsum("pvk,yvk->yp", hot, np.log(p)))
         new = np.exp(log - log.max(axis=0))
         new /= new.sum(axis=0)
         if post is not None and np.abs(new - post).max() < 1e-9:
