@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,57 +61,103 @@ def total_cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-class PieceEncoder:
-    """Exact tokenisation with a bounded memo of pieces.
+#: White space that the blank and the line feed leave; texts that have any are encoded whole.
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+
+#: ASCII marks other than the apostrophe, which begins contractions.
+ENDINGS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
-    A text is cut before every single blank that a non-blank follows.  No
-    pre-token of the supported vocabularies spans such a cut, so the ids of a text
-    are the ids of its pieces in a row; the tokenizers library encodes each piece
-    once per worker.  Texts with other runs of white space are encoded whole.
-    The memo is emptied when it holds ``limit`` pieces.
+class PieceEncoder:
+    """Exact tokenisation with a bounded memo of words.
+
+    The tokenizers library encodes each distinct word once per worker, many in one call; the ids of
+    a text are the ids of its words in a row.  That holds because no pre-token spans
+    the cuts used: with ``blank_prefix`` (byte-level vocabularies, where a blank belongs to the
+    word behind it) single blanks and single line feeds between visible characters, without it (vocabularies
+    that drop white space) any blank or line feed.  Texts with other white space are encoded whole.
+    The memo is emptied when it holds ``limit`` words.
     """
 
-    def __init__(self, path: str, *, blank_prefix: bool, limit: int = 300_000):
+    def __init__(self, path: str, *, blank_prefix: bool, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.blank = " " if blank_prefix else ""
+        self.blank_prefix = blank_prefix
         self.limit = limit
-        self.memo: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
+        self.ends: dict[str, bytes] = {"": b""}
+        # a sign of one id that stands between words encoded in one call
+        marks = ["\n"] if blank_prefix else [f" {m} " for m in "¬¦§¶¤°±"]
+        self.mark, self.mark_id = next((m, ids[0]) for m in marks if len(ids := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict[str, bytes], prefix: str, missing: Iterable[str]) -> None:
-        missing = list(missing)
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            memo.update(zip(part, self.whole([prefix + x for x in part]), strict=True))
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; those that lack the mark go in one call, parted by it."""
+        sign = self.mark.strip() or self.mark
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 5_000):
+            part = pieces[k : k + 5_000]
+            joined = self.mark.join(part)
+            if joined.count(sign) != len(part) - 1:
+                out += self.whole(part)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """New words.  Marks behind a letter are a pre-token of their own, so a word without them is learned once for all its endings."""
+        memo, known = self.memo, self.ends
+        same = str if self.blank_prefix else lambda w: w.lower() if w.isascii() else w  # as the vocabulary's own normaliser does
+        bare = [w.rstrip(ENDINGS) for w in words]
+        bare = [same(b) if b and b[-1].isalpha() else same(w) for w, b in zip(words, bare, strict=True)]
+        self._learn_parts(list(set(bare).difference(memo)))
+        ends = [w[len(b) :] for w, b in zip(words, bare, strict=True)]
+        new = list(set(ends).difference(known))
+        known.update(zip(new, self._each(new), strict=True))
+        memo.update(zip(words, [memo[b] + known[e] for b, e in zip(bare, ends, strict=True)], strict=True))
+
+    def _learn_parts(self, words: list[str]) -> None:
+        if not self.blank_prefix:
+            self.memo.update(zip(words, self._each(words), strict=True))
+            return
+        feed = np.array([self.mark_id], "<u4").tobytes()
+        inner = [w for w in words if w[0] != "\n"]
+        first = [w for w in words if w[0] == "\n"]
+        self.memo.update(zip(inner, self._each([" " + w for w in inner]), strict=True))
+        self.memo.update(zip(first, (feed + x for x in self._each([w[1:] for w in first])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) + len(self.heads) > self.limit:
-            self.memo, self.heads = {}, {}
-        out: list[bytes | None] = [None] * len(texts)
+        if len(self.memo) > self.limit:
+            self.memo, self.ends = {"": b""}, {"": b""}
         cut: list[list[str] | None] = []
-        odd: list[int] = []
-        for k, text in enumerate(texts):
-            words = text.split(" ")
-            # an empty word or one that starts with white space stands after a run of blanks
-            if any(not w or w[0].isspace() for w in words[1:]):
-                odd.append(k)
+        known: set[str] = set()
+        for t in texts:
+            if not self.blank_prefix:
+                words = t.replace("\n", " ").split(" ")
+            elif "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace() or OTHER_SPACE(t):
                 cut.append(None)
+                continue
             else:
-                cut.append(words)
-        memo, heads = self.memo, self.heads
-        tails = {w for words in cut if words for w in words[1:]} - memo.keys()
-        self._learn(memo, self.blank, tails)
-        self._learn(heads, "", {words[0] for words in cut if words} - heads.keys())
-        for k, words in enumerate(cut):
-            if words is not None:
-                out[k] = b"".join([heads[words[0]], *map(memo.__getitem__, words[1:])])
+                # a line's first word carries the line feed before it; the one put before the text is taken off below
+                words = f"\n{t}".replace("\n", " \n").split(" ")
+            known.update(words)
+            cut.append(words)
+        missing = list(known - self.memo.keys())
+        if missing:
+            self._learn(missing)
+        get = self.memo.__getitem__
+        skip = 4 if self.blank_prefix else 0
+        out = [None if words is None else b"".join(map(get, words))[skip:] for words in cut]
+        odd = [k for k, words in enumerate(cut) if words is None]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else [], strict=True):
             out[k] = ids
         return out
