@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import encoder, keyed_text, materialize, shared_dir, slices, total_cores
+from specaudit.llm.common import discard, encoder, keyed_text, materialize, shared_dir, slices, total_cores
 
 MAGIC = b"RANSFRM1"
 SCALE = 20
@@ -192,16 +193,15 @@ def decode_blocks(blocks: list[Block], table: Table, lanes: int = LANES, start:
     return ids
 
 
-def encode_frame(doc_ids: list[int | None], docs: list[bytes], table: Table) -> bytes:
-    tokens = np.frombuffer(b"".join(docs), "<u4")
+def encode_frame(doc_ids: list[int | None], lengths: list[int], tokens: np.ndarray, table: Table) -> bytes:
     part = 32 * BLOCK  # blocks coded together
     blocks = [b for k in range(0, len(tokens), part) for b in encode_blocks(tokens[k : k + part].astype(np.int64), table)]
     return (
         MAGIC
-        + struct.pack("<IQII", len(docs), len(tokens), len(blocks), table.crc)
+        + struct.pack("<IQII", len(lengths), len(tokens), len(blocks), table.crc)
         + np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
         + np.array([d is None for d in doc_ids], np.uint8).tobytes()
-        + np.array([len(d) // 4 for d in docs], "<u8").tobytes()
+        + np.array(lengths, "<u8").tobytes()
         + b"".join(blocks)
     )
 
@@ -233,23 +233,68 @@ def decode_frame(data: bytes, table: Table, lanes: int = LANES, at_once: int = 3
         begin += n
 
 
-def token_counts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """``token_id, n`` over all documents of (doc_id, text); sums leave each task as one row a token."""
+def _squeeze(data: bytes) -> bytes:
+    """Ids for the way between two jobs: two bytes each where that suffices, compressed."""
+    ids = np.frombuffer(data, "<u4")
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"2" if small else b"4") + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes() if small else data)
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4")
+
+
+FRAMES = "shard int, frame int, doc_ids array<long>, lengths array<long>, ids binary"
+
+
+def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME) -> DataFrame:
+    """Frames of whole documents in ascending id order, tokenised once: by shard, then by frame."""
+    docs = keyed_text(df, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, end = encoder(vocabulary, True), np.array([end_id], "<u4").tobytes()
+        doc_ids: list[int | None] = []
+        coded: list[bytes] = []
+        held = shard = frame = 0
+
+        def out() -> pa.RecordBatch:
+            sizes = [len(c) // 4 for c in coded]
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_squeeze(b"".join(coded))], pa.binary())], names=["shard", "frame", "doc_ids", "lengths", "ids"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard = batch.column("shard")[0].as_py()
+            texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for part in slices(texts):
+                for k, tokens in zip(part, code.encode([texts[k] for k in part]), strict=True):
+                    coded.append(tokens + end)
+                    doc_ids.append(own[k])
+                    held += len(coded[-1]) // 4
+                    if held >= frame_tokens:
+                        yield out()
+                        doc_ids, coded, held, frame = [], [], 0, frame + 1
+        if doc_ids:
+            yield out()
+
+    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
+    return materialize(ordered.mapInArrow(run, FRAMES), "token-frames")
+
+
+def token_counts(frames: DataFrame) -> DataFrame:
+    """``token_id, n`` over all documents; sums leave each task as one row a token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for run in slices(texts):
-                ids = np.frombuffer(b"".join(encoder(vocabulary, True).encode([texts[k] for k in run])), "<u4")
-                own = np.bincount(ids, minlength=max(len(total), end_id + 1)).astype(np.int64)
+            for blob in batch.column("ids"):
+                own = np.bincount(_unsqueeze(blob.as_py()), minlength=len(total))
                 own[: len(total)] += total
-                own[end_id] += len(run)
                 total = own
         (used,) = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"token_id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
-    return docs.mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return frames.select("ids").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 MANIFEST = "shard int, frame int, path string, offset long, size long, n_docs long, n_tokens long"
@@ -257,57 +302,40 @@ MANIFEST = "shard int, frame int, path string, offset long, size long, n_docs lo
 
 def write_token_files(df: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME) -> tuple[DataFrame, bytes]:
     """Encode every text in ascending id order to files in ``folder``; gives the manifest with ``start`` (tokens before a frame) and the frequency table."""
-    docs = keyed_text(df, id_col, text_col)
-    counts = token_counts(docs, vocabulary, end_id).collect()  # at most one row a symbol of the vocabulary
+    frames = tokenized_frames(df, vocabulary, id_col, text_col, end_id=end_id, frame_tokens=frame_tokens)
+    counts = token_counts(frames).collect()  # at most one row a symbol of the vocabulary
     table = Table.of_counts([r[0] for r in counts], [r[1] for r in counts]) if counts else Table.of_counts([end_id], [1])
     packed = table.to_bytes()
     broadcast = df.sparkSession.sparkContext.broadcast(packed)  # 8 bytes a symbol
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, code = Table.from_bytes(broadcast.value), encoder(vocabulary, True)
-        end = np.array([end_id], "<u4").tobytes()
+        table = Table.from_bytes(broadcast.value)
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         rows: list[tuple] = []
-        ids: list[int | None] = []
-        coded: list[bytes] = []
-        held = at = 0
-        sink, path, shard = None, "", 0
-
-        def flush():
-            nonlocal held, at, sink, path, ids, coded
-            if sink is None:
-                store.create_dir(root, recursive=True)
-                path = f"{root}/tokens-{shard:06d}-{uuid.uuid4().hex}.rans"
-                sink = store.open_output_stream(path)
-            data = encode_frame(ids, coded, table)
-            sink.write(data)
-            rows.append((shard, len(rows), path, at, len(data), len(ids), held))
-            at += len(data)
-            ids, coded, held = [], [], 0
-
+        sink, path, at, open_shard = None, "", 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = batch.column("shard")[0].as_py()
-            texts = batch.column("text").to_pylist()
-            doc_ids = batch.column("doc_id").to_pylist()
-            for run in slices(texts):
-                for k, tokens in zip(run, code.encode([texts[k] for k in run]), strict=True):
-                    coded.append(tokens + end)
-                    ids.append(doc_ids[k])
-                    held += len(coded[-1]) // 4
-                    if held >= frame_tokens:
-                        flush()
-        if ids:
-            flush()
+            for shard, frame, doc_ids, lengths, ids in zip(*(batch.column(k) for k in range(5)), strict=True):
+                shard = shard.as_py()
+                if sink is None or shard != open_shard:
+                    # a shard may be read in several parts: each is a file of its own
+                    if sink is not None:
+                        sink.close()
+                    store.create_dir(root, recursive=True)
+                    path, at, open_shard = f"{root}/tokens-{shard:06d}-{uuid.uuid4().hex}.rans", 0, shard
+                    sink = store.open_output_stream(path)
+                tokens, sizes = _unsqueeze(ids.as_py()), lengths.as_py()
+                data = encode_frame(doc_ids.as_py(), sizes, tokens, table)
+                sink.write(data)
+                rows.append((shard, frame.as_py(), path, at, len(data), len(sizes), len(tokens)))
+                at += len(data)
         if sink is not None:
             sink.close()
         names = [x.split()[0] for x in MANIFEST.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
 
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
-    manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    manifest = materialize(frames.mapInArrow(write, MANIFEST), "token-manifest")
+    discard(frames)
     # shards are few (one a partition), so their running total may be one task's
     shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("t"))
     before = shards.select("shard", (F.sum("t").over(Window.orderBy("shard")) - F.col("t")).alias("base"))

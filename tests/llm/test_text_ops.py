@@ -73,7 +73,7 @@ def test_rans_round_trip_and_checkpoints(n, kinds):
 
 def test_rans_finds_damage_and_unknown_tokens():
     table = tf.Table.of_counts([0, 1, 2], [5, 3, 9])
-    data = bytearray(tf.encode_frame([1], [np.array([0, 1, 2] * 500, "<u4").tobytes()], table))
+    data = bytearray(tf.encode_frame([1], [1500], np.array([0, 1, 2] * 500), table))
     assert list(tf.decode_frame(bytes(data), table))[0][1] == 1500
     data[-1] ^= 255
     with pytest.raises(ValueError):
