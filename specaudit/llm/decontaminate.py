@@ -24,8 +24,9 @@ empty tables give empty results; other columns pass through :func:`drop_contamin
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,15 +89,23 @@ class Index:
             np.maximum.at(self.block_max[:, k // BLOCK], terms, impact.astype(np.float32))
             q, a = question_and_answer(items[k][1])
             self.parts.append((shingles(words_of(items[k][1])), shingles(q), shingles(a)))
+        #: each block's terms, and their impacts on its items
+        self.block_items: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in range(self.blocks):
+            own = self.postings[b * BLOCK : (b + 1) * BLOCK]
+            terms = np.unique(np.concatenate([t for t, _ in own]))
+            weights = np.zeros((len(own), len(terms)))
+            for k, (t, w) in enumerate(own):
+                weights[k, np.searchsorted(terms, t)] = w
+            self.block_items.append((terms, weights))
         self.term_max = self.block_max.max(axis=1) if n else np.zeros(v + 1, np.float32)
         self.stride = max(LEAST_STRIDE, int(lengths.max()) if n else 0)
 
     def retrieve(self, words: list[bytes], threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
         """``passage, item, score`` of all pairs at or above the threshold; passage p starts at word ``p * stride``."""
-        find, step = self.vocabulary.get, self.stride
-        none = len(self.vocabulary)
-        ids = np.fromiter((find(w, none) for w in words), np.int64, len(words))
-        at = np.nonzero(ids != none)[0]
+        step, none = self.stride, len(self.vocabulary)
+        ids = np.array(list(map(self.vocabulary.get, words, repeat(none))), np.int64)
+        at = np.flatnonzero(ids != none)
         if not len(at):
             return []
         segments = -(-len(words) // step)
@@ -104,21 +113,31 @@ class Index:
         pairs = np.unique((at // step) * (none + 1) + ids[at])
         seg, term = pairs // (none + 1), pairs % (none + 1)
         own = np.bincount(seg, weights=self.term_max[term], minlength=segments + 1)
-        bound = own[:-1] + own[1:]  # a term in both strides counts twice: still a bound
         slack = threshold - 1e-5
-        (live,) = np.nonzero(bound >= slack)
+        # a term in both strides of a passage counts twice: still a bound
+        live = np.flatnonzero(own[:-1] + own[1:] >= slack)
         if not len(live):
             return []
+        needed = np.zeros(segments + 1, bool)
+        needed[live] = needed[live + 1] = True
+        stay = needed[seg]
+        seg, term = seg[stay], term[stay]
         begin = np.searchsorted(seg, np.arange(segments + 2))
+        by_block = np.zeros((segments + 1, self.blocks), np.float32)
+        full = np.flatnonzero(begin[1:] > begin[:-1])
+        by_block[full] = np.add.reduceat(self.block_max[term], begin[full], axis=0)
         found = []
-        for p in live.tolist():
-            terms = np.unique(term[begin[p] : begin[min(p + 2, segments + 1)]])
-            for b in np.nonzero(self.block_max[terms].sum(axis=0) >= slack)[0].tolist():
-                for k in range(b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)):
-                    item, impact = self.postings[k]
-                    score = float(impact[np.isin(item, terms, assume_unique=True)].sum())
-                    if score >= threshold:
-                        found.append((p, k, score))
+        present = np.zeros(none + 1)
+        last = -1
+        for row, b in np.argwhere(by_block[live] + by_block[live + 1] >= slack).tolist():
+            p = live[row]
+            if p != last:
+                present[:] = 0
+                present[term[begin[p] : begin[p + 2]]] = 1
+                last = p
+            terms, weights = self.block_items[b]
+            scores = weights @ present[terms]
+            found += [(int(p), b * BLOCK + k, float(scores[k])) for k in np.flatnonzero(scores >= threshold).tolist()]
         return found
 
     def matches(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, float]]:
