@@ -1,0 +1,92 @@
+"""Chunking, identities, incremental indexing, OCR merging and repair."""
+
+import random
+
+import pytest
+
+from specaudit.operators import chunking, corpus
+
+POLICY = "standard_id string, active_edition_year int, approved_sha256 array<string>, approved_sources array<string>, source_aliases array<string>"
+
+
+def test_prose_is_cut_alike_every_time():
+    page = "\n\n".join(f"{n}. Section\n" + " ".join(f"word{n}-{k}" for k in range(90)) + "." for n in range(6))
+    parts = chunking.Chunker(600, 80).parts(page)
+    assert parts == chunking.Chunker(600, 80).parts(page) and len(parts) > 2 and all(len(p["text"]) >= 40 for p in parts)
+    assert all(f"word{n}-{k}" in " ".join(p["text"] for p in parts) for n in range(6) for k in range(90))
+
+
+def test_tables_repeat_their_header_and_cover_each_row_once():
+    page = "# 5 Widths\n\nTable 3 of lane widths\n| class | width |\n|---|---|\n" + "\n".join(f"| class number {k} with a good many words in its cell | {k}.5 m |" for k in range(1, 12)) + "\n\nAfter the table."
+    parts = [p for p in chunking.Chunker(400, 60).parts(page) if p["content_type"] == "table"]
+    assert len(parts) > 1 and len({p["table_id"] for p in parts}) == 1
+    assert all("| class | width |" in p["text"] and "Table: Table 3 of lane widths" in p["text"] and "Section: 5 Widths" in p["text"] for p in parts)
+    assert [k for p in parts for k in range(p["table_row_start"], p["table_row_end"] + 1)] == list(range(1, 12))
+    bare = chunking.Chunker(400, 60).parts("| a column that is wide | b column that is wide |\n|---|---|")
+    assert [(p["table_row_start"], p["table_row_end"]) for p in bare] == [(0, 0)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_no_word_of_long_prose_is_lost(seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" + "x" * rng.randrange(12) + rng.choice(["", ".", ";", "\n"]) for k in range(900)]
+    text = " ".join(p["text"] for p in chunking.Chunker(500, 100).parts(" ".join(words)))
+    assert all(w.strip() in text for w in words)
+
+
+def test_chunks_are_numbered_by_document(spark):
+    pages = spark.createDataFrame([("d", p, f"Page {p} " + "words that fill a page of text. " * 30) for p in (2, 1)] + [("e", 1, None)], "document_sha256 string, page int, text string")
+    got = chunking.assemble(chunking.split_pages(pages, size=400, overlap=50)).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in got] == list(range(len(got))) and [r.page for r in got] == sorted(r.page for r in got)
+    assert len({r.chunk_id for r in got}) == len(got) and {r.document_sha256 for r in got} == {"d"}
+
+
+def test_identity_precedence(spark):
+    docs = spark.createDataFrame([
+        ("a", "any.pdf", "sha-a", "IRC:5 1999"), ("b", "IRC-73-1980.pdf", "x", "Title IRC:SP:119 2018"), ("c", "irc 73 (1980).pdf", "x", "no number"), ("d", "x.pdf", "x", "1RC:SP:84 2019"), ("e", "alias.pdf", "x", ""), ("f", "x.pdf", "x", None),
+    ], "source_path string, source string, document_sha256 string, cover string")
+    policies = spark.createDataFrame([("IRC:67", 2022, ["SHA-A"], [], []), ("IRC:99", 2001, [], [], ["ALIAS.pdf"])], POLICY)
+    got = {r.source_path: (r.standard_id, r.edition_year, r.method, r.confidence) for r in corpus.identify(docs, policies).collect()}
+    assert got == {
+        "a": ("IRC:67", 2022, "registry_sha256", 1.0), "b": ("IRC:SP:119", 2018, "cover_regex", 0.95), "c": ("IRC:73", 1980, "filename_regex", 0.82),
+        "d": ("IRC:SP:84", 2019, "ocr_normalized_cover", 0.88), "e": ("IRC:99", 2001, "registry_alias", 0.98), "f": (None, None, "unknown", 0.0),
+    }
+
+
+def test_two_policies_for_one_name_resolve_nothing(spark):
+    docs = spark.createDataFrame([("a", "x.pdf", "s")], "source_path string, source string, document_sha256 string")
+    policies = spark.createDataFrame([("A", 1, [], ["x.pdf"], []), ("B", 2, [], ["X.pdf"], [])], POLICY)
+    assert corpus.resolve_policies(docs, policies).first().standard_id is None
+
+
+def test_fuzzy_candidates_are_only_suggested(spark):
+    docs = spark.createDataFrame([("a", "scan SP 84.pdf", ""), ("b", "IRC119.pdf", ""), ("c", "lRCSP37x.pdf", ""), ("d", "zzz.pdf", "qq")], "source_path string, source string, cover string")
+    got = {r.source_path: (r.candidate_standard_id, r.candidate_score) for r in corpus.fuzzy_candidates(docs, ["IRC:SP:84", "IRC:119", "IRC:SP:73"]).collect()}
+    assert got["a"] == ("IRC:SP:84", 0.96) and got["b"] == ("IRC:119", 1.0) and got["c"][0] == "IRC:SP:73" and 0.78 <= got["c"][1] < 1 and got["d"] == (None, None)
+
+
+def test_incremental_index(spark):
+    schema = "source_path string, document_sha256 string, chunking_version string, identity_version string"
+    found = spark.createDataFrame([("/a", "1", "v", "i"), ("/b", "2", "v", "i"), ("/c", "2", "v", "i"), ("/d", "9", "v", "i"), ("/e", "5", "w", "i")], schema)
+    known = spark.createDataFrame([("/a", "1", "v", "i"), ("/x", "9", "v", "i"), ("/e", "5", "v", "i")], schema)
+    paths = lambda df: sorted(r.source_path for r in df.collect())
+    assert paths(corpus.unchanged(found, known)) == ["/a"] and paths(corpus.to_index(found, known)) == ["/b", "/e"] and paths(corpus.to_index(found, known, force=True)) == ["/a", "/b", "/e"]
+    assert corpus.duplicate_content(found).collect() == [("/c", "/b")]
+    gone = spark.createDataFrame([("/in/a", "1", "v", "i"), ("/in/b", "1", "v", "i"), ("/input/c", "1", "v", "i")], schema)
+    assert paths(corpus.to_prune(gone, gone.where("source_path = '/in/a'"), ["/in/"])) == ["/in/b"]
+
+
+def test_ocr_adds_dimensions_and_labels_only(spark):
+    body = "A page of text that is long enough not to be weak, so that its words stay where they are in the page, all of them."
+    pages = spark.createDataFrame([("d", 1, body, "base"), ("d", 2, "weak", "base")], "source_path string, page int, text string, parser string")
+    ocr = spark.createDataFrame([("d", 1, "A page of text\n730 ± 25 mm\nFig. 11 Rail\nplain words\n730 ± 25 mm", "ocr"), ("d", 2, "a longer reading", "ocr"), ("d", 3, "extra", "ocr")], "source_path string, page int, text string, parser string")
+    got = {r.page: (r.text, r.parser) for r in corpus.merge_ocr(pages, ocr).collect()}
+    assert got[1] == (f"{body}\n\n[OCR figure/table supplement]\n730 ± 25 mm\nFig. 11 Rail", "base+ocr")
+    assert got[2] == ("a longer reading", "ocr") and got[3] == ("extra", "ocr")
+    assert corpus.needs_ocr(pages).first().ocr
+
+
+def test_repair_changes_only_what_differs(spark):
+    chunks = spark.createDataFrame([("1", "d", "A", 1990), ("2", "d", "B", 1990), ("3", "e", "C", 2000), ("4", "f", "D", 2001)], "chunk_id string, document_sha256 string, standard_id string, edition_year int")
+    ids = spark.createDataFrame([("d", "B", None), ("e", None, None), ("f", "D", 2002)], "document_sha256 string, standard_id string, edition_year int")
+    assert sorted((r.chunk_id, r.standard_id, r.edition_year) for r in corpus.repair_metadata(chunks, ids).collect()) == [("1", "B", 1990), ("4", "D", 2002)]
