@@ -20,6 +20,7 @@ OCR_PREFIX = r"(?i)(?<![A-Z0-9])[1IL]\s*R\s*C(?=\s*[:._-]?\s*(?:SP\b|\d))"
 NUMBERED_HEADING = r"(?i)^(?:section\s+)?\d+(?:\.\d+){0,4}\s+[A-Za-z]"
 DIMENSION_LINE = r"(?i)\d(?:[\d., ]*\d)?\s*(?:±|\+\s*/\s*-)?\s*(?:mm|cm|m|metres?|meters?|km)\b"
 LOCATOR_LINE = r"(?i)\b(?:fig(?:ure)?|table)\s*\.?\s*\d+"
+SIGN_SPEED = r"(?i)(?:speed\s*limit|maximum\s*speed|mandatory\s*speed)\D{0,8}(\d{2,3})\b"
 #: Wording of a relation, in order of precedence.
 COMPARATORS = (
     (">=", r"\bminimum\b|\bat\s+least\b|\bnot\s+less\s+than\b"),
@@ -162,8 +163,8 @@ def speed_kmph(c: Column) -> Column:
 
 def sign_speed(c: Column) -> Column:
     """Posted speed named on a sign label, 10 to 180 km/h."""
-    n = F.regexp_extract(c, r"(?i)(\d{2,3})\s*(?:km/?h|kmph|kph)?", 1).try_cast("double")
-    return F.when(F.lower(c).rlike("speed") & n.between(10, 180), n)
+    n = F.regexp_extract(c, SIGN_SPEED, 1).try_cast("double")
+    return F.when(n.between(10, 180), n)
 
 
 def lane_count(c: Column) -> Column:

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from specaudit.functions import geo, text
 from specaudit.plans.catalog import MANUALS, SCOPED
 
-#: Context fields in the order of their rendering.
-RENDERED = (("jurisdiction", "jurisdiction"), ("road_class", "road class"), ("highway_ref", "highway"), ("setting", "setting"), ("terrain", "terrain"), ("carriageway", "carriageway"), ("lanes_per_carriageway", "lanes per carriageway"), ("carriageway_count", "carriageways"), ("total_road_lanes", "total lanes"), ("design_speed_kmph", "design speed"), ("posted_speed_kmph", "posted speed"), ("sign_class", "sign class"), ("sign_mounting", "sign mounting"), ("kerb_type", "kerb type"), ("barrier_type", "barrier type"))
+# Labels of a rendered context, in order.
+RENDERED = (
+    ("jurisdiction", "jurisdiction"), ("road_class", "road class"), ("highway_ref", "highway reference"), ("setting", "setting"), ("terrain", "terrain"), ("carriageway", "carriageway"), ("osm_way_lanes", "lanes on OSM way"),
+    ("lanes_per_carriageway", "lanes per carriageway"), ("opposite_carriageway_lanes", "opposite carriageway lanes"), ("osm_total_lanes", "raw OSM total lanes"), ("carriageway_count", "carriageway count"), ("total_road_lanes", "base through-lane total"),
+    ("__status", "lane configuration status"), ("__design", "verified design speed"), ("__posted", "posted speed"), ("__basis", "radius speed basis"), ("sign_class", "sign class"), ("sign_mounting", "sign mounting"), ("barrier_type", "barrier type"),
+)
+NOTHING_KNOWN = "jurisdiction: India; road context otherwise unknown"
 
 
 def of_standard(standard_id: Column, name: str) -> Column:
@@ -60,8 +65,21 @@ def radius_speed_basis(design: Column, posted: Column, source: Column) -> Column
 
 
 def render(df: DataFrame) -> Column:
-    """The context as one line, known fields only, in fixed order."""
-    return F.concat_ws("; ", *(F.concat(F.lit(f"{label}: "), text.known(df[c].cast("string"))) for c, label in RENDERED if c in df.columns))
+    """The context as one line, known fields only, in fixed order; columns that ``df`` lacks are unknown."""
+
+    def col(name: str, kind: str = "string") -> Column:
+        return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+    def speed(c: str, default: str) -> Column:
+        source = F.coalesce(F.nullif(col(f"{c}_speed_source"), F.lit("")), F.lit(default))
+        return F.when(col(f"{c}_speed_kmph", "double") > 0, F.concat(text.fmt_g(col(f"{c}_speed_kmph", "double")), F.lit(" km/h ("), source, F.lit(")")))
+
+    made = {
+        "jurisdiction": F.coalesce(col("jurisdiction"), F.lit("India")), "__status": F.when(col("lanes_provisional", "boolean"), "provisional"), "__design": speed("design", "verified input"), "__posted": speed("posted", "unverified source"),
+        "__basis": radius_speed_basis(col("design_speed_kmph", "double"), col("posted_speed_kmph", "double"), col("posted_speed_source")),
+    }
+    line = F.concat_ws("; ", *(F.concat(F.lit(f"{label}: "), text.known(made.get(c, col(c)))) for c, label in RENDERED))
+    return F.when(line == "", NOTHING_KNOWN).otherwise(line)
 
 
 def overlay(supplied: DataFrame, resolved: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -192,19 +210,53 @@ def setting(highway: Column, lit: Column, sidewalk: Column, near_landuse: Column
     return F.when(F.coalesce(urban, F.lit(False)) | F.coalesce(near, F.lit(False)), "urban").when(highway.isin("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified"), "rural").otherwise("unknown")
 
 
+ROADSIDE = ("chevron", "warning sign", "mandatory sign", "speed limit")
+
+
 def from_sheet(observations: DataFrame, route: str = "route_id") -> DataFrame:
-    """What a route's sheet says: lanes, lane markings, sign classes and speed.
+    """What a route's sheet says: lanes, carriageway, sign class and mounting, posted speed.
 
     A median of centre lines may be 0 (an unmarked centre), which tells divided roads; lane counts must be positive.
     """
-    first = lambda c: F.get(text.numbers(F.col(f"`{c}`")), F.lit(0))
-    own = observations.select(F.col(route).alias("route_id"), first("Expected Total Lanes").alias("lanes"), first("Centre Lanes Detected").alias("centre"), first("Shoulder Lanes Detected").alias("shoulder"), F.trim(F.col("`Traffic Sign Class`")).alias("sign"))
+    have = observations.columns
+    cell = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
+    first = lambda c: F.get(text.numbers(cell(c)), F.lit(0))
+    sign = F.nullif(F.trim(cell("Traffic Sign Class")), F.lit(""))
+    own = observations.select(F.col(route).alias("route_id"), first("Expected Total Lanes").alias("lanes"), first("Centre Lanes Detected").alias("centre"), first("Shoulder Lanes Detected").alias("shoulder"), F.when(F.lower(sign) != "nan", sign).alias("sign"), text.sign_speed(sign).alias("speed"))
     agg = own.withColumn("lanes", F.when(F.col("lanes") > 0, F.col("lanes"))).groupBy("route_id").agg(
         geo.upper_median("lanes").cast("int").alias("lanes"), geo.upper_median("centre").cast("int").alias("centre"), geo.upper_median("shoulder").cast("int").alias("shoulder"),
-        F.array_sort(F.collect_set("sign")).alias("signs"), F.max(text.sign_speed(F.col("sign"))).alias("posted_speed_kmph"),
+        F.array_sort(F.collect_set("sign")).alias("signs"), geo.upper_median("speed").alias("posted_speed_kmph"),
     )
-    roadside = lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ").rlike(r"\b(?:chevron|warning|mandatory|regulatory|informatory|cautionary|sign)\b")
-    return agg.select("route_id", "lanes", F.when((F.col("centre") == 0) & (F.col("shoulder") >= 2), "divided").when(F.col("centre") >= 1, "undivided").otherwise("unknown").alias("carriageway"), F.when(F.size("signs") == 1, F.get("signs", F.lit(0))).alias("sign_class"), F.when(F.size(F.filter("signs", lambda s: roadside(s))) > 0, "shoulder").alias("sign_mounting"), "posted_speed_kmph")
+    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    roadside = lambda s: any_of([plain(s).contains(t) for t in ROADSIDE])
+    way = F.when(F.coalesce(F.col("lanes"), F.lit(0)) < 2, "unknown").when(F.col("centre") >= F.col("lanes") - 1, "undivided").when((F.col("centre") == 0) & (F.col("shoulder") >= 2), "divided").otherwise("unknown")
+    return agg.select("route_id", "lanes", way.alias("carriageway"), F.when(F.size("signs") == 1, F.get("signs", F.lit(0))).alias("sign_class"), F.when((F.size("signs") > 0) & F.forall("signs", lambda s: roadside(s)), "shoulder").alias("sign_mounting"), "posted_speed_kmph")
+
+
+def with_sheet(contexts: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Contexts (``route_id`` and the engine's context columns) with what their sheets add where they are silent.
+
+    A sheet's lanes are the observed carriageway's on divided and one-way roads, and doubled only for a paired road whose other
+    side has as many at least; elsewhere they are the road's total.  Such totals are provisional.
+    """
+    s = sheet.select(F.col("route_id").alias("__r"), *(F.col(c).alias(f"__{c}") for c in ("lanes", "carriageway", "sign_class", "sign_mounting", "posted_speed_kmph")))
+    j = contexts.join(s, F.col("route_id").eqNullSafe(F.col("__r")), "left")
+    c = F.col
+    way = F.coalesce(text.known(c("carriageway")), text.known(c("__carriageway")), F.lit("unknown"))
+    stated = F.coalesce(c("total_road_lanes"), c("lanes_total"))
+    one_side = way.isin("divided", "one_way") & c("__lanes").isNotNull()
+    doubled = one_side & (way == "divided") & stated.isNull() & (c("carriageway_count") == 2) & (c("osm_way_lanes") == c("__lanes")) & (c("opposite_carriageway_lanes") >= c("__lanes"))
+    whole = ~way.isin("divided", "one_way") & c("__lanes").isNotNull() & stated.isNull()
+    total = F.coalesce(stated, F.when(doubled, 2 * c("__lanes")).when(whole, c("__lanes")))
+    inferred = F.coalesce((doubled | whole) & stated.isNull(), F.lit(False))
+    new = {
+        "carriageway": way, "total_road_lanes": total, "lanes_total": total, "lanes_per_carriageway": F.coalesce(c("lanes_per_carriageway"), F.when(one_side, c("__lanes"))),
+        "carriageway_count": F.coalesce(c("carriageway_count"), F.when(whole & (way == "undivided"), 1)), "lanes_provisional": F.when(c("lanes_total").isNotNull(), False).when(inferred, True).otherwise(c("lanes_provisional")),
+        "posted_speed_source": F.coalesce(c("posted_speed_source"), F.when(c("design_speed_kmph").isNull() & c("posted_speed_kmph").isNull() & c("__posted_speed_kmph").isNotNull(), "numbered speed-limit sign detected in input workbook")),
+        "posted_speed_kmph": F.coalesce(c("posted_speed_kmph"), F.when(c("design_speed_kmph").isNull(), c("__posted_speed_kmph"))),
+        "sign_class": F.coalesce(F.nullif(c("sign_class"), F.lit("")), c("__sign_class")), "sign_mounting": F.coalesce(text.known(c("sign_mounting")), c("__sign_mounting")),
+    }
+    return j.select(*(new[x].cast(t).alias(x) if x in new else c(x) for x, t in contexts.dtypes))
 
 
 def any_of(flags: list[Column]) -> Column:

@@ -176,10 +176,12 @@ def merge_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     new = F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= 4) & ~F.contains(base, F.lower(x)) & (x.rlike(text.DIMENSION_LINE) | x.rlike(text.LOCATOR_LINE))))
     longer = F.length("o_text") > F.length("text")
     weak = text.weak_page(F.col("text"))
-    merged = text.normalize_text(F.concat(F.col("text"), F.lit(f"\n\n{SUPPLEMENT}\n"), F.array_join(new, "\n")))
-    adds = F.size(new) > 0
-    body = F.when(F.col("text").isNull(), F.col("o_text")).when(F.col("o_text").isNull(), F.col("text")).when(weak, F.when(longer, F.col("o_text")).otherwise(F.col("text"))).when(adds, merged).otherwise(F.col("text"))
-    parser = F.when(F.col("text").isNull(), F.col("o_parser")).when(F.col("o_text").isNull(), F.col("parser")).when(weak, F.when(longer, F.col("o_parser")).otherwise(F.col("parser"))).when(adds, F.concat_ws("+", "parser", "o_parser")).otherwise(F.col("parser"))
+    # the new lines are worked out once; text and parser follow from them
+    j = j.withColumn("__new", F.array_join(new, "\n")).withColumn("__takes", F.when(F.col("text").isNull() | (F.col("o_text").isNotNull() & weak & longer), "ocr").when(F.col("o_text").isNull() | weak | (F.col("__new") == ""), "base").otherwise("both"))
+    merged = text.normalize_text(F.concat(F.col("text"), F.lit(f"\n\n{SUPPLEMENT}\n"), F.col("__new")))
+    takes = F.col("__takes")
+    body = F.when(takes == "ocr", F.col("o_text")).when(takes == "both", merged).otherwise(F.col("text"))
+    parser = F.when(takes == "ocr", F.col("o_parser")).when(takes == "both", F.concat_ws("+", "parser", "o_parser")).otherwise(F.col("parser"))
     return j.select("source_path", "page", body.alias("text"), parser.alias("parser"))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 PAGES = "source_path string, document_sha256 string, page int, text string, parser string, warning string"
 POLICY = "standard_id string, active_edition_year int, approved_sources array<string>, source_aliases array<string>, approved_sha256 array<string>, official_source_url string, licence_basis string, amendments array<string>, supersedes array<string>, reviewed_by string, reviewed_on string, notes string"
@@ -63,7 +63,7 @@ def extract_pages(docs: DataFrame, extractor: Callable[[bytes], list[tuple[int,
 
 def text_pages(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """Plain-text documents, pages parted by form feeds."""
-    own = documents(spark, folder, glob).select("source_path", "document_sha256", F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\f")).alias("n", "text"))
+    own = documents(spark, folder, glob).select("source_path", "document_sha256", F.posexplode(F.split(F.decode("content", "UTF-8"), "\f")).alias("n", "text"))
     return own.select("source_path", "document_sha256", (F.col("n") + 1).alias("page"), "text", F.lit("text").alias("parser"), F.lit(None).cast("string").alias("warning"))
 
 
@@ -159,7 +159,7 @@ def elevations(points: DataFrame, lookup: Callable[[list[tuple[float, float]]],
                 raise ValueError("elevation lookup returned another number of values")
             yield pdf.assign(elevation=[float(x) for x in got])
 
-    return points.mapInPandas(run, points.schema.add("elevation", "double"))
+    return points.mapInPandas(run, StructType([*points.schema.fields, StructField("elevation", DoubleType())]))
 
 
 EXTRACTION = "status string, evidence_id string, quote string, raw_value double, second_raw_value double, raw_unit string, comparator string, applies_to string, conditions array<string>, rationale string"

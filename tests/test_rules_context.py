@@ -91,11 +91,24 @@ def test_route_class_follows_the_trajectory(spark):
 
 
 def test_sheet_context(spark):
-    rows = [("r", "2", "1", "2", "Chevron"), ("r", "2", "1", "2", "Warning Sign"), ("r", "2", "1", "2", "Speed limit 80"), ("s", "4", "0", "2", "x")]
+    from specaudit.plans.engine import CONTEXT
+
+    rows = [("r", "2", "1", "2", "Chevron"), ("r", "2", "1", "2", "Warning Sign"), ("r", "2", "1", "2", "Mandatory Sign: speed limit 80"), ("s", "4", "0", "2", "x"), ("p", "2", None, None, "x")]
     df = spark.createDataFrame(rows, "route_id string, `Expected Total Lanes` string, `Centre Lanes Detected` string, `Shoulder Lanes Detected` string, `Traffic Sign Class` string")
-    got = {r.route_id: r for r in context.from_sheet(df).collect()}
+    sheet = context.from_sheet(df)
+    got = {r.route_id: r for r in sheet.collect()}
     assert (got["r"].lanes, got["r"].carriageway, got["r"].sign_mounting, got["r"].posted_speed_kmph) == (2, "undivided", "shoulder", 80.0)
-    assert (got["s"].carriageway, got["s"].sign_class) == ("divided", "x")
+    assert (got["s"].carriageway, got["s"].sign_class, got["s"].sign_mounting) == ("divided", "x", None)
+    kinds = spark.createDataFrame([], CONTEXT.replace("request_id", "route_id", 1)).schema
+    given = [{"route_id": "r"}, {"route_id": "s"}, {"route_id": "p", "carriageway": "divided", "carriageway_count": 2, "osm_way_lanes": 2, "opposite_carriageway_lanes": 3}, {"route_id": "none", "lanes_total": 6}]
+    full = context.with_sheet(spark.createDataFrame([tuple(g.get(n) for n in kinds.names) for g in given], kinds), sheet)
+    got = {r.route_id: r for r in full.collect()}
+    assert (got["r"].total_road_lanes, got["r"].carriageway, got["r"].lanes_provisional, got["r"].posted_speed_kmph) == (2, "undivided", True, 80.0)
+    assert (got["s"].total_road_lanes, got["s"].lanes_per_carriageway) == (None, 4)
+    assert (got["p"].total_road_lanes, got["p"].lanes_per_carriageway, got["p"].lanes_provisional) == (4, 2, True)
+    assert (got["none"].total_road_lanes, got["none"].lanes_provisional) == (6, False)
+    lines = {r[0]: r[1] for r in full.select("route_id", context.render(full)).collect()}
+    assert lines["r"] == "jurisdiction: India; carriageway: undivided; carriageway count: 1; base through-lane total: 2; lane configuration status: provisional; posted speed: 80 km/h (numbered speed-limit sign detected in input workbook); radius speed basis: detected_posted_speed_proxy; sign mounting: shoulder"
 
 
 def test_evaluation_summary(spark):
