@@ -33,7 +33,7 @@ from specaudit.llm.components import connected_components
 #: Fingerprints in a block, at most (a few times more where a path ends).
 BLOCK = 1 << 14
 #: Node pairs that are walked at once, and fingerprint pairs compared at once.
-WALK = 1 << 18
+WALK = 1 << 15
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
