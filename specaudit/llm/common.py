@@ -77,10 +77,10 @@ class PieceEncoder:
     the cuts used: with ``blank_prefix`` (byte-level vocabularies, where a blank belongs to the
     word behind it) single blanks and single line feeds between visible characters, without it (vocabularies
     that drop white space) any blank or line feed.  Texts with other white space are encoded whole.
-    The memo is emptied when it holds ``limit`` words.
+    The memo has two halves of about ``limit`` words: when one is full the older goes.
     """
 
-    def __init__(self, path: str, *, blank_prefix: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, *, blank_prefix: bool, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -88,6 +88,7 @@ class PieceEncoder:
         self.blank_prefix = blank_prefix
         self.limit = limit
         self.memo: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {"": b""}
         # a sign of one id that stands between words encoded in one call
         marks = ["\n"] if blank_prefix else [f" {m} " for m in "¬¦§¶¤°±"]
@@ -115,11 +116,18 @@ class PieceEncoder:
     def _learn(self, words: list[str]) -> None:
         """New words.  Marks behind a letter are a pre-token of their own, so a word without them is learned once for all its endings."""
         memo, known = self.memo, self.ends
-        same = str if self.blank_prefix else lambda w: w.lower() if w.isascii() else w  # as the vocabulary's own normaliser does
+        if self.blank_prefix:
+            plain = [w for w in words if w[-1].isalpha()]
+        else:  # ASCII capitals are folded as the vocabulary's own normaliser does
+            plain = [w for w in words if w[-1].isalpha() and (w.islower() or not w.isascii())]
+        self._learn_parts(plain)
+        words = list(set(words).difference(plain))
         bare = [w.rstrip(ENDINGS) for w in words]
-        bare = [same(b) if b and b[-1].isalpha() else same(w) for w, b in zip(words, bare, strict=True)]
-        self._learn_parts(list(set(bare).difference(memo)))
+        bare = [b if b and b[-1].isalpha() else w for w, b in zip(words, bare, strict=True)]
         ends = [w[len(b) :] for w, b in zip(words, bare, strict=True)]
+        if not self.blank_prefix:
+            bare = [b.lower() if b.isascii() else b for b in bare]
+        self._learn_parts(list(set(bare).difference(memo)))
         new = list(set(ends).difference(known))
         known.update(zip(new, self._each(new), strict=True))
         memo.update(zip(words, [memo[b] + known[e] for b, e in zip(bare, ends, strict=True)], strict=True))
@@ -137,40 +145,68 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > self.limit:
-            self.memo, self.ends = {"": b""}, {"": b""}
-        cut: list[list[str] | None] = []
-        known: set[str] = set()
+            # words in use come back from the older half
+            self.memo, self.old, self.ends = {"": b""}, self.memo, {"": b""}
+        get = self.memo.get
+        rows: list[tuple[list[str], list, list[int]] | None] = []
+        missing: set[str] = set()
         for t in texts:
             if not self.blank_prefix:
                 words = t.replace("\n", " ").split(" ")
-            elif "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace() or OTHER_SPACE(t):
-                cut.append(None)
+            elif "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace() or other_space(t):
+                rows.append(None)
                 continue
             else:
                 # a line's first word carries the line feed before it; the one put before the text is taken off below
                 words = f"\n{t}".replace("\n", " \n").split(" ")
-            known.update(words)
-            cut.append(words)
-        missing = list(known - self.memo.keys())
+            ids = list(map(get, words))
+            holes = [k for k, x in enumerate(ids) if x is None]
+            missing.update([words[k] for k in holes])
+            rows.append((words, ids, holes))
+        memo = self.memo
         if missing:
-            self._learn(missing)
-        get = self.memo.__getitem__
+            back = [w for w in missing if w in self.old] if self.old else []
+            memo.update((w, self.old[w]) for w in back)
+            self._learn(list(missing.difference(back)))
         skip = 4 if self.blank_prefix else 0
-        out = [None if words is None else b"".join(map(get, words))[skip:] for words in cut]
-        odd = [k for k, words in enumerate(cut) if words is None]
+        out: list[bytes | None] = []
+        for row in rows:
+            if row is None:
+                out.append(None)
+                continue
+            words, ids, holes = row
+            for k in holes:
+                ids[k] = memo[words[k]]
+            out.append(b"".join(ids)[skip:])
+        odd = [k for k, row in enumerate(rows) if row is None]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else [], strict=True):
             out[k] = ids
         return out
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+def other_space(t: str) -> bool:
+    """Whether ``OTHER_SPACE`` finds anything; texts of one byte a character are searched byte by byte."""
+    if any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
+        return True
+    if t.isascii():
+        return False
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return OTHER_SPACE(t) is not None
+    return "\x85" in t or "\xa0" in t
+
+
+#: Words that half a memo holds: about 110 MB a worker for both halves.
+MEMO_WORDS = 500_000
+_encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
-def encoder(path: str, blank_prefix: bool) -> PieceEncoder:
-    """One encoder for each worker process and vocabulary."""
-    key = (path, blank_prefix)
+def encoder(path: str, blank_prefix: bool, memo_words: int = MEMO_WORDS) -> PieceEncoder:
+    """One encoder for each worker process, vocabulary and size of memo."""
+    key = (path, blank_prefix, memo_words)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, blank_prefix=blank_prefix)
+        _encoders[key] = PieceEncoder(path, blank_prefix=blank_prefix, limit=memo_words)
     return _encoders[key]
 
 

@@ -44,7 +44,7 @@ SCALE = 20
 LOWER = np.uint64(1 << 32)
 LANES = 128
 BLOCK = 1 << 16
-FRAME = 1 << 20
+FRAME = 1 << 21
 CHECKPOINT_STEPS = 256
 U = np.uint64
 
@@ -237,14 +237,14 @@ def _squeeze(data: bytes) -> bytes:
     """Ids for the way between two jobs: two bytes each where that suffices, compressed."""
     ids = np.frombuffer(data, "<u4")
     small = not len(ids) or int(ids.max()) < 1 << 16
-    return (b"2" if small else b"4") + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes() if small else data)
+    return (b"2" if small else b"4") + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2").tobytes() if small else data)
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4")
 
 
-FRAMES = "shard int, frame int, doc_ids array<long>, lengths array<long>, ids binary"
+FRAMES = "shard int, frame int, doc_ids array<long>, lengths array<long>, ids binary, tokens array<int>, counts array<int>"
 
 
 def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME) -> DataFrame:
@@ -258,8 +258,12 @@ def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         held = shard = frame = 0
 
         def out() -> pa.RecordBatch:
-            sizes = [len(c) // 4 for c in coded]
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_squeeze(b"".join(coded))], pa.binary())], names=["shard", "frame", "doc_ids", "lengths", "ids"])
+            sizes, data = [len(c) // 4 for c in coded], b"".join(coded)
+            seen = np.bincount(np.frombuffer(data, "<u4"))
+            (used,) = np.nonzero(seen)
+            own = {"shard": pa.array([shard], pa.int32()), "frame": pa.array([frame], pa.int32()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([_squeeze(data)], pa.binary())}
+            own |= {k: pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for k, x in (("tokens", used), ("counts", seen[used]))}
+            return pa.RecordBatch.from_pydict(own)
 
         for batch in batches:
             if not batch.num_rows:
@@ -277,24 +281,16 @@ def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         if doc_ids:
             yield out()
 
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
+    # the row number parts ranges within an id too, however often the id is repeated
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    ordered = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("row").withColumn("shard", F.spark_partition_id())
     return materialize(ordered.mapInArrow(run, FRAMES), "token-frames")
 
 
 def token_counts(frames: DataFrame) -> DataFrame:
-    """``token_id, n`` over all documents; sums leave each task as one row a token."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for blob in batch.column("ids"):
-                own = np.bincount(_unsqueeze(blob.as_py()), minlength=len(total))
-                own[: len(total)] += total
-                total = own
-        (used,) = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"token_id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
-
-    return frames.select("ids").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    """``token_id, n`` over all documents, from each frame's own counts; sums leave each task as one row a token."""
+    pairs = frames.select(F.explode(F.arrays_zip("tokens", "counts")).alias("c"))
+    return pairs.groupBy(F.col("c.tokens").alias("token_id")).agg(F.sum("c.counts").alias("n"))
 
 
 MANIFEST = "shard int, frame int, path string, offset long, size long, n_docs long, n_tokens long"
@@ -334,7 +330,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, id_col: str =
         kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
 
-    manifest = materialize(frames.mapInArrow(write, MANIFEST), "token-manifest")
+    manifest = materialize(frames.select("shard", "frame", "doc_ids", "lengths", "ids").mapInArrow(write, MANIFEST), "token-manifest")
     discard(frames)
     # shards are few (one a partition), so their running total may be one task's
     shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("t"))
