@@ -259,5 +259,59 @@ def with_sheet(contexts: DataFrame, sheet: DataFrame) -> DataFrame:
     return j.select(*(new[x].cast(t).alias(x) if x in new else c(x) for x, t in contexts.dtypes))
 
 
+# Fixed value: ways that are no roads.
+IGNORED_WAYS = ("footway", "path", "service", "steps", "pedestrian", "track", "cycleway")
+CROSS_M = 150.0
+
+
+def cross_points(points: DataFrame, most: int = 7) -> DataFrame:
+    """``route_id, pos, side, lat, lon``: points 150 m left and right of a sampled trajectory, square to its course.
+
+    points: ``route_id, pos, lat, lon`` where ``pos`` counts from 0; routes of one point have no course and give none.
+    """
+    ends = points.groupBy("route_id").agg(F.min(F.struct("pos", "lat", "lon")).alias("a"), F.max(F.struct("pos", "lat", "lon")).alias("z")).where("a.pos < z.pos")
+    course = ends.select("route_id", geo.bearing(F.col("a.lat"), F.col("a.lon"), F.col("z.lat"), F.col("z.lon")).alias("course"))
+    own = sample_trajectory(points, most).join(course, "route_id").withColumn("side", F.explode(F.array(F.lit(-90.0), F.lit(90.0))))
+    at = geo.destination(F.col("lat"), F.col("lon"), F.col("course") + F.col("side"), F.lit(CROSS_M))
+    return own.select("route_id", "pos", "side", at["lat"].alias("lat"), at["lon"].alias("lon"))
+
+
+def infer_terrain(heights: DataFrame) -> DataFrame:
+    """``route_id, cross_slope, terrain`` from the heights of :func:`cross_points` (adds ``elevation``)."""
+    left, right = (F.max(F.when(F.col("side") == x, F.col("elevation"))) for x in (-90.0, 90.0))
+    slopes = heights.groupBy("route_id", "pos").agg((F.abs(left - right) / (2 * CROSS_M) * 100.0).alias("slope")).where("slope is not null")
+    mid = slopes.groupBy("route_id").agg(geo.upper_median("slope").alias("cross_slope"))
+    return mid.withColumn("terrain", geo.terrain(F.col("cross_slope")))
+
+
+def resolve_routes(points: DataFrame, features: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """Context of each route from map features near it: class, setting, lanes, speeds, terrain.
+
+    points: ``route_id, pos, lat, lon`` (sampled to a dozen a route); features: ``route_id, way_id, tags, geometry``, those
+    found near a route.  A class is chosen by coverage of the trajectory, or by votes where no way has a geometry.
+    """
+    c = F.col
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    kind = text.road_class(tag("ref"), tag("highway"))
+    ways = features.where(tag("highway").isNotNull() & ~tag("highway").isin(*IGNORED_WAYS)).select("route_id", "way_id", "tags", "geometry", kind["road_class"].alias("road_class"), kind["confidence"].alias("confidence"), tag("oneway").alias("oneway")).where("road_class is not null")
+    shaped = ways.where(F.size("geometry") > 0)
+    matched = classify_route(points, shaped)
+    best_vote = vote_class(ways).join(matched.select("route_id"), "route_id", "left_anti")
+    first = ways.join(best_vote.withColumnRenamed("confidence", "v"), ["route_id", "road_class"]).groupBy("route_id", "road_class", "v").agg(F.max(F.struct("confidence", "way_id")).alias("w"))
+    chosen = matched.select("route_id", "road_class", "way_id", "confidence", "quality").unionByName(first.select("route_id", "road_class", c("w.way_id").alias("way_id"), c("v").alias("confidence"), F.lit(None).cast("double").alias("quality")))
+    own = ways.join(chosen.select("route_id", "road_class"), ["route_id", "road_class"])
+    speed = text.speed_kmph(tag("maxspeed"))
+    refs = own.where(tag("ref").isNotNull()).groupBy("route_id", tag("ref").alias("ref")).agg(F.count(F.lit(1)).alias("n")).groupBy("route_id").agg(F.max(F.struct("n", "ref")).alias("r")).select("route_id", c("r.ref").alias("highway_ref"))
+    speeds = own.groupBy("route_id").agg(F.max(speed).alias("posted_speed_kmph"), F.array_sort(F.collect_set(speed)).alias("osm_maxspeed_values_kmph"))
+    nearby = features.groupBy("route_id").agg(F.collect_set(tag("landuse")).alias("landuse"), F.collect_set(tag("place")).alias("place"))
+    flat = own.select("way_id", tag("highway").alias("highway"), tag("ref").alias("ref"), tag("name").alias("name"), "oneway", "geometry", tag("lanes").alias("lanes"), tag("dual_carriageway").alias("dual_carriageway"), tag("divider").alias("divider")).dropDuplicates(["way_id"])
+    lanes = lane_context(flat, opposite_carriageways(flat))
+    rep = chosen.join(ways.select("route_id", "way_id", "tags"), ["route_id", "way_id"]).join(nearby, "route_id").withColumn("setting", setting(tag("highway"), tag("lit"), tag("sidewalk"), c("landuse"), c("place"))).drop("landuse", "place", "tags")
+    out = rep.join(lanes, "way_id", "left").join(refs, "route_id", "left").join(speeds, "route_id", "left").withColumnRenamed("opposite_lanes", "opposite_carriageway_lanes")
+    out = out.withColumn("posted_speed_source", F.when(c("posted_speed_kmph").isNotNull(), "OpenStreetMap maxspeed tag")).withColumn("road_class_confidence", c("confidence")).drop("confidence")
+    ground = infer_terrain(heights).select("route_id", "terrain") if heights is not None else points.select("route_id").distinct().withColumn("terrain", F.lit("unknown"))
+    return points.select("route_id").distinct().join(out, "route_id", "left").join(ground, "route_id", "left").withColumn("terrain", F.coalesce("terrain", F.lit("unknown")))
+
+
 def any_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags)

@@ -118,3 +118,19 @@ def test_evaluation_summary(spark):
     s = evaluation.summarize(df).first()
     assert (s.recall_at_5, s.recall_at_10, s.mrr, s.citation_accuracy, s.edition_accuracy, s.abstention_precision, s.abstention_recall, s.overall_correct) == (0.5, 1.0, 0.55, 0.5, None, 1.0, 1.0, 0.5)
     assert evaluation.latency(df).first() == ("m", 2, 150.0, 150.0, 200.0)
+
+
+def test_routes_resolve_from_map_features(spark):
+    pts = spark.createDataFrame([("r", k, 17.0, 78.0 + 0.001 * k) for k in range(12)] + [("lost", 0, 1.0, 1.0)], "route_id string, pos long, lat double, lon double")
+    tags = {"highway": "trunk", "ref": "NH 65", "lanes": "2", "maxspeed": "80"}
+    rows = [("r", "w1", tags, [(17.0, 77.99), (17.0, 78.02)]), ("r", "w2", tags | {"maxspeed": "50 mph"}, [(17.0001, 78.0), (17.0001, 78.02)]), ("r", "foot", {"highway": "footway"}, [(17.0, 78.0), (17.0, 78.02)]), ("r", "z", {"landuse": "residential"}, [])]
+    features = spark.createDataFrame(rows, "route_id string, way_id string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+    cross = context.cross_points(pts)
+    assert cross.count() == 14
+    heights = cross.withColumn("elevation", F.when(F.col("side") > 0, 100.0).otherwise(40.0))
+    got = {r.route_id: r for r in context.resolve_routes(pts, features, heights).collect()}
+    r = got["r"]
+    assert (r.road_class, r.highway_ref, r.setting, r.carriageway, r.total_road_lanes, r.posted_speed_kmph, r.terrain) == ("National Highway", "NH 65", "urban", "undivided", 2, 80.5, "rolling")
+    assert r.osm_maxspeed_values_kmph == [80.0, 80.5] and got["lost"].road_class is None and got["lost"].terrain == "unknown"
+    bare = features.withColumn("geometry", F.array().cast("array<struct<lat:double,lon:double>>"))
+    assert {x.route_id: x.road_class for x in context.resolve_routes(pts, bare).collect()}["r"] == "National Highway"
