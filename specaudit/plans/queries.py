@@ -60,13 +60,13 @@ def audit_disposition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.disposition_share(audited_cells(spark, sf_dir))
 
 
-@query(f"WITH {fx.STATES} SELECT metric_key, bool_or(n > 0) AS observed, sum(n) AS measured, sum(failures) AS failures FROM row_v GROUP BY 1")
+@query(f"WITH {fx.STATES} SELECT metric_key, bool_or(n > 0) AS observed, sum(n)::bigint AS measured, sum(failures)::bigint AS failures FROM row_v GROUP BY 1")
 def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("vals")
     return audited_cells(spark, sf_dir).groupBy("metric_key").agg(F.bool_or(n > 0).alias("observed"), F.sum(n).alias("measured"), F.sum("failures").alias("failures"))
 
 
-@query(f"WITH {fx.STATES} SELECT route_id, sum(failures) AS failures, sum(reviews) AS reviews, max(failures) AS worst, count(*) AS n_rows FROM row_v GROUP BY 1")
+@query(f"WITH {fx.STATES} SELECT route_id, sum(failures)::bigint AS failures, sum(reviews)::bigint AS reviews, max(failures) AS worst, count(*) AS n_rows FROM row_v GROUP BY 1")
 def audit_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited_cells(spark, sf_dir).groupBy("route_id").agg(F.sum("failures").alias("failures"), F.sum("reviews").alias("reviews"), F.max("failures").alias("worst"), F.count(F.lit(1)).alias("n_rows"))
 
@@ -146,7 +146,7 @@ SELECT doc_id, sha256(t) AS content_hash, length(t) AS n_chars, len(list_filter(
 def text_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.load(spark, sf_dir, "documents").withColumn("t", text.normalize_text(F.coalesce("text", F.lit(""))))
     heading = F.exists(F.split("t", "\n"), lambda x: x.rlike(text.NUMBERED_HEADING))
-    return d.select("doc_id", F.sha2("t", 256).alias("content_hash"), F.length("t").alias("n_chars"), heading.alias("has_heading"))
+    return d.select("doc_id", F.sha2("t", 256).alias("content_hash"), F.length("t").cast("long").alias("n_chars"), heading.alias("has_heading"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round_even((event_id % 120)::double * 1.609344::double, 1) ELSE (event_id % 120)::double END AS kmph,
