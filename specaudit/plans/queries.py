@@ -610,3 +610,53 @@ def context_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.load(spark, sf_dir, "customer").select(n.alias("id"), F.when(n % 3 == 0, "unknown").when(n % 3 == 1, F.col("c_mktsegment")).alias("setting"), F.when(n % 4 == 0, (n % 6).cast("int")).alias("lanes"))
     r = fx.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("rural").alias("setting"), F.col("s_nationkey").alias("lanes"))
     return context.overlay(s, r, "id", ["setting", "lanes"])
+
+
+# --- health, repair and context ------------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS documents, sum(doc_id % 9)::bigint AS chunks, sum(doc_id % 4)::bigint AS low_text_pages, count(*) FILTER (doc_id % 17 = 0) AS failed,
+ count(*) FILTER (doc_id % 5 = 0) AS unknown_identity, count(*) FILTER (doc_id % 11 = 0) AS stale_identity FROM documents""")
+def manifest_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    m = fx.load(spark, sf_dir, "documents").select((n % 9).alias("chunks"), (n % 4).alias("low_text_pages"), (n % 17 == 0).alias("failed"), F.when(n % 5 != 0, "S").alias("standard_id"), F.when(n % 11 == 0, "old").otherwise(corpus.IDENTITY_VERSION).alias("identity_version"))
+    return corpus.manifest_summary(m)
+
+
+@query("""WITH c AS (SELECT doc_id AS chunk_id, doc_id // 3 AS doc, CASE WHEN doc_id // 3 % 4 = 0 THEN 'A' WHEN doc_id % 2 = 0 THEN 'B' END AS s, CASE WHEN doc_id % 7 > 0 THEN 1990 + doc_id // 3 % 5 END AS y FROM documents),
+o AS (SELECT doc, CASE WHEN count(DISTINCT s) = 1 THEN min(s) END AS s1, CASE WHEN count(DISTINCT y) = 1 THEN min(y) END AS y1 FROM c GROUP BY 1),
+n AS (SELECT doc, coalesce(CASE WHEN doc % 3 = 1 THEN 'A' END, s1) AS ns, coalesce(CASE WHEN doc % 3 = 2 THEN 2000 END, y1) AS ny FROM o)
+SELECT chunk_id, ns AS standard_id, ny AS edition_year FROM c JOIN n USING (doc) WHERE s IS DISTINCT FROM ns OR y IS DISTINCT FROM ny""")
+def metadata_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    doc = F.expr("doc_id div 3")
+    chunks = fx.load(spark, sf_dir, "documents").select(n.alias("chunk_id"), doc.alias("document_sha256"), F.when(doc % 4 == 0, "A").when(n % 2 == 0, "B").alias("standard_id"), F.when(n % 7 > 0, 1990 + doc % 5).alias("edition_year"))
+    d = F.col("document_sha256")
+    new = chunks.select("document_sha256").distinct().select("document_sha256", F.when(d % 3 == 1, "A").alias("standard_id"), F.when(d % 3 == 2, F.lit(2000).cast("long")).alias("edition_year"))
+    return corpus.repair_metadata(chunks, new).select("chunk_id", "standard_id", "edition_year")
+
+
+@query("""SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 3 = 0 THEN 'road_class' END, CASE WHEN c_custkey % 4 = 0 THEN 'setting' END, CASE WHEN c_custkey % 5 <> 0 THEN 'lanes_total' END,
+ CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 10 < 6 THEN 'verified_road_class' END) AS missing FROM customer""")
+def missing_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey")
+    c = fx.load(spark, sf_dir, "customer").select("c_custkey", F.when(n % 3 != 0, F.col("c_mktsegment")).otherwise("unknown").alias("road_class"), F.when(n % 4 != 0, "rural").otherwise(" ").alias("setting"), F.when(n % 5 == 0, F.lit(2)).alias("lanes_total"), F.when(n % 10 > 0, (n % 10) / F.lit(9.0)).alias("confidence"))
+    have = {f: F.col(f) for f in ("road_class", "setting", "lanes_total")}
+    # 6 / 9 is above 0.65, 5 / 9 is not
+    return c.select("c_custkey", F.array_join(context.missing_context(F.array(*map(F.lit, _LANE.required)), have, F.col("road_class"), F.col("confidence")), ",").alias("missing"))
+
+
+@query("""WITH o AS (SELECT user_id, CASE WHEN event_id % 5 > 0 THEN event_id % 4 END AS lanes, event_id % 2 AS centre, 2 AS shoulder, CASE WHEN event_id % 9 = 0 THEN 40 + 10 * (event_id % 7) END AS speed FROM events),
+l AS (SELECT user_id, lanes, row_number() OVER (PARTITION BY user_id ORDER BY lanes) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM o WHERE lanes > 0),
+c AS (SELECT user_id, centre, row_number() OVER (PARTITION BY user_id ORDER BY centre) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM o),
+s AS (SELECT user_id, speed, row_number() OVER (PARTITION BY user_id ORDER BY speed) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM o WHERE speed IS NOT NULL),
+u AS (SELECT DISTINCT user_id FROM o),
+j AS (SELECT u.user_id, l.lanes, c.centre, s.speed FROM u LEFT JOIN l ON l.user_id = u.user_id AND l.rn = l.n // 2 + 1 LEFT JOIN c ON c.user_id = u.user_id AND c.rn = c.n // 2 + 1 LEFT JOIN s ON s.user_id = u.user_id AND s.rn = s.n // 2 + 1)
+SELECT user_id AS route_id, lanes::int AS lanes, CASE WHEN coalesce(lanes, 0) < 2 THEN 'unknown' WHEN centre >= lanes - 1 THEN 'undivided' WHEN centre = 0 THEN 'divided' ELSE 'unknown' END AS carriageway, speed::double AS posted_speed_kmph FROM j""")
+def sheet_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    o = fx.load(spark, sf_dir, "events").select(
+        F.col("user_id").alias("route_id"), F.when(n % 5 > 0, (n % 4).cast("string")).alias("Expected Total Lanes"), (n % 2).cast("string").alias("Centre Lanes Detected"), F.lit("2 seen").alias("Shoulder Lanes Detected"),
+        F.when(n % 9 == 0, F.concat(F.lit("Speed limit "), (40 + 10 * (n % 7)).cast("string"))).otherwise("Chevron").alias("Traffic Sign Class"),
+    )
+    return context.from_sheet(o).select("route_id", "lanes", "carriageway", "posted_speed_kmph")
