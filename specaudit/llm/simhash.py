@@ -328,7 +328,7 @@ def simhash_query(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Near-duplicates of five-word shingles: six tries of 32 bits each with 3 to spare find the pairs, and all
 #: 192 bits decide.  Texts of Jaccard similarity 0.8 differ in a share acos(2*0.8/1.8)/pi = 0.151 of their bits: 29 of 192.
-NEAR = {"words": 5, "seed": 42, "budget": 3, "tables": [(k, low, 32) for k in range(3) for low in (0, 32)], "total": 33, "lengths": 3, "block": 1 << 18}
+NEAR = {"words": 5, "seed": 42, "budget": 3, "tables": [(k, low, 32) for k in range(3) for low in (0, 32)], "total": 33, "lengths": 3, "block": 1 << 16}
 
 
 def near_duplicate_survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
