@@ -337,8 +337,9 @@ def near_duplicate_survivors(df: DataFrame, id_col: str = "doc_id", text_col: st
     Rows are told apart by id and text digest; of rows that share both, one stays.
     """
     how = NEAR | how
-    marks = simhash_components(df, id_col, text_col, **how)
-    first = marks.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("x"))
+    # both sides written, so the join stands alone and AQE can split a large class
+    marks = materialize(simhash_components(df, id_col, text_col, **how).select("doc_id", "digest", "row", "class"), "simhash-marks")
+    first = materialize(marks.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("x")), "simhash-first")
     verdict = materialize(marks.join(first, "class").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("row") != F.col("x.row")).alias("gone")), "simhash-verdict")
     gone = verdict.where("gone").select("__id", "__digest").distinct()
     kept = verdict.where("not gone").select(F.col("__id").alias("__id2"), F.col("__digest").alias("__digest2"))
