@@ -315,7 +315,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = connected_components(links)
     named = distinct.join(groups, distinct["rep"] == groups["node"], "left").select(*sigs, "least", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "simhash-named")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written as well, so that the join by component stands alone
+    names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-names")
     classes = named.join(names, "component").select(*sigs, "component_id", F.col("component").alias("class"))
     return rows.join(classes, sigs)
 
