@@ -59,7 +59,7 @@ def flat(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case alphanumeric runs, joined by single ``. : / -``; single letters are dropped."""
     found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) | t.rlike(r"^\d$"))
+    return F.filter(found, lambda t: (F.length(t) > 1) | t.between("0", "9"))
 
 
 def token_text(c: Column) -> Column:
