@@ -40,8 +40,21 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch.  Texts are long: Spark's 10,000 rows would be tens of MB a batch, several times over in the JVM and in Python.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for this session, unless they are smaller already."""
+    now = int(spark.conf.get(_ROWS, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) under fixed names; other columns, clashing names included, stay behind."""
+    small_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 

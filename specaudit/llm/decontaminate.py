@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specaudit.llm.common import small_batches
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
@@ -175,6 +177,7 @@ def shards(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``doc_id, item_id, score, overlap, question_overlap, answer_overlap``: one row for each contaminated text and item."""
+    small_batches(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -194,6 +197,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", *, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of ``df`` that no item contaminates, with all their columns."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
     for index in shards(benchmark, shard_words=shard_words):
         held = df.sparkSession.sparkContext.broadcast(index)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specaudit.llm.common import small_batches
+
 
 DIMENSIONS = 1 << 13
 PER_LANGUAGE = 400
@@ -158,6 +160,7 @@ def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of every row; learned from the rows that are not held out."""
+    small_batches(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), df[lang_col].cast("string").alias("lang"))
     docs = docs.withColumn("held_out", held_out("doc_id"))
     train = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import materialize
+from specaudit.llm.common import materialize, small_batches
 
 RATIO = 0.05
 MIN_PAGES = 20
@@ -51,6 +51,7 @@ def boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float = RATI
 
 def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``df`` with boilerplate lines gone from its text, and ``n_lines`` and ``n_dropped`` in front (as ``__n_lines``, ``__n_dropped``)."""
+    small_batches(df.sparkSession)
     drops = materialize(boilerplate(df, host_col, text_col, ratio, min_pages), "line-dedup-lines")
     drops = drops.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     joined = df.withColumn("__key", _key(df[host_col])).join(drops, F.col("__key") == F.col("__host"), "left").drop("__key", "__host")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specaudit.llm.common import small_batches
+
 #: Training documents at most.
 SAMPLE = 3000
 PLACES = 1 << 11
@@ -206,6 +208,7 @@ def score(text: str | None, w: np.ndarray | None) -> float:
 
 
 def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
