@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specaudit.llm.common import arrow_map, keyed_text, materialize, total_cores
@@ -35,6 +35,12 @@ BLOCK = 1 << 14
 #: Node pairs that are walked at once, and fingerprint pairs compared at once.
 WALK = 1 << 15
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: Min-wise bands: at similarity 0.8 two sets share one of them with a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996.
+BANDS, BAND_ROWS = 20, 5
+_odd = np.random.default_rng(6).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BAND_MIX, BAND_FOLD = _odd[0], _odd[1]
+#: Sets of a class that all others are compared with first, and sets in a chunk of those that are then left.
+LEADERS, CHUNK = 4, 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -78,20 +84,41 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int, seed: int, lengths: int = 1) -> DataFrame:
-    """(doc_id, text, ...) to the same without text and with ``s0 ..``: 64 fingerprint bits each, as signed longs."""
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A signed key of each band: sets of Jaccard similarity s share one with a chance of s ** BAND_ROWS."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(BAND_MIX), np.uint64((1 << 64) - 1))
+    for k in range(0, len(h), 4096):
+        least = np.minimum(least, (h[k : k + 4096, None] * BAND_MIX).min(axis=0))
+    folded = (remixed(least, 1) * BAND_FOLD).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+    return remixed(folded + np.arange(BANDS, dtype=np.uint64), 2).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, words: int, seed: int, lengths: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, text, ...) to the same without text and with ``s0 ..``: 64 fingerprint bits each, as signed longs.
+
+    sets: each shingle counts once, and ``shingles`` (sorted, 8 bytes each), ``same`` (their digest) and ``bands`` are added.
+    """
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[] for _ in range(lengths)]
+        found, own, same, bands = [[] for _ in range(lengths)], [], [], []
         for text in batch.column("text").to_pylist():
             h = shingle_hashes(text, words, seed)
+            if sets:
+                h = np.unique(h)
+                own.append(h.astype("<u8").tobytes())
+                same.append(xxhash.xxh3_128_digest(own[-1]))
+                bands.append(band_keys(h))
             for k in range(lengths):
                 found[k].append(signed(majority(remixed(h, k))))
-        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {f"s{k}": pa.array(x, pa.int64()) for k, x in enumerate(found)})
+        more = {"shingles": pa.array(own, pa.binary()), "same": pa.array(same, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))} if sets else {}
+        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {f"s{k}": pa.array(x, pa.int64()) for k, x in enumerate(found)} | more)
 
     kinds = dict(docs.dtypes)
-    return arrow_map(docs, run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"s{k} long" for k in range(lengths)]))
+    more = ["shingles binary", "same binary", "bands array<long>"] if sets else []
+    return arrow_map(docs, run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"s{k} long" for k in range(lengths)] + more))
 
 
 class Forest:
@@ -303,22 +330,115 @@ def _digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, budget: int = 2, tables: list[tuple[int, int, int]] | None = None, total: int | None = None, lengths: int = 1, block: int = BLOCK) -> DataFrame:
-    """``doc_id, row, digest, s0.., component_id, class``: the least id that links reach; a number of its own for each row and for each class."""
+def band_links(items: DataFrame) -> DataFrame:
+    """``a, b``: each of ``item, bands`` with the least item that shares a band."""
+    keyed = materialize(items.select("item", F.explode("bands").alias("key")), "simhash-bands")
+    first = materialize(keyed.groupBy("key").agg(F.min("item").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "simhash-bands-first")
+    return keyed.join(first, "key").where("item <> least").select(F.col("item").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets of hashes is ``least`` or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) < least * len(y) - 1e-9:
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def exact_links(members: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links that connect all items of a class whose sets are alike, of ``group, item, shingles``."""
+
+    def ordered(data: bytes) -> np.ndarray:
+        return np.frombuffer(data, "<u8")
+
+    def with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for item, own, leaders in zip(batch.column("item").to_pylist(), batch.column("shingles"), batch.column("leaders"), strict=True):
+                x = ordered(own.as_py())
+                for leader in leaders.as_py():
+                    if leader["item"] != item and alike(x, ordered(leader["shingles"]), least):
+                        a.append(item)
+                        b.append(leader["item"])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left = [(r["item"], r["label"], ordered(r["shingles"])) for r in batch.column("left")[k].as_py()]
+                right = [(r["item"], r["label"], ordered(r["shingles"])) for r in batch.column("right")[k].as_py()]
+                # links found on the way join labels, so that a dense group needs few comparisons
+                up: dict[int, int] = {}
+
+                def root(x: int, up: dict[int, int] = up) -> int:
+                    while x in up:
+                        x = up[x]
+                    return x
+
+                a, b = [], []
+                for i, own, x in left:
+                    for j, other, y in right:
+                        p, q = root(own), root(other)
+                        if p != q and alike(x, y, least):
+                            up[max(p, q)] = min(p, q)
+                            a.append(i)
+                            b.append(j)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    order = Window.partitionBy("group").orderBy(F.xxhash64("item"), "item")
+    chosen = members.select("group", "item").withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS).select("item")
+    leaders = members.join(chosen, "item", "left_semi").groupBy("group").agg(F.collect_list(F.struct("item", "shingles")).alias("leaders"))
+    leaders = materialize(leaders, "simhash-leaders")
+    links = materialize(members.join(leaders, "group").select("item", "shingles", "leaders").mapInArrow(with_leaders, "a long, b long"), "simhash-leader-links")
+    # in classes no larger than the leaders all pairs are done
+    large = materialize(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEADERS), "simhash-large")
+    if not large.limit(1).count():
+        return links
+    labels = connected_components(links)
+    open_ = members.join(large, "group").join(labels, F.col("item") == F.col("node"), "left").select("group", "n", "item", F.coalesce("component", "item").alias("label"), "shingles")
+    open_ = materialize(open_, "simhash-labelled")
+    sizes = open_.groupBy("group", "label").agg(F.count(F.lit(1)).alias("own"), F.first("n").alias("n"))
+    main = materialize(sizes.groupBy("group").agg(F.max(F.struct("own", "label", "n")).alias("x")).where("x.own < x.n").select("group", F.col("x.label").alias("main"), (F.col("x.n") - F.col("x.own")).alias("others")), "simhash-main")
+    rows = open_.join(main, "group")
+
+    def chunks(own: DataFrame, size: str, name: str) -> DataFrame:
+        chunk = F.expr(f"pmod(xxhash64(item), ceil({size} / {CHUNK}))")
+        return materialize(own.groupBy("group", chunk.alias("chunk")).agg(F.collect_list(F.struct("item", "label", "shingles")).alias(name)).drop("chunk"), f"simhash-{name}")
+
+    # a pair of unequal labels has an end outside the class's main label
+    pairs = chunks(rows.where("label <> main"), "others", "left").join(chunks(rows, "n", "right"), "group")
+    return links.union(materialize(pairs.select("left", "right").mapInArrow(of_chunks, "a long, b long"), "simhash-chunk-links"))
+
+
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, budget: int = 2, tables: list[tuple[int, int, int]] | None = None, total: int | None = None, lengths: int = 1, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
+    """``doc_id, row, digest, s0.., component_id, class``: the least id that links reach; a number of its own for each row and for each class.
+
+    similarity: links also need this Jaccard similarity of the sets of shingles, and bands propose links beside the tries.
+    """
     docs = keyed_text(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).withColumn("digest", _digest(F.col("text")))
     sigs = [f"s{k}" for k in range(lengths)]
-    rows = materialize(fingerprints(docs, words, seed, lengths), "simhash-rows")
+    rows = materialize(fingerprints(docs, words, seed, lengths, similarity is not None), "simhash-rows")
+    keys = sigs if similarity is None else [*sigs, "same"]
     # null ids: a class without any other id keeps a null name; numbers below every id stand in while links are followed
-    own = rows.groupBy(*sigs).agg(F.min("doc_id").alias("least"), F.min("row").alias("rep"))
+    own = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min("row").alias("rep"))
     distinct = materialize(own, "simhash-distinct")
     links = materialize(trie_links(distinct.select("rep", *sigs), tables or [(0, 0, 64)], budget, budget if total is None else total, block), "simhash-links")
+    if similarity is not None:
+        items = rows.join(distinct.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "item")
+        proposed = connected_components(links.union(band_links(items.select("item", "bands"))))
+        members = items.join(proposed, F.col("item") == F.col("node")).select(F.col("component").alias("group"), "item", "shingles")
+        links = exact_links(materialize(members, "simhash-members"), similarity)
     groups = connected_components(links)
-    named = distinct.join(groups, distinct["rep"] == groups["node"], "left").select(*sigs, "least", F.coalesce("component", "rep").alias("component"))
+    named = distinct.join(groups, distinct["rep"] == groups["node"], "left").select(*keys, "least", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "simhash-named")
     # written as well, so that the join by component stands alone
     names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-names")
-    classes = named.join(names, "component").select(*sigs, "component_id", F.col("component").alias("class"))
-    return rows.join(classes, sigs)
+    classes = named.join(names, "component").select(*keys, "component_id", F.col("component").alias("class"))
+    if similarity is None:
+        return rows.join(classes, keys)
+    return rows.drop("shingles", "bands").join(classes, keys).drop("same")
 
 
 def simhash_query(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
@@ -327,9 +447,10 @@ def simhash_query(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("s0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates of five-word shingles: six tries of 32 bits each with 3 to spare find the pairs, and all
-#: 192 bits decide.  Texts of Jaccard similarity 0.8 differ in a share acos(2*0.8/1.8)/pi = 0.151 of their bits: 29 of 192.
-NEAR = {"words": 5, "seed": 42, "budget": 3, "tables": [(k, low, 32) for k in range(3) for low in (0, 32)], "total": 33, "lengths": 3, "block": 1 << 16}
+#: Near-duplicates: five-word shingles, Jaccard similarity 0.8 or more, checked on the sets.  Texts of similarity 0.8
+#: differ in a share acos(2*0.8/1.8)/pi = 0.151 of their bits, 29 +- 5 of 192: six tries of 32 bits each with 3 to spare propose pairs
+#: of up to 45 bits, and the bands propose what the tries miss.
+NEAR = {"words": 5, "seed": 42, "budget": 3, "tables": [(k, low, 32) for k in range(3) for low in (0, 32)], "total": 45, "lengths": 3, "block": 1 << 16, "similarity": 0.8}
 
 
 def near_duplicate_survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

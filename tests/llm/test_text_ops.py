@@ -249,3 +249,33 @@ def test_near_duplicate_survivors(spark):
     assert got == sorted([10 * k for k in range(12)] + [5, None, 700], key=str)
     assert near_duplicate_survivors(df).columns == df.columns
     assert NEAR["words"] == 5 and len(shingle_hashes("a b c", 5, 42)) == 1 and normal(" a\tb") == b"ab"
+
+
+def test_near_duplicates_are_those_of_exact_similarity(spark):
+    """Pairs from 0.7 to 0.9 and crowds round one text, against brute force."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    texts = []
+    for k in range(240):
+        n = rng.choice([12, 40, 150, 400])
+        text = [word() for _ in range(n)]
+        tail = round((n - 4) * rng.uniform(0.1, 0.3) / 1.6)  # of the same length, similarity about 0.69 to 0.88
+        texts += [text, text[: n - tail] + [word() for _ in range(tail)]]
+    for _ in range(3):
+        text = [word() for _ in range(200)]
+        texts += [[word() for _ in range(c)] + text[c:] for c in (rng.randrange(1, 60) for _ in range(30))]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    label, near, far = list(range(len(rows))), 0, 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if not both:
+            continue
+        share = both / (len(sets[a]) + len(sets[b]) - both)
+        near, far = near + (0.8 <= share < 0.83), far + (0.75 <= share < 0.8)
+        if share >= 0.8:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    assert near > 20 and far > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicate_survivors(df).collect()) == sorted(set(label))
