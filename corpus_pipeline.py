@@ -43,7 +43,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 2048 tokens."""
     # workers live through all stages, so the last one keeps its memo of words small
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=120_000)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=120_000, added_tokens=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -91,12 +91,16 @@ class PieceEncoder:
     word behind it) single blanks and single line feeds between visible characters, without it (vocabularies
     that drop white space) any blank or line feed.  Texts with other white space are encoded whole.
     The memo has two halves of about ``limit`` words: when one is full the older goes.
+    With ``added_tokens`` a text that holds the literal of an added token is encoded whole with the library's own
+    setting, which gives the literal its one id; without, such a literal is text like any other.
     """
 
-    def __init__(self, path: str, *, blank_prefix: bool, limit: int = 500_000):
+    def __init__(self, path: str, *, blank_prefix: bool, limit: int = 500_000, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.literals = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}) if added_tokens else []
+        self.default = Tokenizer.from_file(path) if self.literals else None
         self.tokenizer.encode_special_tokens = True
         self.blank_prefix = blank_prefix
         self.limit = limit
@@ -157,6 +161,15 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        marked = [k for k, t in enumerate(texts) if any(x in t for x in self.literals)] if self.literals else []
+        if not marked:
+            return self._encode(texts)
+        found = self.default.encode_batch_fast([texts[k] for k in marked], add_special_tokens=False)
+        apart = dict(zip(marked, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        rest = iter(self._encode([t for k, t in enumerate(texts) if k not in apart]))
+        return [apart[k] if k in apart else next(rest) for k in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.limit:
             # words in use come back from the older half
             self.memo, self.old, self.ends = {"": b""}, self.memo, {"": b""}
@@ -212,14 +225,14 @@ def other_space(t: str) -> bool:
 
 #: Words that half a memo holds: about 110 MB a worker for both halves.
 MEMO_WORDS = 500_000
-_encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, int, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, blank_prefix: bool, memo_words: int = MEMO_WORDS) -> PieceEncoder:
-    """One encoder for each worker process, vocabulary and size of memo."""
-    key = (path, blank_prefix, memo_words)
+def encoder(path: str, blank_prefix: bool, memo_words: int = MEMO_WORDS, added_tokens: bool = False) -> PieceEncoder:
+    """One encoder for each worker process, vocabulary, size of memo and way with added tokens."""
+    key = (path, blank_prefix, memo_words, added_tokens)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, blank_prefix=blank_prefix, limit=memo_words)
+        _encoders[key] = PieceEncoder(path, blank_prefix=blank_prefix, limit=memo_words, added_tokens=added_tokens)
     return _encoders[key]
 
 

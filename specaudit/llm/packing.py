@@ -76,7 +76,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 KINDS = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "task": pa.int32(), "bin": pa.int64(), "offset": pa.int64(), "tail": pa.bool_(), "used": pa.int64()}
 
 
-def _pack(vocabulary: str, capacity: int, end_id: int, open_bins: int, memo_words: int):
+def _pack(vocabulary: str, capacity: int, end_id: int, open_bins: int, memo_words: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, task = BestFit(capacity, open_bins), 0
         end = np.array([end_id], "<u4").tobytes()
@@ -89,7 +89,7 @@ def _pack(vocabulary: str, capacity: int, end_id: int, open_bins: int, memo_word
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = encoder(vocabulary, False, memo_words)
+            code = encoder(vocabulary, False, memo_words, added_tokens)
             task = batch.column("task")[0].as_py()
             texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             done: list[tuple] = []
@@ -130,10 +130,10 @@ def _repack(capacity: int, open_bins: int):
     return run
 
 
-def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row a piece.  ``memo_words`` bounds a worker's memo of encoded words."""
+def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN, memo_words: int = MEMO_WORDS, added_tokens: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row a piece.  ``memo_words`` bounds a worker's memo of encoded words; ``added_tokens``: see ``PieceEncoder``."""
     docs = keyed_text(df, id_col, text_col).withColumn("task", F.spark_partition_id())
-    pieces = materialize(docs.mapInArrow(_pack(vocabulary, capacity, end_id, open_bins, memo_words), PIECES), "packing-pieces")
+    pieces = materialize(docs.mapInArrow(_pack(vocabulary, capacity, end_id, open_bins, memo_words, added_tokens), PIECES), "packing-pieces")
     tails = pieces.where("tail")
     bins = tails.select("task", "bin", "used").distinct().withColumn("grp", F.expr(f"cast(task div {fan_in} as long)"))
     again = bins.groupBy("grp").applyInArrow(_repack(capacity, open_bins), "task int, bin long, sequence_id long, base long")

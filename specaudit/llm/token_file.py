@@ -247,12 +247,12 @@ def _unsqueeze(data: bytes) -> np.ndarray:
 FRAMES = "shard int, frame int, doc_ids array<long>, lengths array<long>, ids binary, tokens array<int>, counts array<int>"
 
 
-def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME) -> DataFrame:
+def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME, added_tokens: bool = False) -> DataFrame:
     """Frames of whole documents in ascending id order, tokenised once: by shard, then by frame."""
     docs = keyed_text(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(vocabulary, True), np.array([end_id], "<u4").tobytes()
+        code, end = encoder(vocabulary, True, added_tokens=added_tokens), np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
         coded: list[bytes] = []
         held = shard = frame = 0
@@ -296,9 +296,9 @@ def token_counts(frames: DataFrame) -> DataFrame:
 MANIFEST = "shard int, frame int, path string, offset long, size long, n_docs long, n_tokens long"
 
 
-def write_token_files(df: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME) -> tuple[DataFrame, bytes]:
+def write_token_files(df: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME, added_tokens: bool = False) -> tuple[DataFrame, bytes]:
     """Encode every text in ascending id order to files in ``folder``; gives the manifest with ``start`` (tokens before a frame) and the frequency table."""
-    frames = tokenized_frames(df, vocabulary, id_col, text_col, end_id=end_id, frame_tokens=frame_tokens)
+    frames = tokenized_frames(df, vocabulary, id_col, text_col, end_id=end_id, frame_tokens=frame_tokens, added_tokens=added_tokens)
     counts = token_counts(frames).collect()  # at most one row a symbol of the vocabulary
     table = Table.of_counts([r[0] for r in counts], [r[1] for r in counts]) if counts else Table.of_counts([end_id], [1])
     packed = table.to_bytes()
@@ -363,8 +363,8 @@ def read_token_files(manifest: DataFrame, table: bytes, folder: str) -> DataFram
     return manifest.repartition(parts, "shard", "frame").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file_digest(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> DataFrame:
+def token_file_digest(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, added_tokens: bool = False) -> DataFrame:
     """Write the token files of ``df`` to the shared folder, read them back, and report what they hold of each document."""
     folder = f"{shared_dir(df.sparkSession)}/token-files-{uuid.uuid4().hex}"
-    manifest, table = write_token_files(df, vocabulary, folder, id_col, text_col, end_id=end_id)
+    manifest, table = write_token_files(df, vocabulary, folder, id_col, text_col, end_id=end_id, added_tokens=added_tokens)
     return read_token_files(materialize(manifest, "token-index"), table, folder)

@@ -279,3 +279,18 @@ def test_near_duplicates_are_those_of_exact_similarity(spark):
     assert near > 20 and far > 20
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_duplicate_survivors(df).collect()) == sorted(set(label))
+
+
+def test_registered_queries_encode_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from specaudit.llm.queries import op1_token_file, op10_packing
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>x", "plain words", "<|end of", "A <|ENDOFTEXT|> b", "end<|endoftext|>\n\nnew  words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for path, end, run in ((BYTE, 2, op1_token_file), (WORD, 0, op10_packing), (WORD, 0, lambda s, d: corpus_pipeline.packed(s, df, d))):
+        library = Tokenizer.from_file(path)
+        expect = {k: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for k, t in enumerate(texts)}
+        assert {r.doc_id: r.ids_crc32 for r in run(spark, str(tmp_path)).collect()} == expect
