@@ -6,6 +6,7 @@ import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,33 @@ def identify(documents: DataFrame, policies: DataFrame) -> DataFrame:
     return documents.join(registered, F.col("source_path") == F.col("__p"), "left").withColumn("identity", best).select(*documents.columns, "identity.*")
 
 
+def window_score(needle: str, hay: str, least: float) -> float:
+    """Best ratio of ``needle`` to a window of ``hay`` about as wide; 0 where none reaches ``least``.
+
+    A window's shared characters bound its ratio, so only windows whose bound reaches ``least`` are matched.
+    """
+    codes = np.frombuffer(hay.encode("utf-32-le"), "<u4")
+    sums = {c: np.concatenate([[0], np.cumsum(codes == ord(c))]) for c in set(needle)}
+    windows: dict[str, float] = {}
+    for width in range(max(3, len(needle) - 2), len(needle) + 3):
+        wide = min(width, len(hay))
+        shared = np.zeros(len(hay) - wide + 1, np.int64)
+        for c, own in sums.items():
+            shared += np.minimum(own[wide:] - own[: len(own) - wide], needle.count(c))
+        bound = 2.0 * shared / (len(needle) + wide)
+        for k in np.flatnonzero(bound >= least).tolist():
+            windows[hay[k : k + wide]] = float(bound[k])
+    matcher = difflib.SequenceMatcher(None, needle, "")
+    score = 0.0
+    for window, bound in sorted(windows.items(), key=lambda x: -x[1]):
+        if bound <= score:
+            break
+        # the seeker stays the first sequence: the ratio is not symmetric
+        matcher.set_seqs(needle, window)
+        score = max(score, matcher.ratio())
+    return score if score >= least else 0.0
+
+
 def fuzzy_candidates(unknown: DataFrame, known_ids: list[str], least: float = 0.78) -> DataFrame:
     """A likely standard for documents without identity; a suggestion that is never taken for a fact.
 
@@ -77,17 +105,7 @@ def fuzzy_candidates(unknown: DataFrame, known_ids: list[str], least: float = 0.
             if needle in hay:
                 score = 1.0 if needle else 0.0
             else:
-                matcher = difflib.SequenceMatcher(None, needle, "")
-                score = 0.0
-                for width in range(max(3, len(needle) - 2), len(needle) + 3):
-                    for k in range(max(1, len(hay) - width + 1)):
-                        window = hay[k : k + width]
-                        if 2 * len(set(window) & set(needle)) == 0:
-                            continue
-                        # the seeker stays the first sequence: the ratio is not symmetric
-                        matcher.set_seqs(needle, window)
-                        if matcher.real_quick_ratio() > score and matcher.quick_ratio() > score:
-                            score = max(score, matcher.ratio())
+                score = window_score(needle, hay, least)
             top = max(top, (score, i), key=lambda x: x[0])
         return (None, None) if top[0] < least else (top[1], round(top[0], 4))
 

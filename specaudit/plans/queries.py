@@ -468,7 +468,7 @@ def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.concat(F.lit("scan I R C sp"), (F.col("doc_id") % 99).cast("string"), F.lit(".pdf")).alias("source"), F.substring("text", 1, 60).alias("cover"))
+    d = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.concat(F.lit("scan I R C sp"), (F.col("doc_id") % 99).cast("string"), F.lit(".pdf")).alias("source"), F.col("text").alias("cover"))
     return corpus.fuzzy_candidates(d, list(fx.STANDARDS))
 
 
