@@ -7,9 +7,10 @@ Proposals overlap freely.  Each has a few small discrete features of its format
 
 Boosted trees of depth two are fitted to the counts of feature vectors, which Spark sums over all
 documents; there are at most a few thousand vectors, whatever the input.  Labels are weak: base spans are
-personal data, strict matches that fail their check are not, and loose matches are if a word that
-announces the kind stands before them.  Thresholds are calibrated for each kind on held-out
-documents to a precision of ``PRECISION``; loose spans above them that overlap no base span are added.
+personal data, strict matches that fail their check are not, and loose matches are if they overlap a base span of
+their kind, if they bear a mark of their own (an "at" or "dot" in brackets, a card number that passes its check), or if
+a word that announces the kind stands before them.  Thresholds are calibrated for each kind to a precision of
+``PRECISION`` on the held-out candidates that could be added: loose ones that overlap no base span.  Those above are added.
 
 A text is split and matched by the same expression, so a span's start is the sum of the lengths before it; the
 sums run in a window over small rows.  Expressions take time linear in the text: runs are
@@ -59,7 +60,7 @@ CONTEXT = 32
 PRECISION = 0.98
 ROUNDS, RATE = 40, 0.3
 #: Feature columns, each a small number.
-FEATURES = ("kind", "strict", "digits", "length", "groups", "before", "after", "announced", "plus", "dots")
+FEATURES = ("kind", "strict", "digits", "length", "groups", "before", "after", "announced", "marks", "dots")
 
 
 def _proposals(text: Column, kind: str, source: str) -> Column:
@@ -104,6 +105,12 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = (F.col("strict") == 1) & (
         F.when(F.col("kind") == 0, True).when(F.col("kind") == 1, m.rlike(VALID_IP)).when(F.col("kind") == 2, _luhn(digits)).otherwise(n.between(9, 15))
     )
+    # base spans of the kind that start no later and reach in, or start later and before the end
+    same = Window.partitionBy("rid", "kind")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(same.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(same.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    overlap = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
+    marks = F.when((F.col("kind") == 0) & m.rlike(r"[(\[{](?:at|dot)[)\]}]"), 2).when((F.col("kind") == 2) & _luhn(digits), 3).otherwise(F.contains(m, F.lit("+")).cast("int"))
     announced = reduce(lambda a, k: F.when(F.col("kind") == k, F.col("left").rlike(ANNOUNCE[KINDS[k]])).otherwise(a), range(4), F.lit(False))
     return rows.select(
         "rid", "doc_id", "kind", "strict", (end - size).cast("long").alias("start"), end.cast("long").alias("end"), F.coalesce(base, F.lit(False)).alias("base"),
@@ -111,9 +118,9 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.least(F.expr("length(match) div 6"), F.lit(6)).cast("int").alias("length"),
         F.least(F.size(F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")), F.lit(5)).cast("int").alias("groups"),
         _klass(F.right("left", F.lit(1))).cast("int").alias("before"), _klass(F.col("right")).cast("int").alias("after"),
-        announced.cast("int").alias("announced"), F.contains(m, F.lit("+")).cast("int").alias("plus"), F.least(F.length(F.regexp_replace(m, "[^.]", "")), F.lit(3)).cast("int").alias("dots"),
+        announced.cast("int").alias("announced"), marks.cast("int").alias("marks"), F.least(F.length(F.regexp_replace(m, "[^.]", "")), F.lit(3)).cast("int").alias("dots"),
         (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"),
-    )
+    ).withColumn("overlap", overlap)
 
 
 def _nothing() -> Column:
@@ -203,13 +210,17 @@ def margin(trees: list) -> Column:
 
 def fit(proposals: DataFrame) -> tuple[list, dict[int, float]]:
     """Trees and thresholds from the weak labels of all proposals."""
-    label = F.when(F.col("strict") == 1, F.col("base").cast("int")).otherwise(F.col("announced"))
-    rows = proposals.where(F.col("kind").isNotNull()).groupBy(*FEATURES, label.alias("y"), "held").count().collect()  # distinct small vectors
-    fold = {True: [], False: []}
+    label = F.when(F.col("strict") == 1, F.col("base").cast("int")).otherwise((F.col("overlap") | (F.col("marks") >= 2) | (F.col("announced") == 1)).cast("int"))
+    free = (F.col("strict") == 0) & ~F.col("overlap")
+    rows = proposals.where(F.col("kind").isNotNull()).groupBy(*FEATURES, label.alias("y"), "held", free.alias("free")).count().collect()  # distinct small vectors
+    fold, addable = {True: [], False: []}, {True: [], False: []}
     for r in rows:
-        fold[bool(r["held"])].append((tuple(int(r[f]) for f in FEATURES), int(r["y"]), float(r["count"])))
-    train = fold[False] or fold[True]
-    return boost(train), thresholds(boost(train), fold[True] or train)
+        own = (tuple(int(r[f]) for f in FEATURES), int(r["y"]), float(r["count"]))
+        fold[bool(r["held"])].append(own)
+        if r["free"]:
+            addable[bool(r["held"])].append(own)
+    trees = boost(fold[False] or fold[True])
+    return trees, thresholds(trees, addable[True] or addable[False])
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -347,3 +347,23 @@ def test_pipeline_stages(spark):
         docs = after
     kept = {r.doc_id for r in docs.collect()}
     assert kept < texts.keys() and {r.doc_id for r in cp.run(spark, TINY).collect()} == kept
+
+
+# --- personal data without announcing words --------------------------------------------------------------------------
+
+
+def test_spans_that_no_word_announces_are_added(spark):
+    rows = [(k, f"please ask jane{k} (at) example{k % 7} (dot) com today") for k in range(200)]
+    rows += [(1000 + k, f"we paid with 4111.1111.1111.1111 on day {k}") for k in range(200)]
+    rows += [(2000 + k, f"lot 4111.1111.1111.1112 of shelf {k}") for k in range(200)] + [(3000 + k, f"they look at example.com and ask bob{k}@example.org") for k in range(200)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == f"email:11:{len(rows[k][1]) - 6}" for k in range(200)) and all("card:13:32" in got[1000 + k] for k in range(200))
+    assert not any("card" in got[2000 + k] for k in range(200)) and all(got[3000 + k].count("email") == 1 for k in range(200))
+
+
+def test_thresholds_rest_on_candidates_that_can_be_added(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(pii, "thresholds", lambda trees, own, *_: held.extend(own) or dict.fromkeys(range(4), float("inf")))
+    rows = [(k, f"bob{k}@example.org or jane (at) example (dot) com") for k in range(40)]
+    pii.fit(pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert held and all(x[1] == 0 and x[8] == 2 for x, _, _ in held)
