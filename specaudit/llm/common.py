@@ -1,12 +1,10 @@
-"""Helpers that the operators share: cut lineage, scan texts in Arrow batches, memoise tokenisation."""
+"""Helpers that the operators share: cut lineage, scan texts in Arrow batches."""
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +16,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share (``spark.checkpoint.dir``); only a session of one machine may lack it."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -31,13 +32,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that no pending plan reads any more."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no pending plan reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of an Arrow batch.  Texts are long: Spark's 10,000 rows would be tens of MB a batch, several times over in the JVM and in Python.
@@ -72,179 +74,3 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 def total_cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
-
-
-#: White space that the blank and the line feed leave; texts that have any are encoded whole.
-OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-
-
-#: ASCII marks other than the apostrophe, which begins contractions.
-ENDINGS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class PieceEncoder:
-    """Exact tokenisation with a bounded memo of words.
-
-    The tokenizers library encodes each distinct word once per worker, many in one call; the ids of
-    a text are the ids of its words in a row.  That holds because no pre-token spans
-    the cuts used: with ``blank_prefix`` (byte-level vocabularies, where a blank belongs to the
-    word behind it) single blanks and single line feeds between visible characters, without it (vocabularies
-    that drop white space) any blank or line feed.  Texts with other white space are encoded whole.
-    The memo has two halves of about ``limit`` words: when one is full the older goes.
-    With ``added_tokens`` a text that holds the literal of an added token is encoded whole with the library's own
-    setting, which gives the literal its one id; without, such a literal is text like any other.
-    """
-
-    def __init__(self, path: str, *, blank_prefix: bool, limit: int = 500_000, added_tokens: bool = False):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.literals = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}) if added_tokens else []
-        self.default = Tokenizer.from_file(path) if self.literals else None
-        self.tokenizer.encode_special_tokens = True
-        self.blank_prefix = blank_prefix
-        self.limit = limit
-        self.memo: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {"": b""}
-        # a sign of one id that stands between words encoded in one call
-        marks = ["\n"] if blank_prefix else [f" {m} " for m in "¬¦§¶¤°±"]
-        self.mark, self.mark_id = next((m, ids[0]) for m in marks if len(ids := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; those that lack the mark go in one call, parted by it."""
-        sign = self.mark.strip() or self.mark
-        out: list[bytes] = []
-        for k in range(0, len(pieces), 5_000):
-            part = pieces[k : k + 5_000]
-            joined = self.mark.join(part)
-            if joined.count(sign) != len(part) - 1:
-                out += self.whole(part)
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            data = ids.tobytes()
-            out += [data[i:j] for i, j in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)]
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        """New words.  Marks behind a letter are a pre-token of their own, so a word without them is learned once for all its endings."""
-        memo, known = self.memo, self.ends
-        if self.blank_prefix:
-            plain = [w for w in words if w[-1].isalpha()]
-        else:  # ASCII capitals are folded as the vocabulary's own normaliser does
-            plain = [w for w in words if w[-1].isalpha() and (w.islower() or not w.isascii())]
-        self._learn_parts(plain)
-        words = list(set(words).difference(plain))
-        bare = [w.rstrip(ENDINGS) for w in words]
-        bare = [b if b and b[-1].isalpha() else w for w, b in zip(words, bare, strict=True)]
-        ends = [w[len(b) :] for w, b in zip(words, bare, strict=True)]
-        if not self.blank_prefix:
-            bare = [b.lower() if b.isascii() else b for b in bare]
-        self._learn_parts(list(set(bare).difference(memo)))
-        new = list(set(ends).difference(known))
-        known.update(zip(new, self._each(new), strict=True))
-        memo.update(zip(words, [memo[b] + known[e] for b, e in zip(bare, ends, strict=True)], strict=True))
-
-    def _learn_parts(self, words: list[str]) -> None:
-        if not self.blank_prefix:
-            self.memo.update(zip(words, self._each(words), strict=True))
-            return
-        feed = np.array([self.mark_id], "<u4").tobytes()
-        inner = [w for w in words if w[0] != "\n"]
-        first = [w for w in words if w[0] == "\n"]
-        self.memo.update(zip(inner, self._each([" " + w for w in inner]), strict=True))
-        self.memo.update(zip(first, (feed + x for x in self._each([w[1:] for w in first])), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        marked = [k for k, t in enumerate(texts) if any(x in t for x in self.literals)] if self.literals else []
-        if not marked:
-            return self._encode(texts)
-        found = self.default.encode_batch_fast([texts[k] for k in marked], add_special_tokens=False)
-        apart = dict(zip(marked, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        rest = iter(self._encode([t for k, t in enumerate(texts) if k not in apart]))
-        return [apart[k] if k in apart else next(rest) for k in range(len(texts))]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.limit:
-            # words in use come back from the older half
-            self.memo, self.old, self.ends = {"": b""}, self.memo, {"": b""}
-        get = self.memo.get
-        rows: list[tuple[list[str], list, list[int]] | None] = []
-        missing: set[str] = set()
-        for t in texts:
-            if not self.blank_prefix:
-                words = t.replace("\n", " ").split(" ")
-            elif "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace() or other_space(t):
-                rows.append(None)
-                continue
-            else:
-                # a line's first word carries the line feed before it; the one put before the text is taken off below
-                words = f"\n{t}".replace("\n", " \n").split(" ")
-            ids = list(map(get, words))
-            holes = [k for k, x in enumerate(ids) if x is None]
-            missing.update([words[k] for k in holes])
-            rows.append((words, ids, holes))
-        memo = self.memo
-        if missing:
-            back = [w for w in missing if w in self.old] if self.old else []
-            memo.update((w, self.old[w]) for w in back)
-            self._learn(list(missing.difference(back)))
-        skip = 4 if self.blank_prefix else 0
-        out: list[bytes | None] = []
-        for row in rows:
-            if row is None:
-                out.append(None)
-                continue
-            words, ids, holes = row
-            for k in holes:
-                ids[k] = memo[words[k]]
-            out.append(b"".join(ids)[skip:])
-        odd = [k for k, row in enumerate(rows) if row is None]
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else [], strict=True):
-            out[k] = ids
-        return out
-
-
-def other_space(t: str) -> bool:
-    """Whether ``OTHER_SPACE`` finds anything; texts of one byte a character are searched byte by byte."""
-    if any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
-        return True
-    if t.isascii():
-        return False
-    try:
-        t.encode("latin-1")
-    except UnicodeEncodeError:
-        return OTHER_SPACE(t) is not None
-    return "\x85" in t or "\xa0" in t
-
-
-#: Words that half a memo holds: about 110 MB a worker for both halves.
-MEMO_WORDS = 500_000
-_encoders: dict[tuple[str, bool, int, bool], PieceEncoder] = {}
-
-
-def encoder(path: str, blank_prefix: bool, memo_words: int = MEMO_WORDS, added_tokens: bool = False) -> PieceEncoder:
-    """One encoder for each worker process, vocabulary, size of memo and way with added tokens."""
-    key = (path, blank_prefix, memo_words, added_tokens)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, blank_prefix=blank_prefix, limit=memo_words, added_tokens=added_tokens)
-    return _encoders[key]
-
-
-def slices(texts: list[str], budget: int = 4_000_000) -> Iterator[list[int]]:
-    """Positions of ``texts`` in runs of about ``budget`` characters, to bound what a batch holds at once."""
-    run: list[int] = []
-    size = 0
-    for k, text in enumerate(texts):
-        run.append(k)
-        size += len(text)
-        if size >= budget:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run

@@ -6,8 +6,8 @@ bitset keyed by free space finds the fullest bin that still takes a piece in a f
 operations.  When a new bin is needed and all are open, the fullest closes.
 
 The bins still open when a task ends are items of a second round: ``fan_in`` tasks' bins at a
-time are packed by the same rule, so tasks leave no half-empty sequences behind, however
-many there are.  Sequences are numbered ``task << 33 | bin``; those of the second round are negative.
+time come in order of task and bin and are packed by the same rule into as many open bins, so tasks leave few half-empty
+sequences behind, however many there are.  Sequences are numbered ``task << 33 | bin``; those of the second round are negative.
 
 Defined cases: a null text counts as empty and gives the end id alone; rows with a null id
 are packed like others; repeated rows are packed each; an empty table gives an empty result;
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import MEMO_WORDS, encoder, keyed_text, materialize, slices
+from specaudit.llm.common import keyed_text, materialize
+from specaudit.llm.pieces import MEMO_WORDS, encoder, text_slices
 
 OPEN_BINS = 512
 FAN_IN = 64
@@ -76,10 +77,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 KINDS = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "task": pa.int32(), "bin": pa.int64(), "offset": pa.int64(), "tail": pa.bool_(), "used": pa.int64()}
 
 
-def _pack(vocabulary: str, capacity: int, end_id: int, open_bins: int, memo_words: int, added_tokens: bool):
+def _pack(vocabulary: str, capacity: int, end_id: int, open_bins: int, memo_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, task = BestFit(capacity, open_bins), 0
-        end = np.array([end_id], "<u4").tobytes()
         #: rows of bins that are open, and so may be packed again
         held: dict[int, list[tuple]] = {}
 
@@ -89,22 +89,25 @@ def _pack(vocabulary: str, capacity: int, end_id: int, open_bins: int, memo_word
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = encoder(vocabulary, False, memo_words, added_tokens)
+            code = encoder(vocabulary, False, memo_words)
             task = batch.column("task")[0].as_py()
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            doc_ids = batch.column("doc_id").to_pylist()
             done: list[tuple] = []
-            for part in slices(texts):
-                for k, ids in zip(part, code.encode([texts[k] for k in part]), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        size = len(own) // 4
-                        row = (doc_ids[k], piece, at // 4, size, zlib.crc32(own), task)
-                        if size == capacity:
-                            done.append((*row, fit.bins, 0, False, size))
+            for first, texts in text_slices(batch.column("text")):
+                ids, sizes = code.encode_column(texts)
+                upto = np.cumsum(sizes + 1)
+                # the end id behind each document
+                ids = np.insert(ids, upto - 1 - np.arange(len(upto)), end_id).astype("<u4")
+                for k, (end, size) in enumerate(zip(upto.tolist(), sizes.tolist(), strict=True)):
+                    for piece, at in enumerate(range(0, size + 1, capacity)):
+                        own = ids[end - size - 1 + at : min(end, end - size - 1 + at + capacity)]
+                        n = len(own)
+                        row = (doc_ids[first + k], piece, at, n, zlib.crc32(own), task)
+                        if n == capacity:
+                            done.append((*row, fit.bins, 0, False, n))
                             fit.bins += 1
                         else:
-                            bin_, offset = fit.put(size)
+                            bin_, offset = fit.put(n)
                             held.setdefault(bin_, []).append((*row, bin_, offset))
             still = dict(fit.left_open())
             for bin_ in [b for b in held if b not in still]:
@@ -119,21 +122,21 @@ def _pack(vocabulary: str, capacity: int, end_id: int, open_bins: int, memo_word
 
 
 def _repack(capacity: int, open_bins: int):
-    """Bins that tasks left open become the items, the largest first."""
+    """Bins that tasks left open become the items, in order of task and bin."""
 
     def run(key, table):  # unannotated: Spark infers the kind of function from annotations
-        fit = BestFit(capacity, max(open_bins, table.num_rows))
-        rows = sorted(zip(table.column("used").to_pylist(), table.column("task").to_pylist(), table.column("bin").to_pylist(), strict=True), key=lambda r: (-r[0], r[1], r[2]))
-        put = [fit.put(r[0]) for r in rows]
-        return pa.table({"task": pa.array([r[1] for r in rows], pa.int32()), "bin": pa.array([r[2] for r in rows], pa.int64()), "sequence_id": pa.array([-1 - ((key[0].as_py() << 33) | p[0]) for p in put], pa.int64()), "base": pa.array([p[1] for p in put], pa.int64())})
+        fit = BestFit(capacity, open_bins)
+        rows = sorted(zip(table.column("task").to_pylist(), table.column("bin").to_pylist(), table.column("used").to_pylist(), strict=True))
+        put = [fit.put(used) for _, _, used in rows]
+        return pa.table({"task": pa.array([r[0] for r in rows], pa.int32()), "bin": pa.array([r[1] for r in rows], pa.int64()), "sequence_id": pa.array([-1 - ((key[0].as_py() << 33) | p[0]) for p in put], pa.int64()), "base": pa.array([p[1] for p in put], pa.int64())})
 
     return run
 
 
-def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN, memo_words: int = MEMO_WORDS, added_tokens: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row a piece.  ``memo_words`` bounds a worker's memo of encoded words; ``added_tokens``: see ``PieceEncoder``."""
+def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row a piece.  ``memo_words`` bounds a worker's memo of encoded words"""
     docs = keyed_text(df, id_col, text_col).withColumn("task", F.spark_partition_id())
-    pieces = materialize(docs.mapInArrow(_pack(vocabulary, capacity, end_id, open_bins, memo_words, added_tokens), PIECES), "packing-pieces")
+    pieces = materialize(docs.mapInArrow(_pack(vocabulary, capacity, end_id, open_bins, memo_words), PIECES), "packing-pieces")
     tails = pieces.where("tail")
     bins = tails.select("task", "bin", "used").distinct().withColumn("grp", F.expr(f"cast(task div {fan_in} as long)"))
     again = bins.groupBy("grp").applyInArrow(_repack(capacity, open_bins), "task int, bin long, sequence_id long, base long")

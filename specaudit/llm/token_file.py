@@ -37,7 +37,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import discard, encoder, keyed_text, materialize, shared_dir, slices, total_cores
+from specaudit.llm.common import discard, keyed_text, materialize, shared_dir, total_cores
+from specaudit.llm.pieces import encoder, text_slices
 
 MAGIC = b"RANSFRM1"
 SCALE = 20
@@ -233,11 +234,10 @@ def decode_frame(data: bytes, table: Table, lanes: int = LANES, at_once: int = 3
         begin += n
 
 
-def _squeeze(data: bytes) -> bytes:
+def _squeeze(ids: np.ndarray) -> bytes:
     """Ids for the way between two jobs: two bytes each where that suffices, compressed."""
-    ids = np.frombuffer(data, "<u4")
     small = not len(ids) or int(ids.max()) < 1 << 16
-    return (b"2" if small else b"4") + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2").tobytes() if small else data)
+    return (b"2" if small else b"4") + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2" if small else "<u4").tobytes())
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
@@ -247,19 +247,20 @@ def _unsqueeze(data: bytes) -> np.ndarray:
 FRAMES = "shard int, frame int, doc_ids array<long>, lengths array<long>, ids binary, tokens array<int>, counts array<int>"
 
 
-def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME, added_tokens: bool = False) -> DataFrame:
+def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME) -> DataFrame:
     """Frames of whole documents in ascending id order, tokenised once: by shard, then by frame."""
     docs = keyed_text(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(vocabulary, True, added_tokens=added_tokens), np.array([end_id], "<u4").tobytes()
+        code = encoder(vocabulary, True)
         doc_ids: list[int | None] = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         held = shard = frame = 0
 
         def out() -> pa.RecordBatch:
-            sizes, data = [len(c) // 4 for c in coded], b"".join(coded)
-            seen = np.bincount(np.frombuffer(data, "<u4"))
+            sizes, data = np.concatenate(lengths), np.concatenate(coded)
+            seen = np.bincount(data)
             (used,) = np.nonzero(seen)
             own = {"shard": pa.array([shard], pa.int32()), "frame": pa.array([frame], pa.int32()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([_squeeze(data)], pa.binary())}
             own |= {k: pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for k, x in (("tokens", used), ("counts", seen[used]))}
@@ -269,15 +270,24 @@ def tokenized_frames(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             if not batch.num_rows:
                 continue
             shard = batch.column("shard")[0].as_py()
-            texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for part in slices(texts):
-                for k, tokens in zip(part, code.encode([texts[k] for k in part]), strict=True):
-                    coded.append(tokens + end)
-                    doc_ids.append(own[k])
-                    held += len(coded[-1]) // 4
+            own = batch.column("doc_id").to_pylist()
+            for at, texts in text_slices(batch.column("text")):
+                ids, sizes = code.encode_column(texts)
+                upto = np.cumsum(sizes + 1)
+                ids, sizes = np.insert(ids, upto - 1 - np.arange(len(upto)), end_id), sizes + 1
+                done = 0
+                while done < len(sizes):
+                    # documents up to the one that fills the frame
+                    before = int(upto[done - 1]) if done else 0
+                    last = min(len(sizes), int(np.searchsorted(upto, before + frame_tokens - held)) + 1)
+                    coded.append(ids[before : int(upto[last - 1])])
+                    lengths.append(sizes[done:last])
+                    doc_ids += own[at + done : at + last]
+                    held += len(coded[-1])
+                    done = last
                     if held >= frame_tokens:
                         yield out()
-                        doc_ids, coded, held, frame = [], [], 0, frame + 1
+                        doc_ids, coded, lengths, held, frame = [], [], [], 0, frame + 1
         if doc_ids:
             yield out()
 
@@ -296,9 +306,9 @@ def token_counts(frames: DataFrame) -> DataFrame:
 MANIFEST = "shard int, frame int, path string, offset long, size long, n_docs long, n_tokens long"
 
 
-def write_token_files(df: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME, added_tokens: bool = False) -> tuple[DataFrame, bytes]:
+def write_token_files(df: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, frame_tokens: int = FRAME) -> tuple[DataFrame, bytes]:
     """Encode every text in ascending id order to files in ``folder``; gives the manifest with ``start`` (tokens before a frame) and the frequency table."""
-    frames = tokenized_frames(df, vocabulary, id_col, text_col, end_id=end_id, frame_tokens=frame_tokens, added_tokens=added_tokens)
+    frames = tokenized_frames(df, vocabulary, id_col, text_col, end_id=end_id, frame_tokens=frame_tokens)
     counts = token_counts(frames).collect()  # at most one row a symbol of the vocabulary
     table = Table.of_counts([r[0] for r in counts], [r[1] for r in counts]) if counts else Table.of_counts([end_id], [1])
     packed = table.to_bytes()
@@ -363,8 +373,8 @@ def read_token_files(manifest: DataFrame, table: bytes, folder: str) -> DataFram
     return manifest.repartition(parts, "shard", "frame").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file_digest(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, added_tokens: bool = False) -> DataFrame:
+def token_file_digest(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> DataFrame:
     """Write the token files of ``df`` to the shared folder, read them back, and report what they hold of each document."""
     folder = f"{shared_dir(df.sparkSession)}/token-files-{uuid.uuid4().hex}"
-    manifest, table = write_token_files(df, vocabulary, folder, id_col, text_col, end_id=end_id, added_tokens=added_tokens)
+    manifest, table = write_token_files(df, vocabulary, folder, id_col, text_col, end_id=end_id)
     return read_token_files(materialize(manifest, "token-index"), table, folder)
