@@ -90,7 +90,7 @@ WITH p AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('h' || source, '
 l AS (SELECT rid, doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM p),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 b AS (SELECT host, trim(line, ' ') AS line, count(DISTINCT rid) AS n FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
-x AS (SELECT b.host, b.line FROM b JOIN t USING (host) WHERE pages >= 20 AND n > 1 AND n > 0.05::DOUBLE * pages),
+x AS (SELECT b.host, b.line FROM b JOIN t USING (host) WHERE n >= 3 AND n > 0.05::DOUBLE * pages),
 m AS (SELECT l.*, x.line IS NOT NULL AS gone FROM l LEFT JOIN x ON x.host = l.host AND x.line = trim(l.line, ' ')),
 r AS (SELECT rid, doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM m GROUP BY rid, doc_id)
