@@ -4,12 +4,14 @@ Legal sequences are those of an automaton: an optional system turn, then user an
 alternation, the last one the assistant's.  Each input turn is kept, relabelled, merged into the
 turn before it (relabelled first if roles differ), and empty turns may be inserted before it
 or at the end; costs are in ``COSTS``.  A dynamic program over the automaton's states finds the cheapest
-repair; among equals the first of keep, merge, relabel and then fewer insertions is taken.
+repair.  Among equals the first turn at which they differ decides: keep, then merge, relabel, relabel and merge, then
+fewer insertions, then the role first in ``ROLES``; so there is one optimum, whatever the partitions.
 
-Steps are (min, +) matrices of four states, so they compose: runs of ``RUN`` turns are
-reduced to matrices in parallel, a conversation's matrices are folded in order (one short row a run),
-and every run then traces its own turns between the states that the fold gave it.  A conversation of any
-length is thus spread over tasks, and its rendering comes as one piece a turn; the pieces in order of ``pos`` are the rendered text.
+Steps are matrices of four states, whose entries are a cost and the rank of the way among those of its row; a product takes the
+least cost and then the least rank, so it is associative.  Runs of ``RUN`` turns are reduced to matrices in parallel, and
+runs of ``RUN`` matrices again, until a conversation has few; from there every run learns the states between which it
+traces its own.  A conversation of any length is thus spread over tasks, and its rendering comes as one piece a turn;
+the pieces in order of ``pos`` are the rendered text.
 
 Defined cases: an unknown or null role must be relabelled; roles are compared trimmed and lower-cased;
 a null text counts as empty; equal turn numbers are ordered by role and text; null turn numbers come first;
@@ -20,9 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specaudit.llm.common import materialize
@@ -34,7 +35,6 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 COSTS = {"merge": 0.6, "relabel": 1.5, "unknown": 0.9, "insert": 1.0}
 RUN = 4096
-INFINITE = float("inf")
 
 
 def _fill(state: int, target: int) -> tuple[int, ...] | None:
@@ -55,84 +55,131 @@ def _fill(state: int, target: int) -> tuple[int, ...] | None:
 FILL = {(s, t): _fill(s, t) for s in range(4) for t in (SYSTEM, USER, ASSISTANT)}
 
 
-def steps(costs: dict[str, float] = COSTS) -> dict[int, dict[tuple[int, int], tuple[float, str, tuple[int, ...]]]]:
-    """For each role number the cheapest (cost, action, inserted states) from state to state."""
+#: Costs are summed as whole numbers, so that sums do not depend on their order.
+UNIT = 1000
+FAR = 1 << 60
+ACTIONS = ("keep", "merge", "relabel", "relabel+merge")
+Step = tuple[int, int, tuple[int, ...]]  # cost, number of the action, inserted states
+
+
+def steps(costs: dict[str, float] = COSTS) -> dict[int, dict[tuple[int, int], Step]]:
+    """For each role number the cheapest step from state to state, the first of its equals."""
+    whole = {k: round(UNIT * x) for k, x in costs.items()}
     out: dict[int, dict] = {}
     for role in range(4):
-        own: dict[tuple[int, int], tuple] = {}
+        own: dict[tuple[int, int], Step] = {}
         for s in range(4):
             for t in (SYSTEM, USER, ASSISTANT):
-                change = 0.0 if t == role + 1 else costs["unknown"] if role == OTHER else costs["relabel"]
-                options = []
+                change = 0 if t == role + 1 else whole["unknown"] if role == OTHER else whole["relabel"]
+                options: list[Step] = []
                 if FILL[s, t] is not None:
-                    options.append((change + costs["insert"] * len(FILL[s, t]), 0 if not change else 2, "relabel" if change else "keep", FILL[s, t]))
+                    options.append((change + whole["insert"] * len(FILL[s, t]), 2 if change else 0, FILL[s, t]))
                 if s == t:
-                    options.append((change + costs["merge"], 1 if not change else 3, "relabel+merge" if change else "merge", ()))
+                    options.append((change + whole["merge"], 3 if change else 1, ()))
                 if options:
-                    best = min(options, key=lambda x: (round(x[0], 9), x[1], len(x[3])))
-                    own[s, t] = (best[0], best[2], best[3])
+                    own[s, t] = min(options, key=lambda x: (x[0], x[1], len(x[2])))
         out[role] = own
     return out
 
 
 STEPS = steps()
-MATRICES = np.full((4, 4, 4), INFINITE)
-for _role, _own in STEPS.items():
-    for (_s, _t), _x in _own.items():
-        MATRICES[_role, _s, _t] = _x[0]
 #: Empty turns that end a conversation legally.
 CLOSE = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
+Matrix = tuple[tuple[tuple[int, int], ...], ...]  # [from][to]: cost, rank among the row's ways
+
+
+def _ranked(rows: list[list[tuple]]) -> Matrix:
+    """(cost, order..) entries to (cost, rank) entries."""
+    out = []
+    for row in rows:
+        order = sorted(range(4), key=lambda t: (row[t][0] >= FAR, row[t][1:], t))
+        rank = {t: k for k, t in enumerate(order)}
+        out.append(tuple((min(row[t][0], FAR), rank[t]) for t in range(4)))
+    return tuple(out)
+
+
+UNREACHED = (FAR,)
+MATRICES: list[Matrix] = [_ranked([[(x[0], x[1], len(x[2]), t) if (x := STEPS[r].get((s, t))) else UNREACHED for t in range(4)] for s in range(4)]) for r in range(4)]
+IDENTITY: Matrix = tuple(tuple((0 if s == t else FAR, (t - s) % 4) for t in range(4)) for s in range(4))
 
 
-def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(min, +) product."""
-    return (a[:, :, None] + b[None, :, :]).min(axis=1)
+def compose(a: Matrix, b: Matrix) -> Matrix:
+    """The least way through both: by cost, then by the rank of its first part, then of its second."""
+    return _ranked([[min((a[s][u][0] + b[u][t][0], a[s][u][1], b[u][t][1]) for u in range(4)) for t in range(4)] for s in range(4)])
 
 
-def run_matrix(roles: list[int]) -> np.ndarray:
-    m = np.full((4, 4), INFINITE)
-    np.fill_diagonal(m, 0.0)
-    for r in roles:
-        m = compose(m, MATRICES[r])
+_products: dict[tuple[Matrix, Matrix], tuple[int, Matrix]] = {}
+
+
+def _product(a: Matrix, b: Matrix) -> Matrix:
+    """:func:`compose`, remembered up to a cost that all entries share."""
+    base = min(x[0] for row in a for x in row)
+    key = (tuple(tuple((x[0] - base if x[0] < FAR else FAR, x[1]) for x in row) for row in a), b)
+    if key not in _products:
+        if len(_products) > 100_000:
+            _products.clear()
+        _products[key] = compose(*key)
+    return tuple(tuple((x[0] + base if x[0] < FAR else FAR, x[1]) for x in row) for row in _products[key])
+
+
+def product(matrices: list[Matrix]) -> Matrix:
+    m = IDENTITY
+    for x in matrices:
+        m = _product(m, x)
     return m
 
 
-def trace(roles: list[int], entry: int, leave: int) -> list[tuple[int, str, tuple[int, ...]]]:
-    """State, action and inserted states of each turn on the cheapest way from ``entry`` to ``leave``."""
-    cost = np.full(4, INFINITE)
-    cost[entry] = 0.0
-    back = []
-    for r in roles:
-        reach = cost[:, None] + MATRICES[r]
-        back.append(np.argmin(np.round(reach, 9), axis=0))
-        cost = reach.min(axis=0)
-    state, out = leave, []
-    for r, b in zip(reversed(roles), reversed(back), strict=True):
-        before = int(b[state])
-        _, action, filled = STEPS[r][before, state]
-        out.append((state, action, filled))
-        state = before
-    return out[::-1]
+def run_matrix(roles: list[int]) -> Matrix:
+    return product([MATRICES[r] for r in roles])
+
+
+_moves: dict[tuple, tuple[list[int], tuple]] = {}
+
 
+def _move(way: tuple, m: Matrix) -> tuple[list[int], tuple]:
+    """The state before ``m`` for each behind it, and the ways there; costs count from their least."""
+    key = (way, m)
+    if key not in _moves:
+        if len(_moves) > 100_000:
+            _moves.clear()
+        best = [min((way[u][0] + m[u][t][0], way[u][1], m[u][t][1], u) for u in range(4)) for t in range(4)]
+        (after,) = _ranked([[x[:3] for x in best]])
+        base = min(x[0] for x in after)
+        _moves[key] = [x[3] for x in best], tuple((x[0] - base if x[0] < FAR else FAR, x[1]) for x in after)
+    return _moves[key]
 
-def fold(matrices: list[np.ndarray]) -> tuple[list[tuple[int, int]], float]:
-    """Entry and exit state of each run, and the cost of the whole with its end."""
-    cost = np.full(4, INFINITE)
-    cost[START] = 0.0
+
+def states_between(matrices: list[Matrix], entry: int, leave: int) -> list[tuple[int, int]]:
+    """The state before and behind each of ``matrices`` on the least way from ``entry`` to ``leave``."""
+    way = IDENTITY[entry]
     back = []
     for m in matrices:
-        reach = cost[:, None] + m
-        back.append(np.argmin(np.round(reach, 9), axis=0))
-        cost = reach.min(axis=0)
-    final = cost + np.array([COSTS["insert"] * len(CLOSE[s]) for s in range(4)])
-    state = int(np.argmin(np.round(final, 9)))
-    total = float(final[state])
-    states = []
+        before, way = _move(way, m)
+        back.append(before)
+    state, out = leave, []
     for b in reversed(back):
-        before = int(b[state])
-        states.append((before, state))
-        state = before
-    return states[::-1], total
+        out.append((b[state], state))
+        state = b[state]
+    return out[::-1]
+
+
+def trace(roles: list[int], entry: int, leave: int) -> list[tuple[int, str, tuple[int, ...]]]:
+    """State, action and inserted states of each turn on the least way from ``entry`` to ``leave``."""
+    ways = states_between([MATRICES[r] for r in roles], entry, leave)
+    return [(t, ACTIONS[STEPS[r][s, t][1]], STEPS[r][s, t][2]) for r, (s, t) in zip(roles, ways, strict=True)]
+
+
+def final_state(m: Matrix) -> int:
+    """The state that a whole conversation ends in."""
+    return min(range(4), key=lambda t: (m[START][t][0] + round(UNIT * COSTS["insert"]) * len(CLOSE[t]), m[START][t][1]))
+
+
+def to_flat(m: Matrix) -> list[int]:
+    return [x for row in m for cell in row for x in cell]
+
+
+def from_flat(x: list[int]) -> Matrix:
+    return tuple(tuple((x[8 * s + 2 * t], x[8 * s + 2 * t + 1]) for t in range(4)) for s in range(4))
 
 
 def _opening(state: int) -> str:
@@ -142,7 +189,59 @@ def _opening(state: int) -> str:
 END = "<|end|>\n"
 
 
-def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", *, run: int = RUN) -> DataFrame:
+NODE = "conv_id long, id long, n long, m array<long>"
+PLACED = "conv_id long, id long, entry int, leave int, before long, last boolean"
+
+
+def _children(nodes: DataFrame, *parent: Column) -> DataFrame:
+    """Each parent's nodes in a row."""
+    return nodes.groupBy("conv_id", *parent).agg(F.array_sort(F.collect_list(F.struct("id", "n", "m"))).alias("nodes"))
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of a parent to the parent."""
+    for batch in batches:
+        yield _batch([(r["conv_id"], r["up"], sum(x["n"] for x in r["nodes"]), to_flat(product([from_flat(x["m"]) for x in r["nodes"]]))) for r in batch.to_pylist()], NODE)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of nodes from their parent's, or from the whole conversation where none is given."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            own = [from_flat(x["m"]) for x in r["nodes"]]
+            entry, leave, before, last = (r[k] for k in ("entry", "leave", "before", "last")) if r.get("entry") is not None else (START, final_state(product(own)), 0, True)
+            for x, (a, b) in zip(r["nodes"], states_between(own, entry, leave), strict=True):
+                rows.append((r["conv_id"], x["id"], a, b, before, last and x is r["nodes"][-1]))
+                before += x["n"]
+        yield _batch(rows, PLACED)
+
+
+def places(nodes: DataFrame, fan: int) -> DataFrame:
+    """Entry and exit state, turns before, and whether it is the last, of every node of every conversation.
+
+    No task takes more than ``fan`` nodes of a conversation: where there are more, ``fan`` neighbours at a time become a node above.
+    """
+    levels = [nodes]
+    while levels[-1].groupBy("conv_id").count().where(F.col("count") > fan).limit(1).count():
+        above = _children(levels[-1], F.expr(f"id div {fan}").alias("up")).mapInArrow(_folded, NODE)
+        levels.append(materialize(above, "chat-above"))
+    found = _children(levels[-1]).mapInArrow(_placed, PLACED)
+    for below in reversed(levels[:-1]):
+        own = _children(below, F.expr(f"id div {fan}").alias("up")).withColumnRenamed("conv_id", "c")
+        found = materialize(found, "chat-places")
+        joined = own.join(found, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("up") == F.col("id")))
+        found = joined.select("conv_id", "nodes", "entry", "leave", "before", "last").mapInArrow(_placed, PLACED)
+    return found
+
+
+def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", *, run: int = RUN, fan: int = RUN) -> DataFrame:
     """``conv_id, pos, turn, role, new_role, action, inserted, piece``: one row a turn, in order of ``pos`` within a conversation."""
     role = F.lower(F.trim(df[role_col].cast("string")))
     turns = df.select(
@@ -150,35 +249,20 @@ def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"),
         sum((F.when(role == x, F.lit(k - OTHER)).otherwise(0) for k, x in enumerate(ROLES)), F.lit(OTHER)).cast("int").alias("r"),
     )
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
-    # ranges are cut within a conversation too
-    ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("idx", F.monotonically_increasing_id())
+    # ranges are cut within a conversation too, and by the row number within equal turns
+    order = [*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")), F.col("row")]
+    ranged = turns.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("row").withColumn("idx", F.monotonically_increasing_id())
     rows = materialize(ranged.withColumn("run", F.expr(f"cast(shiftrightunsigned(idx, 33) * {(1 << 33) // run + 1} + (idx & {(1 << 33) - 1}) div {run} as bigint)")), "chat-turns")
     parts = rows.groupBy("conv_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "r"))), lambda x: x["r"]).alias("roles"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roles = batch.column("roles").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("run"), batch.column("roles"), pa.array([run_matrix(x).ravel().tolist() for x in roles], pa.list_(pa.float64()))], names=["conv_id", "run", "roles", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("run"), batch.column("roles"), pa.array([to_flat(run_matrix(x)) for x in roles], pa.list_(pa.int64()))], names=["conv_id", "run", "roles", "m"])
 
-    reduced = materialize(parts.mapInArrow(reduce, "conv_id long, run long, roles array<int>, m array<double>"), "chat-runs")
-    chains = reduced.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", F.size("roles").alias("n"), "m"))).alias("runs"))
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {k: [] for k in ("run", "entry", "leave", "before", "last", "conv_id")}
-            for conv, runs in zip(batch.column("conv_id").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                states, _ = fold([np.array(x["m"]).reshape(4, 4) for x in runs])
-                before = 0
-                for x, (a, b) in zip(runs, states, strict=True):
-                    for k, v in zip(out, (x["run"], a, b, before, x is runs[-1], conv), strict=True):
-                        out[k].append(v)
-                    before += x["n"]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
-
-    ends = chains.mapInArrow(folded, "run long, entry int, leave int, before long, last boolean, conv_id long")
-    known = reduced.select("conv_id", "run", "roles").join(ends.withColumnRenamed("conv_id", "c").withColumnRenamed("run", "u"), (F.col("run") == F.col("u")) & F.col("conv_id").eqNullSafe(F.col("c")))
+    reduced = materialize(parts.mapInArrow(reduce, "conv_id long, run long, roles array<int>, m array<long>"), "chat-runs")
+    ends = places(reduced.select("conv_id", F.col("run").alias("id"), F.size("roles").cast("long").alias("n"), "m"), fan)
+    known = reduced.select("conv_id", "run", "roles").join(ends.withColumnRenamed("conv_id", "c").withColumnRenamed("id", "u"), (F.col("run") == F.col("u")) & F.col("conv_id").eqNullSafe(F.col("c")))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
