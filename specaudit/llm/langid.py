@@ -6,7 +6,8 @@ as (1 + log tf) * idf with unit length.  Each language has several centroids (sp
 the language of the centroid with the largest cosine is predicted.  A text whose cosine is below that
 centroid's ``floor`` (a low quantile of its training texts, less a margin) is marked as rejected.
 
-idf counts all training rows; centroids are fitted on ``PER_LANGUAGE`` rows a language, chosen by hash.
+idf counts all training rows; centroids are fitted on ``PER_LANGUAGE`` rows a language, chosen by hash, of the ``LANGUAGES``
+values of ``lang`` that most rows have, so that a noisy column cannot make the model grow with the table.
 Both are small: 4 bytes a dimension and centroid.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any training row
@@ -27,12 +28,11 @@ from pyspark.sql import functions as F
 
 from specaudit.llm.common import small_batches
 
-
 DIMENSIONS = 1 << 13
 PER_LANGUAGE = 400
 CENTROIDS = 4
-#: Languages that may be learned, to bound what the driver holds.
-MOST_LANGUAGES = 1000
+#: Languages that are learned: those of most training rows, then in alphabetical order.  Bounds the model like ``PER_LANGUAGE``.
+LANGUAGES = 1000
 FLOOR_QUANTILE, FLOOR_MARGIN = 0.01, 0.05
 PART = 1 << 20
 #: ASCII letters and bytes of other scripts stay; digits, marks and white space become blanks.
@@ -111,7 +111,7 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int = CENTROIDS) -> Model:
+def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
     """train: ``doc_id, text, lang``, all non-null but the id."""
 
     def df_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +129,7 @@ def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int
     idf = np.zeros(DIMENSIONS, np.float32)
     for place, n in found.items():
         idf[place] = math.log((1 + total) / (1 + n)) + 1
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not sizes:
         return Model(idf, [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
     # a share of each language by hash, then exactly the first of it
