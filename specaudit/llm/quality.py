@@ -3,7 +3,7 @@
 Overlapping heuristics vote junk (-1), good (+1) or abstain (0) on every document.  Expectation
 maximisation over the counts of vote patterns (all documents; at most 3**10 patterns) estimates each
 heuristic's vote distribution for good and for junk texts and the share of good texts.  The posteriors
-label a sample of ``SAMPLE`` documents, chosen by hash, on which a linear scorer over hashed byte
+label a sample of ``SAMPLE`` documents, those of the least hashes, on which a linear scorer over hashed byte
 pairs and shape features is trained; it scores every document.
 
 Defined cases: null and blank texts score 0 and are rejected; if no document has a visible
@@ -111,8 +111,10 @@ def features(text: str) -> tuple[tuple[int, ...], np.ndarray]:
 
 #: Kinds of junk, each anchored by the voters that name it.
 KINDS = (("symbols",), ("upper", "shouting"), ("top word", "repeats", "stutter"), ("columns",))
-#: An anchor votes junk on its kind at least this often, and on good texts at most that often (other voters at most the last).
-ANCHOR, SLIP, OTHER_SLIP = 0.7, 0.02, 0.3
+#: What is believed beforehand of a vote (junk, none, good): of an anchor on its kind, and of any other voter on any class; and
+#: how many documents of a class that belief is worth.  The votes themselves outweigh it as soon as a class has a few dozen documents.
+ANCHOR, OTHER = (0.9, 0.05, 0.05), (0.05, 0.15, 0.8)
+BELIEF = 20.0
 
 
 def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tuple[dict[tuple[int, ...], float], np.ndarray, np.ndarray]:
@@ -120,39 +122,29 @@ def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tupl
 
     Junk has several kinds with little in common, so the latent class is "good" or one of the kinds; given
     the class, voters err independently.  Their accuracies (how often a voter says junk on each kind, and on good texts)
-    are what EM estimates; the anchors only keep the classes from changing places.
+    are what EM estimates, from a Dirichlet prior that names the classes: ``BELIEF`` documents' worth of votes.
     """
     keys = list(patterns)
     n = np.array([patterns[k] for k in keys], float)
-    v = np.array(keys) + 1
-    hot = np.eye(3)[v]  # pattern, voter, vote
+    hot = np.eye(3)[np.array(keys) + 1]  # pattern, voter, vote
     hot[..., 1] = 0  # who abstains says nothing
-    anchors = [[VOTERS.index(x) for x in kind] for kind in KINDS]
-    p = np.empty((1 + len(KINDS), v.shape[1], 3))
-    p[:] = (0.1, 0.3, 0.6)
-    for y, own in enumerate(anchors, 1):
-        p[y, own] = (0.9, 0.05, 0.05)
-    # a kind comes into question only where one of its anchors votes junk
-    barred = np.stack([np.zeros(len(keys), bool), *(~(v[:, own] == 0).any(axis=1) for own in anchors)])
+    prior = np.empty((1 + len(KINDS), hot.shape[1], 3))
+    prior[:] = OTHER
+    for y, kind in enumerate(KINDS, 1):
+        prior[y, [VOTERS.index(x) for x in kind]] = ANCHOR
+    p, post = prior, None
     share = np.full(len(p), 0.2 / len(KINDS))
     share[0] = 0.8
-    post = None
     for _ in range(rounds):
-        log = np.where(barred, -np.inf, np.log(share)[:, None] + np.einsum("pvk,yvk->yp", hot, np.log(p)))
+        log = np.log(share)[:, None] + np.einsum("pvk,yvk->yp", hot, np.log(p))
         new = np.exp(log - log.max(axis=0))
         new /= new.sum(axis=0)
         if post is not None and np.abs(new - post).max() < 1e-9:
             break
         post = new
         share = (post @ n + 1) / (n.sum() + len(p))
-        for y in range(len(p)):
-            own = np.einsum("p,pvk->vk", n * post[y], hot) + np.array([1.0, 1e-9, 1.0])
-            p[y] = own / own.sum(axis=1, keepdims=True)
-            # one of a kind's anchors speaks up at least; good texts rarely draw a junk vote
-            for k in [max(anchors[y - 1], key=lambda k: p[y, k, 0])] if y else range(p.shape[1]):
-                junk = max(p[y, k, 0], ANCHOR) if y else min(p[y, k, 0], SLIP if any(k in own for own in anchors) else OTHER_SLIP)
-                rest = p[y, k, 1:] / p[y, k, 1:].sum()
-                p[y, k] = (junk, *((1 - junk) * rest))
+        own = np.einsum("p,yp,pvk->yvk", n, post, hot) + BELIEF * prior
+        p = own / own.sum(axis=2, keepdims=True)
     return dict(zip(keys, post[0].tolist(), strict=True)), share, p
 
 
@@ -186,8 +178,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
         return None
     post, _, _ = label_model(patterns)
     total = sum(patterns.values())
+    # twice as many as are wanted by hash, of which the least hashes are taken: all of a table of no more than that
     h = F.xxhash64("doc_id", "text")
-    chosen = docs.where((h / F.lit(2.0**64) + 0.5) < min(1.0, sample / total)).limit(2 * sample)
+    chosen = docs.where((h / F.lit(2.0**64) + 0.5) <= min(1.0, 2 * sample / total)).orderBy(h).limit(sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +188,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
             yield pa.RecordBatch.from_pydict({"votes": pa.array([list(v) for v, _ in own], pa.list_(pa.int32())), "x": pa.array([x.tobytes() for _, x in own], pa.binary())})
 
     rows = chosen.select("text").mapInArrow(vectors, "votes array<int>, x binary").collect()
-    if not rows:  # a handful of texts, none of which the hash chose
-        rows = docs.select("text").limit(sample).mapInArrow(vectors, "votes array<int>, x binary").collect()
+    if not rows:
+        return None
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
     return train_linear(x, np.array([post[tuple(r["votes"])] for r in rows]))
 
