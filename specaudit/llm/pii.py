@@ -1,16 +1,18 @@
 """Personal data by candidate generation and gradient boosting, in DataFrame functions only.
 
-Generators propose spans of four kinds (email, ip, card, phone): one strict generator a kind,
+Generators propose spans of five kinds (email, ip, card, phone, secret): one strict generator for each of the first four,
 whose matches either pass their check (base spans, always kept) or fail it, and one loose
-generator a kind with high recall (obfuscated addresses, groups of digits, colon-separated hexadecimal).
+generator a kind with high recall (obfuscated addresses, groups of digits, colon-separated hexadecimal, long runs of letters and digits).
 Proposals overlap freely.  Each has a few small discrete features of its format and context.
 
 Boosted trees of depth two are fitted to the counts of feature vectors, which Spark sums over all
-documents; there are at most a few thousand vectors, whatever the input.  Labels are weak: base spans are
-personal data, strict matches that fail their check are not, and loose matches are if they overlap a base span of
-their kind, if they bear a mark of their own (an "at" or "dot" in brackets, a card number that passes its check), or if
-a word that announces the kind stands before them.  Thresholds are calibrated for each kind to a precision of
-``PRECISION`` on the held-out candidates that could be added: loose ones that overlap no base span.  Those above are added.
+documents; there are at most a few thousand vectors, whatever the input.  Labels are weak and come from checks that are no features:
+a loose match is personal data if it overlaps a base span of its kind, if its digits pass the card check, if it writes "at" or "dot" in
+brackets, or if a word that announces the kind stands before it and it passes a check of its own (enough digits, enough different
+characters); others are taken for negatives.  Every base span is also written in an obfuscated form and every failed strict match
+likewise, as examples where they stand.  So that no one feature repeats its label, each example is counted three times: as it is, with the
+announcing word hidden, and with its marks hidden.  Thresholds are calibrated for each kind to a precision of
+``PRECISION`` on the held-out candidates that could be added: natural loose ones that overlap no base span.  Those above are added.
 
 A text is split and matched by the same expression, so a span's start is the sum of the lengths before it; the
 sums run in a window over small rows.  Expressions take time linear in the text: runs are
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from specaudit.llm.common import materialize
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
 
 # The contract's expressions, rewritten to take linear time.
 # \G: a match may start right after another within a run; else only where a run of its first class starts.
@@ -40,27 +43,38 @@ STRICT = {
     "card": r"[0-9](?:(?![ -](?![0-9]))[0-9 -])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+AT, DOT = r"(?: ?(?:@|[(\[{] ?(?i:at) ?[)\]}]) ?| (?i:at) )", r"(?:\.| ?[(\[{] ?(?:\.|(?i:dot)) ?[)\]}] ?| (?i:dot) )"
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}|@| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z]{2,24}+",
-    "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,7}(?![0-9A-Za-z:])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{AT}[A-Za-z0-9-]{{1,63}}+(?:{DOT}[A-Za-z0-9-]{{1,63}}+){{1,4}}+",
+    "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,7}(?![0-9A-Za-z:])|(?<![0-9])[0-9]{1,3}+(?: ?[(\[](?:\.|dot)[)\]] ?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9.-])[0-9]{4}[ .-]?[0-9]{4,6}[ .-]?[0-9]{4,5}[ .-]?[0-9]{0,4}(?![0-9])",
-    "phone": r"(?<![0-9+.-])(?:\(?[0-9]{2,4}\)?[ ./-]{1,2})?[0-9]{3,4}[ ./-][0-9]{3,4}(?:[ ./-][0-9]{2,4})?(?![0-9])",
+    "phone": r"(?<![0-9+.-])(?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]))(?:\(?[0-9]{2,4}\)?[ ./-]{1,2})?[0-9]{3,4}[ ./-][0-9]{3,4}(?:[ ./-][0-9]{2,4})?(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_@])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
-#: A text without this has no match; finding that out is cheaper than the expression.
-NEEDS = {("email", "strict"): "@", ("ip", "strict"): ".", ("phone", "strict"): "+", ("ip", "loose"): ":"}
+#: A text without a match of this has none of the generator; finding that out is cheaper than the expression.
+NEEDS = {
+    ("email", "strict"): "@", ("ip", "strict"): r"[0-9]\.[0-9]", ("card", "strict"): "[0-9]", ("phone", "strict"): r"\+[0-9]",
+    ("email", "loose"): rf"@|[(\[{{] ?(?i:at) ?[)\]}}]| (?i:at) [A-Za-z0-9-]{{1,63}}+(?:\.[A-Za-z]| ?[(\[{{] ?(?:\.|(?i:dot))| (?i:dot) )",
+    ("ip", "loose"): r"[0-9A-Fa-f]:{1,2}[0-9A-Fa-f]|[0-9] ?[(\[](?:\.|dot)[)\]]", ("card", "loose"): "[0-9]{4}", ("phone", "loose"): "[0-9]{3}[ ./-][0-9]{3}",
+    ("secret", "loose"): "[A-Za-z0-9_+/-]{16}|-----BEGIN ",
+}
+_START, _BEFORE = r"(?i)(?<![A-Za-z0-9_À-ɏ])(?:", r")\W{0,6}(?:\w{1,8}\W{1,3})?$"
 ANNOUNCE = {
-    "email": r"(?i)(?:e-?mail|mail|contact|write to|correo|courriel)\W{0,4}(?:\w{1,8}\W{1,3})?$",
-    "ip": r"(?i)\b(?:ipv?[46]?|host|addr(?:ess)?|server)\W{0,4}(?:\w{1,8}\W{1,3})?$",
-    "card": r"(?i)\b(?:cards?|visa|mastercard|amex|carte|karte|tarjeta|account|konto|cuenta|compte)\W{0,4}(?:\w{1,8}\W{1,3})?$",
-    "phone": r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax|tfno|telefon|teléfono|téléphone)\W{0,4}(?:\w{1,8}\W{1,3})?$",
+    "email": r"(?i)(?:e-?mail|mail|contact|write to|correo|courriel" + _BEFORE,
+    "ip": _START + r"ipv?[46]?|host|addr(?:ess)?|server" + _BEFORE,
+    "card": _START + r"cards?|visa|mastercard|amex|carte|karte|tarjeta|account|konto|cuenta|compte" + _BEFORE,
+    "phone": _START + r"tel|telephone|phone|call|mobile|cell|fax|tfno|telefon|teléfono|téléphone" + _BEFORE,
+    "secret": r"(?i)(?:secret|token|passw(?:or)?d|pwd|key|auth|bearer|credentials?|clave|schlüssel|jeton" + _BEFORE,
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 VALID_IP = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 CONTEXT = 32
 PRECISION = 0.98
 ROUNDS, RATE = 40, 0.3
-#: Feature columns, each a small number.
-FEATURES = ("kind", "strict", "digits", "length", "groups", "before", "after", "announced", "marks", "dots")
+#: Feature columns, each a small number; ``announced`` and ``marks`` have a value that says nothing.
+FEATURES = ("kind", "strict", "digits", "length", "groups", "before", "after", "announced", "marks", "dots", "letters")
+HIDDEN = {"announced": 2, "marks": 4}
+EMPTY = "array<struct<kind:int,strict:int,k:int,gap:int,match:string,left:string,right:string>>"
 
 
 def _proposals(text: Column, kind: str, source: str) -> Column:
@@ -72,9 +86,9 @@ def _proposals(text: Column, kind: str, source: str) -> Column:
     # the gaps before and behind each match stand beside it
     both = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))).alias("h"))
     rows = F.transform(both, lambda x, k: F.struct(kinds.alias("kind"), F.lit(int(source == "strict")).alias("strict"), k.alias("k"), F.length(x["g"]).alias("gap"), x["m"].alias("match"), F.right(x["g"], F.lit(CONTEXT)).alias("left"), F.left(x["h"], F.lit(1)).alias("right")))
-    need = NEEDS.get((kind, source))
-    test = F.contains(text, F.lit(need)) if need else text.rlike("[0-9]") if kind != "email" else (F.contains(text, F.lit("@")) | text.rlike(r" at |[(\[{]at[)\]}]"))
-    return F.when(test, rows)
+    need = NEEDS[kind, source]
+    test = F.contains(text, F.lit(need)) if need == "@" else text.rlike(need)
+    return F.when(test, rows).otherwise(F.array().cast(EMPTY))
 
 
 def _luhn(digits: Column) -> Column:
@@ -89,42 +103,48 @@ def _klass(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[A-Za-z]"), 2).when(c.rlike(r"[0-9]"), 3).otherwise(4)
 
 
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def format_features(m: Column, kind: Column) -> list[Column]:
+    """Features of a match alone."""
+    marks = F.when((kind == CARD) & _luhn(_digits(m)), 3).when((kind <= IP) & m.rlike(r"[(\[{] ?(?:\.|(?i:at|dot)) ?[)\]}]"), 2).otherwise(F.contains(m, F.lit("+")).cast("int"))
+    return [
+        F.least(F.floor(F.length(_digits(m)) / 3), F.lit(7)).cast("int").alias("digits"),
+        F.least(F.floor(F.length(m) / 6), F.lit(8)).cast("int").alias("length"),
+        F.least(F.size(F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")), F.lit(5)).cast("int").alias("groups"),
+        marks.cast("int").alias("marks"),
+        F.least(F.length(F.regexp_replace(m, "[^.]", "")), F.lit(3)).cast("int").alias("dots"),
+        # none, hexadecimal digits, lower case, capitals, both
+        F.when(~m.rlike("[A-Za-z]"), 0).when(m.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 1).when(~m.rlike("[A-Z]"), 2).when(~m.rlike("[a-z]"), 3).otherwise(4).alias("letters"),
+    ]
+
+
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All proposals ``rid, doc_id, kind, start, end, base, features..``, and a row with a null kind for a text without any."""
+    """All proposals ``rid, doc_id, kind, start, end, base, match, features..``, and a row with a null kind for a text without any."""
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     docs = df.select(df[id_col].cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    parts = [_proposals(F.col("text"), kind, source) for source in ("strict", "loose") for kind in KINDS]
-    found = docs.select("rid", "doc_id", F.explode_outer(reduce(lambda a, b: F.concat(a, b), [F.coalesce(p, F.slice(_nothing(), 1, 0)) for p in parts])).alias("c"))
+    parts = [_proposals(F.col("text"), kind, source) for kind, source in NEEDS]
+    found = docs.select("rid", "doc_id", F.explode_outer(F.concat(*parts)).alias("c"))
     rows = found.select("rid", "doc_id", "c.*").repartition("rid")
     size = F.length("match")
     own = Window.partitionBy("rid", "kind", "strict").orderBy("k")
     end = F.sum(F.col("gap") + size).over(own)
-    m = F.col("match")
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    n = F.length(digits)
-    base = (F.col("strict") == 1) & (
-        F.when(F.col("kind") == 0, True).when(F.col("kind") == 1, m.rlike(VALID_IP)).when(F.col("kind") == 2, _luhn(digits)).otherwise(n.between(9, 15))
-    )
+    m, kind = F.col("match"), F.col("kind")
+    passes = F.when(kind == EMAIL, True).when(kind == IP, m.rlike(VALID_IP)).when(kind == CARD, _luhn(_digits(m))).otherwise(F.length(_digits(m)).between(9, 15))
+    announced = reduce(lambda a, k: F.when(kind == k, F.col("left").rlike(ANNOUNCE[KINDS[k]])).otherwise(a), range(len(KINDS)), F.lit(False))
+    placed = rows.select(
+        "rid", "doc_id", "kind", "strict", (end - size).cast("long").alias("start"), end.cast("long").alias("end"), F.coalesce((F.col("strict") == 1) & passes, F.lit(False)).alias("base"), "match",
+        *format_features(m, kind), _klass(F.right("left", F.lit(1))).cast("int").alias("before"), _klass(F.col("right")).cast("int").alias("after"), announced.cast("int").alias("announced"),
+        (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"),
+    )
     # base spans of the kind that start no later and reach in, or start later and before the end
     same = Window.partitionBy("rid", "kind")
     reach = F.max(F.when(F.col("base"), F.col("end"))).over(same.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
     ahead = F.min(F.when(F.col("base"), F.col("start"))).over(same.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
     overlap = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
-    marks = F.when((F.col("kind") == 0) & m.rlike(r"[(\[{](?:at|dot)[)\]}]"), 2).when((F.col("kind") == 2) & _luhn(digits), 3).otherwise(F.contains(m, F.lit("+")).cast("int"))
-    announced = reduce(lambda a, k: F.when(F.col("kind") == k, F.col("left").rlike(ANNOUNCE[KINDS[k]])).otherwise(a), range(4), F.lit(False))
-    return rows.select(
-        "rid", "doc_id", "kind", "strict", (end - size).cast("long").alias("start"), end.cast("long").alias("end"), F.coalesce(base, F.lit(False)).alias("base"),
-        F.least(F.expr("length(regexp_replace(match, '[^0-9]', '')) div 3"), F.lit(7)).cast("int").alias("digits"),
-        F.least(F.expr("length(match) div 6"), F.lit(6)).cast("int").alias("length"),
-        F.least(F.size(F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")), F.lit(5)).cast("int").alias("groups"),
-        _klass(F.right("left", F.lit(1))).cast("int").alias("before"), _klass(F.col("right")).cast("int").alias("after"),
-        announced.cast("int").alias("announced"), marks.cast("int").alias("marks"), F.least(F.length(F.regexp_replace(m, "[^.]", "")), F.lit(3)).cast("int").alias("dots"),
-        (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"),
-    ).withColumn("overlap", overlap)
-
-
-def _nothing() -> Column:
-    return F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("strict"), F.lit(0).alias("k"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("left"), F.lit("").alias("right")))
+    return placed.withColumn("overlap", overlap)
 
 
 Tree = tuple  # (feature, cut, low, high); a leaf is a float
@@ -138,7 +158,7 @@ def _best_split(rows: list[tuple], rest: float = 1.0) -> tuple[float, int, int]
 
     g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
     best = None
-    for f in range(len(FEATURES)):
+    for f in range(len(rows[0][0]) if rows else 0):
         sums: dict[int, list[float]] = {}
         for x, a, b in rows:
             own = sums.setdefault(x[f], [0.0, 0.0])
@@ -208,18 +228,40 @@ def margin(trees: list) -> Column:
     return reduce(lambda a, t: a + column(t), trees, F.lit(0.0))
 
 
+def examples(proposals: DataFrame) -> DataFrame:
+    """Features, label ``y``, ``held``, and ``free``: whether the example is a natural candidate that could be added."""
+    c, m, kind = F.col, F.col("match"), F.col("kind")
+    digits = F.length(_digits(m))
+    sound = F.when(kind == PHONE, digits.between(7, 15)).when(kind == CARD, digits.between(12, 19)).when(kind == SECRET, F.size(F.array_distinct(F.split(m, ""))) >= 8).otherwise(True)
+    label = c("overlap") | (c("marks").isin(2, 3)) | ((c("announced") == 1) & sound)
+    keep = ["kind", "strict", "before", "after", "announced", "held"]
+    natural = proposals.where("strict = 0").select(*FEATURES, label.cast("int").alias("y"), "held", (~c("overlap")).alias("free"))
+    # base spans and failed matches as they would be written to be overlooked
+    grouped = F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", "$1.")
+    veiled = (
+        F.when(kind == EMAIL, F.regexp_replace(F.regexp_replace(m, "@", " (at) "), r"\.(?=[A-Za-z0-9-]+$)", " (dot) "))
+        .when(kind == IP, F.regexp_replace(m, r"\.", "[.]")).when(kind == CARD, grouped).otherwise(F.regexp_replace(_digits(m), "([0-9]{3})(?=[0-9]{3})", "$1-"))
+    )
+    strict = proposals.where("strict = 1").select(*keep, veiled.alias("match"), c("base").cast("int").alias("y")).withColumn("strict", F.lit(0))
+    strict = strict.select(*keep, "y", *format_features(c("match"), kind)).select(*FEATURES, "y", "held", F.lit(False).alias("free"))
+    return natural.unionByName(strict)
+
+
 def fit(proposals: DataFrame) -> tuple[list, dict[int, float]]:
     """Trees and thresholds from the weak labels of all proposals."""
-    label = F.when(F.col("strict") == 1, F.col("base").cast("int")).otherwise((F.col("overlap") | (F.col("marks") >= 2) | (F.col("announced") == 1)).cast("int"))
-    free = (F.col("strict") == 0) & ~F.col("overlap")
-    rows = proposals.where(F.col("kind").isNotNull()).groupBy(*FEATURES, label.alias("y"), "held", free.alias("free")).count().collect()  # distinct small vectors
-    fold, addable = {True: [], False: []}, {True: [], False: []}
+    rows = examples(proposals.where(F.col("kind").isNotNull())).groupBy(*FEATURES, "y", "held", "free").count().collect()  # distinct small vectors
+    fold: dict[bool, dict] = {True: {}, False: {}}
+    addable: dict[bool, list] = {True: [], False: []}
     for r in rows:
-        own = (tuple(int(r[f]) for f in FEATURES), int(r["y"]), float(r["count"]))
-        fold[bool(r["held"])].append(own)
+        x, y, n = tuple(int(r[f]) for f in FEATURES), int(r["y"]), float(r["count"])
         if r["free"]:
-            addable[bool(r["held"])].append(own)
-    trees = boost(fold[False] or fold[True])
+            addable[bool(r["held"])].append((x, y, n))
+        for hidden in (None, *HIDDEN):
+            veiled = tuple(HIDDEN[f] if f == hidden else v for f, v in zip(FEATURES, x, strict=True))
+            own = fold[bool(r["held"])]
+            own[veiled, y] = own.get((veiled, y), 0.0) + n
+    train = [(x, y, n) for (x, y), n in sorted((fold[False] or fold[True]).items())]
+    trees = boost(train)
     return trees, thresholds(trees, addable[True] or addable[False])
 
 
@@ -249,14 +291,15 @@ def _listed(found: str) -> Column:
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row."""
+    """``doc_id``, numbers of base spans ``n_email, n_ip, n_card, n_phone``, ``base_sha256, spans``, and numbers of added ``n_secret, n_added`` of every row."""
     found = spans(df, id_col, text_col)
 
-    def number(k: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    def number(spans: str, k: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
 
-    numbers = [number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *numbers, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"))
+    numbers = [number("base", k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:SECRET])]
+    added = (F.size("all") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *numbers, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"), number("all", SECRET).alias("n_secret"), added)
 
 
 def redacted(text: Column, found: Column) -> Column:
