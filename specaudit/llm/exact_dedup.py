@@ -6,9 +6,13 @@ Fingerprints compose: ``F(XY) = F(X) * r**len(Y) + F(Y)``, so chunks can be hash
 any place and order and be put together by length-shifted sums.  Four 31-bit primes
 give 124 bits; the length is part of the key.
 
-Equal fingerprints are no proof, so rows that share one are compared chunk by chunk
-in a stream; a key with unequal texts (never seen with four primes) is regrouped by
-the texts themselves.
+A text of one chunk is hashed where it is read; chunks of longer ones are rows of their own, dealt to all tasks, and
+one short row a chunk is summed into the fingerprint, so the longest text costs no task more than its chunks' hashes.
+
+Equal fingerprints are no proof, so the texts of groups are compared chunk by chunk: for each key and chunk number Spark
+streams the chunks into their least and greatest, on each task first, and a key is refuted where these differ.  A hot group leaves each task
+as two chunks a number.  Texts are hashed once: their chunks are written beside the hashes and only those of groups are read again.
+A key with unequal texts (never seen with four primes) is regrouped by the texts' digests.
 
 Defined cases: a null text counts as empty; all texts without a visible character are
 equal; rows with a null id take part and lose ties to any other id; repeated rows (same id and text) form a group of which one
@@ -18,7 +22,6 @@ their names, are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import SPACES, keyed_text, materialize
+from specaudit.llm.common import SPACES, discard, keyed_text, materialize
 
 #: Four primes below 2**31 and a base for each.
 MODULI = ((2147483647, 1103515245), (2147483629, 742938285), (2147483587, 950706376), (2147483579, 1226874159))
 #: Bytes in a chunk: 2**16 products under 2**39 add up to less than 2**63.
 CHUNK = 1 << 16
-#: Texts of more code points than this are hashed as rows of chunks, on as many tasks as there are.
-HUGE = 1 << 22
 
 
 class Polynomial:
@@ -69,146 +70,96 @@ class Polynomial:
         return h
 
 
-def normal(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass").translate(None, SPACES)
-
-
 def packed(h: tuple[int, ...]) -> tuple[int, int]:
     """Residues as two non-negative 62-bit numbers."""
     h = (*h, 0, 0, 0, 0)[:4]
     return h[0] << 31 | h[1], h[2] << 31 | h[3]
 
 
+KEY = ["f1", "f2", "n_bytes"]
 FINGERPRINT = "f1 long, f2 long, n_bytes long"
 
 
-def _fingerprints(moduli, chunk, with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly = Polynomial(moduli, chunk)
-        for batch in batches:
-            rows = batch.to_pydict()
-            n_cp, sha, f1, f2, size = [], [], [], [], []
-            for text in rows["text"]:
-                data = normal(text)
-                n_cp.append(len(text))
-                sha.append(hashlib.sha256(data).hexdigest())
-                a, b = packed(poly.of(data))
-                f1.append(a)
-                f2.append(b)
-                size.append(len(data))
-            out = {k: batch.column(k) for k in batch.schema.names if k != "text"}
-            out |= {"n_cp": pa.array(n_cp, pa.int64()), "text_sha256": pa.array(sha, pa.string()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n_bytes": pa.array(size, pa.int64())}
-            if with_text:
-                out = {k: out[k] for k in ("f1", "f2", "n_bytes")} | {"doc_id": batch.column("doc_id"), "text": batch.column("text")}
-            yield pa.RecordBatch.from_pydict(out)
-
-    return run
-
+CHUNKS = f"rid long, doc_id long, n_cp long, text_sha256 string, k int, piece string, {FINGERPRINT}, h array<long>"
 
-def huge_fingerprints(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
-    """``rid, f1, f2, n_bytes`` of texts whose chunks are hashed as rows of their own.
 
-    A chunk of the raw text normalises to the same bytes within the whole, so each task
-    hashes its chunks alone; the number of bytes behind a chunk shifts its share, and the
-    shares of a text are summed by residue, in any order and with partial sums.
-    """
-    step = chunk // 4  # at most four bytes a code point
-    pieces = docs.select(
-        "rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / step).cast("int")), lambda k: F.substring(F.col("text"), k * step + 1, F.lit(step)))).alias("k", "piece")
-    ).repartition("rid", "k")
+def _hashed(moduli, chunk: int):
+    """Rows of chunks to the same with the chunk's own fingerprint."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly = Polynomial(moduli, chunk)
         for batch in batches:
-            rows = batch.to_pydict()
-            data = [normal(x) for x in rows["piece"]]
-            h = [poly.of_chunk(x) for x in data]
-            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "k": batch.column("k"), "size": pa.array([len(x) for x in data], pa.int64()), "h": pa.array([list(x) for x in h], pa.list_(pa.int64()))})
+            data = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column("piece")]
+            own = [poly.of_chunk(x) for x in data]
+            keys = [packed(x) for x in own]
+            more = [pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array([list(x) for x in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "f1", "f2", "n_bytes", "h"])
+
+    return run
 
-    shares = pieces.mapInArrow(hashed, "rid long, k int, size long, h array<long>")
 
-    # one short row a chunk: 16 bytes of hashes for 16 Ki code points of text
-    folded = shares.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "size", "h"))).alias("parts"))
+def _summed(moduli, chunk: int):
+    """A text's chunks in order to its fingerprint."""
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly = Polynomial(moduli, chunk)
         for batch in batches:
             out = {"rid": [], "f1": [], "f2": [], "n_bytes": []}
             for rid, parts in zip(batch.column("rid").to_pylist(), batch.column("parts").to_pylist(), strict=True):
                 h, n = (0,) * len(moduli), 0
                 for part in parts:
-                    h, n = poly.join(h, tuple(part["h"]), part["size"]), n + part["size"]
+                    h, n = poly.join(h, tuple(part["h"]), part["n_bytes"]), n + part["n_bytes"]
                 for k, v in zip(out, (rid, *packed(h), n), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    return folded.mapInArrow(summed, f"rid long, {FINGERPRINT}")
-
-
-def _streamed(more: bool):
-    """Rows of a key come in a row; each is compared with the key's first, chunk by chunk.  more: the first text goes on to another round."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"f1": pa.int64(), "f2": pa.int64(), "n_bytes": pa.int64(), "salt": pa.int64(), "text": pa.string(), "equal": pa.bool_()}
-        key, first = None, b""
-        for batch in batches:
-            rows = batch.to_pydict()
-            out = {k: [] for k in kinds}
-            for f1, f2, n, salt, text in zip(rows["f1"], rows["f2"], rows["n_bytes"], rows["salt"], rows["text"], strict=True):
-                data = normal(text)
-                is_first = (f1, f2, n, salt) != key
-                if is_first:
-                    key, first = (f1, f2, n, salt), data
-                same = is_first or all(data[k : k + CHUNK] == first[k : k + CHUNK] for k in range(0, max(len(data), len(first)), CHUNK))
-                if is_first and more or not same:
-                    for k, v in zip(out, (f1, f2, n, salt, text if is_first else None, same), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
-
     return run
 
 
-KEY = ["f1", "f2", "n_bytes"]
-
-
-def unequal_keys(texts: DataFrame, sizes: DataFrame, run: int = 64) -> DataFrame:
-    """Fingerprints under which ``texts`` (key, doc_id, text) holds more than one text.
-
-    Large groups are dealt out in runs of about ``run`` rows; a run's first row stands for it in
-    the next round, so no task gets more than a few runs however large a group is.
-    """
-    left = texts.join(sizes, KEY).withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, spread), greatest(1, cast(members / {run} as bigint)))"))
-    found = None
-    members = (sizes.agg(F.max("members")).first()[0] or 0) // run
-    while True:
-        dealt = left.repartition(*KEY, "salt").sortWithinPartitions(*KEY, "salt").select(*KEY, "salt", "text")
-        seen = materialize(dealt.mapInArrow(_streamed(members >= 1), f"{FINGERPRINT}, salt long, text string, equal boolean"), "exact-dedup-runs")
-        bad = seen.where("not equal").select(*KEY)
-        found = bad if found is None else found.union(bad)
-        if members < 1:
-            return found.distinct()
-        members //= run
-        left = seen.where("equal").withColumn("salt", F.expr(f"pmod(salt, {max(1, members)})"))
-
-
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, moduli=MODULI, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
+def hashed_chunks(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, text) to a row for each chunk; texts of several chunks have a negative ``rid``, and their chunks are dealt to all tasks."""
+    step = chunk // 4  # at most four bytes a code point
+    bare = F.translate("text", SPACES.decode(), "")
+    rows = docs.select("doc_id", F.length("text").cast("long").alias("n_cp"), bare.alias("bare")).withColumn("n", F.floor(F.greatest(F.length("bare") - 1, F.lit(0)) / step).cast("int"))
+    rows = rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_sha256", F.sha2("bare", 256))
+    single = rows.where("n = 0").select("rid", "doc_id", "n_cp", "text_sha256", F.lit(0).alias("k"), F.col("bare").alias("piece"))
+    pieces = F.transform(F.sequence(F.lit(0), "n"), lambda k: F.substring(F.col("bare"), k * step + 1, F.lit(step)))
+    several = rows.where("n > 0").select((-1 - F.col("rid")).alias("rid"), "doc_id", "n_cp", "text_sha256", F.posexplode(pieces).alias("k", "piece"))
+    parts = (single, several.repartition("rid", "k"))
+    one, more = (x.mapInArrow(_hashed(moduli, chunk), CHUNKS) for x in parts)
+    return materialize(one.unionByName(more), "exact-dedup-chunks")
+
+
+def fingerprints(chunks: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
+    """One row for each text: ``rid, doc_id, n_cp, text_sha256`` and its fingerprint."""
+    about = ["rid", "doc_id", "n_cp", "text_sha256"]
+    single = chunks.where("rid >= 0").select(*about, *KEY)
+    # one short row a chunk: 40 bytes for 16 Ki code points of text
+    parts = chunks.where("rid < 0").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "n_bytes", "h"))).alias("parts"))
+    long = chunks.where("rid < 0 and k = 0").select(*about).join(parts.mapInArrow(_summed(moduli, chunk), f"rid long, {FINGERPRINT}"), "rid")
+    return materialize(single.unionByName(long), "exact-dedup-rows")
+
+
+def unequal_keys(chunks: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Fingerprints of ``groups`` under which the chunks are not all equal, number by number."""
+    single = chunks.where("rid >= 0").select(*KEY, "k", "piece").join(groups, KEY, "left_semi")
+    members = rows.where("rid < 0").join(groups, KEY, "left_semi").select("rid", *KEY)
+    long = chunks.where("rid < 0").select("rid", "k", "piece").join(members, "rid").select(*KEY, "k", "piece")
+    ends = single.unionByName(long).groupBy(*KEY, "k").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
+    return ends.where("low <> high").select(*KEY).distinct()
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
     """One row for each row of ``df``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of rows with equal normalised texts the one with the most code points stays, then the
     one with the smallest id.
     """
-    docs = keyed_text(df, id_col, text_col)
-    spark = df.sparkSession
-    numbered = docs.withColumn("rid", F.monotonically_increasing_id())
-    schema = f"doc_id long, rid long, n_cp long, text_sha256 string, {FINGERPRINT}"
-    rows = materialize(numbered.where(F.length("text") <= huge).mapInArrow(_fingerprints(moduli, chunk, False), schema), "exact-dedup-rows")
-    big = materialize(numbered.where(F.length("text") > huge).withColumn("rid", -1 - F.col("rid")), "exact-dedup-huge")
-    if big.limit(1).count():
-        known = big.select("doc_id", "rid", F.length("text").cast("long").alias("n_cp"), F.sha2(F.translate("text", SPACES.decode(), ""), 256).alias("text_sha256"))
-        rows = materialize(rows.unionByName(known.join(huge_fingerprints(big, moduli, chunk), "rid")), "exact-dedup-rows")
-    sizes = materialize(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "exact-dedup-sizes")
-    texts = docs.mapInArrow(_fingerprints(moduli, chunk, True), f"{FINGERPRINT}, doc_id long, text string").withColumn("spread", F.monotonically_increasing_id())
-    bad = materialize(unequal_keys(texts, sizes), "exact-dedup-unequal")
+    chunks = hashed_chunks(keyed_text(df, id_col, text_col), moduli, chunk)
+    rows = fingerprints(chunks, moduli, chunk)
+    groups = materialize(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(*KEY), "exact-dedup-groups")
+    bad = materialize(unequal_keys(chunks, rows, groups), "exact-dedup-unequal")
+    discard(chunks, groups)
     klass = [*KEY, "part"]
     if bad.limit(1).count():
         # regroup by the texts: the digest stands for a text whose fingerprint collided
