@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,12 +40,30 @@ def known(c: Column) -> Column:
     return F.nullif(F.nullif(F.trim(c), F.lit("")), F.lit("unknown"))
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _replaced_if(signs: tuple[str, ...], pattern: str, by: str) -> Callable[[Column], Column]:
+    """Replacement that runs only where a plain search finds one of ``signs``."""
+
+    def body(x: Column) -> Column:
+        return F.when(reduce(lambda a, b: a | b, (F.contains(x, F.lit(s)) for s in signs)), F.regexp_replace(x, pattern, by)).otherwise(x)
+
+    return body
+
+
 def normalize_text(c: Column) -> Column:
     """Control characters and runs of blanks become one blank, at most one empty line stays between paragraphs."""
-    c = F.translate(c, "\x00\x08", "  ")
-    for pattern, by in ((r"[ \t]+", " "), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
-        c = F.regexp_replace(c, pattern, by)
-    return c
+    for control in "\x00\x08":
+        c = F.replace(c, F.lit(control), F.lit(" "))
+    for signs, pattern, by in ((("\t", "  "), r"[ \t]+", " "), (("\n ", "\n\t"), r"\n[ \t]+", "\n"), (("\n\n\n",), r"\n{3,}", "\n\n")):
+        c = let(c, _replaced_if(signs, pattern, by))
+    return F.btrim(c, F.lit(WHITE))
 
 
 def match_form(c: Column) -> Column:

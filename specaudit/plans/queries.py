@@ -488,9 +488,8 @@ _PROPOSALS = """p AS (SELECT corpus_idx, CASE WHEN corpus_idx % 7 = 0 THEN 'not
  (CASE WHEN corpus_idx % 7 = 1 THEN 99 ELSE 100 + corpus_idx % 300 END)::double AS raw, CASE WHEN corpus_idx % 7 = 2 THEN 'km/h' ELSE 'mm' END AS unit, CASE corpus_idx % 7 WHEN 3 THEN NULL WHEN 4 THEN '>=' ELSE '=' END AS cmp FROM chunk_v)"""
 
 
-@query(f"""WITH {fx.CHUNKS}, {_PROPOSALS} SELECT corpus_idx, CASE WHEN quote = '' THEN 'The model did not provide a verbatim evidence quote.' WHEN corpus_idx % 7 = 0 OR corpus_idx % 5 <> 1 THEN 'The claimed quote is not present in the cited retrieved chunk.'
- WHEN unit = 'km/h' THEN 'The extracted unit ''km/h'' is not a length unit for kerb height.' WHEN cmp IS NULL THEN 'The source relationship (minimum, maximum, exact, or range) was not identified.'
- WHEN raw = 99 THEN 'The numeric value and unit do not occur together in the verbatim quote.' WHEN cmp = '>=' THEN 'The comparator ''>='' is not supported by explicit normative wording in the evidence quote.' END AS error FROM p""")
+@query(f"""WITH {fx.CHUNKS}, {_PROPOSALS} SELECT corpus_idx, CASE WHEN quote = '' THEN 'no_quote' WHEN corpus_idx % 7 = 0 OR corpus_idx % 5 <> 1 THEN 'quote_not_in_passage'
+ WHEN unit = 'km/h' THEN 'not_a_length' WHEN cmp IS NULL THEN 'no_relation' WHEN raw = 99 THEN 'value_not_in_quote' WHEN cmp = '>=' THEN 'relation_not_stated' END AS error FROM p""")
 def evidence_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.chunks(spark, sf_dir)
     n, v = F.col("corpus_idx") % 7, 100 + F.col("corpus_idx") % 300

@@ -10,28 +10,44 @@ from specaudit.operators import chunking, corpus
 POLICY = "standard_id string, active_edition_year int, approved_sha256 array<string>, approved_sources array<string>, source_aliases array<string>"
 
 
-def test_prose_is_cut_alike_every_time():
+def parts_of(spark, page, size, overlap):
+    rows = chunking.split_pages(spark.createDataFrame([(page,)], "text string"), size=size, overlap=overlap).orderBy("part").collect()
+    assert [r.part for r in rows] == list(range(len(rows)))
+    return rows
+
+
+def test_prose_is_cut_alike_every_time(spark):
     page = "\n\n".join(f"{n}. Section\n" + " ".join(f"word{n}-{k}" for k in range(90)) + "." for n in range(6))
-    parts = chunking.Chunker(600, 80).parts(page)
-    assert parts == chunking.Chunker(600, 80).parts(page) and len(parts) > 2 and all(len(p["text"]) >= 40 for p in parts)
-    assert all(f"word{n}-{k}" in " ".join(p["text"] for p in parts) for n in range(6) for k in range(90))
+    parts = parts_of(spark, page, 600, 80)
+    assert parts == parts_of(spark, page, 600, 80) and len(parts) > 2 and all(len(p.text) >= 40 for p in parts)
+    assert all(f"word{n}-{k}" in " ".join(p.text for p in parts) for n in range(6) for k in range(90))
+    # a passage begins in the last 80 characters of the one before
+    assert all(q.text.split("\n\n")[0] in p.text[-80:] for p, q in zip(parts, parts[1:], strict=False))
 
 
-def test_tables_repeat_their_header_and_cover_each_row_once():
+def test_tables_repeat_their_header_and_cover_each_row_once(spark):
     page = "# 5 Widths\n\nTable 3 of lane widths\n| class | width |\n|---|---|\n" + "\n".join(f"| class number {k} with a good many words in its cell | {k}.5 m |" for k in range(1, 12)) + "\n\nAfter the table."
-    parts = [p for p in chunking.Chunker(400, 60).parts(page) if p["content_type"] == "table"]
-    assert len(parts) > 1 and len({p["table_id"] for p in parts}) == 1
-    assert all("| class | width |" in p["text"] and "Table: Table 3 of lane widths" in p["text"] and "Section: 5 Widths" in p["text"] for p in parts)
-    assert [k for p in parts for k in range(p["table_row_start"], p["table_row_end"] + 1)] == list(range(1, 12))
-    bare = chunking.Chunker(400, 60).parts("| a column that is wide | b column that is wide |\n|---|---|")
-    assert [(p["table_row_start"], p["table_row_end"]) for p in bare] == [(0, 0)]
+    parts = [p for p in parts_of(spark, page, 400, 60) if p.content_type == "table"]
+    assert len(parts) > 1 and len({p.table_id for p in parts}) == 1 and all(len(p.text) <= 540 for p in parts)
+    assert all(p.text.startswith("Section: 5 Widths\nTable: Table 3 of lane widths\n| class | width |\n|---|---|\n") for p in parts)
+    assert [k for p in parts for k in range(p.table_row_start, p.table_row_end + 1)] == list(range(1, 12))
+    bare = parts_of(spark, "| a column that is wide | b column that is wide |\n|---|---|", 400, 60)
+    assert [(p.table_row_start, p.table_row_end) for p in bare] == [(0, 0)]
+
+
+def test_only_ruled_blocks_of_rows_are_tables(spark):
+    filler = "words that make a passage long enough to stay in the index"
+    page = f"{filler}\n| a | b |\n| c | d |\n\n2.1 Numbered heading\n{filler}\n|---|---|\n\n|| x | y ||\n||:---|---:||\n| {filler} | 1 |\nAnnex A\n| p | q | r |\n|---|---|---|\n| {filler} | 2 | 3 |\n\n"
+    parts = parts_of(spark, page, 400, 60)
+    assert [(p.content_type, p.table_header, p.table_caption) for p in parts] == [("prose", None, None), ("table", "|| x | y ||\n||:---|---:||", None), ("table", "| p | q | r |\n|---|---|---|", "Annex A")]
+    assert all(p.text.startswith("Section: 2.1 Numbered heading\n") for p in parts[1:]) and "| c | d |" in parts[0].text and "|---|---|" in parts[0].text
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_no_word_of_long_prose_is_lost(seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_no_word_of_long_prose_is_lost(spark, seed):
     rng = random.Random(seed)
     words = [f"w{k}" + "x" * rng.randrange(12) + rng.choice(["", ".", ";", "\n"]) for k in range(900)]
-    text = " ".join(p["text"] for p in chunking.Chunker(500, 100).parts(" ".join(words)))
+    text = " ".join(p.text for p in parts_of(spark, " ".join(words), 500, 100))
     assert all(w.strip() in text for w in words)
 
 

@@ -64,7 +64,7 @@ def test_retrieve_rules_audit_evaluate(spark, engine):
     rule_rows = engine.rules(asked, hits).where("context_id = 'c1'").withColumn("route_id", F.lit("c1"))
     sheet = spark.createDataFrame([("c1", "1", "N: 17.1 E: 78.2", "2", "1", "2", "3.6, 3.4")], "route_id string, `Timestamp (sec)` string, `Raw OCR Text` string, `Expected Total Lanes` string, `Centre Lanes Detected` string, `Shoulder Lanes Detected` string, `Tracked Lane Widths (m)` string")
     row = engine.audit(sheet, rule_rows, contexts(spark).withColumn("route_id", F.col("request_id"))).first()
-    assert row.Overall_Severity == "LOW SEVERITY" and "Widen Lane 2 by at least 0.1 m" in row.Professional_Suggestions and "PROVISIONAL" in row.Lane_Width_Status
+    assert row.Overall_Severity == "LOW SEVERITY" and "Lane 2: widen by 0.1 m" in row.Professional_Suggestions and "PROVISIONAL" in row.Lane_Width_Status
     kinds = spark.createDataFrame([], readers.GOLD).schema
     case = {"case_id": "c1", "metric_key": "min_lane_width", "expected_status": "found", "expected_value_m": 3.5, "expected_comparator": ">=", "expected_quote": "minimum traffic lane width shall be 3.5 m", "expected_standard_id": "irc:sp:84", "expected_edition_year": 2019, "expected_page": 2}
     s = engine.evaluate(spark.createDataFrame([tuple(case.get(n) for n in kinds.names)], kinds), contexts(spark)).first()
@@ -77,7 +77,7 @@ def test_strict_mode_abstains_and_a_model_never_decides(spark, engine):
     asked = strict.requests(contexts(spark), ["min_lane_width"])
     hits = strict.retrieve(asked)
     got = {r.request_id: r for r in strict.rules(asked, hits).collect()}["c1|min_lane_width"]
-    assert got.status == "ambiguous" and got.value_m == 3.5 and "not reviewer-verified" in got.reason
+    assert got.status == "ambiguous" and got.value_m == 3.5 and "unverified source" in got.reason
     asked = strict.requests(contexts(spark), ["min_concrete_barrier_height"])
     lies = lambda metric, ctx, evidence: {"status": "found", "evidence_id": "E-x", "quote": "9 m", "raw_value": 9.0, "raw_unit": "m", "comparator": ">="}
     strict.model = lies
