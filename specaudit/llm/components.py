@@ -35,6 +35,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         now = after
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = materialize(out, "components")
+            discard(now)
+            return out
         mark = seen
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

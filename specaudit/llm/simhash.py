@@ -4,16 +4,20 @@ Fingerprints are leaves of a binary trie.  A pair of nodes of equal depth carrie
 of bits in which their paths differ; its children are the up to four pairs of their
 children, and a pair whose bits exceed the Hamming budget is dropped with all below it.
 
-Distribution.  The top of the trie is cut into subtrees ("blocks") of at most ``BLOCK`` fingerprints,
-deeper where fingerprints crowd; block pairs within the budget are found by walking the same
-rule over block paths, and each pair of blocks is joined in one task over two sorted arrays.
+Distribution.  Two keys that differ in at most ``budget`` bits agree in one of ``budget + 1`` segments, so each key stands in as many
+tries, each with another segment turned to the top, and a trie is cut at that segment into subtrees ("blocks") that are joined with
+themselves alone: a fingerprint travels ``budget + 1`` times, whatever their number.  A crowded block is cut
+deeper, and then its parts are paired by the same rule over their paths; each pair of blocks is joined in one task over two sorted arrays.
 A task returns a spanning forest of the links it finds, so a dense group never becomes all
 its pairs; components then run over distinct fingerprints only.
 
+Near-duplicates by similarity (:func:`near_duplicate_survivors`) take links of several tries and of min-wise bands as
+proposals; texts of a proposed class are then compared as sets of shingles.  Texts travel compressed, and only those of proposed classes become sets.
+
 Defined cases: a null text counts as empty; no words gives fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle; rows with a null id are linked like others
 and never name a component that has another id; repeated rows share a component; an empty
-table gives an empty result.
+table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,14 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import arrow_map, keyed_text, materialize, total_cores
+from specaudit.llm.common import arrow_map, discard, keyed_text, materialize, total_cores
 from specaudit.llm.components import connected_components
 
-#: Fingerprints in a block, at most (a few times more where a path ends).
-BLOCK = 1 << 14
+#: Fingerprints in a block on average, at least; a block of more than ``CROWD`` is cut deeper, down to where a path ends.
+BLOCK, CROWD = 1 << 10, 1 << 15
+#: Fingerprints that a task joins, about.
+TASK = 1 << 17
 #: Node pairs that are walked at once, and fingerprint pairs compared at once.
 WALK = 1 << 15
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -98,29 +105,41 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int, seed: int, lengths: int = 1, sets: bool = False) -> DataFrame:
     """(doc_id, text, ...) to the same without text and with ``s0 ..``: 64 fingerprint bits each, as signed longs.
 
-    sets: each shingle counts once, and ``shingles`` (sorted, 8 bytes each), ``same`` (their digest) and ``bands`` are added.
+    sets: each shingle counts once, and ``same`` (a digest of the set), ``bands`` and ``packed`` (the text, compressed) are added.
     """
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, own, same, bands = [[] for _ in range(lengths)], [], [], []
+        found, same, bands, packed = [[] for _ in range(lengths)], [], [], []
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for text in batch.column("text").to_pylist():
             h = shingle_hashes(text, words, seed)
             if sets:
                 h = np.unique(h)
-                own.append(h.astype("<u8").tobytes())
-                same.append(xxhash.xxh3_128_digest(own[-1]))
+                same.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
                 bands.append(band_keys(h))
+                packed.append(squeeze(text.encode("utf-8", "surrogatepass")))
             for k in range(lengths):
                 found[k].append(signed(majority(remixed(h, k))))
-        more = {"shingles": pa.array(own, pa.binary()), "same": pa.array(same, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))} if sets else {}
+        more = {"same": pa.array(same, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "packed": pa.array(packed, pa.binary())} if sets else {}
         return pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {f"s{k}": pa.array(x, pa.int64()) for k, x in enumerate(found)} | more)
 
     kinds = dict(docs.dtypes)
-    more = ["shingles binary", "same binary", "bands array<long>"] if sets else []
+    more = ["same binary", "bands array<long>", "packed binary"] if sets else []
     return arrow_map(docs, run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"s{k} long" for k in range(lengths)] + more))
 
 
+def shingle_sets(members: DataFrame, words: int, seed: int) -> DataFrame:
+    """``group, item, packed`` to ``group, item, shingles``: sorted hashes, 8 bytes each."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor().decompress
+        own = [np.unique(shingle_hashes(unpack(x.as_py()).decode("utf-8", "surrogatepass"), words, seed)).astype("<u8").tobytes() for x in batch.column("packed")]
+        return pa.RecordBatch.from_arrays([batch.column("group"), batch.column("item"), pa.array(own, pa.binary())], names=["group", "item", "shingles"])
+
+    return arrow_map(members.select("group", "item", "packed"), run, "group long, item long, shingles binary")
+
+
 class Forest:
     """Labels of a task's items; links between items of one label are not needed any more."""
 
@@ -234,68 +253,69 @@ def join_blocks(key_a, sig_a, key_b, sig_b, bits: int, budget: int, total: int)
     return moved, forest.label[moved]
 
 
-def _masks(bits: int, budget: int) -> list[int]:
-    out, now = [0], [0]
-    for _ in range(budget):
-        now = sorted({m | 1 << k for m in now for k in range(bits) if not m >> k & 1})
-        out += now
-    return sorted(set(out))
+def segments(width: int, budget: int) -> list[tuple[int, int]]:
+    """``(bits to turn left, bits of the segment)`` of ``budget + 1`` segments that make up a key."""
+    ends = [width * k // (budget + 1) for k in range(budget + 2)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def trie_links(sigs: DataFrame, tables: list[tuple[int, int, int]], budget: int, total: int, block: int = BLOCK) -> DataFrame:
+def trie_links(sigs: DataFrame, tables: list[tuple[int, int, int]], budget: int, total: int, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """``a, b``: links that connect all fingerprints within the budgets.
 
     sigs: distinct fingerprints ``rep, s0, ..``.  tables: (word, lowest bit, number of bits) of each
-    trie's keys.  A pair links if its keys differ in at most ``budget`` bits in some trie and all
+    key.  A pair links if its keys differ in at most ``budget`` bits in some table and all
     words in at most ``total``.
     """
     spark = sigs.sparkSession
     words = [c for c in sigs.columns if c != "rep"]
     n = sigs.count()
-    n_bits = {bits for _, _, bits in tables}
-    assert len(n_bits) == 1, "tries of one depth"
-    (bits,) = n_bits
-    top = min(bits - 1, 20, max(0, math.ceil(math.log2(max(1, n) / block))))
-    keyed = None
-    for t, (word, low, width) in enumerate(tables):
-        # the key's bits, highest first: path of the block above, rest below
-        key = F.expr(f"shiftrightunsigned(s{word}, {low})") if width == 64 else F.expr(f"shiftrightunsigned(s{word}, {low}) & {(1 << width) - 1}L")
-        own = sigs.select(F.lit(t).alias("t"), "rep", *words, key.alias("key"))
-        keyed = own if keyed is None else keyed.union(own)
+    (bits,) = {width for _, _, width in tables}  # tries of one depth
+    turns = segments(bits, budget)
+    top = min(min(size for _, size in turns), max(0, math.ceil(math.log2(max(1, n) / block))))
+    # one block holds all pairs, whatever is on top
+    tries = [(*table, turn) for table in tables for turn, _ in (turns if top else turns[:1])]
+
+    def key_of(trie: Column) -> Column:
+        """The bits of a trie's key, turned, as a signed long."""
+        out = F.lit(0).cast("long")
+        for t, (word, low, width, turn) in enumerate(tries):
+            if width == 64:
+                own = F.expr(f"(shiftleft(s{word}, {turn}) | shiftrightunsigned(s{word}, {64 - turn}))" if turn else f"s{word}")
+            else:
+                mask = (1 << width) - 1
+                own = F.expr(f"shiftrightunsigned(s{word}, {low}) & {mask}L")
+                own = F.expr(f"((shiftrightunsigned(s{word}, {low}) & {mask}L) << {turn} & {mask}L) | shiftrightunsigned(shiftrightunsigned(s{word}, {low}) & {mask}L, {width - turn})") if turn else own
+            out = F.when(trie == t, own).otherwise(out)
+        return out
+
+    keyed = sigs.select(F.explode(F.array(*(F.lit(t) for t in range(len(tries))))).alias("t"), "rep", *words).withColumn("key", key_of(F.col("t")))
 
     def path(depth) -> str:
         return f"cast(shiftrightunsigned(key, {bits} - {depth}) as bigint)" if depth else "0L"
 
     # blocks that crowd are cut deeper, 3 bits at a time, by counts alone
-    settled, depth = [], top
-    open_ = keyed.select("t", "rep", *words, "key")
+    settled, depth, written = [], top, []
+    open_ = keyed
     while True:
         blocks = open_.groupBy("t", F.expr(path(depth)).alias("path")).agg(F.count(F.lit(1)).alias("size"))
         fine = materialize(blocks, "trie-blocks")
-        crowded = fine.where(f"size > {4 * block}")
+        written.append(fine)
+        crowded = fine.where(f"size > {crowd}")
         if depth + 3 >= bits or not crowded.limit(1).count():
-            settled.append((depth, open_, fine))
+            settled.append((depth, open_, None if depth == top else fine))
             break
-        settled.append((depth, open_, fine.where(f"size <= {4 * block}")))
+        settled.append((depth, open_, fine.where(f"size <= {crowd}")))
         open_ = open_.withColumn("path", F.expr(path(depth))).join(crowded.select("t", "path"), ["t", "path"]).drop("path")
         depth += 3
     blobs = None
     for d, rows, own in settled:
-        gathered = rows.withColumn("path", F.expr(path(d))).join(own.select("t", "path"), ["t", "path"], "left_semi").groupBy("t", "path").agg(F.collect_list(F.struct("rep", *words)).alias("items")).withColumn("depth", F.lit(d))
+        rows = rows.withColumn("path", F.expr(path(d)))
+        rows = rows if own is None else rows.join(own.select("t", "path"), ["t", "path"], "left_semi")
+        gathered = rows.groupBy("t", "path").agg(F.collect_list(F.struct("rep", *words)).alias("items")).withColumn("depth", F.lit(d))
         blobs = gathered if blobs is None else blobs.union(gathered)
-    # a block's array holds 4 * BLOCK items at most, or what one path of all bits has
+    # a block's array holds ``crowd`` items at most, or what one path of all bits has
     blobs = materialize(blobs.withColumn("above", F.expr(f"cast(shiftrightunsigned(path, depth - {top}) as bigint)")).withColumn("block", F.xxhash64("t", "path", "depth")), "trie-items")
-    heads = blobs.select("t", "path", "depth", "above", "block")
-    near = heads.withColumn("other", F.explode(F.array(*(F.lit(m).cast("long") for m in _masks(top, budget))))).withColumn("above", F.expr("above ^ other")).drop("other")
-    other = heads.select("t", "above", *(F.col(c).alias(f"{c}2") for c in ("path", "depth", "block")))
-    pairs = near.join(other, ["t", "above"]).where(
-        F.expr(f"bit_count(shiftrightunsigned(path, depth - least(depth, depth2)) ^ shiftrightunsigned(path2, depth2 - least(depth, depth2))) <= {budget}") & F.expr("(depth, path) <= (depth2, path2)")
-    )
-    pairs = materialize(pairs.select("t", "block", "block2"), "trie-pairs")
-    n_pairs = pairs.count()
-    items = blobs.select("block", "items")
-    joined = pairs.join(items, "block").join(items.select(F.col("block").alias("block2"), F.expr("items").alias("items2")), "block2")
-    joined = joined.repartition(max(2 * total_cores(spark), n_pairs // 4), "block", "block2")
+    discard(*written)
 
     def arrays(value) -> tuple[np.ndarray, np.ndarray]:
         # a ListScalar of structs
@@ -305,25 +325,51 @@ def trie_links(sigs: DataFrame, tables: list[tuple[int, int, int]], budget: int,
         return rep, sig
 
     def keys(sig: np.ndarray, t: int) -> np.ndarray:
-        word, low, width = tables[t]
+        word, low, width, turn = tries[t]
         k = sig[:, word] >> np.uint64(low)
+        if width < 64:
+            k = k & np.uint64((1 << width) - 1)
+        if turn:
+            k = (k << np.uint64(turn)) | (k >> np.uint64(width - turn))
         return k if width == 64 else k & np.uint64((1 << width) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                t = batch.column("t")[k].as_py()
-                same = batch.column("block")[k].as_py() == batch.column("block2")[k].as_py()
-                rep, sig = arrays(batch.column("items")[k])
-                if same:
-                    i, j = join_blocks(keys(sig, t), sig, None, None, bits, budget, total)
-                else:
-                    rep2, sig2 = arrays(batch.column("items2")[k])
-                    i, j = join_blocks(keys(sig, t), sig, keys(sig2, t), sig2, bits, budget, total)
-                    rep = np.concatenate([rep, rep2])
+            for t, value in zip(batch.column("t").to_pylist(), batch.column("items"), strict=True):
+                rep, sig = arrays(value)
+                i, j = join_blocks(keys(sig, t), sig, None, None, bits, budget, total)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(rep[i], pa.int64()), "b": pa.array(rep[j], pa.int64())})
 
-    return joined.select("t", "block", "block2", "items", "items2").mapInArrow(run, "a long, b long")
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, left, right in zip(batch.column("t").to_pylist(), batch.column("items"), batch.column("items2"), strict=True):
+                (rep, sig), (rep2, sig2) = arrays(left), arrays(right)
+                i, j = join_blocks(keys(sig, t), sig, keys(sig2, t), sig2, bits, budget, total)
+                both = np.concatenate([rep, rep2])
+                yield pa.RecordBatch.from_pydict({"a": pa.array(both[i], pa.int64()), "b": pa.array(both[j], pa.int64())})
+
+    parts = max(2 * total_cores(spark), n * len(tries) // TASK)
+    links = blobs.select("t", "items", "block").repartition(parts, "block").select("t", "items").mapInArrow(within, "a long, b long")
+    links = materialize(links, "trie-links")
+    if len(settled) > 1:
+        heads = blobs.select("t", "path", "depth", "above", "block")
+        other = heads.select("t", "above", *(F.col(c).alias(f"{c}2") for c in ("path", "depth", "block")))
+        pairs = heads.join(other, ["t", "above"]).where(
+            F.expr(f"bit_count(shiftrightunsigned(path, depth - least(depth, depth2)) ^ shiftrightunsigned(path2, depth2 - least(depth, depth2))) <= {budget}") & F.expr("(depth, path) < (depth2, path2)")
+        )
+        pairs = materialize(pairs.select("t", "block", "block2"), "trie-pairs")
+        n_pairs = pairs.count()
+        if n_pairs:
+            items = blobs.select("block", "items")
+            joined = pairs.join(items, "block").join(items.select(F.col("block").alias("block2"), F.expr("items").alias("items2")), "block2")
+            joined = joined.repartition(max(2 * total_cores(spark), n_pairs // 4), "block", "block2").select("t", "items", "items2")
+            more = materialize(joined.mapInArrow(between, "a long, b long"), "trie-links")
+            both = materialize(links.union(more), "trie-links")
+            discard(links, more)
+            links = both
+        discard(pairs)
+    discard(blobs)
+    return links
 
 
 def _digest(text: Column) -> Column:
@@ -332,7 +378,7 @@ def _digest(text: Column) -> Column:
 
 def band_links(items: DataFrame) -> DataFrame:
     """``a, b``: each of ``item, bands`` with the least item that shares a band."""
-    keyed = materialize(items.select("item", F.explode("bands").alias("key")), "simhash-bands")
+    keyed = items.select("item", F.explode("bands").alias("key"))
     first = materialize(keyed.groupBy("key").agg(F.min("item").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "simhash-bands-first")
     return keyed.join(first, "key").where("item <> least").select(F.col("item").alias("a"), F.col("least").alias("b")).distinct()
 
@@ -392,24 +438,35 @@ def exact_links(members: DataFrame, least: float) -> DataFrame:
     leaders = members.join(chosen, "item", "left_semi").groupBy("group").agg(F.collect_list(F.struct("item", "shingles")).alias("leaders"))
     leaders = materialize(leaders, "simhash-leaders")
     links = materialize(members.join(leaders, "group").select("item", "shingles", "leaders").mapInArrow(with_leaders, "a long, b long"), "simhash-leader-links")
+    discard(leaders)
     # in classes no larger than the leaders all pairs are done
     large = materialize(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEADERS), "simhash-large")
     if not large.limit(1).count():
+        discard(large)
         return links
     labels = connected_components(links)
-    open_ = members.join(large, "group").join(labels, F.col("item") == F.col("node"), "left").select("group", "n", "item", F.coalesce("component", "item").alias("label"), "shingles")
+    open_ = members.select("group", "item").join(large, "group").join(labels, F.col("item") == F.col("node"), "left").select("group", "n", "item", F.coalesce("component", "item").alias("label"))
     open_ = materialize(open_, "simhash-labelled")
     sizes = open_.groupBy("group", "label").agg(F.count(F.lit(1)).alias("own"), F.first("n").alias("n"))
     main = materialize(sizes.groupBy("group").agg(F.max(F.struct("own", "label", "n")).alias("x")).where("x.own < x.n").select("group", F.col("x.label").alias("main"), (F.col("x.n") - F.col("x.own")).alias("others")), "simhash-main")
-    rows = open_.join(main, "group")
+    discard(large, labels)
+    if not main.limit(1).count():
+        discard(open_, main)
+        return links
+    # sets travel again only in classes that the leaders have not joined
+    rows = materialize(open_.join(main, "group").join(members.select("item", "shingles"), "item"), "simhash-open")
+    discard(open_, main)
 
     def chunks(own: DataFrame, size: str, name: str) -> DataFrame:
         chunk = F.expr(f"pmod(xxhash64(item), ceil({size} / {CHUNK}))")
         return materialize(own.groupBy("group", chunk.alias("chunk")).agg(F.collect_list(F.struct("item", "label", "shingles")).alias(name)).drop("chunk"), f"simhash-{name}")
 
     # a pair of unequal labels has an end outside the class's main label
-    pairs = chunks(rows.where("label <> main"), "others", "left").join(chunks(rows, "n", "right"), "group")
-    return links.union(materialize(pairs.select("left", "right").mapInArrow(of_chunks, "a long, b long"), "simhash-chunk-links"))
+    left, right = chunks(rows.where("label <> main"), "others", "left"), chunks(rows, "n", "right")
+    found = materialize(left.join(right, "group").select("left", "right").mapInArrow(of_chunks, "a long, b long"), "simhash-chunk-links")
+    both = materialize(links.union(found), "simhash-exact-links")
+    discard(rows, left, right, links, found)
+    return both
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, budget: int = 2, tables: list[tuple[int, int, int]] | None = None, total: int | None = None, lengths: int = 1, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
@@ -420,25 +477,31 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = keyed_text(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).withColumn("digest", _digest(F.col("text")))
     sigs = [f"s{k}" for k in range(lengths)]
     rows = materialize(fingerprints(docs, words, seed, lengths, similarity is not None), "simhash-rows")
-    keys = sigs if similarity is None else [*sigs, "same"]
+    keys = sigs if similarity is None else ["same"]
     # null ids: a class without any other id keeps a null name; numbers below every id stand in while links are followed
-    own = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min("row").alias("rep"))
+    own = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min("row").alias("rep"), *(F.first(s).alias(s) for s in sigs if s not in keys))
     distinct = materialize(own, "simhash-distinct")
-    links = materialize(trie_links(distinct.select("rep", *sigs), tables or [(0, 0, 64)], budget, budget if total is None else total, block), "simhash-links")
+    links = trie_links(distinct.select("rep", *sigs), tables or [(0, 0, 64)], budget, budget if total is None else total, block)
     if similarity is not None:
-        items = rows.join(distinct.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "item")
-        proposed = connected_components(links.union(band_links(items.select("item", "bands"))))
-        members = items.join(proposed, F.col("item") == F.col("node")).select(F.col("component").alias("group"), "item", "shingles")
-        links = exact_links(materialize(members, "simhash-members"), similarity)
+        items = rows.join(distinct.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("item"), "bands")
+        proposals = materialize(links.union(band_links(items)), "simhash-proposals")
+        proposed = connected_components(proposals)
+        # texts of proposed classes alone
+        texts = rows.select("row", "packed").join(proposed, F.col("row") == F.col("node")).select(F.col("component").alias("group"), F.col("row").alias("item"), "packed")
+        members = materialize(shingle_sets(texts, words, seed), "simhash-members")
+        discard(links, proposals, proposed)
+        links = exact_links(members, similarity)
+        discard(members)
     groups = connected_components(links)
     named = distinct.join(groups, distinct["rep"] == groups["node"], "left").select(*keys, "least", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "simhash-named")
     # written as well, so that the join by component stands alone
     names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-names")
+    discard(links, groups, distinct)
     classes = named.join(names, "component").select(*keys, "component_id", F.col("component").alias("class"))
-    if similarity is None:
-        return rows.join(classes, keys)
-    return rows.drop("shingles", "bands").join(classes, keys).drop("same")
+    out = rows.select("doc_id", "row", "digest", *sigs, *(k for k in keys if k not in sigs)).join(classes, keys).drop("same")
+    out._reads = (rows, named, names)
+    return out
 
 
 def simhash_query(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
@@ -450,7 +513,7 @@ def simhash_query(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: Near-duplicates: five-word shingles, Jaccard similarity 0.8 or more, checked on the sets.  Texts of similarity 0.8
 #: differ in a share acos(2*0.8/1.8)/pi = 0.151 of their bits, 29 +- 5 of 192: six tries of 32 bits each with 3 to spare propose pairs
 #: of up to 45 bits, and the bands propose what the tries miss.
-NEAR = {"words": 5, "seed": 42, "budget": 3, "tables": [(k, low, 32) for k in range(3) for low in (0, 32)], "total": 45, "lengths": 3, "block": 1 << 16, "similarity": 0.8}
+NEAR = {"words": 5, "seed": 42, "budget": 3, "tables": [(k, low, 32) for k in range(3) for low in (0, 32)], "total": 45, "lengths": 3, "similarity": 0.8}
 
 
 def near_duplicate_survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -460,16 +523,20 @@ def near_duplicate_survivors(df: DataFrame, id_col: str = "doc_id", text_col: st
     """
     how = NEAR | how
     # both sides written, so the join stands alone and AQE can split a large class
-    marks = materialize(simhash_components(df, id_col, text_col, **how).select("doc_id", "digest", "row", "class"), "simhash-marks")
+    found = simhash_components(df, id_col, text_col, **how)
+    marks = materialize(found.select("doc_id", "digest", "row", "class"), "simhash-marks")
+    discard(*found._reads)
     first = materialize(marks.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("x")), "simhash-first")
-    verdict = materialize(marks.join(first, "class").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("row") != F.col("x.row")).alias("gone")), "simhash-verdict")
-    gone = verdict.where("gone").select("__id", "__digest").distinct()
-    kept = verdict.where("not gone").select(F.col("__id").alias("__id2"), F.col("__digest").alias("__digest2"))
-    again = materialize(gone.join(kept, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__digest") == F.col("__digest2")), "left_semi"), "simhash-repeated")
-    keyed = df.withColumn("__key_id", df[id_col].cast("long")).withColumn("__key_digest", _digest(df[text_col]))
-    same = F.col("__key_id").eqNullSafe(F.col("__id")) & (F.col("__key_digest") == F.col("__digest"))
-    if not again.limit(1).count():
-        return keyed.join(gone, same, "left_anti").select(*(keyed[c] for c in df.columns))
+    verdict = materialize(marks.join(first, "class").select("doc_id", "digest", (F.col("row") != F.col("x.row")).alias("gone")), "simhash-verdict")
+    discard(marks, first)
+    gone = verdict.where("gone").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    kept = verdict.where("not gone").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    again = materialize(gone.join(kept, F.col("gone_id").eqNullSafe(F.col("kept_id")) & (F.col("gone_digest") == F.col("kept_digest")), "left_semi"), "simhash-repeated")
+    # the input's columns travel by number, so none of their names can clash
+    names = [f"c{k}" for k in range(len(df.columns))]
+    keyed = df.select(df[id_col].cast("long").alias("id"), _digest(df[text_col]).alias("digest"), *(df[c].alias(n) for c, n in zip(df.columns, names, strict=True)))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
     single = keyed.join(gone, same, "left_anti")
-    repeated = keyed.join(again, same, "left_semi").dropDuplicates(["__key_id", "__key_digest"])
-    return single.unionByName(repeated).drop("__key_id", "__key_digest")
+    if again.limit(1).count():
+        single = single.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["id", "digest"]))
+    return single.select(*names).toDF(*df.columns)
