@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -174,16 +175,29 @@ def travel_bearing(geometry: Column, oneway: Column) -> Column:
 def opposite_carriageways(ways: DataFrame, most_m: float = 80.0) -> DataFrame:
     """``way_id, other_id, metres``: nearest one-way way of the same road that runs the other way close by.
 
-    ways: ``way_id, highway, ref, name, oneway, geometry``.  Roads are matched on their key, never all against all.
+    ways: ``way_id, highway, ref, name, oneway, geometry``.  Vertices are posted to grid cells of about ``most_m``, and a vertex meets
+    only those of its road in its own and the eight cells beside it, so a long road costs its length and not its square.  Roads do not cross the antimeridian.
     """
     squeezed = lambda c: F.lower(F.regexp_replace(F.trim(F.coalesce(F.col(c), F.lit(""))), r"\s+", "" if c == "ref" else " "))
     road = F.when(squeezed("ref") != "", F.concat(F.lit("r:"), squeezed("ref"))).when(squeezed("name") != "", F.concat(F.lit("n:"), squeezed("name")))
-    one = ways.where(is_oneway(F.col("oneway")) & (F.size("geometry") >= 2)).select("way_id", F.coalesce("highway", F.lit("")).alias("highway"), road.alias("road"), travel_bearing(F.col("geometry"), F.col("oneway")).alias("b"), "geometry").where("road is not null")
-    two = one.select("highway", "road", F.col("way_id").alias("other_id"), F.col("b").alias("b2"), F.col("geometry").alias("g2"))
-    pairs = one.join(two, ["highway", "road"]).where((F.col("way_id") != F.col("other_id")) & (geo.heading_difference(F.col("b2"), F.col("b")) >= 120.0))
-    gap = F.array_min(F.transform("geometry", lambda p: F.array_min(F.transform("g2", lambda q: geo.distance_m(p["lat"], p["lon"], q["lat"], q["lon"])))))
-    near = pairs.withColumn("metres", F.round(gap, 6)).where(F.col("metres") <= most_m)
-    return near.groupBy("way_id").agg(F.min(F.struct("metres", "other_id")).alias("b")).select("way_id", F.col("b.other_id").alias("other_id"), F.col("b.metres").alias("metres"))
+    one = ways.where(is_oneway(F.col("oneway")) & (F.size("geometry") >= 2)).select("way_id", F.coalesce("highway", F.lit("")).alias("highway"), road.alias("road"), travel_bearing(F.col("geometry"), F.col("oneway")).alias("b"), F.explode("geometry").alias("p")).where("road is not null")
+    # cells are as wide as the distance on the ground at the vertex's own latitude, and a little more
+    step = math.degrees(most_m / geo.EARTH_M) * 1.01
+    row = F.floor(F.col("p.lat") / step)
+    spots = one.withColumn("y", row.cast("long")).withColumn("p_lat", F.col("p.lat")).withColumn("p_lon", F.col("p.lon")).drop("p")
+
+    def column_at(y: Column) -> Column:
+        # one width for a whole row of cells: the widest in it, at its edge away from the equator
+        edge = F.greatest(F.abs(y * step), F.abs((y + 1) * step))
+        return F.floor(F.col("p_lon") / (step / F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.01)))).cast("long")
+
+    near = F.array(*(F.struct((F.col("y") + dy).alias("y"), (column_at(F.col("y") + dy) + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    left = spots.withColumn("cell", F.explode(near))
+    right = spots.select("highway", "road", F.struct("y", column_at(F.col("y")).alias("x")).alias("cell"), F.col("way_id").alias("other_id"), F.col("b").alias("b2"), F.col("p_lat").alias("q_lat"), F.col("p_lon").alias("q_lon"))
+    pairs = left.join(right, ["highway", "road", "cell"]).where((F.col("way_id") != F.col("other_id")) & (geo.heading_difference(F.col("b2"), F.col("b")) >= 120.0))
+    metres = F.round(geo.distance_m(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon")), 6)
+    found = pairs.withColumn("metres", metres).where(F.col("metres") <= most_m)
+    return found.groupBy("way_id").agg(F.min(F.struct("metres", "other_id")).alias("b")).select("way_id", F.col("b.other_id").alias("other_id"), F.col("b.metres").alias("metres"))
 
 
 def lane_context(ways: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Hybrid retrieval: BM25, dense and exhaustive ranks, fusion, priors, neighbours, dedup, caps, rerank.
 
-All requests go through one plan, keyed by ``request_id``.  Query tokens are few, so postings are
-pruned to them before anything is grouped; ranks are cut to the top k inside the window
+All requests go through one plan, keyed by ``request_id``.  Tokens that no query asks for are dropped where a passage is read,
+before anything is counted or moved; ranks are cut to the top k inside the window
 (``WindowGroupLimit``) before lists are joined.  Ties end on ``corpus_idx``, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ K1, B, TF_CAP = 1.5, 0.75, 2
 RRF_K = 60
 
 
-def postings(docs: DataFrame, id_col: str = "corpus_idx", text_col: str = "text") -> DataFrame:
-    """``corpus_idx, token, tf, dl``; term counts are summed on each task first."""
+def postings(docs: DataFrame, wanted: DataFrame, id_col: str = "corpus_idx", text_col: str = "text") -> DataFrame:
+    """``corpus_idx, token, tf, dl`` of the tokens in ``wanted`` (token); others go before they are counted, and counts are summed on each task first."""
     own = docs.select(F.col(id_col).alias("corpus_idx"), text.tokens(F.col(text_col)).alias("tokens"))
     rows = own.select("corpus_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    return rows.groupBy("corpus_idx", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.join(wanted, "token", "left_semi").groupBy("corpus_idx", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -38,15 +40,17 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "corpus_idx", text_col: str = "text") -> DataFrame:
     """``request_id, query_idx, corpus_idx, score, rank``: the top ``k`` of each query with positive scores."""
-    wanted = query_tokens(queries)
-    # only tokens of queries are posted; the statistics cover the whole corpus
-    own = postings(docs, id_col, text_col).join(F.broadcast(wanted.select("token").distinct()) if _small(queries) else wanted.select("token").distinct(), "token")
+    asked = query_tokens(queries)
+    few = _small(queries)
+    send = F.broadcast if few else (lambda df: df)
+    own = postings(docs, send(asked.select("token").distinct()), id_col, text_col)
     df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, text_col)
-    weighed = own.join(df, "token").crossJoin(F.broadcast(stats))  # one row
+    # one row a token of the queries, one row for the corpus; the statistics cover the whole corpus
+    weights = asked.join(df, "token").crossJoin(F.broadcast(corpus_stats(docs, text_col)))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.select("corpus_idx", "token", impact.alias("impact")).join(wanted, "token").groupBy("request_id", "query_idx", "corpus_idx").agg(F.round(F.sum(F.col("impact") * F.col("qtf")), 9).alias("score"))
+    # a passage's postings stand together since they were counted, so its sum leaves the task as one row
+    scored = own.join(send(weights), "token").groupBy("request_id", "query_idx", "corpus_idx").agg(F.round(F.sum(impact * F.col("qtf")), 9).alias("score"))
     return top(scored.where("score > 0"), ["request_id", "query_idx"], "score", k)
 
 
@@ -64,28 +68,62 @@ def top(scored: DataFrame, keys: list[str], score: str, k: int, id_col: str = "c
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Query vectors of one block: 2,000 of 768 doubles are 12 MB.
+QUERY_BLOCK = 2000
+HITS = "request_id string, query_idx int, corpus_idx long, score double"
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "corpus_idx") -> DataFrame:
     """Exact cosine top ``k`` of unit vectors.  queries: ``request_id, query_idx, query_vector``, taken in blocks against one scan.
 
-    The query side is sent to all tasks in blocks of ``QUERY_BLOCK`` vectors; each task keeps its own top k
-    before the ranks are merged.
+    A block of ``QUERY_BLOCK`` query vectors is sent to all tasks as a matrix; a task multiplies its vectors with it batch by
+    batch and hands on its own top k of each query, so pairs never exist as rows.  Vectors of another length than the queries' are left out,
+    as are null ones; scores are rounded to nine places before they are compared, and ties go to the lesser id.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    own = vectors.select(F.col(id_col).cast("long").alias("corpus_idx"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     out = None
     for n in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("request_id", "query_idx"), F.lit(blocks)) == n)
-        pairs = vectors.select(F.col(id_col).alias("corpus_idx"), "embedding").join(F.broadcast(block), F.size("embedding") == F.size("query_vector"))
-        own = top(pairs.select("request_id", "query_idx", "corpus_idx", F.round(dot(F.col("embedding"), F.col("query_vector")), 9).alias("score")), ["request_id", "query_idx"], "score", k)
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-#: Query vectors of one block: 2,000 of 768 doubles are 12 MB.
-QUERY_BLOCK = 2000
+        block = queries.where(F.pmod(F.xxhash64("request_id", "query_idx"), F.lit(blocks)) == n).select("request_id", "query_idx", F.col("query_vector").cast("array<double>").alias("v")).where("v is not null").collect()
+        by_length: dict[int, list] = {}
+        for r in block:
+            by_length.setdefault(len(r["v"]), []).append(r)
+        for length, rows in by_length.items():
+            found = own.where(F.size("embedding") == length).mapInArrow(_nearest(rows, k), HITS)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], HITS)
+    return top(out, ["request_id", "query_idx"], "score", k)
+
+
+def _nearest(rows: list, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's top ``k`` of each query in ``rows``."""
+    names, matrix = [(r["request_id"], r["query_idx"]) for r in rows], np.array([r["v"] for r in rows], np.float64).T
+
+    def best(ids: np.ndarray, which: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -score, which))
+        ids, which, score = ids[order], which[order], score[order]
+        rank = np.arange(len(which)) - np.searchsorted(which, which)
+        return ids[rank < k], which[rank < k], score[rank < k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("corpus_idx").to_numpy(zero_copy_only=False)
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for at in range(0, len(names), 256):
+                score = np.round(x @ matrix[:, at : at + 256], 9)
+                # whatever ties with the k-th of this batch stays in the running
+                least = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.full(score.shape[1], -np.inf)
+                row, query = np.nonzero(score >= least)
+                held = tuple(np.concatenate(c) for c in zip(held, (ids[row], query + at, score[row, query]), strict=True))
+            held = best(*held)
+        ids, which, score = held
+        yield pa.RecordBatch.from_pydict({"request_id": pa.array([names[q][0] for q in which.tolist()], pa.string()), "query_idx": pa.array([names[q][1] for q in which.tolist()], pa.int32()), "corpus_idx": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    return run
 
 
 def best_ranks(ranked: DataFrame, channel: str) -> DataFrame:
@@ -94,15 +132,25 @@ def best_ranks(ranked: DataFrame, channel: str) -> DataFrame:
     return ranked.groupBy("request_id", "corpus_idx").agg(best.alias("b")).select("request_id", "corpus_idx", F.col("b.rank").alias(f"{channel}_rank"), F.col("b.query_idx").alias(f"{channel}_query"))
 
 
+#: Different feature patterns that a batch of requests may name; the catalogue has eight.
+MOST_FEATURES = 256
+
+
 def scan(docs: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     """Exhaustive scan: feature word and value with unit, then overlap with phrases, standard and context.
 
-    requests: ``request_id, feature, phrases, preferred, context_tokens`` (a row a request, broadcast
-    in the catalogue's size).  Gives ``request_id, corpus_idx, score, rank``.
+    requests: ``request_id, feature, phrases, preferred, context_tokens`` (a row a request).  Each passage is tagged once with the
+    features it names, and requests are joined on the feature.  Gives ``request_id, corpus_idx, score, rank``.
     """
-    own = docs.where(text.has_value_with_unit(F.col("text"))).select("corpus_idx", "text", "standard_id", F.array_distinct(text.tokens(F.col("text"))).alias("tokens"))
-    pairs = own.join(requests, F.expr("text rlike concat('(?i)', feature)"))
-    overlap = F.array_max(F.transform("phrases", lambda p: F.size(F.array_intersect(F.array_distinct(text.tokens(p)), "tokens")) / F.greatest(F.size(F.array_distinct(text.tokens(p))), F.lit(1))))
+    features = [r[0] for r in requests.select("feature").distinct().limit(MOST_FEATURES + 1).collect()]
+    if len(features) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} feature patterns in one batch of requests")
+    named = F.filter(F.array(*(F.when(F.col("text").rlike("(?i)" + f), F.lit(f)) for f in features), F.lit(None).cast("string")), lambda x: x.isNotNull())
+    own = docs.where(text.has_value_with_unit(F.col("text"))).select("corpus_idx", "standard_id", "text", named.alias("features")).where("size(features) > 0")
+    own = own.select("corpus_idx", "standard_id", F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), F.explode("features").alias("feature"))
+    asked = requests.select("request_id", "feature", "preferred", "context_tokens", F.transform("phrases", lambda p: F.array_distinct(text.tokens(p))).alias("wanted"))
+    pairs = own.join(F.broadcast(asked) if _small(requests) else asked, "feature")
+    overlap = F.array_max(F.transform("wanted", lambda w: F.size(F.array_intersect(w, "tokens")) / F.greatest(F.size(w), F.lit(1))))
     bonus = F.when(preferred_standard(F.col("standard_id"), F.col("preferred")), 0.35).otherwise(0.0)
     context = F.least(F.size(F.array_intersect("tokens", "context_tokens")) / F.greatest(F.size("context_tokens"), F.lit(1)), F.lit(0.25))
     scored = pairs.withColumn("overlap", overlap).where("overlap >= 0.34D").select("request_id", "corpus_idx", F.round(F.col("overlap") + bonus + context, 9).alias("score"))

@@ -55,6 +55,38 @@ def test_bm25_prefers_the_matching_passage(spark):
     assert R.bm25(docs.limit(0), q, 5).count() == 0 and R.bm25(docs, q.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_dense_against_all_pairs(spark, k, monkeypatch):
+    rng = random.Random(k)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(300)] + [(900, None), (901, [1.0, 2.0])]
+    asked = [("r", q, [rng.uniform(-1, 1) for _ in range(4)]) for q in range(9)] + [("s", 0, [1.0, 0.0]), ("t", 0, None)]
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    v = spark.createDataFrame(vectors, "corpus_idx long, embedding array<float>").repartition(5)
+    got = {}
+    for r in R.dense(v, spark.createDataFrame(asked, "request_id string, query_idx int, query_vector array<double>"), k).collect():
+        got.setdefault((r.request_id, r.query_idx), []).append((r["rank"], r.corpus_idx, r.score))
+    expect = {}
+    for name, q, x in asked:
+        own = sorted((-round(sum(a * b for a, b in zip(x, e, strict=True)), 9), i) for i, e in vectors if x and e and len(e) == len(x))[:k]
+        if own:
+            expect[name, q] = [(n + 1, i, -s) for n, (s, i) in enumerate(own)]
+    assert got.keys() == expect.keys()
+    for key, rows in expect.items():
+        assert [(n, i) for n, i, _ in sorted(got[key])] == [(n, i) for n, i, _ in rows] and all(abs(a[2] - b[2]) < 1e-8 for a, b in zip(sorted(got[key]), rows, strict=True))
+    assert R.dense(v.limit(0), spark.createDataFrame(asked, "request_id string, query_idx int, query_vector array<double>"), 3).count() == 0
+    assert R.dense(v, spark.createDataFrame([], "request_id string, query_idx int, query_vector array<double>"), 3).count() == 0
+
+
+def test_scan_joins_on_the_feature(spark):
+    docs = spark.createDataFrame([(0, "IRC:73", "minimum lane width is 3.5 m"), (1, None, "kerb height shall be 150 mm"), (2, "IRC:86", "lane width without a value"), (3, "IRC:86", "LANE width 3 m and kerb height 2 m")], "corpus_idx long, standard_id string, text string")
+    ask = spark.createDataFrame([("a", r"\blane\b", ["lane width"], ["IRC:86"], ["rural"]), ("b", r"\bkerb\b", ["kerb height"], [], []), ("c", r"\bkerb\b", ["tall kerb wall"], None, None), ("d", "(", ["x"], [], [])][:3], "request_id string, feature string, phrases array<string>, preferred array<string>, context_tokens array<string>")
+    found = R.scan(docs, ask, 5)
+    assert [(r.request_id, r.corpus_idx) for r in found.orderBy("request_id", "rank").collect()] == [("a", 3), ("a", 0), ("b", 1), ("b", 3)]
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert R.scan(docs, ask.limit(0), 5).count() == 0
+
+
 def test_best_rank_tie_keeps_the_earliest_query(spark):
     df = spark.createDataFrame([("r", 2, 7, 1), ("r", 1, 7, 1), ("r", 0, 7, 3)], "request_id string, query_idx int, corpus_idx long, rank int")
     assert R.best_ranks(df, "dense").collect() == [("r", 7, 1, 1)]

@@ -1,5 +1,8 @@
 """Evidence checks, validation, context, map matching and evaluation."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,40 @@ def test_overrides_and_trajectories(spark):
     assert context.sample_trajectory(pts.where("pos < 3"), 7).count() == 3
 
 
+def test_opposite_carriageways_against_all_pairs(spark):
+    rng = random.Random(5)
+    ways = []
+    for k in range(500):
+        lat, lon, up = rng.choice([0.0, 17.0, -45.0, 70.0]) + rng.uniform(0, 0.01), 78 + rng.uniform(0, 0.01), rng.choice([1, -1])
+        ways.append((f"w{k}", "trunk", rng.choice(["NH 65", "nh65", "SH1", None]), rng.choice(["Main  Road", "main road", None]), rng.choice(["yes", "-1", "no"]), [(lat + up * 0.0004 * j, lon + rng.uniform(0, 0.0002)) for j in range(rng.randrange(1, 6))]))
+    df = spark.createDataFrame(ways, "way_id string, highway string, ref string, name string, oneway string, geometry array<struct<lat:double,lon:double>>")
+
+    def metres(p, q):
+        h = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(math.sqrt(h))
+
+    def heading(w):
+        (a, b), (c, d) = w[5][0], w[5][-1]
+        y = math.sin(math.radians(d - b)) * math.cos(math.radians(c))
+        x = math.cos(math.radians(a)) * math.sin(math.radians(c)) - math.sin(math.radians(a)) * math.cos(math.radians(c)) * math.cos(math.radians(d - b))
+        return (math.degrees(math.atan2(y, x)) + (180 if w[4] == "-1" else 0)) % 360
+
+    def road(w):
+        return ("r", w[2].replace(" ", "").lower()) if w[2] else ("n", " ".join(w[3].split()).lower()) if w[3] else None
+
+    one = [w for w in ways if w[4] != "no" and len(w[5]) >= 2 and road(w)]
+    expect = {}
+    for v in one:
+        for w in one:
+            if v[0] != w[0] and road(v) == road(w) and abs((heading(v) - heading(w) + 180) % 360 - 180) >= 120:
+                d = round(min(metres(p, q) for p in v[5] for q in w[5]), 6)
+                if d <= 80:
+                    expect[v[0]] = min(expect.get(v[0], (d, w[0])), (d, w[0]))
+    got = {r.way_id: (r.metres, r.other_id) for r in context.opposite_carriageways(df).collect()}
+    assert got.keys() == expect.keys() and len(expect) > 20
+    assert all(abs(got[k][0] - d) < 1e-5 and got[k][1] == o for k, (d, o) in expect.items())
+
+
 WAYS = "way_id string, highway string, ref string, name string, oneway string, geometry array<struct<lat:double,lon:double>>, lanes string, dual_carriageway string, divider string"
 
 
