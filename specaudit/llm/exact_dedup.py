@@ -23,6 +23,7 @@ their names, are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,12 +120,13 @@ def _summed(moduli, chunk: int):
 def hashed_chunks(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text) to a row for each chunk; texts of several chunks have a negative ``rid``, and their chunks are dealt to all tasks."""
     step = chunk // 4  # at most four bytes a code point
-    bare = F.translate("text", SPACES.decode(), "")
+    bare = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), SPACES.decode(), F.col("text"))
     rows = docs.select("doc_id", F.length("text").cast("long").alias("n_cp"), bare.alias("bare")).withColumn("n", F.floor(F.greatest(F.length("bare") - 1, F.lit(0)) / step).cast("int"))
     rows = rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_sha256", F.sha2("bare", 256))
-    single = rows.where("n = 0").select("rid", "doc_id", "n_cp", "text_sha256", F.lit(0).alias("k"), F.col("bare").alias("piece"))
+    # the raw length tells most texts apart without deleting anything
+    single = rows.where(f"n_cp <= {step} or n = 0").select("rid", "doc_id", "n_cp", "text_sha256", F.lit(0).alias("k"), F.col("bare").alias("piece"))
     pieces = F.transform(F.sequence(F.lit(0), "n"), lambda k: F.substring(F.col("bare"), k * step + 1, F.lit(step)))
-    several = rows.where("n > 0").select((-1 - F.col("rid")).alias("rid"), "doc_id", "n_cp", "text_sha256", F.posexplode(pieces).alias("k", "piece"))
+    several = rows.where(f"n_cp > {step} and n > 0").select((-1 - F.col("rid")).alias("rid"), "doc_id", "n_cp", "text_sha256", F.posexplode(pieces).alias("k", "piece"))
     parts = (single, several.repartition("rid", "k"))
     one, more = (x.mapInArrow(_hashed(moduli, chunk), CHUNKS) for x in parts)
     return materialize(one.unionByName(more), "exact-dedup-chunks")
