@@ -39,6 +39,7 @@ def audited_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("states", states).withColumn("failures", count("FAIL")).withColumn("reviews", count("REVIEW_REQUIRED")).withColumn("severity", audit.severity(F.col("failures"), F.col("reviews")))
 
 
+_COORD = "CASE WHEN try_cast(regexp_extract({label}, 'N: (\\d+\\.\\d+)', 1) AS double) <= 90 THEN try_cast(regexp_extract({label}, 'N: (\\d+\\.\\d+)', 1) AS double) END AS lat, CASE WHEN try_cast(regexp_extract({label}, 'N: (\\d+\\.\\d+)', 1) AS double) <= 90 THEN try_cast(regexp_extract({label}, 'E: (\\d+)\\. (\\d+)', 1) || '.' || regexp_extract({label}, 'E: (\\d+)\\. (\\d+)', 2) AS double) END AS lon"
 _SEVERITY = "CASE WHEN failures >= 3 THEN 'HIGH SEVERITY (DANGEROUS)' WHEN failures = 2 THEN 'MEDIUM SEVERITY' WHEN failures = 1 THEN 'LOW SEVERITY' WHEN reviews > 0 THEN 'REVIEW REQUIRED' ELSE 'SAFE' END"
 
 
@@ -60,8 +61,13 @@ def audit_disposition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.disposition_share(audited_cells(spark, sf_dir))
 
 
-@query(f"WITH {fx.STATES} SELECT metric_key, bool_or(n > 0) AS observed, sum(n)::bigint AS measured, sum(failures)::bigint AS failures FROM row_v GROUP BY 1")
+@query(f"WITH {fx.STATES} SELECT metric_key FROM row_v GROUP BY 1 HAVING max(n) > 0")
 def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.observed_metrics(sheets(spark, sf_dir), "w_beam")
+
+
+@query(f"WITH {fx.STATES} SELECT metric_key, bool_or(n > 0) AS observed, sum(n)::bigint AS measured, sum(failures)::bigint AS failures FROM row_v GROUP BY 1")
+def measured_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("vals")
     return audited_cells(spark, sf_dir).groupBy("metric_key").agg(F.bool_or(n > 0).alias("observed"), F.sum(n).alias("measured"), F.sum("failures").alias("failures"))
 
@@ -82,19 +88,49 @@ def lane_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("l_orderkey", "l_linenumber", audit.lane_integrity((F.col("l_linenumber") % 5).cast("int"), centre, shoulder).alias("integrity"))
 
 
-@query(f"""WITH {fx.OBSERVATIONS}, v AS (SELECT event_id, (event_id % 700) * 0.01::double + 0.005::double AS x FROM obs_v)
-SELECT event_id, printf('%.3f', x)::double AS shown, CASE WHEN x >= 3.5 THEN 'PASS' ELSE 'FAIL' END AS state FROM v""")
+_3 = "regexp_replace(regexp_replace(printf('%.3f', {x}), '0+$', ''), '\\.$', '')"
+
+
+@query(f"""WITH v AS (SELECT event_id, (event_id % 700) * 0.01::double + 0.005::double AS x FROM events)
+SELECT event_id, CASE WHEN x < 3.5 THEN 'Lane: widen by ' || {_3.format(x="3.5::double - x")} || ' m (' || {_3.format(x="x")} || ' m measured, >= 3.5 m required).' ELSE '' END AS advice FROM v""")
 def corrective_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = (F.col("event_id") % 700) * F.lit(0.01) + F.lit(0.005)
-    return fx.observations(spark, sf_dir).select("event_id", text.fmt_3(x).cast("double").alias("shown"), F.when(x >= 3.5, "PASS").otherwise("FAIL").alias("state"))
+    rule = F.from_json(F.lit('{"status":"found","value_m":3.5,"comparator":">="}'), audit.RULE)
+    judged = fx.load(spark, sf_dir, "events").select("event_id", rule.alias("rule"), F.array(x).alias("v")).withColumn("each", audit.judged(F.col("v"), F.col("rule")))
+    return judged.select("event_id", audit.corrective_action("min_lane_width", F.col("each"), F.col("rule"), "Lane").alias("advice"))
 
 
-@query()
-def audit_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sixteen-column report over all events as observation sheets of routes."""
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as observation sheets of routes; a row fills one metric's column."""
     o = fx.observations(spark, sf_dir)
     pick = lambda k: F.when(F.col("metric_key") == k, F.col("cell"))
-    sheet = o.select(F.col("route_id").cast("string").alias("route_id"), F.col("event_id").cast("string").alias("Timestamp (sec)"), F.col("label").alias("Raw OCR Text"), F.lit("2").alias("Expected Total Lanes"), (F.col("event_id") % 3).cast("string").alias("Centre Lanes Detected"), F.lit("2").alias("Shoulder Lanes Detected"), *(pick(key).alias(column) for column, key, _, _ in audit.CHECKS))
+    return o.select(F.col("route_id").cast("string").alias("route_id"), F.col("event_id").cast("string").alias("Timestamp (sec)"), F.col("label").alias("Raw OCR Text"), F.lit("2").alias("Expected Total Lanes"), (F.col("event_id") % 3).cast("string").alias("Centre Lanes Detected"), F.lit("2").alias("Shoulder Lanes Detected"), *(pick(key).alias(column) for column, key, _, _ in audit.CHECKS))
+
+
+_LABELS = "CASE metric_key " + " ".join(f"WHEN '{key}' THEN '{label}'" for _, key, _, label in audit.CHECKS) + " END"
+_SHOWN = "CASE WHEN metric_key {test} AND n > 0 THEN shown ELSE 'Absent' END"
+
+
+@query(f"""WITH {fx.OBSERVATIONS}, {fx.RULES_SQL}, {fx.VALUES}, w AS (SELECT v.*, {_LABELS} AS name, len(vals) AS n FROM val_v v),
+x AS (SELECT w.event_id, w.metric_key, w.n, r.status, r.comparator, r.value_m AS a, r.second_value_m AS b, u.x, u.k, CASE WHEN w.n > 1 THEN name || ' ' || u.k ELSE name END AS subject FROM w JOIN rule_v r USING (metric_key), (SELECT unnest(w.vals) AS x, generate_subscripts(w.vals, 1) AS k) u),
+j AS (SELECT *, CASE WHEN status <> 'found' THEN 'REVIEW_REQUIRED' WHEN CASE comparator WHEN '>=' THEN x >= a WHEN '<=' THEN x <= a WHEN '=' THEN abs(x - a) <= 1e-6 ELSE x BETWEEN a AND b END THEN 'PASS' WHEN comparator = '=' THEN 'REVIEW_REQUIRED' ELSE 'FAIL' END AS state FROM x),
+d AS (SELECT *, subject || ': ' || printf('%g', x) || 'm ' || CASE WHEN status <> 'found' THEN '(candidate ' || comparator || ' ' || printf('%g', a) || 'm; ' || upper(replace(status, '_', ' ')) || ') - REVIEW REQUIRED'
+   WHEN comparator = 'range' THEN '(between ' || printf('%g', a) || 'm and ' || printf('%g', b) || 'm) - ' || state
+   ELSE '(' || CASE WHEN state = 'PASS' THEN comparator ELSE CASE comparator WHEN '>=' THEN '<' WHEN '<=' THEN '>' ELSE '!=' END END || ' ' || printf('%g', a) || 'm) - ' || state END AS said,
+  subject || ': ' || CASE WHEN comparator <> '<=' AND x < a THEN CASE metric_key WHEN 'min_lane_width' THEN 'widen' ELSE 'raise' END || ' by ' || {_3.format(x="a - x")} ELSE 'lower by ' || {_3.format(x="x - CASE WHEN comparator = 'range' THEN b ELSE a END")} END
+   || ' m (' || {_3.format(x="x")} || ' m measured, ' || CASE WHEN comparator = 'range' THEN {_3.format(x="a")} || ' to ' || {_3.format(x="b")} ELSE comparator || ' ' || {_3.format(x="a")} END || ' m required).' AS advice FROM j),
+c AS (SELECT event_id, string_agg(said, ' | ' ORDER BY k) AS shown, CASE WHEN bool_or(state = 'FAIL') THEN 'FAIL' WHEN bool_or(state = 'REVIEW_REQUIRED') THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS state, string_agg(advice, ' ' ORDER BY k) FILTER (state = 'FAIL') AS advice FROM d GROUP BY 1),
+r AS (SELECT w.*, c.shown, c.advice, coalesce(c.state, 'ABSENT') AS state, event_id % 3 = 0 AS broken FROM w LEFT JOIN c USING (event_id)),
+t AS (SELECT *, (state = 'FAIL')::int + broken::int AS failures, (state = 'REVIEW_REQUIRED')::int AS reviews, {_COORD.format(label="label")} FROM r)
+SELECT route_id::varchar AS route_id, event_id::double AS Timestamp_s, lat AS Latitude, lon AS Longitude, 'National Highway' AS Detected_Road_Type, 2 AS Expected_Lanes, CASE WHEN broken THEN '1 centre line(s) missing' ELSE 'Intact' END AS Lane_Integrity,
+ CASE WHEN metric_key = 'min_kerb_height' AND n > 0 THEN 'Yes' ELSE 'No' END AS Kerb_Available, CASE WHEN contains(metric_key, 'barrier') AND n > 0 THEN 'Yes' ELSE 'No' END AS Crash_Barrier_Available,
+ {_SHOWN.format(test="= 'min_radius_curvature'")} AS Radius_of_Curvature_Status, {_SHOWN.format(test="= 'min_lane_width'")} AS Lane_Width_Status, CASE WHEN metric_key <> 'min_lane_width' THEN 'ABSENT' WHEN state IN ('PASS', 'ABSENT') THEN state ELSE 'FAIL' END AS Overall_Lane_Width_Status,
+ {_SHOWN.format(test="= 'min_kerb_height'")} AS Kerb_Height_Status, {_SHOWN.format(test="IN ('min_w_beam_barrier_height', 'min_concrete_barrier_height')")} AS Crash_Barrier_Status, {_SHOWN.format(test="= 'min_sign_height'")} AS Traffic_Sign_Height_Status, {_SEVERITY} AS Overall_Severity,
+ CASE WHEN failures + reviews = 0 THEN 'All observed values meet their rules.' ELSE concat_ws(' ', advice, CASE WHEN broken THEN 'Markings: 1 centre line(s) missing.' END, CASE WHEN state = 'REVIEW_REQUIRED' THEN 'Undecided until reviewed: ' || CASE metric_key WHEN 'min_kerb_height' THEN 'kerb height' ELSE 'crash barrier height' END || '.' END,
+  CASE WHEN state IN ('FAIL', 'REVIEW_REQUIRED') THEN 'Sources: ' || metric_key || ' source, p. 1.' END) END AS Professional_Suggestions, failures, reviews FROM t""")
+def audit_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen-column report over all events as observation sheets of routes."""
+    sheet = sheets(spark, sf_dir)
     routes = sheet.select("route_id").distinct()
     rule_rows = routes.crossJoin(F.broadcast(fx.rules(spark)))  # six rules
     ctx = routes.select("route_id", F.lit("National Highway").alias("road_class"), F.lit(1).alias("lanes_per_carriageway"), F.lit(2).alias("total_road_lanes"), F.lit("undivided").alias("carriageway"), F.lit("w_beam").alias("barrier_type"))
@@ -436,14 +472,20 @@ def chunk_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.assemble(c).select("conv_id", "turn", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
-@query(r"""WITH p AS (SELECT page_id % 40 AS doc, length(regexp_replace(CASE WHEN page_id % 3 = 0 THEN substr(html, 1, 90) ELSE html END, '\s+', '', 'g')) < 80 AS weak FROM pages)
+@query(r"""WITH p AS (SELECT source AS doc, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) < 80 AS weak FROM documents)
 SELECT doc, count(*) AS pages, count(*) FILTER (weak) AS low_text_pages, round_even(1 - avg(weak::int), 4) AS coverage FROM p GROUP BY 1""")
 def page_text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.load(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("doc"), F.when(F.col("page_id") % 3 == 0, F.substring("html", 1, 90)).otherwise(F.col("html")).alias("text"), F.lit("html").alias("parser"))
+    """Whole texts as pages of their sources; the short ones are weak."""
+    p = fx.load(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "text", F.lit("text").alias("parser"))
     return corpus.page_coverage(p, "doc").drop("parsers")
 
 
-@query()
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(translate({c}, chr(8), ' '), '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""WITH {fx.CHUNKS}, p AS (SELECT source_path, corpus_idx AS page, CASE WHEN corpus_idx % 6 = 0 THEN 'weak' ELSE text END AS t, 'Fig. 3 rail' || chr(10) || text || chr(10) || '730 +/- 25 mm' || chr(10) || 'plain words only' AS o FROM chunk_v),
+n AS (SELECT *, length(regexp_replace(t, '\\s+', '', 'g')) < 80 AS weak, list_filter(['Fig. 3 rail', '730 +/- 25 mm'], lambda x: NOT contains(lower({_CLEAN.format(c='t')}), lower(x))) AS more FROM p)
+SELECT source_path, page, CASE WHEN weak THEN o WHEN len(more) = 0 THEN t ELSE {_CLEAN.format(c="t || chr(10) || chr(10) || '[OCR figure/table supplement]' || chr(10) || array_to_string(more, chr(10))")} END AS text, CASE WHEN weak THEN 'ocr' WHEN len(more) = 0 THEN 'base' ELSE 'base+ocr' END AS parser FROM n""")
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.chunks(spark, sf_dir)
     base = c.select("source_path", F.col("corpus_idx").alias("page"), F.when(F.col("corpus_idx") % 6 == 0, "weak").otherwise(F.col("text")).alias("text"), F.lit("base").alias("parser"))
@@ -451,13 +493,33 @@ def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.merge_ocr(base, ocr)
 
 
-@query()
+_STRIP = "trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(rf"""WITH RECURSIVE n AS (SELECT doc_id, {_CLEAN.format(c="coalesce(text, '')")} AS t FROM documents),
+g AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: {_STRIP.format(c="x")}), lambda x: x <> '')) AS para, generate_subscripts(list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: {_STRIP.format(c="x")}), lambda x: x <> ''), 1) AS g FROM n),
+w AS (SELECT doc_id, g, para, 0 AS pos FROM g UNION ALL SELECT doc_id, g, para, greatest(pos + CASE WHEN regexp_matches(substr(para, pos + 301, 1100), '[ \n]') THEN length(regexp_extract(substr(para, pos + 301, 1100), '(?s)^(.*)[ \n]', 1)) + 301 ELSE 1400 END - 220, pos + 1) FROM w WHERE pos + 1400 < length(para)),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, pos) AS i, {_STRIP.format(c="substr(para, pos + 1, CASE WHEN pos + 1400 >= length(para) THEN 1400 WHEN regexp_matches(substr(para, pos + 301, 1100), '[ \n]') THEN length(regexp_extract(substr(para, pos + 301, 1100), '(?s)^(.*)[ \n]', 1)) + 301 ELSE 1400 END)")} AS piece FROM w),
+f AS (SELECT doc_id, i, piece AS open, NULL::varchar AS done FROM p WHERE i = 1 UNION ALL
+ SELECT f.doc_id, p.i, CASE WHEN open <> '' AND length({_STRIP.format(c="open || chr(10) || chr(10) || piece")}) > 1400 THEN {_STRIP.format(c="trim(substr(right(open, 220), greatest(instr(right(open, 220), '. '), instr(right(open, 220), chr(10))) + 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) || piece")}
+   WHEN open = '' THEN piece ELSE {_STRIP.format(c="open || chr(10) || chr(10) || piece")} END, CASE WHEN open <> '' AND length({_STRIP.format(c="open || chr(10) || chr(10) || piece")}) > 1400 THEN open END FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+o AS (SELECT doc_id, i, {_STRIP.format(c="done")} AS text FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, {_STRIP.format(c="open")} FROM f QUALIFY i = max(i) OVER (PARTITION BY doc_id))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::int AS part, text, 'prose' AS content_type, NULL::varchar AS table_id, NULL::varchar AS table_caption, NULL::varchar AS table_header, NULL::int AS table_row_start, NULL::int AS table_row_end FROM o WHERE length(text) >= 40""")
 def chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return chunking.split_pages(d)
 
 
-@query()
+_LEAD = "'Section: 3.1 Widths' || chr(10) || 'Table: Table 1 of words' || chr(10) || '| no | word |' || chr(10) || '|---|---|'"
+
+
+@query(rf"""WITH RECURSIVE s AS (SELECT conv_id, turn, string_split_regex(text, '\s+') AS ws FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT conv_id, turn, generate_subscripts(ws, 1) AS k, regexp_replace('| ' || generate_subscripts(ws, 1) || ' | ' || replace(unnest(ws), '|', '/') || ' |', ' +', ' ', 'g') AS line FROM s),
+g AS (SELECT conv_id, turn, k, 0 AS grp, length({_LEAD}) + 1 + length(line) AS used, line FROM r WHERE k = 1 UNION ALL
+ SELECT r.conv_id, r.turn, r.k, CASE WHEN used + 1 + length(r.line) > 540 THEN grp + 1 ELSE grp END, CASE WHEN used + 1 + length(r.line) > 540 THEN length({_LEAD}) + 1 + length(r.line) ELSE used + 1 + length(r.line) END, r.line FROM g JOIN r ON r.conv_id = g.conv_id AND r.turn = g.turn AND r.k = g.k + 1),
+h AS (SELECT conv_id, turn, 'T-' || substr(sha256('| no | word |' || chr(10) || '|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY k)), 1, 16) AS table_id FROM r GROUP BY ALL)
+SELECT g.conv_id, g.turn, grp::int AS part, {_LEAD} || chr(10) || string_agg(line, chr(10) ORDER BY k) AS text, 'table' AS content_type, any_value(h.table_id) AS table_id, 'Table 1 of words' AS table_caption, '| no | word |' || chr(10) || '|---|---|' AS table_header, min(k)::int AS table_row_start, max(k)::int AS table_row_end
+FROM g JOIN h ON h.conv_id = g.conv_id AND h.turn = g.turn GROUP BY g.conv_id, g.turn, grp""")
 def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation turn as a heading, a caption and a table of its words."""
     c = fx.load(spark, sf_dir, "conversations")
@@ -596,9 +658,14 @@ def nearest_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.nearest_way(p, ways(spark)).select("point_id", F.round("metres", 3).alias("metres"))
 
 
-@query()
+_BEARING = "((degrees(atan2(sin(radians(blon - alon)) * cos(radians(blat)), cos(radians(alat)) * sin(radians(blat)) - sin(radians(alat)) * cos(radians(blat)) * cos(radians(blon - alon)))) + CASE WHEN way_id % 2 = 0 THEN 180 ELSE 0 END) % 360 + 360) % 360"
+
+
+@query(f"""WITH {_WAY}, h AS (SELECT way_id, {_BEARING} AS b, unnest([1, 2]) AS n, unnest([alat, blat]) AS lat, unnest([alon, blon]) AS lon FROM w),
+p AS (SELECT a.way_id, c.way_id AS other_id, min(round({_HAV.format(a="a.", b="c.")}, 6)) AS metres FROM h a JOIN h c ON a.way_id <> c.way_id AND abs((a.b - c.b + 540) % 360 - 180) >= 120 GROUP BY 1, 2)
+SELECT way_id::int AS way_id, arg_min(other_id, struct_pack(m := metres, o := other_id))::int AS other_id, round(min(metres), 3) AS metres FROM p WHERE metres <= 2000 GROUP BY 1""")
 def opposite_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.opposite_carriageways(ways(spark), 2000.0)
+    return context.opposite_carriageways(ways(spark), 2000.0).withColumn("metres", F.round("metres", 3))
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS setting, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 6)::int END AS lanes FROM customer),
