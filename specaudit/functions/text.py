@@ -202,15 +202,20 @@ def road_class(ref: Column, highway: Column) -> Column:
     return reduce(lambda a, x: F.when(ref.rlike(x[0]), of(x[1], x[2])).otherwise(a), reversed(ROAD_REFERENCES), by_tag)
 
 
+def _digits_of(x: Column) -> Column:
+    """A number of moderate size without an exponent and without trailing zeros."""
+    return F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+
+
 def fmt_g(x: Column) -> Column:
     """A number in six significant digits without trailing zeros, as C's ``%g``."""
-    size = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")
-    digits = F.greatest(F.lit(5) - size, F.lit(0))
-    fixed = reduce(lambda a, k: F.when(digits == k, F.format_string(f"%.{k}f", x)).otherwise(a), range(10), x.cast("string"))
-    trimmed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")).otherwise(fixed)
-    mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.5f", x / F.pow(F.lit(10.0), size)), r"0+$", ""), r"\.$", "")
-    scientific = F.concat(mantissa, F.format_string("e%s%02d", F.when(size < 0, "-").otherwise("+"), F.abs(size)))
-    return F.when(x == 0, "0").when((size < -4) | (size >= 6), scientific).otherwise(trimmed)
+
+    def shown(size: Column) -> Column:
+        scale = F.pow(F.lit(10.0), F.lit(5) - size)
+        small = F.concat(_digits_of(F.round(x * scale) / 100000), F.lit("e"), F.when(size < 0, "-").otherwise("+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+        return F.when((size < -4) | (size >= 6), small).otherwise(_digits_of(F.round(x * scale) / scale))
+
+    return F.when(x == 0, "0").otherwise(let(F.floor(F.log10(F.abs(x))).cast("int"), shown))
 
 
 def fmt_3(x: Column) -> Column:
