@@ -726,3 +726,7 @@ def sheet_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 9 == 0, F.concat(F.lit("Speed limit "), (40 + 10 * (n % 7)).cast("string"))).otherwise("Chevron").alias("Traffic Sign Class"),
     )
     return context.from_sheet(o).select("route_id", "lanes", "carriageway", "posted_speed_kmph")
+
+
+# the rest registers itself here
+from specaudit.plans import more_queries  # noqa: E402, F401
