@@ -120,7 +120,7 @@ def sample_trajectory(points: DataFrame, maximum: int, key: str = "route_id", or
 
 
 def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, reach: int = 1) -> DataFrame:
-    """``point_id, way_id, metres``: the nearest way within about ``reach`` grid cells of a point.
+    """``point_id, way_id, metres``: the nearest way within about ``reach`` grid cells of a point, null where there is none.
 
     points: ``point_id, lat, lon``; ways: ``way_id, geometry``.  Ways are posted to the cells their vertices' boxes touch,
     so points meet only ways nearby.
@@ -129,9 +129,9 @@ def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, reac
     lat, lon = F.transform("geometry", lambda p: p["lat"]), F.transform("geometry", lambda p: p["lon"])
     span = lambda a: F.sequence(cell(F.array_min(a)) - reach, cell(F.array_max(a)) + reach)
     posted = ways.select("way_id", "geometry", span(lat).alias("ys"), span(lon).alias("xs")).withColumn("y", F.explode("ys")).withColumn("x", F.explode("xs")).drop("ys", "xs")
-    pairs = points.withColumn("y", cell(F.col("lat"))).withColumn("x", cell(F.col("lon"))).join(posted, ["y", "x"])
+    pairs = points.withColumn("y", cell(F.col("lat"))).withColumn("x", cell(F.col("lon"))).join(posted, ["y", "x"], "left")
     metres = F.round(geo.polyline_distance_m(F.col("lat"), F.col("lon"), F.col("geometry")), 6)
-    return pairs.groupBy("point_id").agg(F.min(F.struct(metres.alias("m"), "way_id")).alias("b")).select("point_id", F.col("b.way_id").alias("way_id"), F.col("b.m").alias("metres"))
+    return pairs.groupBy("point_id").agg(F.min(F.when(F.col("way_id").isNotNull(), F.struct(metres.alias("m"), "way_id"))).alias("b")).select("point_id", F.col("b.way_id").alias("way_id"), F.col("b.m").alias("metres"))
 
 
 def classify_route(points: DataFrame, ways: DataFrame) -> DataFrame:

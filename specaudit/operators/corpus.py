@@ -16,6 +16,8 @@ from specaudit.functions import text
 IDENTITY_VERSION = "registry-first-v1"
 SUPPLEMENT = "[OCR figure/table supplement]"
 OCR_SHARE = 0.25
+#: Characters of a cover in which a standard is looked for.
+COVER_CHARS = 12_000
 
 
 # --- identity ------------------------------------------------------------------------------------------------------
@@ -61,6 +63,18 @@ def identify(documents: DataFrame, policies: DataFrame) -> DataFrame:
     return documents.join(registered, F.col("source_path") == F.col("__p"), "left").withColumn("identity", best).select(*documents.columns, "identity.*")
 
 
+def strict_identity(documents: DataFrame) -> DataFrame:
+    """``standard_id, edition_year`` by patterns alone, without a registry: cover, file name, then both with misread prefixes repaired.
+
+    documents: ``source_path, source, cover``.
+    """
+    cover = F.coalesce("cover", F.lit(""))
+    samples = [F.substring(cover, 1, COVER_CHARS), F.col("source")]
+    found = [text.standard_identity(s, cover) for s in (*samples, *(text.repair_ocr(s) for s in samples))]
+    best = F.coalesce(*(F.when(x["standard_id"].isNotNull(), x) for x in found))
+    return documents.withColumn("__x", best).select(*documents.columns, F.col("__x.standard_id").alias("standard_id"), F.col("__x.edition_year").alias("edition_year"))
+
+
 def window_score(needle: str, hay: str, least: float) -> float:
     """Best ratio of ``needle`` to a window of ``hay`` about as wide; 0 where none reaches ``least``.
 
@@ -251,6 +265,14 @@ def repair_metadata(chunks: DataFrame, identities: DataFrame) -> DataFrame:
     return j.withColumn("standard_id", F.col("new_id")).withColumn("edition_year", F.col("new_year")).drop("new_id", "new_year")
 
 
+def repair_counts(chunks: DataFrame, identities: DataFrame) -> DataFrame:
+    """One row: ``passages, documents, standards, editions`` that :func:`repair_metadata` changes."""
+    new = repair_metadata(chunks, identities).select("chunk_id", "document_sha256", F.col("standard_id").alias("s"), F.col("edition_year").alias("y"))
+    both = new.join(chunks.select("chunk_id", "standard_id", "edition_year"), "chunk_id")
+    n = lambda a, b: F.coalesce(F.sum((~F.col(a).eqNullSafe(F.col(b))).cast("long")), F.lit(0))
+    return both.agg(F.count(F.lit(1)).alias("passages"), F.countDistinct("document_sha256").alias("documents"), n("s", "standard_id").alias("standards"), n("y", "edition_year").alias("editions"))
+
+
 def structured_hits(records: DataFrame, manifest: DataFrame) -> DataFrame:
     """Transcribed evidence whose document is in the manifest with the same digest."""
     own = manifest.where("document_sha256 is not null and document_sha256 <> ''").select(F.col("document_sha256").alias("source_sha256")).distinct()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -16,6 +17,18 @@ class Settings:
     exhaustive: bool = False
     rerank: bool = False
     require_verified: bool = True
+    # where things are, and which models an injected client should ask for
+    corpus_folders: tuple[str, ...] = ()
+    index_folder: str = ""
+    index_name: str = "passages"
+    registry_path: str = ""
+    embedding_model: str = ""
+    reranker_model: str = ""
+    allow_model_download: bool = False
+    model: str = ""
+    model_url: str = ""
+    model_timeout_s: int = 180
+    model_context: int = 16_384
 
     def __post_init__(self):
         if self.chunk_size < 400:
@@ -23,6 +36,18 @@ class Settings:
         if not 0 <= self.overlap < self.chunk_size / 2:
             raise ValueError("overlap must be less than half of chunk_size")
 
+    @classmethod
+    def from_values(cls, values: Mapping[str, str], prefix: str = "SPECAUDIT_") -> Settings:
+        """Settings by their upper-case names, such as those of an environment; 1, true, yes and on are true, folders are parted by ``:``."""
+        given: dict = {}
+        for f in fields(cls):
+            raw = values.get(prefix + f.name.upper())
+            if raw is None:
+                continue
+            kind = type(f.default)
+            given[f.name] = raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else tuple(x for x in raw.split(":") if x) if kind is tuple else kind(raw)
+        return cls(**given)
+
     def key(self) -> str:
         """All settings, so results of unlike settings are never mixed up."""
         return ";".join(f"{k}={v}" for k, v in sorted(asdict(self).items()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import io
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 PAGES = "source_path string, document_sha256 string, page int, text string, parser string, warning string"
 POLICY = "standard_id string, active_edition_year int, approved_sources array<string>, source_aliases array<string>, approved_sha256 array<string>, official_source_url string, licence_basis string, amendments array<string>, supersedes array<string>, reviewed_by string, reviewed_on string, notes string"
@@ -30,8 +31,6 @@ def documents(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFram
 
 def pypdf_pages(content: bytes) -> list[tuple[int, str, str | None]]:
     """Pages by the optional pypdf library; an unreadable page gives an empty text and a warning."""
-    import io
-
     pypdf = importlib.import_module("pypdf")
     reader = pypdf.PdfReader(io.BytesIO(content))
     if reader.is_encrypted:
@@ -45,6 +44,14 @@ def pypdf_pages(content: bytes) -> list[tuple[int, str, str | None]]:
     return out
 
 
+def converted_pages(content: bytes) -> list[tuple[int, str, str | None]]:
+    """Pages as Markdown by the optional docling library, which reads scans by OCR and keeps tables; text of a page comes in reading order."""
+    converter = importlib.import_module("docling.document_converter").DocumentConverter()
+    stream = importlib.import_module("docling.datamodel.base_models").DocumentStream(name="document.pdf", stream=io.BytesIO(content))
+    found = converter.convert(stream).document
+    return [(n, found.export_to_markdown(page_no=n) or "", None) for n in sorted(found.pages)]
+
+
 def extract_pages(docs: DataFrame, extractor: Callable[[bytes], list[tuple[int, str, str | None]]] = pypdf_pages, parser: str = "pypdf") -> DataFrame:
     """One row a page.  A document that fails gives one row without a page and with the warning, and the others go on."""
 
@@ -70,10 +77,31 @@ def text_pages(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFra
 def observations(spark: SparkSession, path: str) -> DataFrame:
     """Observation sheet, every cell as text: CSV natively, workbooks by pandas where it has an engine for them."""
     if path.lower().endswith((".xlsx", ".xls")):
-        return spark.createDataFrame(pd.read_excel(path, dtype=str).astype(object).where(lambda d: d.notna(), None))
+        return _workbook(spark, path)
     return spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true").option("escape", '"').csv(path)
 
 
+def _workbook(spark: SparkSession, path: str) -> DataFrame:
+    """First sheet of each workbook under ``path``, read by tasks; the driver sees the names of its columns only."""
+    books = spark.read.format("binaryFile").load(path).select("content")
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                yield pd.DataFrame({"name": [str(c) for c in pd.read_excel(io.BytesIO(content), nrows=0).columns]})
+
+    columns = [r[0] for r in books.limit(1).mapInPandas(names, "name string").collect()]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                sheet = pd.read_excel(io.BytesIO(content), dtype=str)
+                sheet.columns = [str(c) for c in sheet.columns]
+                yield sheet.reindex(columns=columns).astype(object).where(lambda d: d.notna(), None)
+
+    return books.mapInPandas(rows, StructType([StructField(c, StringType()) for c in columns]))
+
+
 def _json(spark: SparkSession, path: str, missing_ok: bool = True) -> list[dict]:
     """Small configuration file (a list or a map of objects); read by Spark, so any store will do."""
     jvm = spark._jvm
@@ -144,6 +172,39 @@ def map_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("way_id string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>").json(path)
 
 
+def features_near(routes: DataFrame, fetch: Callable[[float, float, float, float], list[dict]], margin_deg: float = 0.002, attempts: int = 3, backoff_s: float = 0.5) -> DataFrame:
+    """``route_id, way_id, tags, geometry`` of the features in each route's box, by an injected service call.
+
+    routes: ``route_id, lat, lon`` (points).  ``fetch`` gets south, west, north, east and gives objects with ``way_id, tags, geometry``
+    (pairs of latitude and longitude).  Transient failures (``ConnectionError``) are tried again, then the route has no features.
+    """
+    boxes = routes.groupBy("route_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("low", F.min), ("high", F.max))))
+
+    def ask(*box: float) -> list[dict]:
+        for n in range(attempts):
+            try:
+                return fetch(*box)
+            except ConnectionError:
+                time.sleep(backoff_s * 2**n if n + 1 < attempts else 0)
+        return []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                for f in ask(r.low_lat - margin_deg, r.low_lon - margin_deg, r.high_lat + margin_deg, r.high_lon + margin_deg):
+                    rows.append((r.route_id, str(f["way_id"]), {str(k): str(v) for k, v in (f.get("tags") or {}).items()}, [{"lat": float(a), "lon": float(b)} for a, b in f.get("geometry") or []]))
+            yield pd.DataFrame(rows, columns=["route_id", "way_id", "tags", "geometry"])
+
+    kind = dict(routes.dtypes)["route_id"]
+    return boxes.mapInPandas(run, f"route_id {kind}, way_id string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+
+
+def model_ready(name: str, available: list[str]) -> bool:
+    """Whether a service lists a model under its name, or under its name with some tag behind a colon."""
+    return any(name == x or name == x.split(":")[0] for x in available)
+
+
 def public_tags(tags: Column) -> Column:
     """Tags without those of the engine's own."""
     return F.map_filter(tags, lambda k, v: ~k.startswith("_"))

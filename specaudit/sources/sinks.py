@@ -5,17 +5,30 @@ from __future__ import annotations
 import html
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specaudit.functions import text
 
-#: Rows that a map page or a workbook sheet may hold; larger reports stay tables.
+#: Rows of a map page or a workbook sheet; more go to further pages and sheets.
 PAGE_ROWS = 100_000
 
 
+def _pages(df: DataFrame) -> Iterator[list]:
+    """Rows in runs of ``PAGE_ROWS``, one partition at a time on the driver; an empty table is one empty run."""
+    run: list = []
+    some = False
+    for row in df.toLocalIterator():
+        run.append(row)
+        if len(run) == PAGE_ROWS:
+            yield run
+            run, some = [], True
+    if run or not some:
+        yield run
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -56,7 +69,8 @@ def report_tables(audited: DataFrame, standards: DataFrame, run: DataFrame, fold
 
     with pd.ExcelWriter(f"{folder}/report.xlsx") as book:
         for name, df in tables.items():
-            df.limit(PAGE_ROWS).toPandas().to_excel(book, sheet_name=name, index=False, freeze_panes=(1, 0))
+            for k, rows in enumerate(_pages(df), 1):
+                pd.DataFrame(rows, columns=df.columns).to_excel(book, sheet_name=name if k == 1 else f"{name}-{k}", index=False, freeze_panes=(1, 0))
 
 
 def standards_sheet(rules: DataFrame) -> DataFrame:
@@ -68,8 +82,17 @@ def standards_sheet(rules: DataFrame) -> DataFrame:
 
 
 def map_page(audited: DataFrame, path: str, title: str = "Audit map") -> int:
-    """A self-contained page of the geotagged rows; returns how many it shows."""
-    rows = [r[0] for r in audited.dropna(subset=["Latitude", "Longitude"]).limit(PAGE_ROWS).select(F.to_json(F.struct("*"))).collect()]
+    """Self-contained pages of the geotagged rows, ``PAGE_ROWS`` each (``map.html``, ``map-2.html``, ..); returns how many rows they show."""
+    shown = 0
+    stem, dot, ending = path.rpartition(".")
+    for k, rows in enumerate(_pages(audited.dropna(subset=["Latitude", "Longitude"]).select(F.to_json(F.struct("*")))), 1):
+        at = path if k == 1 else f"{stem}-{k}.{ending}" if dot else f"{path}-{k}"
+        write_text(audited.sparkSession, at, _map([r[0] for r in rows], title if k == 1 else f"{title}, page {k}"))
+        shown += len(rows)
+    return shown
+
+
+def _map(rows: list[str], title: str) -> str:
     counts: dict[str, int] = {}
     for r in rows:
         s = json.loads(r)["Overall_Severity"]
@@ -77,9 +100,7 @@ def map_page(audited: DataFrame, path: str, title: str = "Audit map") -> int:
     data = "[" + ",".join(rows) + "]"
     data = data.replace("</", "<\\/")
     legend = "".join(f"<li>{html.escape(k)}: {n}</li>" for k, n in sorted(counts.items()))
-    page = f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><ul>{legend}</ul><svg id=m width=900 height=600></svg><pre id=d></pre><script>const rows={data};const xs=rows.map(r=>r.Longitude),ys=rows.map(r=>r.Latitude),x0=Math.min(...xs),x1=Math.max(...xs),y0=Math.min(...ys),y1=Math.max(...ys);for(const r of rows){{const c=document.createElementNS('http://www.w3.org/2000/svg','circle');c.setAttribute('cx',20+860*(r.Longitude-x0)/((x1-x0)||1));c.setAttribute('cy',580-560*(r.Latitude-y0)/((y1-y0)||1));c.setAttribute('r',4);c.onclick=()=>document.getElementById('d').textContent=JSON.stringify(r,null,1);document.getElementById('m').append(c)}}</script>"
-    write_text(audited.sparkSession, path, page)
-    return len(rows)
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><ul>{legend}</ul><svg id=m width=900 height=600></svg><pre id=d></pre><script>const rows={data};const xs=rows.map(r=>r.Longitude),ys=rows.map(r=>r.Latitude),x0=Math.min(...xs),x1=Math.max(...xs),y0=Math.min(...ys),y1=Math.max(...ys);for(const r of rows){{const c=document.createElementNS('http://www.w3.org/2000/svg','circle');c.setAttribute('cx',20+860*(r.Longitude-x0)/((x1-x0)||1));c.setAttribute('cy',580-560*(r.Latitude-y0)/((y1-y0)||1));c.setAttribute('r',4);c.onclick=()=>document.getElementById('d').textContent=JSON.stringify(r,null,1);document.getElementById('m').append(c)}}</script>"
 
 
 def evaluation_json(summary: DataFrame, path: str) -> None:

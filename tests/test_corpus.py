@@ -126,3 +126,22 @@ def test_fuzzy_identity_query_reads_past_the_first_words(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.source_path: (r.candidate_standard_id, r.candidate_score) for r in QUERIES["fuzzy_identity"](spark, str(tmp_path)).collect()}
     assert got["11"] == got["110"] == ("IRC:119", 1.0) and got["209"] == got["308"] != got["11"]
+
+
+def test_strict_identity_looks_at_the_cover_first(spark):
+    docs = [("a", "IRC-5.pdf", "Code IRC:73 1990"), ("b", "IRC-5-2001.pdf", "nothing"), ("c", "x.pdf", "1RC:SP:84 2019"), ("d", "lRC 67.pdf", None), ("e", "x.pdf", "none")]
+    got = {r.source_path: (r.standard_id, r.edition_year) for r in corpus.strict_identity(spark.createDataFrame(docs, "source_path string, source string, cover string")).collect()}
+    assert got == {"a": ("IRC:73", 1990), "b": ("IRC:5", 2001), "c": ("IRC:SP:84", 2019), "d": ("IRC:67", None), "e": (None, None)}
+
+
+def test_repair_counts(spark):
+    chunks = spark.createDataFrame([("1", "d", "A", 1990), ("2", "d", "B", 1990), ("3", "e", "C", 2000), ("4", "f", "D", 2001)], "chunk_id string, document_sha256 string, standard_id string, edition_year int")
+    ids = spark.createDataFrame([("d", "B", None), ("e", "C", 2000), ("f", "D", 2002)], "document_sha256 string, standard_id string, edition_year int")
+    r = corpus.repair_counts(chunks, ids).first()
+    assert (r.passages, r.documents, r.standards, r.editions) == (2, 2, 1, 1)
+
+
+def test_short_pages_are_weak(spark):
+    pages = spark.createDataFrame([("d", "word " * 3), ("d", "x" * 79), ("d", "x" * 80), ("d", None)], "doc string, text string").selectExpr("*", "'p' as parser")
+    r = corpus.page_coverage(pages, "doc").first()
+    assert (r["pages"], r.low_text_pages, r.coverage) == (4, 3, 0.25)

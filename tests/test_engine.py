@@ -190,3 +190,43 @@ def test_model_client_retries_and_reports(spark):
 
     got = readers.model_extractions(spark.createDataFrame(calls), client, attempts=2, backoff_s=0.01).first()
     assert got.status == "failed" and got.rationale == "down"
+
+
+def test_settings_from_values():
+    got = settings.Settings.from_values({"SPECAUDIT_DENSE_K": "40", "SPECAUDIT_RERANK": " Yes ", "SPECAUDIT_EXHAUSTIVE": "off", "SPECAUDIT_CORPUS_FOLDERS": "/a:/b:", "SPECAUDIT_MODEL": "m:8b", "OTHER": "1"})
+    assert (got.dense_k, got.rerank, got.exhaustive, got.corpus_folders, got.model, got.lexical_k) == (40, True, False, ("/a", "/b"), "m:8b", 28)
+    assert got.key() != settings.Settings().key()
+    with pytest.raises(ValueError):
+        settings.Settings.from_values({"SPECAUDIT_CHUNK_SIZE": "100"})
+
+
+def test_health_tells_which_models_are_missing(spark, tmp_path):
+    e = Engine(spark, f"{tmp_path}/c", f"{tmp_path}/m", settings.Settings(model="big", embedding_model="vectors:v2", reranker_model="none"))
+    got = {r.check: (r.ok, r.detail) for r in e.health(lambda: ["big:latest", "vectors"]).collect()}
+    assert got["model big"][0] and not got["model vectors:v2"][0] and not got["model none"][0] and not got["manifest"][0]
+
+    def broken():
+        raise ConnectionError("no answer")
+
+    assert {r.detail for r in e.health(broken).collect() if r.check.startswith("model")} == {"ConnectionError: no answer"}
+    assert {r.check for r in e.health().collect()} == {"manifest"}
+
+
+def test_large_maps_go_to_several_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PAGE_ROWS", 4)
+    rows = spark.createDataFrame([(float(k), 78.0, "SAFE") for k in range(10)] + [(None, 1.0, "SAFE")], "Latitude double, Longitude double, Overall_Severity string")
+    assert sinks.map_page(rows, f"{tmp_path}/map.html") == 10
+    assert [(tmp_path / n).read_text().count('"Latitude"') for n in ("map.html", "map-2.html", "map-3.html")] == [4, 4, 2]
+    assert sinks.map_page(rows.limit(0), f"{tmp_path}/none.html") == 0 and (tmp_path / "none.html").exists()
+
+
+def test_features_of_a_service(spark):
+    def fetch(south, west, north, east):
+        if south > 50:
+            raise ConnectionError("busy")
+        return [{"way_id": 7, "tags": {"highway": "trunk", "lanes": 2}, "geometry": [(south, west), (north, east)]}, {"way_id": 8}]
+
+    points = spark.createDataFrame([("a", 17.0, 78.0), ("a", 17.1, 78.2), ("b", 60.0, 1.0)], "route_id string, lat double, lon double")
+    got = readers.features_near(points, fetch, backoff_s=0.0).collect()
+    assert [(r.route_id, r.way_id, r.tags) for r in got] == [("a", "7", {"highway": "trunk", "lanes": "2"}), ("a", "8", {})]
+    assert abs(got[0].geometry[0].lat - 16.998) < 1e-9 and abs(got[0].geometry[1].lon - 78.202) < 1e-9 and got[1].geometry == []

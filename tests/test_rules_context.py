@@ -68,6 +68,13 @@ def test_overrides_and_trajectories(spark):
     assert context.sample_trajectory(pts.where("pos < 3"), 7).count() == 3
 
 
+def test_points_without_a_way_nearby_stay(spark):
+    points = spark.createDataFrame([(1, 17.0, 78.0), (2, 40.0, 10.0)], "point_id int, lat double, lon double")
+    ways = spark.createDataFrame([("w", [(17.0, 78.001), (17.01, 78.001)])], "way_id string, geometry array<struct<lat:double,lon:double>>")
+    got = {r.point_id: (r.way_id, r.metres) for r in context.nearest_way(points, ways).collect()}
+    assert got[1][0] == "w" and 100 < got[1][1] < 110 and got[2] == (None, None)
+
+
 def test_opposite_carriageways_against_all_pairs(spark):
     rng = random.Random(5)
     ways = []
