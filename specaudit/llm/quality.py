@@ -111,10 +111,12 @@ def features(text: str) -> tuple[tuple[int, ...], np.ndarray]:
 
 #: Kinds of junk, each anchored by the voters that name it.
 KINDS = (("symbols",), ("upper", "shouting"), ("top word", "repeats", "stutter"), ("columns",))
-#: What is believed beforehand of a vote (junk, none, good): of an anchor on its kind, and of any other voter on any class; and
-#: how many documents of a class that belief is worth.  The votes themselves outweigh it as soon as a class has a few dozen documents.
-ANCHOR, OTHER = (0.9, 0.05, 0.05), (0.05, 0.15, 0.8)
+#: What is believed beforehand of a vote (junk, none, good): of an anchor on its kind, of an anchor on good texts, and of any other voter
+#: on any class; and how many documents of a kind that belief is worth.  The votes outweigh it as soon as a kind has a few dozen documents.
+ANCHOR, SLIP, OTHER = (0.9, 0.01, 0.09), (0.005, 0.005, 0.99), (0.02, 0.01, 0.97)
 BELIEF = 20.0
+#: For good texts the belief is worth this share of all documents: a kind that one voter alone names is told from that voter's slips by nothing else.
+GOOD_BELIEF = 0.2
 
 
 def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tuple[dict[tuple[int, ...], float], np.ndarray, np.ndarray]:
@@ -122,7 +124,7 @@ def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tupl
 
     Junk has several kinds with little in common, so the latent class is "good" or one of the kinds; given
     the class, voters err independently.  Their accuracies (how often a voter says junk on each kind, and on good texts)
-    are what EM estimates, from a Dirichlet prior that names the classes: ``BELIEF`` documents' worth of votes.
+    are what EM estimates, from a Dirichlet prior that names the classes.
     """
     keys = list(patterns)
     n = np.array([patterns[k] for k in keys], float)
@@ -131,7 +133,10 @@ def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tupl
     prior = np.empty((1 + len(KINDS), hot.shape[1], 3))
     prior[:] = OTHER
     for y, kind in enumerate(KINDS, 1):
-        prior[y, [VOTERS.index(x) for x in kind]] = ANCHOR
+        own = [VOTERS.index(x) for x in kind]
+        prior[y, own], prior[0, own] = ANCHOR, SLIP
+    weight = np.full(len(prior), BELIEF)
+    weight[0] += GOOD_BELIEF * n.sum()
     p, post = prior, None
     share = np.full(len(p), 0.2 / len(KINDS))
     share[0] = 0.8
@@ -143,7 +148,7 @@ def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tupl
             break
         post = new
         share = (post @ n + 1) / (n.sum() + len(p))
-        own = np.einsum("p,yp,pvk->yvk", n, post, hot) + BELIEF * prior
+        own = np.einsum("p,yp,pvk->yvk", n, post, hot) + weight[:, None, None] * prior
         p = own / own.sum(axis=2, keepdims=True)
     return dict(zip(keys, post[0].tolist(), strict=True)), share, p
 

@@ -437,6 +437,46 @@ def test_label_model_finds_the_kinds():
     assert right >= 0.95 * 4000 and abs(share[0] - 0.8) < 0.08
 
 
+def plain_posteriors(rows):
+    """EM document by document, in plain loops."""
+    import math
+
+    kinds, voters = (None, *quality.KINDS), quality.VOTERS
+    prior = [[(quality.ANCHOR if kind else quality.SLIP) if name in (kind or sum(quality.KINDS, ())) else quality.OTHER for name in voters] for kind in kinds]
+    p, share, post = prior, [0.8] + [0.2 / 4] * 4, None
+    for _ in range(300):
+        new = []
+        for v in rows:
+            own = [math.log(share[y]) + sum(math.log(p[y][k][0 if x < 0 else 2]) for k, x in enumerate(v) if x) for y in range(5)]
+            top = max(own)
+            own = [math.exp(x - top) for x in own]
+            new.append([x / sum(own) for x in own])
+        if post and max(abs(a - b) for x, y in zip(new, post, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9:
+            break
+        post = new
+        share = [(sum(x[y] for x in post) + 1) / (len(rows) + 5) for y in range(5)]
+        p = []
+        for y in range(5):
+            belief = quality.BELIEF + (quality.GOOD_BELIEF * len(rows) if not y else 0)
+            p.append([])
+            for k in range(len(voters)):
+                n = [belief * prior[y][k][0] + sum(x[y] for x, v in zip(post, rows, strict=True) if v[k] < 0), belief * prior[y][k][1], belief * prior[y][k][2] + sum(x[y] for x, v in zip(post, rows, strict=True) if v[k] > 0)]
+                p[y].append([x / sum(n) for x in n])
+    return [x[0] for x in post]
+
+
+def test_quality_against_the_plain_model(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    rows = [(r.doc_id, *quality.features(r.text)) for r in docs.collect() if r.text and not r.text.isspace()]
+    post = plain_posteriors([v for _, v, _ in rows])
+    found, _, _ = quality.label_model(Counter(v for _, v, _ in rows))
+    assert all(abs(found[v] - q) < 1e-6 for (_, v, _), q in zip(rows, post, strict=True)) and min(post) < 0.1
+    # a table of no more documents than the sample is learned whole
+    w = quality.train_linear(np.stack([x for _, _, x in rows]), np.array(post))
+    got = {r.doc_id: r.score for r in quality.quality(docs.repartition(3)).collect()}
+    assert all(abs(got[d] - 1 / (1 + np.exp(-float(x @ w)))) < 0.01 for d, _, x in rows)
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
