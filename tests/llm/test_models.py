@@ -509,6 +509,32 @@ def test_pipeline_stages(spark):
     assert kept < texts.keys() and {r.doc_id for r in cp.run(spark, TINY).collect()} == kept
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, blank, repeated and very long texts, and empty tables."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(13)
+    word = lambda: rng.choice(["the", "of", "and", "in", "".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(3, 9)))])
+    text = lambda n: ". ".join(" ".join(word() for _ in range(12)).capitalize() for _ in range(n)) + "."
+    leak = text(4)
+    rows = [(k, text(8), rng.choice(["en", None]), rng.choice(["a", "b", None]), None) for k in range(60)]
+    rows += [(60, rows[0][1], "en", "a", 5), (61, None, "en", "a", 5), (62, " ", None, None, 0), (None, text(9), None, None, None), (63, text(5000), "en", "b", 1), (64, text(3) + " " + leak + " " + text(3), "en", "b", 1), (7, *rows[7][1:]), (7, *rows[7][1:])]
+    rng.shuffle(rows)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, own in (("full", rows), ("none", [])):
+        spark.createDataFrame(own, schema).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, leak), (2, None), (None, "")] if own else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+    got = cp.run(spark, f"{tmp_path}/full").collect()
+    ids = [r.doc_id for r in got if r.piece == 0]
+    # blank texts are rejected, copies and repeated rows stay once, and the leak goes
+    assert sorted(map(str, ids)) == sorted(map(str, [*range(60), None, 63]))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(o == sum(n for p, n in own if p < o) for own in by.values() for o, _ in own) and max(sum(n for _, n in own) for own in by.values()) <= 2048
+
+
 # --- personal data without announcing words --------------------------------------------------------------------------
 
 

@@ -177,7 +177,7 @@ def test_simhash_of_odd_rows(spark, odd):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(300)) for _ in range(4)]
     near = [(1000 + k, base[k % 4].replace("aa", "AA", k) + " tail" * (k % 3)) for k in range(60)]
-    rows = [(r[0], r[1]) for r in odd_rows()] + near
+    rows = [(r[0], r[1]) for r in odd_rows()] + near + [(5000, " ".join(f"w{k % 977}" for k in range(20_000)))]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, s0 string, rep int")
     prints = [brute_fingerprint(t) for _, t in rows]
     expect = sorted(zip([d for d, _ in rows], [f"{p:016x}" for p in prints], brute_components([d for d, _ in rows], prints, 2), strict=True), key=str)
