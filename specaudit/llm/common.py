@@ -23,12 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+_written: list[DataFrame] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
+    _written.append(out)
     return out
 
 
@@ -42,6 +46,17 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def mark() -> int:
+    """How many tables have been written so far; see :func:`sweep`."""
+    return len(_written)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since a mark, but for ``keep``; for callers that have stored what they need of them."""
+    discard(*(df for df in _written[since:] if all(df is not k for k in keep)))
+    _written[since:] = [df for df in _written[since:] if any(df is k for k in keep)]
+
+
 #: Rows of an Arrow batch.  Texts are long: Spark's 10,000 rows would be tens of MB a batch, several times over in the JVM and in Python.
 BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
