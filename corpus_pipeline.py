@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import materialize
+from specaudit.llm.common import mark, materialize, sweep
 from specaudit.llm.decontaminate import drop_contaminated
 from specaudit.llm.line_dedup import drop_boilerplate
 from specaudit.llm.packing import pack
@@ -57,8 +57,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        sweep(since, docs)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
