@@ -15,7 +15,7 @@ from specaudit.llm import token_file as tf
 from specaudit.llm.exact_dedup import Polynomial, exact_dedup
 from specaudit.llm.packing import BestFit, pack
 from specaudit.llm.pieces import PieceEncoder
-from specaudit.llm.simhash import NEAR, join_blocks, near_duplicate_survivors, shingle_hashes, simhash_query, trie_links
+from specaudit.llm.simhash import NEAR, join_blocks, majority, near_duplicate_survivors, shingle_hashes, simhash_query, trie_links
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, " ", "a", "a b", " a", "a  b", "a\n\n b", " x   y", "It's 2nd <|endoftext|> day's", "É́ ß ΣΑΣ", "x\t y \r\n z ", "word " * 500, " a b　 c", "don't 'S", "日本 語 text", "\x00 \x01", "a " + "z" * 9000]
@@ -155,6 +155,12 @@ def brute_fingerprint(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+@pytest.mark.parametrize("n", [1, 2, 2048, 2049, 5000])
+def test_majority_of_many_and_few(n):
+    h = np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    assert majority(h) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
+
+
 def brute_components(ids, prints, budget):
     label = list(range(len(ids)))
 
