@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specaudit.functions import geo, text
-from specaudit.operators import context, corpus, evaluation, retrieval, rules
+from specaudit.operators import audit, context, corpus, evaluation, retrieval, rules
 from specaudit.plans import catalog
 from specaudit.plans import fixtures as fx
 from specaudit.plans.queries import hits, query
@@ -200,6 +200,66 @@ def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("n", context.render(c).alias("line"))
 
 
+_BEARS = "((degrees(atan2(sin(radians(blon - alon)) * cos(radians(blat)), cos(radians(alat)) * sin(radians(blat)) - sin(radians(alat)) * cos(radians(blat)) * cos(radians(blon - alon)))) + CASE WHEN back THEN 180 ELSE 0 END) % 360 + 360) % 360"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 4 IN (0, 1, 2) AS oneway, event_id % 4 = 2 AS back, 17.0::double AS alat, 78.0::double AS alon, 17 + (event_id % 19 - 9) * 0.01::double AS blat, 78 + (event_id % 23 - 11) * 0.01::double AS blon FROM events)
+SELECT event_id, oneway, CASE WHEN blat = alat AND blon = alon THEN NULL ELSE round({_BEARS}, 6) % 360 END AS bearing FROM e""")
+def travel_bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    tag = F.when(n % 4 == 0, " YES".strip()).when(n % 4 == 1, "1").when(n % 4 == 2, "-1").otherwise("no")
+    at = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+    z = at(17 + (n % 19 - 9) * F.lit(0.01), 78 + (n % 23 - 11) * F.lit(0.01))
+    line = F.array(at(F.lit(17.0), F.lit(78.0)), at(F.lit(17.5), F.lit(78.5)), z)
+    still = (n % 19 == 9) & (n % 23 == 11)
+    return fx.load(spark, sf_dir, "events").select("event_id", context.is_oneway(tag).alias("oneway"), F.when(~still, F.round(context.travel_bearing(line, tag), 6) % 360).alias("bearing"))
+
+
+_CLASSES = ("Expressway", "National Highway", "State Highway")
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS route_id, k AS pos, 17 + (c_custkey % 50) * 0.01::double + k * 0.001::double AS lat, 78 + (c_custkey % 7) * 0.0001::double * k AS lon FROM customer, range(7) t(k)),
+w AS (SELECT c_custkey AS route_id, k AS way_id, ['Expressway', 'National Highway', 'State Highway'][k % 3 + 1] AS road_class, 0.5::double + k * 0.05::double AS confidence, 17 + (c_custkey % 50) * 0.01::double AS alat, 78 + ((c_custkey * (k + 3)) % 11) * 0.0001::double AS alon,
+ 17 + (c_custkey % 50) * 0.01::double + 0.006::double AS blat, 78 + ((c_custkey * (k + 5)) % 13) * 0.0003::double AS blon, (c_custkey + k) % 3 = 0 AS back FROM customer, range(5) t(k)),
+x AS (SELECT p.route_id, pos, way_id, road_class, confidence, (alon - lon) * cos(radians(lat)) * radians(1) * 6371000 AS ax, (alat - lat) * radians(1) * 6371000 AS ay, (blon - lon) * cos(radians(lat)) * radians(1) * 6371000 AS bx, (blat - lat) * radians(1) * 6371000 AS by_ FROM p JOIN w USING (route_id)),
+t AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS s FROM x), d AS (SELECT *, sqrt(pow(ax + s * (bx - ax), 2) + pow(ay + s * (by_ - ay), 2)) AS d FROM t),
+c AS (SELECT route_id, road_class, pos, min(d) AS d FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY route_id, road_class ORDER BY d) AS rn, count(*) OVER (PARTITION BY route_id, road_class) AS n FROM c),
+a AS (SELECT route_id, road_class, avg((d <= 35)::int) AS coverage, max(d) FILTER (rn = n // 2 + 1) AS mid FROM r GROUP BY ALL),
+h AS (SELECT route_id, arg_min(lat, pos) AS alat, arg_min(lon, pos) AS alon, arg_max(lat, pos) AS blat, arg_max(lon, pos) AS blon, false AS back FROM p GROUP BY 1), b AS (SELECT route_id, {_BEARS} AS heading FROM h), v AS (SELECT *, {_BEARS} AS bearing FROM w),
+f AS (SELECT v.route_id, road_class, confidence, abs(((bearing - heading + 180) % 360 + 360) % 360 - 180) AS diff FROM v JOIN b USING (route_id)),
+g AS (SELECT route_id, road_class, max(greatest(0, 1 - least(diff, 180 - diff) / 90)) AS fit, max(confidence) AS prior FROM f GROUP BY ALL),
+m AS (SELECT route_id, road_class, way_id, confidence, median(d) AS m FROM d GROUP BY ALL), n AS (SELECT route_id, road_class, arg_min(confidence, struct_pack(m := m, w := way_id)) AS confidence, arg_min(way_id, struct_pack(m := m, w := way_id)) AS way_id FROM m GROUP BY ALL),
+q AS (SELECT a.route_id, a.road_class, n.way_id, n.confidence, prior, 0.65::double * coverage + 0.25::double * greatest(0, 1 - mid / 60) + 0.10::double * fit AS quality FROM a JOIN g USING (route_id, road_class) JOIN n USING (route_id, road_class))
+SELECT route_id, road_class, way_id, round(quality, 6) AS quality, round_even(least(0.95::double, confidence * (0.55::double + 0.45::double * quality)), 3) AS confidence FROM q QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY quality * (0.85::double + 0.15::double * prior) DESC, road_class DESC) = 1""")
+def road_class_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer drives a route of seven points beside five ways."""
+    c, n = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route_id")), F.col("route_id")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    k = F.col("k")
+    p = c.withColumn("k", each(7)).select("route_id", k.alias("pos"), (17 + (n % 50) * F.lit(0.01) + k * F.lit(0.001)).alias("lat"), (78 + (n % 7) * F.lit(0.0001) * k).alias("lon"))
+    at = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+    a = at(17 + (n % 50) * F.lit(0.01), 78 + ((n * (k + 3)) % 11) * F.lit(0.0001))
+    z = at(17 + (n % 50) * F.lit(0.01) + F.lit(0.006), 78 + ((n * (k + 5)) % 13) * F.lit(0.0003))
+    w = c.withColumn("k", each(5)).select("route_id", k.alias("way_id"), F.get(F.array(*map(F.lit, _CLASSES)), k % 3).alias("road_class"), (F.lit(0.5) + k * F.lit(0.05)).alias("confidence"), F.array(a, z).alias("geometry"), F.when((n + k) % 3 == 0, "-1").alias("oneway"))
+    return context.classify_route(p, w).select("route_id", "road_class", "way_id", F.round("quality", 6).alias("quality"), "confidence")
+
+
+@query("""WITH c AS (SELECT c_custkey AS n, c_custkey % 5 > 0 AS seen, CASE c_custkey % 4 WHEN 0 THEN 'divided' WHEN 1 THEN 'undivided' WHEN 2 THEN 'one_way' ELSE 'unknown' END AS way, CASE WHEN c_custkey % 7 = 0 THEN 6 END AS total, CASE WHEN c_custkey % 3 = 0 THEN 2 END AS cc, 2 AS osm, 1 + c_custkey % 3 AS opp FROM customer),
+s AS (SELECT *, CASE WHEN seen THEN 2 + n % 2 END AS lanes, CASE WHEN seen THEN 'undivided' END AS sway FROM c),
+w AS (SELECT *, coalesce(nullif(way, 'unknown'), sway, 'unknown') AS ww FROM s), d AS (SELECT *, ww IN ('divided', 'one_way') AND lanes IS NOT NULL AS one FROM w),
+e AS (SELECT *, coalesce(one AND ww = 'divided' AND total IS NULL AND cc = 2 AND osm = lanes AND opp >= lanes, false) AS doubled, ww NOT IN ('divided', 'one_way') AND lanes IS NOT NULL AND total IS NULL AS whole FROM d)
+SELECT n, ww AS carriageway, coalesce(total, CASE WHEN doubled THEN 2 * lanes WHEN whole THEN lanes END)::int AS total_road_lanes, CASE WHEN one THEN lanes END::int AS lanes_per_carriageway, coalesce(cc, CASE WHEN whole AND ww = 'undivided' THEN 1 END)::int AS carriageway_count, CASE WHEN doubled OR whole THEN true END AS lanes_provisional,
+ CASE WHEN seen THEN 60.0 END::double AS posted_speed_kmph FROM e""")
+def context_with_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey")
+    c = fx.load(spark, sf_dir, "customer").select(
+        n.alias("route_id"), F.when(n % 4 == 0, "divided").when(n % 4 == 1, "undivided").when(n % 4 == 2, "one_way").otherwise("unknown").alias("carriageway"), F.when(n % 7 == 0, 6).alias("total_road_lanes"), F.lit(None).cast("int").alias("lanes_total"), F.lit(None).cast("int").alias("lanes_per_carriageway"), F.when(n % 3 == 0, 2).alias("carriageway_count"),
+        F.lit(2).alias("osm_way_lanes"), (1 + n % 3).cast("int").alias("opposite_carriageway_lanes"), F.lit(None).cast("boolean").alias("lanes_provisional"), F.lit(None).cast("double").alias("design_speed_kmph"), F.lit(None).cast("double").alias("posted_speed_kmph"), F.lit(None).cast("string").alias("posted_speed_source"), F.lit("").alias("sign_class"), F.lit("unknown").alias("sign_mounting"),
+    )
+    sheet = c.where(F.col("route_id") % 5 > 0).select("route_id", (2 + F.col("route_id") % 2).cast("int").alias("lanes"), F.lit("undivided").alias("carriageway"), F.lit("Chevron").alias("sign_class"), F.lit("shoulder").alias("sign_mounting"), F.lit(60.0).alias("posted_speed_kmph"))
+    return context.with_sheet(c, sheet).select(F.col("route_id").alias("n"), "carriageway", "total_road_lanes", "lanes_per_carriageway", "carriageway_count", "lanes_provisional", "posted_speed_kmph")
+
+
 # --- corpus and formats --------------------------------------------------------------------------------------------
 
 
@@ -238,3 +298,43 @@ def heading_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     a, b = (n * 37 % 360).cast("double"), (n * 91 % 360).cast("double")
     return fx.load(spark, sf_dir, "events").select("event_id", geo.heading_difference(a, b).alias("heading"), geo.undirected_difference(a, b).alias("undirected"))
+
+
+_PREFERRED_BY = ", ".join(f"('{k}', '{p}')" for k, m in catalog.METRICS.items() for p in m.preferred)
+
+
+@query(f"""WITH m AS (SELECT * FROM (VALUES {_PREFERRED_BY}) t(key, p)), v AS (SELECT upper(['irc:86', 'IRC:SP:84 - 2019', 'IRC:99', 'IRC:119'][s_suppkey % 4 + 1]) AS s FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 4 < 2)
+SELECT DISTINCT key FROM m WHERE key NOT IN (SELECT key FROM m JOIN v ON starts_with(v.s, upper(m.p)))""")
+def metrics_without_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    name = F.get(F.array(*map(F.lit, ("irc:86", "IRC:SP:84 - 2019", "IRC:99", "IRC:119"))), (n % 4).cast("int"))
+    good = (n % 3 == 0) & (n % 4 < 2)
+    x = fx.load(spark, sf_dir, "supplier").select(name.alias("standard_id"), F.when(good, 2018).alias("active_edition_year"), F.array(F.lit("a.pdf")).alias("approved_sources"), F.array(F.lit("sha")).alias("approved_sha256"), *(F.lit("known").alias(c) for c in ("official_source_url", "licence_basis", "reviewed_by", "reviewed_on")))
+    return corpus.uncovered_metrics(catalog.table(spark), x)
+
+
+@query("""WITH r AS (SELECT DISTINCT user_id::varchar AS route_id FROM events), m AS (SELECT unnest(['min_lane_width', 'min_kerb_height', 'min_sign_height']) AS metric_key), k AS (SELECT DISTINCT user_id::varchar AS route_id, 'min_lane_width' AS metric_key, 'found' AS status, (user_id % 9)::double AS value_m FROM events WHERE user_id % 2 = 0)
+SELECT r.route_id, m.metric_key, coalesce(k.status, 'not_applicable') AS status, k.value_m FROM r, m LEFT JOIN k ON k.route_id = r.route_id AND k.metric_key = m.metric_key""")
+def rules_of_every_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.load(spark, sf_dir, "events").select("user_id", F.col("user_id").cast("string").alias("route_id"))
+    known = e.where("user_id % 2 = 0").distinct().select("route_id", F.lit("min_lane_width").alias("metric_key"), F.lit("found").alias("status"), (F.col("user_id") % 9).cast("double").alias("value_m"))
+    return audit.complete_rules(known, e, ("min_lane_width", "min_kerb_height", "min_sign_height")).select("route_id", "metric_key", "status", "value_m")
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AS approved FROM documents""")
+def approved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    names, digests = F.when(n % 3 == 0, F.array(F.lit("x"), F.col("source"))).when(n % 3 == 1, F.array(F.lit("x"))), F.when(n % 2 == 0, F.array(F.lit("sha"))).otherwise(F.array(F.lit(None).cast("string")))
+    return fx.load(spark, sf_dir, "documents").select("doc_id", corpus.source_approved(F.col("source"), F.lit("sha"), names, digests).alias("approved"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Code IRC:SP:' || (doc_id % 120 + 1) || ' of ' || (1960 + doc_id % 60) WHEN 2 THEN 'Code 1RC:' || (doc_id % 120 + 1) || '-' || (1960 + doc_id % 60) ELSE 'no title' END AS cover FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'IRC:SP:' || (doc_id % 120 + 1) WHEN 1 THEN 'IRC:' || (doc_id % 99 + 1) WHEN 2 THEN 'IRC:' || (doc_id % 120 + 1) WHEN 3 THEN 'IRC:SP:' || (doc_id % 99 + 1) END AS standard_id, CASE WHEN doc_id % 5 < 4 THEN 1960 + doc_id % 60 END AS edition_year FROM d""")
+def strict_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    num = lambda c: c.cast("string")
+    year = num(1960 + n % 60)
+    cover = F.when(n % 5 == 0, F.concat(F.lit("Code IRC:SP:"), num(n % 120 + 1), F.lit(" of "), year)).when(n % 5 == 2, F.concat(F.lit("Code 1RC:"), num(n % 120 + 1), F.lit("-"), year)).otherwise("no title")
+    name = F.when(n % 5 == 1, F.concat(F.lit("IRC "), num(n % 99 + 1), F.lit("-"), year, F.lit(".pdf"))).when(n % 5 == 3, F.concat(F.lit("lRC SP "), num(n % 99 + 1), F.lit(" ("), year, F.lit(").pdf"))).otherwise("scan.pdf")
+    d = fx.load(spark, sf_dir, "documents").select("doc_id", n.alias("source_path"), name.alias("source"), cover.alias("cover"))
+    return corpus.strict_identity(d).select("doc_id", "standard_id", F.col("edition_year").cast("long").alias("edition_year"))
