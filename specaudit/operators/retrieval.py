@@ -89,16 +89,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "corpus_
         for r in block:
             by_length.setdefault(len(r["v"]), []).append(r)
         for length, rows in by_length.items():
-            found = own.where(F.size("embedding") == length).mapInArrow(_nearest(rows, k), HITS)
+            names, matrix = [(r["request_id"], r["query_idx"]) for r in rows], np.array([r["v"] for r in rows], np.float64).T
+            sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+            found = own.where(F.size("embedding") == length).mapInArrow(_nearest(sent, k), HITS)
             out = found if out is None else out.unionByName(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], HITS)
     return top(out, ["request_id", "query_idx"], "score", k)
 
 
-def _nearest(rows: list, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's top ``k`` of each query in ``rows``."""
-    names, matrix = [(r["request_id"], r["query_idx"]) for r in rows], np.array([r["v"] for r in rows], np.float64).T
+def _nearest(sent, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's top ``k`` of each query, of the broadcast names and matrix of queries."""
 
     def best(ids: np.ndarray, which: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((ids, -score, which))
@@ -107,6 +108,7 @@ def _nearest(rows: list, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         return ids[rank < k], which[rank < k], score[rank < k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             if not batch.num_rows:
