@@ -80,11 +80,14 @@ def window_score(needle: str, hay: str, least: float) -> float:
 
     A window's shared characters bound its ratio, so only windows whose bound reaches ``least`` are matched.
     """
-    codes = np.frombuffer(hay.encode("utf-32-le"), "<u4")
-    sums = {c: np.concatenate([[0], np.cumsum(codes == ord(c))]) for c in set(needle)}
+    most = sum(min(needle.count(c), hay.count(c)) for c in set(needle))
+    # no window shares more characters than the whole does, which rules out most widths before any window is looked at
+    widths = [w for w in sorted({min(w, len(hay)) for w in range(max(3, len(needle) - 2), len(needle) + 3)}) if 2.0 * most + 1e-9 >= least * (len(needle) + w)]
     windows: dict[str, float] = {}
-    for width in range(max(3, len(needle) - 2), len(needle) + 3):
-        wide = min(width, len(hay))
+    if widths:
+        codes = np.frombuffer(hay.encode("utf-32-le"), "<u4")
+        sums = {c: np.concatenate([[0], np.cumsum(codes == ord(c))]) for c in set(needle)}
+    for wide in widths:
         shared = np.zeros(len(hay) - wide + 1, np.int64)
         for c, own in sums.items():
             shared += np.minimum(own[wide:] - own[: len(own) - wide], needle.count(c))

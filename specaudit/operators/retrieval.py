@@ -41,7 +41,7 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "corpus_idx", text_col: str = "text") -> DataFrame:
     """``request_id, query_idx, corpus_idx, score, rank``: the top ``k`` of each query with positive scores."""
     asked = query_tokens(queries)
-    few = _small(queries)
+    few = _small(asked, BROADCAST_TOKENS)
     send = F.broadcast if few else (lambda df: df)
     own = postings(docs, send(asked.select("token").distinct()), id_col, text_col)
     df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -54,12 +54,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "corpus_idx"
     return top(scored.where("score > 0"), ["request_id", "query_idx"], "score", k)
 
 
-#: Requests whose distinct tokens are sent to every task; more are joined by a shuffle.
-BROADCAST_QUERIES = 10_000
+#: Requests, and tokens of requests (about 60 bytes each), that are sent to every task; more are joined by a shuffle.
+BROADCAST_QUERIES, BROADCAST_TOKENS = 10_000, 200_000
 
 
-def _small(queries: DataFrame) -> bool:
-    return queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+def _small(rows: DataFrame, most: int = BROADCAST_QUERIES) -> bool:
+    return rows.limit(most + 1).count() <= most
 
 
 def top(scored: DataFrame, keys: list[str], score: str, k: int, id_col: str = "corpus_idx") -> DataFrame:
