@@ -22,3 +22,12 @@ def test_rest_works_without_the_training_data_folder(tmp_path):
     shutil.rmtree(tmp_path / "specaudit" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not [n for n in q if n.startswith('op') and n[2].isdigit()] and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_rest_of_the_tests_does_not_need_the_training_data_folder(tmp_path):
+    for name in ("specaudit", "tests"):
+        shutil.copytree(os.path.join(ROOT, name), tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(os.path.join(ROOT, name), tmp_path / name)
+    got = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "-p", "no:cacheprovider", "tests"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert got.returncode == 0 and "test_query_equals_sql" in got.stdout, got.stdout[-2000:]
