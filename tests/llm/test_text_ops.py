@@ -11,7 +11,9 @@ import public_tokenizers
 import pytest
 import xxhash
 
+from specaudit.llm import common
 from specaudit.llm import token_file as tf
+from specaudit.llm.common import shared_dir
 from specaudit.llm.exact_dedup import Polynomial, exact_dedup
 from specaudit.llm.packing import BestFit, pack
 from specaudit.llm.pieces import PieceEncoder
@@ -300,3 +302,26 @@ def test_registered_queries_encode_added_tokens_as_the_library_does(spark, tmp_p
         library = Tokenizer.from_file(path)
         expect = {k: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for k, t in enumerate(texts)}
         assert {r.doc_id: r.ids_crc32 for r in run(spark, str(tmp_path)).collect()} == expect
+
+
+class FarSession:
+    """A session on a cluster."""
+
+    def __init__(self, **conf):
+        self.conf, self.sparkContext = conf, type("Context", (), {"master": "spark://far:7077"})
+
+
+def test_clusters_must_name_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(FarSession())
+    assert shared_dir(FarSession(**{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+
+
+def test_sweep_deletes_what_was_written_since(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    first = common.materialize(spark.range(3), "a")
+    since = common.mark()
+    second, third = common.materialize(spark.range(3), "b"), common.materialize(spark.range(4), "c")
+    common.sweep(since, third)
+    assert first.count() == 3 and third.count() == 4 and sorted(p.name[0] for p in tmp_path.iterdir()) == ["a", "c"]
+    assert second is not third and common.mark() == since + 1
