@@ -32,6 +32,7 @@ PLACES = 1 << 11
 CUT = 0.3
 #: Frequent function words of the common languages of the web.
 COMMON = frozenset("the of and to in is that for it as was with on by de la le et les des un une en que el los las del y der die und das von mit zu ist den".split())
+LONGEST, MARKS = max(map(len, COMMON)), ".,!?"
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#$%&*@^~=+<>{}[]|\\`_")] = True
 UPPER = np.zeros(256, bool)
@@ -71,7 +72,8 @@ def shape(text: str, byte_counts: np.ndarray) -> dict[str, float]:
         "length": len(text) / max(1, n) - 1,
         "ends": sum(bool(re.search(r"[.!?:;\"»”]$", x)) for x in lines) / len(lines) if lines else math.nan,
         "columns": int(byte_counts[124] + byte_counts[9]) / max(1, n),
-        "common": sum(c for w, c in tally.items() if w.lower().strip(".,!?") in COMMON) / max(1, n),
+        # a longer word without a mark at its ends is none of them
+        "common": sum(c for w, c in tally.items() if (len(w) <= LONGEST or w[0] in MARKS or w[-1] in MARKS) and w.lower().strip(MARKS) in COMMON) / max(1, n),
     }
 
 
