@@ -75,6 +75,44 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_file, op2_quality, op3_chat_repair, op4_personal_data, op5_line_dedup, op6_simhash, op7_decontamination, op8_exact_dedup, op9_language, op10_packing)}
 
+def _repair_sql() -> str:
+    """The dynamic program as a recursion over turns: a conversation's row holds the best way to each state, as its cost and a code of three digits a turn."""
+    from specaudit.llm import chat
+
+    def cell(r: int, s: int, t: int) -> str:
+        step = chat.STEPS[r].get((s, t))
+        return "{'cost': NULL::bigint, 'code': ''}" if step is None else f"{{'cost': {step[0]}::bigint, 'code': '{step[1]}{len(step[2])}{t}'}}"
+
+    def table(of) -> str:
+        return "[" + ", ".join("[" + ", ".join(of(s, t) for t in (1, 2, 3)) + "]" for s in range(4)) + "]"
+
+    def fill(s: int, t: int) -> str:
+        return "'" + ",".join(chat.ROLES[x - 1] for x in chat.FILL[s, t] or ()) + "'"
+
+    def opened(states) -> str:
+        return " || ".join(["''", *(f"'<|{chat.ROLES[x - 1]}|>' || chr(10) || '<|end|>' || chr(10)" for x in states)])
+
+    steps = "[" + ", ".join(table(lambda s, t, r=r: cell(r, s, t)) for r in range(4)) + "]"
+    closing = "[" + ", ".join(str(round(chat.UNIT * chat.COSTS["insert"]) * len(chat.CLOSE[s])) for s in range(4)) + "]"
+    ends = "[" + ", ".join(opened(chat.CLOSE[s]) for s in range(4)) + "]"
+    return f"""
+WITH RECURSIVE m AS (SELECT {steps} AS m, {closing} AS closing, {ends} AS ends, {table(fill)} AS fills, {table(lambda s, t: opened(chat.FILL[s, t] or ()))} AS shown),
+t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE lower(trim(role)) WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS r,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, '')) - 1 AS pos FROM conversations),
+w AS (SELECT DISTINCT conv_id, -1::bigint AS pos, [{{'cost': 0::bigint, 'code': '', 's': 0}}] AS ways FROM t UNION ALL
+  SELECT w.conv_id, t.pos, list_filter(list_transform([1, 2, 3], lambda x: list_min(list_transform(list_filter(w.ways, lambda y: m.m[t.r + 1][y.s + 1][x].cost IS NOT NULL),
+    lambda y: {{'cost': y.cost + m.m[t.r + 1][y.s + 1][x].cost, 'code': y.code || m.m[t.r + 1][y.s + 1][x].code, 's': x}}))), lambda z: z IS NOT NULL)
+  FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1, m),
+e AS (SELECT conv_id, pos, list_min(list_transform(ways, lambda y: {{'cost': y.cost + closing[y.s + 1], 'code': y.code, 's': y.s}})) AS best FROM w, m QUALIFY pos = max(pos) OVER (PARTITION BY conv_id)),
+d AS (SELECT t.conv_id, t.pos, t.turn, t.role, t.text, t.pos = e.pos AS last, substr(best.code, 3 * t.pos + 1, 1)::int AS a, substr(best.code, 3 * t.pos + 2, 1) <> '0' AS filled, substr(best.code, 3 * t.pos + 3, 1)::int AS s,
+             CASE WHEN t.pos > 0 THEN substr(best.code, 3 * t.pos, 1)::int ELSE 0 END AS prev FROM t JOIN e ON e.conv_id IS NOT DISTINCT FROM t.conv_id),
+n AS (SELECT d.*, ['system', 'user', 'assistant'][s] AS name, a IN (0, 2) AS new FROM d)
+SELECT conv_id, pos, turn, role, name AS new_role, ['keep', 'merge', 'relabel', 'relabel+merge'][a + 1] AS action, CASE WHEN filled THEN fills[prev + 1][s] ELSE '' END AS inserted,
+  CASE WHEN pos = 0 THEN '' WHEN new THEN '<|end|>' || chr(10) ELSE chr(10) END || CASE WHEN filled THEN shown[prev + 1][s] ELSE '' END || CASE WHEN new THEN '<|' || name || '|>' || chr(10) ELSE '' END || text
+  || CASE WHEN last THEN '<|end|>' || chr(10) || ends[s + 1] ELSE '' END AS piece FROM n, m
+"""
+
+
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
@@ -96,4 +134,5 @@ r AS (SELECT rid, doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropp
              coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM m GROUP BY rid, doc_id)
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256 FROM r
 """,
+    "op3_chat_repair": _repair_sql(),
 }
