@@ -62,9 +62,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from specaudit.llm.decontaminate import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *(F.round(c, 9).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +116,40 @@ SELECT conv_id, pos, turn, role, name AS new_role, ['keep', 'merge', 'relabel',
 """
 
 
+def _contamination_sql() -> str:
+    """Every passage scored against every item that shares a word with it, then all shingles compared."""
+    from specaudit.llm import decontaminate as d
+
+    def words(c: str) -> str:
+        return rf"regexp_extract_all(lower({c}), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
+
+    def shingles(c: str) -> str:
+        return f"CASE WHEN len({c}) = 0 THEN [] ELSE list_distinct(list_transform(range(greatest(1, len({c}) - {d.SHINGLE - 1})), lambda k: array_to_string({c}[k + 1 : k + {d.SHINGLE}], ' '))) END"
+
+    def share(c: str) -> str:
+        return f"CASE len({c}) WHEN 0 THEN 0 WHEN 1 THEN contains(line, ' ' || {c}[1] || ' ')::int ELSE len(list_intersect({c}, held))::double / len({c}) END"
+
+    return rf"""
+WITH i AS (SELECT row_number() OVER () AS iid, item_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS text, {words("coalesce(text, '')")} AS ws FROM benchmark),
+c AS (SELECT *, len(ws) AS n, CASE WHEN (len(ws) - 1) // {d.LEAST_STRIDE} = 0 THEN 0 ELSE floor(log2((len(ws) - 1) // {d.LEAST_STRIDE})) + 1 END AS klass, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {words("x")}), lambda x: len(x) > 0) AS parts FROM i WHERE len(ws) > 0),
+p AS (SELECT *, greatest({d.LEAST_STRIDE}, max(n) OVER (PARTITION BY klass)) AS stride, CASE WHEN len(parts) < 2 THEN ws ELSE flatten(parts[: len(parts) - 1]) END AS q, CASE WHEN len(parts) < 2 THEN [] ELSE parts[len(parts)] END AS a FROM c),
+s AS (SELECT iid, item_id, klass, {shingles("ws")} AS sw, {shingles("q")} AS sq, {shingles("a")} AS sa FROM p),
+f AS (SELECT iid, n, klass, w, count(*) AS f FROM (SELECT iid, n, klass, unnest(ws) AS w FROM p) GROUP BY ALL), g AS (SELECT w, count(*) AS df FROM f GROUP BY 1), t AS (SELECT count(*) AS total, avg(n) AS mean FROM p),
+x AS (SELECT iid, klass, w, ln(1 + (total - df + 0.5::double) / (df + 0.5::double)) * f * {d.K1 + 1}::double / (f + {d.K1}::double * ({1 - d.B}::double + {d.B}::double * n / greatest(1, mean))) AS x FROM f JOIN g USING (w), t),
+y AS (SELECT iid, klass, w, x / sum(x) OVER (PARTITION BY iid) AS x FROM x),
+o AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+k AS (SELECT DISTINCT klass, stride FROM p), v AS (SELECT DISTINCT klass, w FROM y),
+u AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS k FROM o),
+z AS (SELECT DISTINCT rid, klass, stride, u.k // stride - back AS p, w FROM u JOIN v USING (w) JOIN k USING (klass), (VALUES (0), (1)) b(back) WHERE u.k // stride >= back),
+h AS (SELECT rid, iid, z.klass, stride, p, sum(x) AS score FROM z JOIN y ON y.klass = z.klass AND y.w = z.w GROUP BY ALL HAVING sum(x) >= {d.THRESHOLD}::double),
+l AS (SELECT h.*, doc_id, ws[p * stride + 1 : (p + 2) * stride] AS own FROM h JOIN o USING (rid)),
+n AS (SELECT l.*, item_id, sw, sq, sa, ' ' || array_to_string(own, ' ') || ' ' AS line, {shingles("own")} AS held FROM l JOIN s USING (iid)),
+r AS (SELECT rid, iid, doc_id, item_id, score, {share("sw")} AS whole, {share("sq")} AS q, {share("sa")} AS a FROM n),
+best AS (SELECT doc_id, item_id, max(struct_pack(w := whole::double, q := q::double, a := a::double, s := score)) AS b FROM r WHERE whole >= {d.OVERLAP}::double OR (q >= {d.OVERLAP}::double AND a >= {d.ANSWER_OVERLAP}::double) GROUP BY rid, iid, doc_id, item_id)
+SELECT doc_id, item_id, round(b.s, 9) AS score, round(b.w, 9) AS overlap, round(b.q, 9) AS question_overlap, round(b.a, 9) AS answer_overlap FROM best
+"""
+
+
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
@@ -135,4 +172,5 @@ r AS (SELECT rid, doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropp
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256 FROM r
 """,
     "op3_chat_repair": _repair_sql(),
+    "op7_decontamination": _contamination_sql(),
 }
