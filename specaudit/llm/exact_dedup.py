@@ -36,6 +36,8 @@ from specaudit.llm.common import SPACES, discard, keyed_text, materialize
 MODULI = ((2147483647, 1103515245), (2147483629, 742938285), (2147483587, 950706376), (2147483579, 1226874159))
 #: Bytes in a chunk: 2**16 products under 2**39 add up to less than 2**63.
 CHUNK = 1 << 16
+#: Chunks of a long text that stay together.
+SPAN = 64
 
 
 class Polynomial:
@@ -99,6 +101,22 @@ def _hashed(moduli, chunk: int):
     return run
 
 
+def _cut(step: int):
+    """Long texts to rows of their chunks, a bounded number at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rid, doc_id, n_cp, sha, text = (batch.column(k)[row].as_py() for k in range(5))
+                for first in range(0, len(text), step * SPAN):
+                    pieces = [text[at : at + step] for at in range(first, min(len(text), first + step * SPAN), step)]
+                    n = len(pieces)
+                    kinds = ((rid, pa.int64()), (doc_id, pa.int64()), (n_cp, pa.int64()), (sha, pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v] * n, t) for v, t in kinds), pa.array(range(first // step, first // step + n), pa.int32()), pa.array(pieces, pa.string())], names=["rid", "doc_id", "n_cp", "text_sha256", "k", "piece"])
+
+    return run
+
+
 def _summed(moduli, chunk: int):
     """A text's chunks in order to its fingerprint."""
 
@@ -125,8 +143,8 @@ def hashed_chunks(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFra
     rows = rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_sha256", F.sha2("bare", 256))
     # the raw length tells most texts apart without deleting anything
     single = rows.where(f"n_cp <= {step} or n = 0").select("rid", "doc_id", "n_cp", "text_sha256", F.lit(0).alias("k"), F.col("bare").alias("piece"))
-    pieces = F.transform(F.sequence(F.lit(0), "n"), lambda k: F.substring(F.col("bare"), k * step + 1, F.lit(step)))
-    several = rows.where(f"n_cp > {step} and n > 0").select((-1 - F.col("rid")).alias("rid"), "doc_id", "n_cp", "text_sha256", F.posexplode(pieces).alias("k", "piece"))
+    long = rows.where(f"n_cp > {step} and n > 0").select((-1 - F.col("rid")).alias("rid"), "doc_id", "n_cp", "text_sha256", "bare")
+    several = long.mapInArrow(_cut(step), "rid long, doc_id long, n_cp long, text_sha256 string, k int, piece string")
     parts = (single, several.repartition("rid", "k"))
     one, more = (x.mapInArrow(_hashed(moduli, chunk), CHUNKS) for x in parts)
     return materialize(one.unionByName(more), "exact-dedup-chunks")
@@ -142,11 +160,13 @@ def fingerprints(chunks: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFr
     return materialize(single.unionByName(long), "exact-dedup-rows")
 
 
-def unequal_keys(chunks: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+def unequal_keys(chunks: DataFrame, rows: DataFrame, groups: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Fingerprints of ``groups`` under which the chunks are not all equal, number by number."""
     single = chunks.where("rid >= 0").select(*KEY, "k", "piece").join(groups, KEY, "left_semi")
-    members = rows.where("rid < 0").join(groups, KEY, "left_semi").select("rid", *KEY)
-    long = chunks.where("rid < 0").select("rid", "k", "piece").join(members, "rid").select(*KEY, "k", "piece")
+    # a long text meets its key in spans of chunks, on as many tasks; its bytes bound their number
+    spans = F.explode(F.sequence(F.lit(0), F.floor(F.col("n_bytes") / (chunk // 4 * SPAN)).cast("int"))).alias("span")
+    members = rows.where("rid < 0").join(groups, KEY, "left_semi").select("rid", spans, *KEY)
+    long = chunks.where("rid < 0").select("rid", F.expr(f"k div {SPAN}").cast("int").alias("span"), "k", "piece").join(members, ["rid", "span"]).select(*KEY, "k", "piece")
     ends = single.unionByName(long).groupBy(*KEY, "k").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
     return ends.where("low <> high").select(*KEY).distinct()
 
@@ -160,7 +180,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     chunks = hashed_chunks(keyed_text(df, id_col, text_col), moduli, chunk)
     rows = fingerprints(chunks, moduli, chunk)
     groups = materialize(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(*KEY), "exact-dedup-groups")
-    bad = materialize(unequal_keys(chunks, rows, groups), "exact-dedup-unequal")
+    bad = materialize(unequal_keys(chunks, rows, groups, chunk), "exact-dedup-unequal")
     discard(chunks, groups)
     klass = [*KEY, "part"]
     if bad.limit(1).count():
