@@ -291,7 +291,7 @@ def _listed(found: str) -> Column:
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, numbers of base spans ``n_email, n_ip, n_card, n_phone``, ``base_sha256, spans``, and numbers of added ``n_secret, n_added`` of every row."""
+    """``doc_id``, numbers of base spans ``n_email, n_ip, n_card, n_phone``, ``base_sha256, spans``, and numbers of added ``n_secret, n_added``, and whether a row has any span (``found``), of every row."""
     found = spans(df, id_col, text_col)
 
     def number(spans: str, k: int) -> Column:
@@ -299,7 +299,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     numbers = [number("base", k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:SECRET])]
     added = (F.size("all") - F.size("base")).cast("long").alias("n_added")
-    return found.select("doc_id", *numbers, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"), number("all", SECRET).alias("n_secret"), added)
+    return found.select("doc_id", *numbers, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"), number("all", SECRET).alias("n_secret"), added, (F.size("all") > 0).alias("found"))
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -110,7 +110,9 @@ def test_added_spans_are_those_that_plain_scoring_selects(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     trees, least = pii.fit(pii.candidates(df))
     assert sum(x < float("inf") for x in least.values()) >= 3
-    got = {r.doc_id: (r.spans, r.n_secret, r.n_added) for r in pii.personal_data(df).collect()}
+    rows = pii.personal_data(df).collect()
+    got = {r.doc_id: (r.spans, r.n_secret, r.n_added) for r in rows}
+    assert all(r.found == (r.spans != "") for r in rows)
     for k, t in enumerate(texts):
         expect = brute_spans(t or "", trees, least)
         assert got[k] == (expect, expect.count("secret:"), expect.count(":") // 2 - len(base_spans(t))), (t, got[k], expect)
