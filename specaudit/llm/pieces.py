@@ -136,12 +136,15 @@ class PieceEncoder:
         if len(lead):
             wide = [k for k in lead.tolist() if data[k : k + 3].tobytes().decode("utf-8", "ignore")[:1] in WIDE_SPACES]
             uncut = np.concatenate([uncut, np.array(wide, np.int64)])
+        fold = np.zeros(len(data), bool)
         if not self.blank_prefix:
-            capital = (data >= 65) & (data <= 90)
-            capital[:-1] &= data[1:] < 128
-            data = data + (capital.view(np.uint8) << 5)
+            fold = (data >= 65) & (data <= 90)
+            fold[:-1] &= data[1:] < 128
         for k in np.unique(np.searchsorted(at, uncut, "right") - 1).tolist():
-            cut[at[k] : at[k + 1]] = False
+            # what is not cut stays as it is: folded, it could hold the literal of an added token
+            cut[at[k] : at[k + 1]] = fold[at[k] : at[k + 1]] = False
+        if not self.blank_prefix:
+            data = data + (fold.view(np.uint8) << 5)
         cut[at[:-1][at[:-1] < len(data)]] = True
         return data, np.flatnonzero(cut)
 

@@ -45,7 +45,7 @@ def plain(path, texts):
 @pytest.mark.parametrize("path,prefix", [(BYTE, True), (WORD, False)])
 def test_pieces_give_the_ids_of_whole_texts(path, prefix):
     rng = random.Random(5)
-    bits = ["a", "The", "'s", "'", " ", " ", "  ", "\n", "\t", "É", "\u0301", "12", "3", ".", "!!", "\xa0", "ß", "Σ", "<|endoftext|>", "日", "x" * 40, "</w>", "İ", "-", "H\u0331", "H", "\u0338", "=", "<|", "endoftext", "|>", "\u3000", "\x85", "\x1c", "\r", "½", "’", "\x00", "\u200b", "\U0001f600", "'LL", "S"]
+    bits = ["a", "The", "'s", "'", " ", " ", "  ", "\n", "\t", "É", "\u0301", "12", "3", ".", "!!", "\xa0", "ß", "Σ", "<|endoftext|>", "日", "x" * 40, "</w>", "İ", "-", "H\u0331", "H", "\u0338", "=", "<|", "endoftext", "|>", "\u3000", "\x85", "\x1c", "\r", "½", "’", "\x00", "\u200b", "\U0001f600", "'LL", "S", "<|ENDOFTEXT|>", "<|StartOfText|>"]
     texts = [t or "" for t in ODD] + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(6000)]
     # a memo of few pieces turns over many times
     got = PieceEncoder(path, blank_prefix=prefix, limit=500)
