@@ -60,13 +60,18 @@ def sweep(since: int, *keep: DataFrame) -> None:
 #: Rows of an Arrow batch.  Texts are long: Spark's 10,000 rows would be tens of MB a batch, several times over in the JVM and in Python.
 BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch, which bound it where texts are very long: a worker holds a batch as Arrow and as Python objects, and what it makes of them.
+BATCH_BYTES = 16 << 20
+_BYTES, _SPARKS_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches for this session, unless they are smaller already."""
+    """Bound Arrow batches for this session: rows unless they are fewer already, bytes unless the session has a bound of its own."""
     now = int(spark.conf.get(_ROWS, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES) == _SPARKS_BYTES:
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
 
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

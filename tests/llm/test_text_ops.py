@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -325,3 +326,14 @@ def test_sweep_deletes_what_was_written_since(spark, tmp_path, monkeypatch):
     common.sweep(since, third)
     assert first.count() == 3 and third.count() == 4 and sorted(p.name[0] for p in tmp_path.iterdir()) == ["a", "c"]
     assert second is not third and common.mark() == since + 1
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from specaudit.llm.common import BATCH_BYTES, arrow_map, keyed_text
+
+    docs = keyed_text(spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), 100_000).alias("text")), "doc_id", "text")
+    sizes = arrow_map(docs, lambda b: pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}), "rows long, size long").collect()
+    assert sum(r["rows"] for r in sizes) == 200
+    assert max(r["size"] for r in sizes) < BATCH_BYTES + (1 << 20)
