@@ -76,7 +76,20 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_quality, op3_chat_repair, op4_personal_data, op5_line_dedup, op6_simhash, op7_decontamination, op8_exact_dedup, op9_language, op10_packing)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_quality, op3_chat_repair, op4_personal_data, op5_line_dedup, op6_simhash, op7_decontamination, op8_exact_dedup, op9_language, op10_packing, op11_resampling, op12_mixing)}
+
 
 def _repair_sql() -> str:
     """The dynamic program as a recursion over turns: a conversation's row holds the best way to each state, as its cost and a code of three digits a turn."""
@@ -172,5 +185,33 @@ r AS (SELECT rid, doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropp
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256 FROM r
 """,
     "op3_chat_repair": _repair_sql(),
+    "op11_resampling": r"""
+WITH m AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+w AS (SELECT kind, rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM (SELECT 0 AS kind, row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark)),
+e AS (SELECT kind, rid, unnest(ws || list_transform(range(len(ws) - 1), lambda k: ws[k + 1] || ' ' || ws[k + 2])) AS f FROM w),
+n AS (SELECT kind, rid, f, count(*) AS n FROM e GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)), lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1]))) % 10000 AS bucket FROM h, m),
+c AS (SELECT bucket, sum(n) FILTER (kind = 0) AS s, sum(n) FILTER (kind = 1) AS t FROM n JOIN b USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((sum(s) OVER ()) + 10000)::double / ((coalesce(s, 0) + 1)::double * (coalesce(sum(t) OVER (), 0) + 10000)::double)))::bigint AS gain FROM c),
+d AS (SELECT rid, sum(n)::bigint AS n_features, floor(sum(n * gain)::double / sum(n))::bigint AS weight FROM n JOIN b USING (f) JOIN g USING (bucket) WHERE kind = 0 GROUP BY 1),
+o AS (SELECT rid, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) AS n_words, ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint AS h FROM w LEFT JOIN d USING (rid) WHERE kind = 0),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint AS score FROM o),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS total FROM z WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * total // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (rid)
+""",
+    "op12_mixing": r"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, sha256('12:' || coalesce(doc_id::varchar, '')) AS place FROM documents),
+g AS (SELECT source, sum(size)::bigint AS source_size FROM s GROUP BY 1),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM g),
+r AS (SELECT *, 1.5::double * sum(source_size) OVER () AS want, 2 * source_size / weight::double AS ratio, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight::double, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+             sum(weight) OVER (ORDER BY 2 * source_size / weight::double, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+l AS (SELECT coalesce(arg_min((want - capped) / free, ratio) FILTER (2 * source_size > (want - capped) / free * weight), 0) AS level FROM r),
+t AS (SELECT source, source_size, CASE WHEN 2 * source_size <= level * weight THEN 2 * source_size ELSE level * weight END::double AS target FROM r, l),
+q AS (SELECT *, least(2 * source_size, round(target)::bigint) AS quota FROM t),
+p AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s)
+SELECT doc_id, size, source_size, target, (greatest(0, least(a + size, quota) - a) + greatest(0, least(a + source_size + size, quota) - a - source_size))::bigint AS taken FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source
+""",
     "op7_decontamination": _contamination_sql(),
 }
