@@ -88,7 +88,13 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_quality, op3_chat_repair, op4_personal_data, op5_line_dedup, op6_simhash, op7_decontamination, op8_exact_dedup, op9_language, op10_packing, op11_resampling, op12_mixing)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specaudit.llm.periodic import periodic_runs, run_digest
+
+    return run_digest(periodic_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_quality, op3_chat_repair, op4_personal_data, op5_line_dedup, op6_simhash, op7_decontamination, op8_exact_dedup, op9_language, op10_packing, op11_resampling, op12_mixing, op13_periodic_runs)}
 
 
 def _repair_sql() -> str:
