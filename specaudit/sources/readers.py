@@ -146,21 +146,17 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     return _frame(spark, rows, GOLD)
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The whole passage table; an empty one is an error."""
-    table = spark.read.parquet(path)
-    if not table.limit(1).count():
-        raise ValueError("the corpus is empty: index documents first")
-    return table
-
-
 def manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """Current manifest by its pointer; None before the first run.  Mixed schema versions are refused."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     if not pointer.getFileSystem(conf).exists(pointer):
         return None
-    table = spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
+    return checked_manifest(spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}"))
+
+
+def checked_manifest(table: DataFrame) -> DataFrame:
+    """A manifest whose rows all have the schema version that this engine writes."""
     found = [r[0] for r in table.select("schema_version").distinct().limit(5).collect()]
     if any(v != INDEX_SCHEMA for v in found):
         raise ValueError(f"index has schema {found}, this engine writes {INDEX_SCHEMA}: rebuild it")

@@ -35,14 +35,16 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, body: str) -> None:
-    """A small file, whole or not at all: written beside its place and renamed."""
+    """A small file, whole or not at all: written beside its place, which a rename then replaces in one step."""
     at, fs = _fs(spark, path)
     new, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(new, True)
     stream.write(bytearray(body.encode()))
     stream.close()
-    fs.delete(at, False)
-    fs.rename(new, at)
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    kinds = spark.sparkContext._gateway.new_array(kind, 1)
+    kinds[0] = kind.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, at, kinds)
 
 
 def save_manifest(manifest: DataFrame, path: str) -> None:
@@ -52,12 +54,6 @@ def save_manifest(manifest: DataFrame, path: str) -> None:
     write_text(spark, f"{path}/CURRENT", version)
 
 
-def save_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Passages partitioned by a bucket of their source; only the partitions in ``chunks`` are replaced."""
-    own = chunks.withColumn("bucket", F.pmod(F.xxhash64("source_path"), F.lit(buckets)).cast("int"))
-    own.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def report_tables(audited: DataFrame, standards: DataFrame, run: DataFrame, folder: str, form: str = "parquet") -> None:
     """The three tables of an audit report; as a workbook too where pandas can write one (``form='xlsx'``)."""
     tables = {"audit_results": audited, "standards": standards, "run_metadata": run}

@@ -30,7 +30,7 @@ def corpus(tmp_path_factory):
 @pytest.fixture(scope="module")
 def engine(spark, corpus, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("index"))
-    e = Engine(spark, f"{out}/chunks", f"{out}/manifest", settings.Settings(require_verified=False))
+    e = Engine(spark, f"{out}/index", settings.Settings(require_verified=False))
     e.index(readers.text_pages(spark, corpus))
     return e
 
@@ -42,7 +42,7 @@ def contexts(spark):
 
 
 def test_index_is_incremental(spark, corpus, engine):
-    m = readers.manifest(spark, engine.manifest_path)
+    m = engine.manifest()
     got = {os.path.basename(r.source_path): (r.standard_id, r.edition_year, r.chunks) for r in m.collect()}
     assert got == {"manual.txt": ("IRC:SP:84", 2019, 2), "copy.txt": ("IRC:86", 2018, 2)}  # equal content counts once
     again = engine.index(readers.text_pages(spark, corpus))
@@ -73,7 +73,7 @@ def test_retrieve_rules_audit_evaluate(spark, engine):
 
 
 def test_strict_mode_abstains_and_a_model_never_decides(spark, engine):
-    strict = Engine(spark, engine.chunks_path, engine.manifest_path, settings.Settings())
+    strict = Engine(spark, engine.index_path, settings.Settings())
     asked = strict.requests(contexts(spark), ["min_lane_width"])
     hits = strict.retrieve(asked)
     got = {r.request_id: r for r in strict.rules(asked, hits).collect()}["c1|min_lane_width"]
@@ -86,10 +86,10 @@ def test_strict_mode_abstains_and_a_model_never_decides(spark, engine):
 
 
 def test_dense_structured_and_rerank(spark, engine):
-    sha = readers.manifest(spark, engine.manifest_path).where("standard_id = 'IRC:86'").first().document_sha256
+    sha = engine.manifest().where("standard_id = 'IRC:86'").first().document_sha256
     records = readers._frame(spark, [{"evidence_id": "S-1", "metric_key": "min_kerb_height", "standard_id": "IRC:86", "edition_year": 2018, "source": "copy.txt", "source_sha256": sha, "page": 9, "section": "Fig. 1", "text": "kerb height figure 150 mm"}, {"evidence_id": "S-2", "metric_key": "min_kerb_height", "source_sha256": "gone", "text": "kerb"}], readers.RECORD)
     embed = lambda texts: [[float("kerb" in t.lower()), float("lane" in t.lower()), 0.1] for t in texts]
-    e = Engine(spark, engine.chunks_path, engine.manifest_path, settings.Settings(rerank=True), records=records, score_pairs=lambda p: p.withColumn("raw", F.when(F.col("text").contains("figure"), 3.0).otherwise(-1.0)))
+    e = Engine(spark, engine.index_path, settings.Settings(rerank=True), records=records, score_pairs=lambda p: p.withColumn("raw", F.when(F.col("text").contains("figure"), 3.0).otherwise(-1.0)))
     asked = e.requests(contexts(spark), ["min_kerb_height"])
     got = e.retrieve(asked).where("request_id = 'c1|min_kerb_height'").orderBy("rank").collect()
     assert got[0].evidence_id == "S-1" and "S-2" not in {r.evidence_id for r in got}
@@ -99,11 +99,31 @@ def test_dense_structured_and_rerank(spark, engine):
 
 def test_prune_and_repair(spark, engine, corpus):
     ids = engine.corpus().select("document_sha256").distinct().withColumn("standard_id", F.lit("IRC:1")).withColumn("edition_year", F.lit(2001))
-    copy = Engine(spark, engine.chunks_path + "-2", engine.manifest_path + "-2")
+    copy = Engine(spark, engine.index_path + "-2")
     copy.index(readers.text_pages(spark, corpus))
     assert {r.standard_id for r in copy.repair_identity(ids).collect()} == {"IRC:1"}
-    left = copy.prune(spark.createDataFrame([], "source_path string"), [os.path.dirname(readers.manifest(spark, copy.manifest_path).first().source_path)])
-    assert left.count() == 0
+    left = copy.prune(spark.createDataFrame([], "source_path string"), [os.path.dirname(copy.manifest().first().source_path)])
+    assert left.count() == 0 and copy.store.read("chunks").count() == 0 and copy.store.snapshot().numbers["passages"] == 0
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    pages = spark.createDataFrame([(f"/in/{k}.txt", f"sha{k}", 1, f"{FILL} Number {k}.", "text") for k in range(12)], "source_path string, document_sha256 string, page int, text string, parser string")
+    e = Engine(spark, f"{tmp_path}/index")
+    e.index(pages)
+    first = e.store.snapshot()
+    changed = pages.where("source_path = '/in/3.txt'").withColumn("document_sha256", F.lit("new")).withColumn("text", F.lit(LANE))
+    e.index(changed)
+    second = e.store.snapshot()
+    for name in ("chunks", "manifest"):
+        a, b = first.tables[name]["parts"], second.tables[name]["parts"]
+        assert len([k for k in b if a.get(k) != b[k]]) == 1 and len(b) > 3
+    assert second.numbers["passages"] == e.corpus().count() == 12
+    assert e.corpus().where("source_path = '/in/3.txt'").first().text.endswith("rural areas.")
+    assert e.index(pages.where("source_path = '/in/3.txt'").limit(0)).count() == 12 and e.store.snapshot().number == 2
+    e.repair_identity(spark.createDataFrame([("sha5", "IRC:5", 1999)], "document_sha256 string, standard_id string, edition_year int"))
+    third = e.store.snapshot().tables["chunks"]["parts"]
+    assert len([k for k in third if second.tables["chunks"]["parts"].get(k) != third[k]]) == 1
+    assert e.store.read("chunks", first).where("standard_id = 'IRC:5'").count() == 0 and e.corpus().where("standard_id = 'IRC:5'").count() == 1
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -201,7 +221,7 @@ def test_settings_from_values():
 
 
 def test_health_tells_which_models_are_missing(spark, tmp_path):
-    e = Engine(spark, f"{tmp_path}/c", f"{tmp_path}/m", settings.Settings(model="big", embedding_model="vectors:v2", reranker_model="none"))
+    e = Engine(spark, f"{tmp_path}/c", settings.Settings(model="big", embedding_model="vectors:v2", reranker_model="none"))
     got = {r.check: (r.ok, r.detail) for r in e.health(lambda: ["big:latest", "vectors"]).collect()}
     assert got["model big"][0] and not got["model vectors:v2"][0] and not got["model none"][0] and not got["manifest"][0]
 
