@@ -69,23 +69,32 @@ def due(at: Snapshot) -> bool:
     return any(len(w) > MOST_WRITES for w in at.tables.get("postings", {}).get("parts", {}).values())
 
 
-def _live(postings: DataFrame, tombstones: DataFrame | None) -> DataFrame:
-    """Single postings without those whose passage went in a later version; ``postings`` has ``docs``."""
-    rows = postings.withColumn("d", F.explode("docs")).drop("docs").select("*", "d.*").drop("d")
+def without_gone(store: Store, at: Snapshot, rows: DataFrame) -> DataFrame:
+    """Rows (``corpus_idx, born, ..``) without those whose passage went in a later version."""
+    tombstones = store.read("tombstones", at)
     if tombstones is None:
         return rows
     last = tombstones.groupBy(F.col("corpus_idx").alias("__gone")).agg(F.max("died").alias("__died"))
     return rows.join(last, (F.col("corpus_idx") == F.col("__gone")) & (F.col("born") < F.col("__died")), "left_anti")
 
 
+def _live(store: Store, at: Snapshot, postings: DataFrame) -> DataFrame:
+    """Single postings of rows with ``docs``."""
+    return without_gone(store, at, postings.withColumn("d", F.explode("docs")).drop("docs").select("*", "d.*").drop("d"))
+
+
 def compact(store: Store) -> Snapshot:
     """All postings written anew in ranges that fit the corpus, without what is gone; its own version."""
     change = store.begin()
     at = change.base
     ranges = max(RANGES, 1 << max(0, at.numbers["passages"] // RANGE_SIZE).bit_length())
-    rows = _live(store.read("postings", at).select("token", "docs"), store.read("tombstones", at))
+    rows = _live(store, at, store.read("postings", at).select("token", "docs"))
     change.replace("postings", _blocks(rows, ranges, F.col("born")), "token")
     change.numbers["ranges"] = ranges
+    if "vectors" in at.tables:
+        # what is gone must not come back when its tombstone goes
+        vectors = without_gone(store, at, store.read("vectors", at))
+        change.replace("vectors", vectors, None)
     change.drop("tombstones")
     change.drop("removed")
     return change.commit()
@@ -137,7 +146,7 @@ class Search:
         """Exact scores of the passages of some ranges of each query."""
         wanted = ranges.select(*self.keys, "range").join(self._send(self.weights), self.keys)
         rows = self.postings.select("token", "range", "docs").join(self._send(wanted) if self.few else wanted, ["token", "range"])
-        rows = _live(rows, self.store.read("tombstones", self.at))
+        rows = _live(self.store, self.at, rows)
         scored = rows.groupBy(*self.keys, "corpus_idx").agg(F.round(F.sum(_impact(F.col("tf"), F.col("dl"), self.avgdl) * F.col("w")), 9).alias("score"))
         return scored.where("score > 0")
 

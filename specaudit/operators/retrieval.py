@@ -98,15 +98,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "corpus_
     return top(out, ["request_id", "query_idx"], "score", k)
 
 
+def keep_best(ids: np.ndarray, which: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (id, query, score) the ``k`` best of each query; ties go to the lesser id."""
+    order = np.lexsort((ids, -score, which))
+    ids, which, score = ids[order], which[order], score[order]
+    rank = np.arange(len(which)) - np.searchsorted(which, which)
+    return ids[rank < k], which[rank < k], score[rank < k]
+
+
 def _nearest(sent, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's top ``k`` of each query, of the broadcast names and matrix of queries."""
 
-    def best(ids: np.ndarray, which: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, -score, which))
-        ids, which, score = ids[order], which[order], score[order]
-        rank = np.arange(len(which)) - np.searchsorted(which, which)
-        return ids[rank < k], which[rank < k], score[rank < k]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = sent.value
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -121,7 +123,7 @@ def _nearest(sent, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 least = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.full(score.shape[1], -np.inf)
                 row, query = np.nonzero(score >= least)
                 held = tuple(np.concatenate(c) for c in zip(held, (ids[row], query + at, score[row, query]), strict=True))
-            held = best(*held)
+            held = keep_best(*held, k)
         ids, which, score = held
         yield pa.RecordBatch.from_pydict({"request_id": pa.array([names[q][0] for q in which.tolist()], pa.string()), "query_idx": pa.array([names[q][1] for q in which.tolist()], pa.int32()), "corpus_idx": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specaudit.functions import geo, text
-from specaudit.operators import audit, chunking, context, corpus, evaluation, retrieval, rules
+from specaudit.operators import ann, audit, chunking, context, corpus, evaluation, inverted, retrieval, rules
 from specaudit.plans import catalog
 from specaudit.plans import fixtures as fx
+from specaudit.sources import versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -229,6 +231,26 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir).select("query_idx", "corpus_idx", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def scratch(spark: SparkSession, name: str) -> versions.Store:
+    """A store of its own in the shared folder."""
+    return versions.Store(spark, f"{versions.shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {_BM25} SELECT query_idx, corpus_idx, rank, round(score, 6) AS score FROM rk")
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages are indexed, a third of them in a draft that a second version replaces; the search reads the stored index alone."""
+    store, c = scratch(spark, "stored-index"), fx.chunks(spark, sf_dir)
+    drafts = F.col("corpus_idx") % 3 == 0
+    draft = F.concat(F.lit("draft of a kerb height and a traffic lane width. "), F.col("text"))
+    first = store.begin()
+    inverted.update(first, c.withColumn("text", F.when(drafts, draft).otherwise(F.col("text"))))
+    first.commit()
+    second = store.begin()
+    inverted.update(second, c.where(drafts), c.where(drafts).withColumn("text", draft))
+    found = inverted.bm25(store, asked(spark), 28, second.commit())
+    return found.select("query_idx", "corpus_idx", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_BM25} SELECT corpus_idx, min(rank) AS rank, arg_min(query_idx, rank * 10 + query_idx) AS query_idx FROM rk GROUP BY 1")
 def best_rank_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = retrieval.best_ranks(lexical(spark, sf_dir), "lexical")
@@ -263,6 +285,20 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("corpus_idx", F.round("fusion", 9).alias("fusion"))
 
 
+@query()
+def dense_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of ``dense_topk`` against a stored approximate index of all vectors; ``found`` of them are in the exact top 28."""
+    v = fx.load(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("request_id"), F.lit(0).alias("query_idx"), F.col("embedding").alias("query_vector"))
+    store = scratch(spark, "dense-index")
+    change = store.begin()
+    ann.create(change, v, "vec_id")
+    change.commit()
+    exact = dense_hits(spark, sf_dir).select("request_id", "corpus_idx", F.lit(1).alias("hit"))
+    got = ann.search(store, q, 28).join(exact, ["request_id", "corpus_idx"], "left")
+    return got.groupBy(F.col("request_id").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("found"), F.round(F.sum("score"), 3).alias("total"))
+
+
 _UNIT = r"(?i)\b\d+(?:\.\d+)?\s*(?:mm|cm|m|metres?|meters?|km|km/h)\b"
 _LANE = catalog.METRICS["min_lane_width"]
 _PHRASES = "[" + ", ".join(f"'{p}'" for p in _LANE.phrases) + "]"

@@ -17,6 +17,8 @@ class Settings:
     exhaustive: bool = False
     rerank: bool = False
     require_verified: bool = True
+    # dense ranks from the stored approximate index
+    approximate: bool = False
     # where things are, and which models an injected client should ask for
     corpus_folders: tuple[str, ...] = ()
     index_folder: str = ""
