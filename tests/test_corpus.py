@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 
 import pytest
 
@@ -145,3 +146,28 @@ def test_short_pages_are_weak(spark):
     pages = spark.createDataFrame([("d", "word " * 3), ("d", "x" * 79), ("d", "x" * 80), ("d", None)], "doc string, text string").selectExpr("*", "'p' as parser")
     r = corpus.page_coverage(pages, "doc").first()
     assert (r["pages"], r.low_text_pages, r.coverage) == (4, 3, 0.25)
+
+
+def test_chunking_takes_time_in_proportion(spark):
+    def took(n):
+        prose, rows = "words of one long paragraph go on. " * (n * 28_000), "Table 4 of rows\n| a | b |\n|---|---|\n" + "| cell one | cell two |\n" * (n * 40_000)
+        begin = time.process_time()
+        got = chunking.parts(prose, 1400, 220), chunking.parts(rows, 1400, 220)
+        spent = time.process_time() - begin
+        assert len(got[0]) > 700 * n and got[1][-1][-1] == n * 40_000
+        return spent
+
+    took(1)
+    assert took(20) < 60 * max(took(1), 0.02)  # 20 MB each; in proportion is 20
+
+
+def test_columns_of_pages_may_be_named_like_parts(spark):
+    page = spark.createDataFrame([(7, "mine", "one page of words that is long enough to be a passage.")], "k0 int, page string, text string")
+    assert chunking.split_pages(page).select("k0", "page", "part").collect() == [(7, "mine", 0)]
+
+
+def test_passages_of_a_document_are_numbered_over_pages(spark):
+    rows = [("d", p, n, f"passage {p} {n}") for p in (1, 2, 5) for n in range(p)] + [(None, None, 0, "x"), ("e", 3, 4, "y")]
+    got = chunking.assemble(spark.createDataFrame(rows, "document_sha256 string, page int, part int, text string")).collect()
+    assert sorted((r.page, r.page_chunk_index, r.chunk_index) for r in got if r.document_sha256 == "d") == [(p, n, k) for k, (_, p, n, _) in enumerate(rows[:8])]
+    assert {r.chunk_index for r in got if r.document_sha256 != "d"} == {0}
