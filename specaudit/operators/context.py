@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from specaudit.functions import geo, text
 from specaudit.plans.catalog import MANUALS, SCOPED
+from specaudit.sources.versions import cut
 
 # Labels of a rendered context, in order.
 RENDERED = (
@@ -119,19 +121,82 @@ def sample_trajectory(points: DataFrame, maximum: int, key: str = "route_id", or
     return points.join(wanted, [key, order])
 
 
-def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, reach: int = 1) -> DataFrame:
-    """``point_id, way_id, metres``: the nearest way within about ``reach`` grid cells of a point, null where there is none.
+def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, most_m: float | None = None) -> DataFrame:
+    """``point_id, way_id, metres``: the nearest way of each point at whatever distance (or up to ``most_m``); of equal distances the least ``way_id``.
 
-    points: ``point_id, lat, lon``; ways: ``way_id, geometry``.  Ways are posted to the cells their vertices' boxes touch,
-    so points meet only ways nearby.
+    points: ``point_id, lat, lon``; ways: ``way_id, geometry``.  A way goes as its segments, each at the level of a grid whose cells are as
+    wide as the segment is long, so a long one is posted to a handful of cells and not to all that it crosses.
+
+    Rings of fourfold width are searched around the points that are still open.  In a ring, boxes around the segments of a cell come first: a box whose
+    nearest place is farther than the farthest place of another holds no answer, so a point far from a town meets the town's edge and not its streets.  A point is
+    settled when its best segment is nearer than anything beyond the ring can be.  Points without a place, and all points where no way has a
+    geometry, get nulls.
     """
-    cell = lambda c: F.floor(c / cell_deg).cast("long")
-    lat, lon = F.transform("geometry", lambda p: p["lat"]), F.transform("geometry", lambda p: p["lon"])
-    span = lambda a: F.sequence(cell(F.array_min(a)) - reach, cell(F.array_max(a)) + reach)
-    posted = ways.select("way_id", "geometry", span(lat).alias("ys"), span(lon).alias("xs")).withColumn("y", F.explode("ys")).withColumn("x", F.explode("xs")).drop("ys", "xs")
-    pairs = points.withColumn("y", cell(F.col("lat"))).withColumn("x", cell(F.col("lon"))).join(posted, ["y", "x"], "left")
-    metres = F.round(geo.polyline_distance_m(F.col("lat"), F.col("lon"), F.col("geometry")), 6)
-    return pairs.groupBy("point_id").agg(F.min(F.when(F.col("way_id").isNotNull(), F.struct(metres.alias("m"), "way_id"))).alias("b")).select("point_id", F.col("b.way_id").alias("way_id"), F.col("b.m").alias("metres"))
+    c = F.col
+    two = F.transform(geo.segments(c("geometry")), lambda s: F.array(s["a"], s["b"]))
+    parts = ways.select("way_id", F.explode(F.when(F.size("geometry") >= 2, two).otherwise(F.array("geometry"))).alias("pts")).where("get(pts, 0).lat is not null and get(pts, 0).lon is not null")
+    for axis in ("lat", "lon"):
+        of = c(f"pts.{axis}")
+        parts = parts.withColumn(f"{axis}0", F.array_min(of)).withColumn(f"{axis}1", F.array_max(of))
+    extent = F.greatest(c("lat1") - c("lat0"), c("lon1") - c("lon0"))
+    parts = cut(parts.withColumn("level", F.when(extent > cell_deg, F.ceil(F.log2(extent / cell_deg)).cast("int")).otherwise(0)))
+    levels = sorted(r[0] for r in parts.select("level").distinct().collect())  # a degree of cells doubles fifteen times to the globe
+    cell = lambda x, level: F.floor(x / (F.lit(cell_deg) * F.pow(F.lit(2.0), level))).cast("long")
+    ids = points.select("point_id").distinct()
+    open_ = points.select("point_id", "lat", "lon").where("lat is not null and lon is not null")
+    found, ring = None, 0
+    while levels:
+        reach = cell_deg * 2**ring
+        last = reach >= 360
+        best = cut(_in_ring(open_, parts, levels, ring, cell))
+        nearer = open_.join(best, "point_id", "left")
+        # anything that no probed cell holds differs by the ring's width in latitude or in longitude
+        within = _beyond(c("lat"), F.lit(reach))
+        settled = nearer if last else nearer.where((c("metres") <= within) | (within > (math.inf if most_m is None else most_m)))
+        new = settled.where("way_id is not null").select("point_id", "way_id", "metres")
+        found = new if found is None else found.unionByName(new)
+        if last:
+            break
+        open_ = cut(open_.join(settled.select("point_id"), "point_id", "left_anti"))
+        if not open_.limit(1).count():
+            break
+        ring += 2
+    if found is None:
+        return ids.select("point_id", F.lit(None).cast(ways.schema["way_id"].dataType).alias("way_id"), F.lit(None).cast("double").alias("metres"))
+    if most_m is not None:
+        found = found.where(c("metres") <= most_m)
+    one = found.groupBy("point_id").agg(F.min(F.struct("metres", "way_id")).alias("b")).select("point_id", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
+    return ids.join(one, "point_id", "left")
+
+
+def _beyond(lat: Column, degrees: Column) -> Column:
+    """No place that differs by so many degrees on an axis is nearer, on the sphere or on the plane at ``lat``."""
+    return geo.EARTH_M * F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(degrees, F.lit(90.0)))))
+
+
+def _in_ring(open_: DataFrame, parts: DataFrame, levels: list[int], ring: int, cell: Callable[[Column, Column], Column]) -> DataFrame:
+    """``point_id, way_id, metres``: each point's best segment among those of the nine cells around it at the ring's level and at each coarser level that has segments."""
+    c = F.col
+    # boxes are three levels finer than the ring, where the segments allow it
+    fine = F.greatest(c("level"), F.lit(ring - 3))
+    boxed = parts.withColumn("box", F.struct(fine.alias("f"), cell(c("lat0"), fine).alias("y"), cell(c("lon0"), fine).alias("x")))
+    boxes = boxed.groupBy("box").agg(*(F.min(k).alias(k) for k in ("lat0", "lon0")), *(F.max(k).alias(k) for k in ("lat1", "lon1")))
+    grid = F.greatest(c("box.f"), F.lit(ring))
+    span = lambda axis: F.sequence(cell(c(f"{axis}0"), c("g")), cell(c(f"{axis}1"), c("g")))
+    posted = boxes.withColumn("g", grid).withColumn("y", F.explode(span("lat"))).withColumn("x", F.explode(span("lon")))
+    around = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
+    probes = open_.withColumn("g", F.explode(F.array(*map(F.lit, sorted({max(k, ring) for k in levels} | {ring}))))).withColumn("d", around)
+    probes = probes.select("point_id", "lat", "lon", "g", (cell(c("lat"), c("g")) + c("d.y")).alias("y"), (cell(c("lon"), c("g")) + c("d.x")).alias("x"))
+    apart = lambda axis: F.greatest(F.lit(0.0), c(f"{axis}0") - c(axis), c(axis) - c(f"{axis}1"))
+    across = lambda axis: F.greatest(F.abs(c(f"{axis}0") - c(axis)), F.abs(c(f"{axis}1") - c(axis)))
+    metre = math.radians(1.0) * geo.EARTH_M
+    nearest = F.greatest(apart("lat") * metre, _beyond(c("lat"), apart("lon")))
+    met = probes.join(posted, ["g", "y", "x"]).select("point_id", "lat", "lon", "box", nearest.alias("near"), ((across("lat") + across("lon")) * metre).alias("far")).distinct()
+    sure = met.groupBy("point_id").agg(F.min("far").alias("sure"))
+    kept = met.join(sure, "point_id").where("near <= sure + 0.001").select("point_id", "lat", "lon", "box")
+    pairs = kept.join(boxed.select("box", "way_id", "pts"), "box")
+    metres = F.round(geo.polyline_distance_m(c("lat"), c("lon"), c("pts")), 6)
+    return pairs.groupBy("point_id").agg(F.min(F.struct(metres.alias("metres"), "way_id")).alias("b")).select("point_id", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
 
 
 def classify_route(points: DataFrame, ways: DataFrame) -> DataFrame:

@@ -697,11 +697,37 @@ def nearest_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BEARING = "((degrees(atan2(sin(radians(blon - alon)) * cos(radians(blat)), cos(radians(alat)) * sin(radians(blat)) - sin(radians(alat)) * cos(radians(blat)) * cos(radians(blon - alon)))) + CASE WHEN way_id % 2 = 0 THEN 180 ELSE 0 END) % 360 + 360) % 360"
 
 
-@query(f"""WITH {_WAY}, h AS (SELECT way_id, {_BEARING} AS b, unnest([1, 2]) AS n, unnest([alat, blat]) AS lat, unnest([alon, blon]) AS lon FROM w),
-p AS (SELECT a.way_id, c.way_id AS other_id, min(round({_HAV.format(a="a.", b="c.")}, 6)) AS metres FROM h a JOIN h c ON a.way_id <> c.way_id AND abs((a.b - c.b + 540) % 360 - 180) >= 120 GROUP BY 1, 2)
-SELECT way_id::int AS way_id, arg_min(other_id, struct_pack(m := metres, o := other_id))::int AS other_id, round(min(metres), 3) AS metres FROM p WHERE metres <= 2000 GROUP BY 1""")
+_LONG = "w AS (SELECT s_suppkey AS way_id, 17.0::double + (s_suppkey % 7) * 0.35::double AS alat, 77.0::double + (s_suppkey % 11) * 0.4::double AS alon, 17.0::double + (s_suppkey % 7) * 0.35::double + (s_suppkey % 3) * 1.5::double AS blat, 77.0::double + (s_suppkey % 11) * 0.4::double + (s_suppkey % 5) * 0.9::double AS blon FROM supplier)"
+
+
+@query(f"""WITH {_POINTS}, {_LONG}, x AS (SELECT event_id, way_id, alat, alon, lat, lon, (alon - lon) * cos(radians(lat)) * radians(1) * 6371000 AS ax, (alat - lat) * radians(1) * 6371000 AS ay, (blon - lon) * cos(radians(lat)) * radians(1) * 6371000 AS bx, (blat - lat) * radians(1) * 6371000 AS by_, blat = alat AND blon = alon AS lone FROM p, w),
+t AS (SELECT *, CASE WHEN lone THEN 0 ELSE greatest(0, least(1, -(ax * (bx - ax) + ay * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) END AS s FROM x)
+SELECT event_id AS point_id, round(min(sqrt(pow(ax + s * (bx - ax), 2) + pow(ay + s * (by_ - ay), 2))), 3) AS metres FROM t GROUP BY 1""")
+def nearest_long_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A way for each supplier, up to some hundred kilometres long and seldom near the points."""
+    k, lit = F.col("s_suppkey"), F.lit
+    lat, lon = lit(17.0) + (k % 7) * lit(0.35), lit(77.0) + (k % 11) * lit(0.4)
+    at = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
+    w = fx.load(spark, sf_dir, "supplier").select(k.alias("way_id"), F.array(at(lat, lon), at(lat + (k % 3) * lit(1.5), lon + (k % 5) * lit(0.9))).alias("geometry"))
+    p = points(spark, sf_dir).select(F.col("event_id").alias("point_id"), "lat", "lon")
+    return context.nearest_way(p, w).select("point_id", F.round("metres", 3).alias("metres"))
+
+
+_PAIRED = "w AS (SELECT c_custkey AS way_id, c_nationkey AS road, CASE WHEN c_custkey % 3 = 0 THEN 180 ELSE 0 END AS turn, c_custkey % 5 < 3 AS one, 17.0::double + (c_custkey * 7 % 97) * 0.002::double AS alat, 78.0::double + (c_custkey * 11 % 89) * 0.002::double AS alon, 17.0::double + (c_custkey * 7 % 97) * 0.002::double + 0.001::double AS blat, 78.0::double + (c_custkey * 11 % 89) * 0.002::double + (c_custkey % 4) * 0.0005::double AS blon FROM customer)"
+_COURSE = _BEARING.replace("CASE WHEN way_id % 2 = 0 THEN 180 ELSE 0 END", "turn")
+
+
+@query(f"""WITH {_PAIRED}, h AS (SELECT way_id, road, {_COURSE} AS b, unnest([1, 2]) AS n, unnest([alat, blat]) AS lat, unnest([alon, blon]) AS lon FROM w WHERE one),
+p AS (SELECT a.way_id, c.way_id AS other_id, min(round({_HAV.format(a="a.", b="c.")}, 6)) AS metres FROM h a JOIN h c ON a.road = c.road AND a.way_id <> c.way_id AND abs((a.b - c.b + 540) % 360 - 180) >= 120 GROUP BY 1, 2)
+SELECT way_id, arg_min(other_id, struct_pack(m := metres, o := other_id)) AS other_id, round(min(metres), 3) AS metres FROM p WHERE metres <= 2000 GROUP BY 1""")
 def opposite_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.opposite_carriageways(ways(spark), 2000.0).withColumn("metres", F.round("metres", 3))
+    """A way for each customer; the road is the nation's."""
+    k, lit = F.col("c_custkey"), F.lit
+    lat, lon = lit(17.0) + (k * 7 % 97) * lit(0.002), lit(78.0) + (k * 11 % 89) * lit(0.002)
+    at = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
+    shape = F.array(at(lat, lon), at(lat + lit(0.001), lon + (k % 4) * lit(0.0005)))
+    w = fx.load(spark, sf_dir, "customer").select(k.alias("way_id"), lit("trunk").alias("highway"), F.concat(lit("NH "), F.col("c_nationkey").cast("string")).alias("ref"), lit(None).cast("string").alias("name"), F.when(k % 5 >= 3, "no").when(k % 3 == 0, "-1").otherwise("yes").alias("oneway"), shape.alias("geometry"))
+    return context.opposite_carriageways(w, 2000.0).withColumn("metres", F.round("metres", 3))
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS setting, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 6)::int END AS lanes FROM customer),

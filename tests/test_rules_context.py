@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from specaudit.functions import geo
 from specaudit.operators import context, evaluation, rules
 
 
@@ -71,8 +72,30 @@ def test_overrides_and_trajectories(spark):
 def test_points_without_a_way_nearby_stay(spark):
     points = spark.createDataFrame([(1, 17.0, 78.0), (2, 40.0, 10.0)], "point_id int, lat double, lon double")
     ways = spark.createDataFrame([("w", [(17.0, 78.001), (17.01, 78.001)])], "way_id string, geometry array<struct<lat:double,lon:double>>")
-    got = {r.point_id: (r.way_id, r.metres) for r in context.nearest_way(points, ways).collect()}
+    got = {r.point_id: (r.way_id, r.metres) for r in context.nearest_way(points, ways, most_m=5000.0).collect()}
     assert got[1][0] == "w" and 100 < got[1][1] < 110 and got[2] == (None, None)
+    far = {r.point_id: (r.way_id, r.metres) for r in context.nearest_way(points.unionByName(spark.createDataFrame([(3, None, 1.0)], points.schema)), ways).collect()}
+    assert far[1] == got[1] and far[2][0] == "w" and far[2][1] > 1e6 and far[3] == (None, None)
+    none = context.nearest_way(points, ways.where("way_id = 'no'"))
+    assert {r.way_id for r in none.collect()} == {None} and none.count() == 2
+
+
+@pytest.mark.parametrize("cell,seed", [(0.01, 1), (0.5, 2)])
+def test_nearest_way_is_that_of_all_pairs(spark, cell, seed):
+    rng = random.Random(seed)
+    place = lambda: (rng.choice([rng.uniform(10, 12), rng.uniform(-70, 80)]), rng.choice([rng.uniform(70, 71), rng.uniform(-170, 170)]))
+    shapes = []
+    for k in range(120):
+        a = place()
+        kind = k % 4
+        shapes.append((k, [a] if kind == 0 else [a, place()] if kind == 1 else [(a[0] + 0.001 * j, a[1] + rng.uniform(0, 0.002)) for j in range(rng.randrange(1, 9))]))
+    shapes += [(500, []), (501, None), (1, shapes[1][1])]
+    rows = [(k, *place()) for k in range(150)] + [(900, *shapes[2][1][0])]
+    points = spark.createDataFrame(rows, "point_id int, lat double, lon double")
+    ways = spark.createDataFrame(shapes, "way_id int, geometry array<struct<lat:double,lon:double>>")
+    pairs = points.crossJoin(ways.where("size(geometry) > 0")).withColumn("m", F.round(geo.polyline_distance_m(F.col("lat"), F.col("lon"), F.col("geometry")), 6))
+    expect = {r.point_id: (r.b.way_id, r.b.m) for r in pairs.groupBy("point_id").agg(F.min(F.struct("m", "way_id")).alias("b")).collect()}
+    assert {r.point_id: (r.way_id, r.metres) for r in context.nearest_way(points, ways, cell).collect()} == expect
 
 
 def test_opposite_carriageways_against_all_pairs(spark):
