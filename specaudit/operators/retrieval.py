@@ -136,7 +136,7 @@ def best_ranks(ranked: DataFrame, channel: str) -> DataFrame:
     return ranked.groupBy("request_id", "corpus_idx").agg(best.alias("b")).select("request_id", "corpus_idx", F.col("b.rank").alias(f"{channel}_rank"), F.col("b.query_idx").alias(f"{channel}_query"))
 
 
-#: Different feature patterns that a batch of requests may name; the catalogue has eight.
+#: Feature patterns that are looked for in one pass; the catalogue has eight, and more go in further passes.
 MOST_FEATURES = 256
 
 
@@ -146,9 +146,15 @@ def scan(docs: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     requests: ``request_id, feature, phrases, preferred, context_tokens`` (a row a request).  Each passage is tagged once with the
     features it names, and requests are joined on the feature.  Gives ``request_id, corpus_idx, score, rank``.
     """
-    features = [r[0] for r in requests.select("feature").distinct().limit(MOST_FEATURES + 1).collect()]
-    if len(features) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} feature patterns in one batch of requests")
+    features = sorted(r[0] for r in requests.select("feature").distinct().collect())
+    scored = None
+    for at in range(0, max(1, len(features)), MOST_FEATURES):
+        some = _scanned(docs, requests, features[at : at + MOST_FEATURES])
+        scored = some if scored is None else scored.unionByName(some)
+    return top(scored, ["request_id"], "score", limit)
+
+
+def _scanned(docs: DataFrame, requests: DataFrame, features: list[str]) -> DataFrame:
     named = F.filter(F.array(*(F.when(F.col("text").rlike("(?i)" + f), F.lit(f)) for f in features), F.lit(None).cast("string")), lambda x: x.isNotNull())
     own = docs.where(text.has_value_with_unit(F.col("text"))).select("corpus_idx", "standard_id", "text", named.alias("features")).where("size(features) > 0")
     own = own.select("corpus_idx", "standard_id", F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), F.explode("features").alias("feature"))
@@ -157,8 +163,7 @@ def scan(docs: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     overlap = F.array_max(F.transform("wanted", lambda w: F.size(F.array_intersect(w, "tokens")) / F.greatest(F.size(w), F.lit(1))))
     bonus = F.when(preferred_standard(F.col("standard_id"), F.col("preferred")), 0.35).otherwise(0.0)
     context = F.least(F.size(F.array_intersect("tokens", "context_tokens")) / F.greatest(F.size("context_tokens"), F.lit(1)), F.lit(0.25))
-    scored = pairs.withColumn("overlap", overlap).where("overlap >= 0.34D").select("request_id", "corpus_idx", F.round(F.col("overlap") + bonus + context, 9).alias("score"))
-    return top(scored, ["request_id"], "score", limit)
+    return pairs.withColumn("overlap", overlap).where("overlap >= 0.34D").select("request_id", "corpus_idx", F.round(F.col("overlap") + bonus + context, 9).alias("score"))
 
 
 def preferred_standard(standard_id: Column, preferred: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from specaudit.sources.versions import Store, cut
+
 PAGES = "source_path string, document_sha256 string, page int, text string, parser string, warning string"
 POLICY = "standard_id string, active_edition_year int, approved_sources array<string>, source_aliases array<string>, approved_sha256 array<string>, official_source_url string, licence_basis string, amendments array<string>, supersedes array<string>, reviewed_by string, reviewed_on string, notes string"
 RECORD = "evidence_id string, metric_key string, standard_id string, edition_year int, source string, source_sha256 string, page int, section string, text string, verification string"
@@ -81,21 +83,28 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true").option("escape", '"').csv(path)
 
 
-def _workbook(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of each workbook under ``path``, read by tasks; the driver sees the names of its columns only."""
-    books = spark.read.format("binaryFile").load(path).select("content")
+def _workbook(spark: SparkSession, path: str, read: Callable[..., pd.DataFrame] | None = None) -> DataFrame:
+    """First sheet of each workbook under ``path``, read by tasks.  The columns are those of all workbooks, in the order in which the files, by name, bring them; a workbook without one has nulls there.
+
+    ``read`` stands for ``pandas.read_excel`` and its engines.
+    """
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    read = read or pd.read_excel
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                yield pd.DataFrame({"name": [str(c) for c in pd.read_excel(io.BytesIO(content), nrows=0).columns]})
+            for at, content in zip(pdf["path"], pdf["content"], strict=True):
+                own = [str(c) for c in read(io.BytesIO(content), nrows=0).columns]
+                yield pd.DataFrame({"path": at, "place": range(len(own)), "name": own})
 
-    columns = [r[0] for r in books.limit(1).mapInPandas(names, "name string").collect()]
+    # one row a distinct column reaches the driver
+    found = books.mapInPandas(names, "path string, place int, name string").groupBy("name").agg(F.min(F.struct("path", "place")).alias("first"))
+    columns = [r["name"] for r in found.orderBy("first").collect()]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                sheet = pd.read_excel(io.BytesIO(content), dtype=str)
+                sheet = read(io.BytesIO(content), dtype=str)
                 sheet.columns = [str(c) for c in sheet.columns]
                 yield sheet.reindex(columns=columns).astype(object).where(lambda d: d.notna(), None)
 
@@ -168,32 +177,76 @@ def map_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("way_id string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>").json(path)
 
 
-def features_near(routes: DataFrame, fetch: Callable[[float, float, float, float], list[dict]], margin_deg: float = 0.002, attempts: int = 3, backoff_s: float = 0.5) -> DataFrame:
-    """``route_id, way_id, tags, geometry`` of the features in each route's box, by an injected service call.
-
-    routes: ``route_id, lat, lon`` (points).  ``fetch`` gets south, west, north, east and gives objects with ``way_id, tags, geometry``
-    (pairs of latitude and longitude).  Transient failures (``ConnectionError``) are tried again, then the route has no features.
-    """
-    boxes = routes.groupBy("route_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("low", F.min), ("high", F.max))))
+def _fetched(boxes: DataFrame, key: str, fetch: Callable[[float, float, float, float], list[dict]], attempts: int, backoff_s: float) -> DataFrame:
+    """Features of boxes ``key, south, west, north, east``; a row without ``way_id`` closes each box and says whether the service ``failed``."""
 
-    def ask(*box: float) -> list[dict]:
+    def ask(*box: float) -> list[dict] | None:
         for n in range(attempts):
             try:
                 return fetch(*box)
             except ConnectionError:
                 time.sleep(backoff_s * 2**n if n + 1 < attempts else 0)
-        return []
+        return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows: list[tuple] = []
             for r in pdf.itertuples(index=False):
-                for f in ask(r.low_lat - margin_deg, r.low_lon - margin_deg, r.high_lat + margin_deg, r.high_lon + margin_deg):
-                    rows.append((r.route_id, str(f["way_id"]), {str(k): str(v) for k, v in (f.get("tags") or {}).items()}, [{"lat": float(a), "lon": float(b)} for a, b in f.get("geometry") or []]))
-            yield pd.DataFrame(rows, columns=["route_id", "way_id", "tags", "geometry"])
+                got = ask(*(float(x) for x in r[1:]))
+                for f in got or []:
+                    rows.append((r[0], str(f["way_id"]), {str(k): str(v) for k, v in (f.get("tags") or {}).items()}, [{"lat": float(a), "lon": float(b)} for a, b in f.get("geometry") or []], False))
+                rows.append((r[0], None, None, None, got is None))
+            yield pd.DataFrame(rows, columns=[key, "way_id", "tags", "geometry", "failed"])
+
+    kind = dict(boxes.dtypes)[key]
+    return boxes.select(key, "south", "west", "north", "east").mapInPandas(run, f"{key} {kind}, way_id string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>, failed boolean")
+
 
-    kind = dict(routes.dtypes)["route_id"]
-    return boxes.mapInPandas(run, f"route_id {kind}, way_id string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+def _boxes(routes: DataFrame, margin_deg: float) -> DataFrame:
+    low, high = (lambda c: F.min(c) - margin_deg), (lambda c: F.max(c) + margin_deg)
+    return routes.groupBy("route_id").agg(low("lat").alias("south"), low("lon").alias("west"), high("lat").alias("north"), high("lon").alias("east"))
+
+
+def features_near(routes: DataFrame, fetch: Callable[[float, float, float, float], list[dict]], margin_deg: float = 0.002, attempts: int = 3, backoff_s: float = 0.5) -> DataFrame:
+    """``route_id, way_id, tags, geometry`` of the features in each route's box, by an injected service call.
+
+    routes: ``route_id, lat, lon`` (points).  ``fetch`` gets south, west, north, east and gives objects with ``way_id, tags, geometry``
+    (pairs of latitude and longitude).  Transient failures (``ConnectionError``) are tried again, then the route has no features.
+    """
+    return _fetched(_boxes(routes, margin_deg), "route_id", fetch, attempts, backoff_s).where("way_id is not null").drop("failed")
+
+
+#: Degrees to which a box is widened before it is asked for, so that routes close to each other share an answer.
+MEMO_STEP = 0.001
+
+
+def features_remembered(store: Store, routes: DataFrame, fetch: Callable[[float, float, float, float], list[dict]], days: float = 30.0, margin_deg: float = 0.002, attempts: int = 3, backoff_s: float = 0.5) -> DataFrame:
+    """As :func:`features_near`, but a box that the service answered within ``days`` is not asked for again.
+
+    Answers stand in a table ``fetched`` of the store by the box's rounded corners, and boxes without one are all that the service is asked for; a box
+    whose call failed is not remembered.  The answers become one version; another writer's in between is a :class:`~specaudit.sources.versions.Conflict`.
+    """
+    down, up = (lambda c: F.floor(F.round(F.col(c) / MEMO_STEP, 6)).cast("long")), (lambda c: F.ceil(F.round(F.col(c) / MEMO_STEP, 6)).cast("long"))
+    corners = _boxes(routes, margin_deg).select("route_id", down("south").alias("s"), down("west").alias("w"), up("north").alias("n"), up("east").alias("e"))
+    boxes = cut(corners.withColumn("box", F.concat_ws(",", "s", "w", "n", "e")))
+    change = store.begin()
+    old = store.read("fetched", change.base)
+    asked = boxes.dropDuplicates(["box"]).select("box", *((F.col(c) * MEMO_STEP).alias(name) for c, name in (("s", "south"), ("w", "west"), ("n", "north"), ("e", "east"))))
+    fresh = F.col("fetched_at") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(days) * 86_400))
+    if old is not None:
+        asked = asked.join(old.where(fresh & F.col("way_id").isNull()).select("box").distinct(), "box", "left_anti")
+    asked = cut(asked)
+    if asked.limit(1).count():
+        got = _fetched(asked, "box", fetch, attempts, backoff_s).where(~F.col("failed")).drop("failed")
+        change.append("fetched", got.withColumn("fetched_at", F.current_timestamp()).withColumn("born", F.lit(change.number)), "box")
+        at = change.commit()
+    else:
+        at = change.base
+    known = store.read("fetched", at)
+    # of a box that was asked for again the last answer holds
+    last = known.where("way_id is null").groupBy("box").agg(F.max("born").alias("born"))
+    rows = known.where("way_id is not null").join(last, ["box", "born"]).drop("born", "fetched_at", "bucket")
+    return boxes.select("route_id", "box").join(rows, "box").select("route_id", "way_id", "tags", "geometry")
 
 
 def model_ready(name: str, available: list[str]) -> bool:

@@ -11,6 +11,7 @@ from specaudit.operators import audit
 from specaudit.plans import settings
 from specaudit.plans.engine import CONTEXT, Engine
 from specaudit.sources import readers, sinks
+from specaudit.sources.versions import Store
 from specaudit.streaming import incremental
 
 LANE = "4.2 Lanes\nThe minimum traffic lane width shall be 3.5 m on divided National Highway carriageway sections in rural areas."
@@ -250,3 +251,37 @@ def test_features_of_a_service(spark):
     got = readers.features_near(points, fetch, backoff_s=0.0).collect()
     assert [(r.route_id, r.way_id, r.tags) for r in got] == [("a", "7", {"highway": "trunk", "lanes": "2"}), ("a", "8", {})]
     assert abs(got[0].geometry[0].lat - 16.998) < 1e-9 and abs(got[0].geometry[1].lon - 78.202) < 1e-9 and got[1].geometry == []
+
+
+def test_a_service_is_asked_for_new_boxes_only(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.write_text("")
+
+    def fetch(south, west, north, east):
+        with open(log, "a") as f:
+            f.write(f"{south:.3f}\n")
+        if south > 50:
+            raise ConnectionError("busy")
+        return [] if south > 30 else [{"way_id": 7, "tags": {"highway": "trunk"}, "geometry": [(south, west), (north, east)]}]
+
+    calls = lambda: len(log.read_text().split())
+    store = Store(spark, f"{tmp_path}/memo")
+    points = spark.createDataFrame([("a", 17.0, 78.0), ("a", 17.1, 78.2), ("b", 60.0, 1.0), ("c", 40.0, 1.0), ("d", 17.00002, 78.00001), ("d", 17.09999, 78.2)], "route_id string, lat double, lon double")
+    ask = lambda rows, **how: sorted((r.route_id, r.way_id) for r in readers.features_remembered(store, rows, fetch, attempts=2, backoff_s=0.0, **how).collect())
+    assert ask(points) == [("a", "7"), ("d", "7")] and calls() == 4  # a and d share a box, b is tried twice
+    assert ask(points) == [("a", "7"), ("d", "7")] and calls() == 6  # b alone, which failed; c is known to be empty
+    more = points.where("route_id <> 'b'").unionByName(spark.createDataFrame([("x", 20.0, 78.0)], points.schema))
+    assert ask(more) == [("a", "7"), ("d", "7"), ("x", "7")] and calls() == 7
+    assert ask(more, days=0.0) == [("a", "7"), ("d", "7"), ("x", "7")] and calls() == 10  # all have expired
+
+
+def test_workbooks_of_unlike_columns_keep_all(spark, tmp_path):
+    for name, rows in (("b.xlsx", [{"ts": "1", "lanes": "2"}]), ("a.xlsx", [{"width": "3.5", "ts": "9"}, {"width": None, "ts": "8"}])):
+        (tmp_path / name).write_text(json.dumps(rows))
+
+    def read(body, nrows=None, dtype=None):
+        return pd.DataFrame(json.loads(body.read())).head(nrows)
+
+    got = readers._workbook(spark, str(tmp_path), read)
+    assert got.columns == ["width", "ts", "lanes"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("3.5", "9", None), (None, "1", "2"), (None, "8", None)]

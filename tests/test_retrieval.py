@@ -133,3 +133,11 @@ def test_evidence_budget_keeps_the_first(spark):
     df = spark.createDataFrame(rows, "request_id string, rank int, evidence_id string, source string, standard_id string, edition_year int, page int, section string, text string")
     assert R.evidence_blocks(df, 100).count() == 1 and R.evidence_blocks(df, 1300).count() == 2
     assert R.evidence_blocks(df, 100).first().block.startswith("[e1] source=s; standard=unknown; edition=unknown; page=unknown; section=unknown\nxxx")
+
+
+def test_more_features_than_one_pass_takes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "IRC:1", f"word{k} width 3 m") for k in range(9)], "corpus_idx long, standard_id string, text string")
+    asked = spark.createDataFrame([(f"r{k}", f"word{k}", [f"word{k} width"], [], []) for k in range(9)], "request_id string, feature string, phrases array<string>, preferred array<string>, context_tokens array<string>")
+    whole = sorted(map(tuple, R.scan(docs, asked, 5).collect()))
+    monkeypatch.setattr(R, "MOST_FEATURES", 2)
+    assert sorted(map(tuple, R.scan(docs, asked, 5).collect())) == whole and len(whole) == 9
