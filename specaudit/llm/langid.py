@@ -6,13 +6,14 @@ as (1 + log tf) * idf with unit length.  Each language has several centroids (sp
 the language of the centroid with the largest cosine is predicted.  A text whose cosine is below that
 centroid's ``floor`` (a low quantile of its training texts, less a margin) is marked as rejected.
 
-idf counts all training rows; centroids are fitted on ``PER_LANGUAGE`` rows a language, chosen by hash, of the ``LANGUAGES``
-values of ``lang`` that most rows have, so that a noisy column cannot make the model grow with the table.
-Both are small: 4 bytes a dimension and centroid, 131 MB for all languages that may be learned.
+idf counts all training rows; centroids are fitted on ``PER_LANGUAGE`` rows a language, chosen by hash.  Every value of ``lang`` is learned.
+A worker holds the centroids of ``LANGUAGES`` values at most (4 bytes a dimension and centroid, 131 MB); where a column has more, its values stay a table, are
+taken in blocks in alphabetical order, and a text's best so far goes from one block to the next through the shared folder.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any training row
 all are ``und``; null languages are not learned; a null id counts as the empty string for the folds; ties go to
-the language first in alphabetical order; repeated rows count each; an empty table gives an empty result.
+the language first in alphabetical order; repeated rows count each; very long texts are read whole, part by part; an empty table gives an empty result; other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specaudit.llm.common import small_batches
+from specaudit.llm.common import materialize, small_batches
+from specaudit.llm.ranking import ordered, with_rank
 
 DIMENSIONS = 1 << 13
 PER_LANGUAGE = 400
 CENTROIDS = 4
-#: Languages that are learned: those of most training rows, then in alphabetical order.  Bounds the model like ``PER_LANGUAGE``.
+#: Languages whose centroids a worker holds at once.
 LANGUAGES = 1000
 FLOOR_QUANTILE, FLOOR_MARGIN = 0.01, 0.05
 PART = 1 << 20
@@ -93,8 +95,9 @@ class Model:
     def __init__(self, idf: np.ndarray, languages: list[str], centroids: np.ndarray, floors: np.ndarray):
         self.idf, self.languages, self.centroids, self.floors = idf, languages, centroids, floors
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        lang, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    def predict(self, texts: list[str | None], lang: list[str], score: list[float], rejected: list[bool]) -> tuple[list[str], list[float], list[bool]]:
+        """The better of what is known of each text (``und`` with a score below 0 at first) and this model's languages."""
+        lang, score, rejected = list(lang), list(score), list(rejected)
         which = [k for k, t in enumerate(texts) if has_letter(t)] if self.languages else []
         for at in range(0, len(which), 256):
             rows = which[at : at + 256]
@@ -102,7 +105,8 @@ class Model:
             cos = x @ self.centroids.T
             best = np.argmax(cos, axis=1)
             for k, j, c in zip(rows, best.tolist(), cos[np.arange(len(rows)), best].tolist(), strict=True):
-                lang[k], score[k], rejected[k] = self.languages[j], min(1.0, max(0.0, c)), bool(c < self.floors[j])
+                if c > score[k]:
+                    lang[k], score[k], rejected[k] = self.languages[j], c, bool(c < self.floors[j])
         return lang, score, rejected
 
 
@@ -111,8 +115,8 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
-    """train: ``doc_id, text, lang``, all non-null but the id."""
+def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Iterator[Model]:
+    """Models of at most ``languages`` values each, in alphabetical order.  train: ``doc_id, text, lang``, all non-null but the id."""
 
     def df_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -129,13 +133,18 @@ def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int
     idf = np.zeros(DIMENSIONS, np.float32)
     for place, n in found.items():
         idf[place] = math.log((1 + total) / (1 + n)) + 1
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not sizes:
-        return Model(idf, [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
+    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.limit(languages + 1).collect()
     # a share of each language by hash, then exactly the first of it
-    share = F.create_map(*(F.lit(v) for r in sizes for v in (r[0], min(1.0, 1.5 * per_language / r[1]))))
     h = F.xxhash64("doc_id", "text")
-    sample = train.withColumn("h", h).where((F.col("h") / F.lit(2.0**64) + 0.5) < share[F.col("lang")])
+    own = train.withColumn("h", h)
+    if len(few) <= languages:
+        if not few:
+            return
+        own = own.withColumn("n", F.create_map(*(F.lit(v) for r in few for v in r))[F.col("lang")])
+    else:
+        own = own.join(sizes, "lang")
+    sample = own.where((F.col("h") / F.lit(2.0**64) + 0.5) < F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n")))
     sample = sample.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +161,17 @@ def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, n_centroids: int
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(c)), "c": [r.tobytes() for r in c], "floor": floors})
 
     rows = sample.select("lang", "text").mapInArrow(vectors, "lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, j int, c binary, floor double")
-    got = sorted(rows.collect(), key=lambda r: (r["lang"], r["j"]))
-    return Model(idf, [r["lang"] for r in got], np.stack([np.frombuffer(r["c"], np.float32) for r in got]), np.array([r["floor"] for r in got]))
+    def model(got: list) -> Model:
+        got = sorted(got, key=lambda r: (r["lang"], r["j"]))
+        return Model(idf, [r["lang"] for r in got], np.stack([np.frombuffer(r["c"], np.float32) for r in got]), np.array([r["floor"] for r in got]))
+
+    if len(few) <= languages:
+        yield model(rows.collect())
+        return
+    table = materialize(rows, "langid-centroids")
+    numbered = materialize(with_rank(ordered(table.select("lang").distinct(), F.col("lang"), label="langid-languages"), "at"), "langid-languages")
+    for first in range(0, numbered.count(), languages):
+        yield model(table.join(numbered.where(F.col("at").between(first, first + languages - 1)), "lang").collect())
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
@@ -162,11 +180,24 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), df[lang_col].cast("string").alias("lang"))
     docs = docs.withColumn("held_out", held_out("doc_id"))
     train = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    model = df.sparkSession.sparkContext.broadcast(fit(train.select("doc_id", "text", "lang"), **how))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score, rejected = model.value.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
-
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    state = "lang_pred string, score double, rejected boolean"
+
+    def run(sent, more: bool):
+        names = ["doc_id", "held_out", "lang_pred", "score", "rejected", *(["text"] if more else [])]
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = sent.value.predict(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in names[2:5]))
+                new = [pa.array(x, kind) for x, kind in zip(got, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *new, *(batch.column(c) for c in names[5:])], names=names)
+
+        return step
+
+    out = docs.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(-2.0).alias("score"), F.lit(True).alias("rejected"), "text")
+    models = fit(train.select("doc_id", "text", "lang"), **how)
+    model = next(models, None)
+    while model is not None:
+        after = next(models, None)
+        own = out.mapInArrow(run(df.sparkSession.sparkContext.broadcast(model), after is not None), f"doc_id long, held_out boolean, {state}{', text string' if after else ''}")
+        out, model = (materialize(own, "langid-so-far") if after else own), after
+    return out.select("doc_id", "held_out", "lang_pred", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"), "rejected")

@@ -369,11 +369,15 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
-def test_languages_beyond_the_bound_are_not_learned(spark):
-    words = {"aa": "foo bar baz", "bb": "der hund und", "cc": "xyz zyx qqq"}
-    rows = [(k, f"{words[x]} {words[x]}", x) for k, x in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 10)]
-    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2).collect()
-    assert len(got) == 60 and {r.lang_pred for r in got} == {"aa", "bb"} and all(r.lang_pred == rows[r.doc_id][2] for r in got if r.doc_id < 50)
+@pytest.mark.parametrize("languages", [1, 2])
+def test_languages_beyond_one_block_are_learned_in_blocks(spark, languages):
+    words = {"aa": "foo bar baz", "bb": "der hund und", "cc": "xyz zyx qqq", "dd": "foo bar qux", "ee": "der hund oder"}
+    rows = [(k, f"{words[x]} {words[x]}", x) for k, x in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 10 + ["dd"] * 5 + ["ee"] * 9)] + [(900, None, None), (901, "foo hund", None), (902, "12", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rounded = lambda found: {(r.doc_id, r.held_out, r.lang_pred, round(r.score, 5), r.rejected) for r in found.collect()}
+    whole = rounded(langid.identify(df))
+    assert rounded(langid.identify(df, languages=languages)) == whole
+    assert all(r[2] == rows[r[0]][2] for r in whole if r[0] < 74) and {r[2] for r in whole} == {*words, "und"}
 
 
 def brute_language(rows):
