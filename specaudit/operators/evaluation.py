@@ -28,9 +28,18 @@ def passage_matches(g: str, h: str) -> Column:
 
 
 def first_matches(gold: DataFrame, hits: DataFrame) -> DataFrame:
-    """``case_id, first_rank``: rank of a case's first matching hit, null if there is none."""
-    g, h = gold.alias("g"), hits.alias("h")
-    ranks = g.join(h, F.col("g.case_id") == F.col("h.request_id")).where(passage_matches("g", "h")).groupBy("g.case_id").agg(F.min("h.rank").alias("first_rank"))
+    """``case_id, first_rank``: rank of a case's first matching hit, null if there is none.
+
+    A case looks at the hits of its ``request_id``, where it has one, else of its ``case_id``.  Cases that name a passage or its digest are joined on that as well, so only
+    cases with nothing but a quote meet all hits of their request.
+    """
+    own = gold if "request_id" in gold.columns else gold.withColumn("request_id", F.col("case_id"))
+    named, hashed = F.col("expected_evidence_id").isNotNull(), F.col("expected_content_hash").isNotNull()
+    h = hits.alias("h")
+    same = F.col("g.request_id") == F.col("h.request_id")
+    ways = [(named, same & (F.col("g.expected_evidence_id") == F.col("h.evidence_id"))), (~named & hashed, same & (F.col("g.expected_content_hash") == F.col("h.content_hash"))), (~named & ~hashed & F.col("expected_quote").isNotNull(), same)]
+    found = [own.where(which).alias("g").join(h, on).where(passage_matches("g", "h")).select("g.case_id", "h.rank") for which, on in ways]
+    ranks = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("case_id").agg(F.min("rank").alias("first_rank"))
     return gold.select("case_id").join(ranks, "case_id", "left")
 
 

@@ -36,7 +36,7 @@ def alternative_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {fx.CHUNKS}, k AS (SELECT *, row_number() OVER (PARTITION BY standard_id ORDER BY corpus_idx) AS rank FROM chunk_v),
-g AS (SELECT corpus_idx AS case_id, standard_id, CASE WHEN corpus_idx % 5 = 0 THEN 'E' || corpus_idx END AS ev, CASE WHEN corpus_idx % 5 = 1 THEN content_hash END AS ch, CASE WHEN corpus_idx % 5 = 2 THEN 'THE w beam rail stands at ' || (700 + corpus_idx % 60) || ' +/- ' || (5 + corpus_idx % 30) || ' mm' END AS q, CASE WHEN corpus_idx % 2 = 0 THEN edition_year END AS y FROM chunk_v WHERE corpus_idx % 20 < 15)
+g AS (SELECT corpus_idx AS case_id, standard_id, CASE WHEN corpus_idx % 5 = 0 THEN 'E' || corpus_idx END AS ev, CASE WHEN corpus_idx % 5 = 1 THEN content_hash END AS ch, CASE WHEN corpus_idx % 5 = 2 THEN 'THE w beam rail stands at ' || (700 + corpus_idx % 60) || ' +/- ' || (5 + corpus_idx % 30) || ' mm' END AS q, CASE WHEN corpus_idx % 2 = 0 THEN edition_year END AS y FROM chunk_v)
 SELECT g.case_id, min(k.rank) AS first_rank FROM g LEFT JOIN k ON k.standard_id = g.standard_id AND k.rank <= 40 AND coalesce(ev, ch, q) IS NOT NULL AND (ev IS NULL OR ev = 'E' || k.corpus_idx) AND (ch IS NULL OR ch = k.content_hash)
  AND (q IS NULL OR contains(lower(regexp_replace(k.text, '\\s+', ' ', 'g')), lower(q))) AND (y IS NULL OR y = k.edition_year) GROUP BY 1""")
 def first_matching_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,11 @@ def first_matching_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("E"), n.cast("string"))
     k = c.withColumn("rank", F.row_number().over(Window.partitionBy("standard_id").orderBy("corpus_idx"))).where("rank <= 40").withColumn("evidence_id", name)
     quote = F.concat(F.lit("THE  w beam rail stands at "), (700 + n % 60).cast("string"), F.lit(" +/- "), (5 + n % 30).cast("string"), F.lit(" mm"))
-    gold = c.where(n % 20 < 15).select(
-        n.alias("case_id"), "standard_id", F.when(n % 5 == 0, name).alias("expected_evidence_id"), F.when(n % 5 == 1, F.col("content_hash")).alias("expected_content_hash"), F.when(n % 5 == 2, quote).alias("expected_quote"),
+    gold = c.select(
+        n.alias("case_id"), F.col("standard_id").alias("request_id"), F.when(n % 5 == 0, name).alias("expected_evidence_id"), F.when(n % 5 == 1, F.col("content_hash")).alias("expected_content_hash"), F.when(n % 5 == 2, quote).alias("expected_quote"),
         F.when(n % 2 == 0, F.col("edition_year")).alias("expected_edition_year"), F.lit(None).cast("long").alias("expected_page"), F.lower("standard_id").alias("expected_standard_id"),
     )
-    shown = gold.select("case_id", "standard_id").join(k, "standard_id").withColumn("request_id", F.col("case_id"))
-    return evaluation.first_matches(gold, shown.drop("case_id")).select("case_id", F.col("first_rank").cast("long").alias("first_rank"))
+    return evaluation.first_matches(gold, k.withColumn("request_id", F.col("standard_id"))).select("case_id", F.col("first_rank").cast("long").alias("first_rank"))
 
 
 @query("""SELECT doc_id AS case_id FROM labels WHERE quality = 1 AND (doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0)""")
@@ -193,10 +192,10 @@ def urban_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey AS n, concat_ws('; ', 'jurisdiction: India', CASE WHEN c_custkey % 3 > 0 THEN 'road class: ' || c_mktsegment END, CASE WHEN c_custkey % 5 = 0 THEN 'setting: rural' END, CASE WHEN c_custkey % 4 > 0 THEN 'base through-lane total: ' || (c_custkey % 4) END, CASE WHEN c_custkey % 6 = 0 THEN 'lane configuration status: provisional' END,
  CASE WHEN c_custkey % 7 > 0 THEN 'posted speed: ' || regexp_replace(printf('%.1f', (c_custkey % 7) * 12.5::double), '\\.0$', '') || ' km/h (' || CASE WHEN c_custkey % 2 = 0 THEN 'OSM tag' ELSE 'unverified source' END || ')' END,
- CASE WHEN c_custkey % 7 = 0 AND c_custkey % 8 > 0 THEN 'radius speed basis: osm' WHEN c_custkey % 2 = 0 THEN 'radius speed basis: osm_posted_speed_proxy' ELSE 'radius speed basis: detected_posted_speed_proxy' END) AS line FROM customer WHERE c_custkey % 7 > 0""")
+ CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'radius speed basis: osm_posted_speed_proxy' ELSE 'radius speed basis: detected_posted_speed_proxy' END) AS line FROM customer""")
 def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
-    c = fx.load(spark, sf_dir, "customer").where(n % 7 > 0).select(n.alias("n"), F.when(n % 3 > 0, F.col("c_mktsegment")).otherwise("unknown").alias("road_class"), F.when(n % 5 == 0, "rural").alias("setting"), F.when(n % 4 > 0, n % 4).alias("total_road_lanes"), (n % 6 == 0).alias("lanes_provisional"), ((n % 7) * F.lit(12.5)).alias("posted_speed_kmph"), F.when(n % 2 == 0, "OSM tag").alias("posted_speed_source"))
+    c = fx.load(spark, sf_dir, "customer").select(n.alias("n"), F.when(n % 3 > 0, F.col("c_mktsegment")).otherwise("unknown").alias("road_class"), F.when(n % 5 == 0, "rural").alias("setting"), F.when(n % 4 > 0, n % 4).alias("total_road_lanes"), (n % 6 == 0).alias("lanes_provisional"), F.when(n % 7 > 0, (n % 7) * F.lit(12.5)).alias("posted_speed_kmph"), F.when(n % 2 == 0, "OSM tag").alias("posted_speed_source"))
     return c.select("n", context.render(c).alias("line"))
 
 
