@@ -292,24 +292,34 @@ def setting(highway: Column, lit: Column, sidewalk: Column, near_landuse: Column
 ROADSIDE = ("chevron", "warning sign", "mandatory sign", "speed limit")
 
 
+def sheet_facts(observations: DataFrame, route: str = "route_id") -> DataFrame:
+    """``route_id, lanes, centre, shoulder, sign, speed`` of each row of a sheet; cells that say nothing are null."""
+    have = observations.columns
+    cell = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
+    first = lambda c: F.get(text.numbers(cell(c)), F.lit(0))
+    sign = F.nullif(F.trim(cell("Traffic Sign Class")), F.lit(""))
+    lanes = first("Expected Total Lanes")
+    return observations.select(F.col(route).alias("route_id"), F.when(lanes > 0, lanes).alias("lanes"), first("Centre Lanes Detected").alias("centre"), first("Shoulder Lanes Detected").alias("shoulder"), F.when(F.lower(sign) != "nan", sign).alias("sign"), text.sign_speed(sign).alias("speed"))
+
+
 def from_sheet(observations: DataFrame, route: str = "route_id") -> DataFrame:
     """What a route's sheet says: lanes, carriageway, sign class and mounting, posted speed.
 
     A median of centre lines may be 0 (an unmarked centre), which tells divided roads; lane counts must be positive.
     """
-    have = observations.columns
-    cell = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
-    first = lambda c: F.get(text.numbers(cell(c)), F.lit(0))
-    sign = F.nullif(F.trim(cell("Traffic Sign Class")), F.lit(""))
-    own = observations.select(F.col(route).alias("route_id"), first("Expected Total Lanes").alias("lanes"), first("Centre Lanes Detected").alias("centre"), first("Shoulder Lanes Detected").alias("shoulder"), F.when(F.lower(sign) != "nan", sign).alias("sign"), text.sign_speed(sign).alias("speed"))
-    agg = own.withColumn("lanes", F.when(F.col("lanes") > 0, F.col("lanes"))).groupBy("route_id").agg(
-        geo.upper_median("lanes").cast("int").alias("lanes"), geo.upper_median("centre").cast("int").alias("centre"), geo.upper_median("shoulder").cast("int").alias("shoulder"),
-        F.array_sort(F.collect_set("sign")).alias("signs"), geo.upper_median("speed").alias("posted_speed_kmph"),
+    agg = sheet_facts(observations, route).groupBy("route_id").agg(
+        *(geo.upper_median(c).alias(c) for c in ("lanes", "centre", "shoulder")), F.array_sort(F.collect_set("sign")).alias("signs"), geo.upper_median("speed").alias("speed"),
     )
+    return summed_sheet(agg)
+
+
+def summed_sheet(agg: DataFrame, *keep: str) -> DataFrame:
+    """The context of routes from their upper medians ``lanes, centre, shoulder, speed`` and their ``signs``."""
+    agg = agg.withColumns({c: F.col(c).cast("int") for c in ("lanes", "centre", "shoulder")})
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     roadside = lambda s: any_of([plain(s).contains(t) for t in ROADSIDE])
     way = F.when(F.coalesce(F.col("lanes"), F.lit(0)) < 2, "unknown").when(F.col("centre") >= F.col("lanes") - 1, "undivided").when((F.col("centre") == 0) & (F.col("shoulder") >= 2), "divided").otherwise("unknown")
-    return agg.select("route_id", "lanes", way.alias("carriageway"), F.when(F.size("signs") == 1, F.get("signs", F.lit(0))).alias("sign_class"), F.when((F.size("signs") > 0) & F.forall("signs", lambda s: roadside(s)), "shoulder").alias("sign_mounting"), "posted_speed_kmph")
+    return agg.select("route_id", "lanes", way.alias("carriageway"), F.when(F.size("signs") == 1, F.get("signs", F.lit(0))).alias("sign_class"), F.when((F.size("signs") > 0) & F.forall("signs", lambda s: roadside(s)), "shoulder").alias("sign_mounting"), F.col("speed").alias("posted_speed_kmph"), *keep)
 
 
 def with_sheet(contexts: DataFrame, sheet: DataFrame) -> DataFrame:

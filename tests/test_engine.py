@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -285,3 +286,37 @@ def test_workbooks_of_unlike_columns_keep_all(spark, tmp_path):
     got = readers._workbook(spark, str(tmp_path), read)
     assert got.columns == ["width", "ts", "lanes"]
     assert sorted(map(tuple, got.collect()), key=str) == [("3.5", "9", None), (None, "1", "2"), (None, "8", None)]
+
+
+def test_route_contexts_of_a_stream_are_those_of_the_sheet(spark, tmp_path):
+    from specaudit.operators import context
+
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice([*x, None])
+    rows = [(rng.choice("abcd"), pick("2", "4", "0", "x"), pick("0", "1", "3"), pick("2", "1 or 2"), pick("Chevron", "Mandatory Sign: speed limit 80", "speed limit 50", "nan", " ")) for _ in range(120)]
+    schema = "route_id string, `Expected Total Lanes` string, `Centre Lanes Detected` string, `Shoulder Lanes Detected` string, `Traffic Sign Class` string"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = {}
+
+        def keep(batch, _):
+            for r in batch.collect():
+                if r.route_id not in got or got[r.route_id].n_rows < r.n_rows:
+                    got[r.route_id] = r
+
+        def run():
+            q = incremental.route_contexts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+            q.awaitTermination(240)
+            assert q.exception() is None
+
+        # two batches, then a restart with a third
+        for first, last in ((0, 40), (40, 90)):
+            spark.createDataFrame(rows[first:last], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+        spark.createDataFrame(rows[90:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    expect = {r.route_id: r for r in context.from_sheet(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: tuple(r)[:-1] for k, r in got.items()} == {k: tuple(r) for k, r in expect.items()}
+    assert sum(r.n_rows for r in got.values()) == 120
