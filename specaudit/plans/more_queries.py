@@ -337,3 +337,52 @@ def strict_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(n % 5 == 1, F.concat(F.lit("IRC "), num(n % 99 + 1), F.lit("-"), year, F.lit(".pdf"))).when(n % 5 == 3, F.concat(F.lit("lRC SP "), num(n % 99 + 1), F.lit(" ("), year, F.lit(").pdf"))).otherwise("scan.pdf")
     d = fx.load(spark, sf_dir, "documents").select("doc_id", n.alias("source_path"), name.alias("source"), cover.alias("cover"))
     return corpus.strict_identity(d).select("doc_id", "standard_id", F.col("edition_year").cast("long").alias("edition_year"))
+
+
+# --- operators without a query of their own so far -----------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT doc_id AS chunk_id, doc_id // 3 AS doc, CASE WHEN doc_id // 3 % 4 = 0 THEN 'A' WHEN doc_id % 2 = 0 THEN 'B' END AS s, CASE WHEN doc_id % 7 > 0 THEN 1990 + doc_id // 3 % 5 END AS y FROM documents),
+o AS (SELECT doc, CASE WHEN count(DISTINCT s) = 1 THEN min(s) END AS s1, CASE WHEN count(DISTINCT y) = 1 THEN min(y) END AS y1 FROM c GROUP BY 1),
+n AS (SELECT doc, coalesce(CASE WHEN doc % 3 = 1 THEN 'A' END, s1) AS ns, coalesce(CASE WHEN doc % 3 = 2 THEN 2000 END, y1) AS ny FROM o)
+SELECT count(*) AS passages, count(DISTINCT doc) AS documents, count(*) FILTER (s IS DISTINCT FROM ns) AS standards, count(*) FILTER (y IS DISTINCT FROM ny) AS editions FROM c JOIN n USING (doc) WHERE s IS DISTINCT FROM ns OR y IS DISTINCT FROM ny""")
+def repair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, doc, d = F.col("doc_id"), F.expr("doc_id div 3"), F.col("document_sha256")
+    chunks = fx.load(spark, sf_dir, "documents").select(n.alias("chunk_id"), doc.alias("document_sha256"), F.when(doc % 4 == 0, "A").when(n % 2 == 0, "B").alias("standard_id"), F.when(n % 7 > 0, 1990 + doc % 5).alias("edition_year"))
+    new = chunks.select("document_sha256").distinct().select("document_sha256", F.when(d % 3 == 1, "A").alias("standard_id"), F.when(d % 3 == 2, F.lit(2000).cast("long")).alias("edition_year"))
+    return corpus.repair_counts(chunks, new)
+
+
+@query("""WITH e AS (SELECT user_id AS route, event_id AS way, event_id % 5 = 4 AS path, CASE event_id % 3 WHEN 0 THEN 'NH ' || (event_id % 4) WHEN 1 THEN 'SH ' || (user_id % 2) END AS ref, CASE WHEN event_id % 4 > 0 THEN (event_id % 6 + 3) * 10 END AS speed FROM events),
+w AS (SELECT *, CASE WHEN ref LIKE 'NH%' THEN 'National Highway' WHEN ref LIKE 'SH%' THEN 'State Highway' ELSE 'Local Street' END AS class, CASE WHEN ref LIKE 'NH%' THEN 0.92::double WHEN ref LIKE 'SH%' THEN 0.90::double ELSE 0.60::double END AS c FROM e WHERE NOT path),
+v AS (SELECT route, class, round(sum(c), 6) AS s, count(*) AS n, max(c) AS top FROM w GROUP BY ALL),
+b AS (SELECT route, arg_max(class, struct_pack(s := s, k := class)) AS class FROM v GROUP BY 1),
+t AS (SELECT route, sum(n) AS n FROM v GROUP BY 1),
+f AS (SELECT b.route, b.class, round_even(least(0.90::double, v.top * (0.60::double + 0.30::double * v.n / t.n)), 3) AS conf FROM b JOIN v ON v.route = b.route AND v.class = b.class JOIN t ON t.route = b.route),
+r AS (SELECT route, class, ref, count(*) AS n FROM w WHERE ref IS NOT NULL GROUP BY ALL),
+m AS (SELECT f.route, arg_max(r.ref, struct_pack(n := r.n, x := r.ref)) AS ref FROM f JOIN r ON r.route = f.route AND r.class = f.class GROUP BY 1),
+s AS (SELECT f.route, max(speed)::double AS posted, array_to_string(list_sort(list(DISTINCT speed) FILTER (speed IS NOT NULL)), ',') AS speeds FROM f JOIN w ON w.route = f.route AND w.class = f.class GROUP BY 1)
+SELECT e.route AS route_id, f.class AS road_class, f.conf AS confidence, m.ref AS highway_ref, s.posted AS posted_speed_kmph, coalesce(s.speeds, '') AS speeds, CASE WHEN s.posted IS NOT NULL THEN 'tag' END AS basis
+FROM (SELECT DISTINCT route FROM e) e LEFT JOIN f ON f.route = e.route LEFT JOIN m ON m.route = e.route LEFT JOIN s ON s.route = e.route""")
+def resolved_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user are the ways near a route, a fifth of them paths; without geometries classes are voted for."""
+    n, u = F.col("event_id"), F.col("user_id")
+    e = fx.load(spark, sf_dir, "events")
+    ref = F.when(n % 3 == 0, F.concat(F.lit("NH "), (n % 4).cast("string"))).when(n % 3 == 1, F.concat(F.lit("SH "), (u % 2).cast("string")))
+    tags = {"highway": F.when(n % 5 == 4, "footway").when(n % 3 == 2, "residential").otherwise("trunk"), "ref": ref, "maxspeed": F.when(n % 4 > 0, ((n % 6 + 3) * 10).cast("string"))}
+    full = F.create_map(*(x for k, v in tags.items() for x in (F.lit(k), v)))
+    features = e.select(u.alias("route_id"), n.alias("way_id"), F.map_filter(full, lambda k, v: v.isNotNull()).alias("tags"), F.array().cast("array<struct<lat:double,lon:double>>").alias("geometry"))
+    points = e.select(u.alias("route_id")).distinct().select("route_id", F.lit(0).alias("pos"), F.lit(17.0).alias("lat"), F.lit(78.0).alias("lon"))
+    out = context.resolve_routes(points, features)
+    speeds = F.array_join(F.transform(F.coalesce("osm_maxspeed_values_kmph", F.array().cast("array<double>")), lambda x: x.cast("int").cast("string")), ",")
+    return out.select("route_id", "road_class", F.col("road_class_confidence").alias("confidence"), "highway_ref", "posted_speed_kmph", speeds.alias("speeds"), F.when(F.col("posted_speed_source").isNotNull(), "tag").alias("basis"))
+
+
+_STATUS = "['needs_context', 'not_found', 'ambiguous', 'invalid_evidence', 'found', 'not_applicable', NULL]"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_STATUS}[doc_id % 7 + 1] AS status FROM labels) SELECT doc_id AS case_id, coalesce(status IN ('needs_context', 'not_found', 'ambiguous', 'invalid_evidence'), false) AS abstains FROM s")
+def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in ("needs_context", "not_found", "ambiguous", "invalid_evidence", "found", "not_applicable", None)))
+    x = fx.load(spark, sf_dir, "labels")
+    return x.select(F.col("doc_id").alias("case_id"), evaluation.abstains(F.get(names, (F.col("doc_id") % 7).cast("int"))).alias("abstains"))
