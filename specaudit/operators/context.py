@@ -144,23 +144,25 @@ def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, most
     cell = lambda x, level: F.floor(x / (F.lit(cell_deg) * F.pow(F.lit(2.0), level))).cast("long")
     ids = points.select("point_id").distinct()
     open_ = points.select("point_id", "lat", "lon").where("lat is not null and lon is not null")
-    found, ring = None, 0
+    open_ = open_.withColumn("b", F.lit(None).cast(f"struct<metres: double, way_id: {ways.schema['way_id'].dataType.simpleString()}>"))
+    # rings narrower than the shortest segments' cells would look at the same cells
+    found, ring, first = None, min(levels, default=0), True
     while levels:
         reach = cell_deg * 2**ring
         last = reach >= 360
-        best = cut(_in_ring(open_, parts, levels, ring, cell))
-        nearer = open_.join(best, "point_id", "left")
+        # the cells of coarser levels were looked at in the first ring
+        own = levels if first else [k for k in levels if k <= ring]
+        best = _in_ring(open_.drop("b"), parts if first else parts.where(c("level") <= ring), own, ring, cell).select("point_id", F.struct("metres", "way_id").alias("n"))
+        nearer = cut(open_.join(best, "point_id", "left").withColumn("b", F.array_min(F.filter(F.array("b", "n"), lambda x: x.isNotNull()))).drop("n"))
         # anything that no probed cell holds differs by the ring's width in latitude or in longitude
         within = _beyond(c("lat"), F.lit(reach))
-        settled = nearer if last else nearer.where((c("metres") <= within) | (within > (math.inf if most_m is None else most_m)))
-        new = settled.where("way_id is not null").select("point_id", "way_id", "metres")
+        done = F.coalesce((c("b.metres") <= within) | (within > (math.inf if most_m is None else most_m)), F.lit(False)) | F.lit(last)
+        new = nearer.where(done & c("b").isNotNull()).select("point_id", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
         found = new if found is None else found.unionByName(new)
-        if last:
+        open_ = nearer.where(~done)
+        if last or not open_.limit(1).count():
             break
-        open_ = cut(open_.join(settled.select("point_id"), "point_id", "left_anti"))
-        if not open_.limit(1).count():
-            break
-        ring += 2
+        ring, first = ring + 2, False
     if found is None:
         return ids.select("point_id", F.lit(None).cast(ways.schema["way_id"].dataType).alias("way_id"), F.lit(None).cast("double").alias("metres"))
     if most_m is not None:
@@ -185,7 +187,7 @@ def _in_ring(open_: DataFrame, parts: DataFrame, levels: list[int], ring: int, c
     span = lambda axis: F.sequence(cell(c(f"{axis}0"), c("g")), cell(c(f"{axis}1"), c("g")))
     posted = boxes.withColumn("g", grid).withColumn("y", F.explode(span("lat"))).withColumn("x", F.explode(span("lon")))
     around = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
-    probes = open_.withColumn("g", F.explode(F.array(*map(F.lit, sorted({max(k, ring) for k in levels} | {ring}))))).withColumn("d", around)
+    probes = open_.withColumn("g", F.explode(F.array(*map(F.lit, sorted({max(k, ring) for k in levels}))))).withColumn("d", around)
     probes = probes.select("point_id", "lat", "lon", "g", (cell(c("lat"), c("g")) + c("d.y")).alias("y"), (cell(c("lon"), c("g")) + c("d.x")).alias("x"))
     apart = lambda axis: F.greatest(F.lit(0.0), c(f"{axis}0") - c(axis), c(axis) - c(f"{axis}1"))
     across = lambda axis: F.greatest(F.abs(c(f"{axis}0") - c(axis)), F.abs(c(f"{axis}1") - c(axis)))
