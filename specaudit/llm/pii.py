@@ -336,10 +336,10 @@ def fit(proposals: DataFrame) -> tuple[list, dict[int, float]]:
     return trained(range(FOLDS)), thresholds(scored)
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``rid, doc_id, base, all``: arrays of (start, kind number, end), in order."""
+def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[list, dict[int, float]] | None = None) -> DataFrame:
+    """``rid, doc_id, base, all``: arrays of (start, kind number, end), in order.  The ``model`` of :func:`fit` is that of the same table by default."""
     rows = materialize(candidates(df, id_col, text_col), "pii-proposals")
-    trees, least = fit(rows)
+    trees, least = model or fit(rows)
     score = margin(trees)  # Spark may add constants in another order
     limit = reduce(lambda a, k: F.when(F.col("kind") == k, F.lit(float(least[k]))).otherwise(a), range(len(KINDS)), F.lit(float("inf")))
     picked = rows.where("y is null").select("rid", "doc_id", "kind", "start", "end", "base", (~F.col("base") & (F.col("strict") == 0) & (score >= limit - 1e-9)).alias("wanted")).where("kind is null or base or wanted")
@@ -361,9 +361,9 @@ def _listed(found: str) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[list, dict[int, float]] | None = None) -> DataFrame:
     """``doc_id``, numbers of base spans ``n_email, n_ip, n_card, n_phone``, ``base_sha256, spans``, and numbers of added ``n_secret, n_added``, and whether a row has any span (``found``), of every row."""
-    found = spans(df, id_col, text_col)
+    found = spans(df, id_col, text_col, model)
 
     def number(spans: str, k: int) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")

@@ -598,7 +598,7 @@ def test_veiled_and_unannounced_spans_of_every_kind_are_found(spark, sf):
     # thresholds rest on the given documents; what is planted is only scored
     trees, least = pii.fit(pii.candidates(docs))
     assert all(x < float("inf") for x in least.values()), least
-    got = {r.doc_id: r for r in pii.personal_data(docs.unionByName(own)).where("doc_id >= 1000000000").collect()}
+    got = {r.doc_id: r for r in pii.personal_data(own, model=(trees, least)).collect()}
     recall, wrong = Counter(), Counter()
     for i, kind in kinds.items():
         found = {x.split(":")[0] for x in got[i].spans.split(",") if x}
@@ -608,5 +608,5 @@ def test_veiled_and_unannounced_spans_of_every_kind_are_found(spark, sf):
             wrong.update(found)
     assert all(recall[k] >= 22 for k in VEILED), recall
     assert sum(wrong.values()) <= 6, wrong
-    clean = pii.personal_data(docs).where("n_added > 0").count()
+    clean = pii.personal_data(docs, model=(trees, least)).where("n_added > 0").count()
     assert clean <= docs.count() * 0.03
