@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import difflib
-import re
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specaudit.functions import text
+from specaudit.sources.versions import cut
 
 IDENTITY_VERSION = "registry-first-v1"
 SUPPLEMENT = "[OCR figure/table supplement]"
@@ -75,14 +77,15 @@ def strict_identity(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__x", best).select(*documents.columns, F.col("__x.standard_id").alias("standard_id"), F.col("__x.edition_year").alias("edition_year"))
 
 
-def window_score(needle: str, hay: str, least: float) -> float:
+def window_score(needle: str, hay: str, least: float, whole: int | None = None) -> float:
     """Best ratio of ``needle`` to a window of ``hay`` about as wide; 0 where none reaches ``least``.
 
+    ``whole`` is the length of the text that ``hay`` is a stretch of.
     A window's shared characters bound its ratio, so only windows whose bound reaches ``least`` are matched.
     """
     most = sum(min(needle.count(c), hay.count(c)) for c in set(needle))
     # no window shares more characters than the whole does, which rules out most widths before any window is looked at
-    widths = [w for w in sorted({min(w, len(hay)) for w in range(max(3, len(needle) - 2), len(needle) + 3)}) if 2.0 * most + 1e-9 >= least * (len(needle) + w)]
+    widths = [w for w in sorted({min(w, len(hay) if whole is None else whole) for w in range(max(3, len(needle) - 2), len(needle) + 3)}) if w <= len(hay) and 2.0 * most + 1e-9 >= least * (len(needle) + w)]
     windows: dict[str, float] = {}
     if widths:
         codes = np.frombuffer(hay.encode("utf-32-le"), "<u4")
@@ -105,33 +108,132 @@ def window_score(needle: str, hay: str, least: float) -> float:
     return score if score >= least else 0.0
 
 
-def fuzzy_candidates(unknown: DataFrame, known_ids: list[str], least: float = 0.78) -> DataFrame:
-    """A likely standard for documents without identity; a suggestion that is never taken for a fact.
+def alignments(m: int, least: float, short: bool = False) -> list[tuple[int, int]]:
+    """Widths of windows that can reach ``least`` against ``m`` characters, each with the fewest characters that must match.
 
-    known_ids is the registry's list (tens).  Gives ``source_path, candidate_standard_id, candidate_score``.
+    A ratio is 2 M / (m + w) with M matched characters; windows are at most two characters narrower or wider than the needle, or all of a ``short`` text.
+    A needle that stands whole in the text counts at any length.
+    """
+    low = max(3, m - 2)
+    fewest = {w: math.ceil(least * (m + w) / 2 - 1e-9) for w in (range(1, low) if short else range(low, max(3, m + 2) + 1))}
+    if not short and m < low:
+        fewest[m] = m
+    return [(w, matched) for w, matched in fewest.items() if matched <= min(m, w)]
+
+
+def least_shared(m: int, widths: list[tuple[int, int]], size: int) -> int:
+    """How many of the ``m - size + 1`` grams of a needle stand unbroken in any of the windows.
+
+    Each of the m - M unmatched characters breaks at most ``size`` grams, each of the window's w - M at most ``size - 1``.
+    """
+    return min(m - size + 1 - size * (m - matched) - (size - 1) * (w - matched) for w, matched in widths)
+
+
+def common_subsequence(needle: str, hay: str) -> int:
+    """Length of the longest common subsequence, a bit a character of ``needle``."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(needle):
+        at[c] = at.get(c, 0) | 1 << k
+    rows, every = (1 << len(needle)) - 1, (1 << len(needle)) - 1
+    for c in hay:
+        both = rows & at.get(c, 0)
+        rows = (rows + both | rows - both) & every
+    return len(needle) - rows.bit_count()
+
+
+def gram_index(known: DataFrame, least: float) -> DataFrame:
+    """``needle, gram, place, slack``: the rarest grams of each needle, one of which stands unbroken in any window that reaches ``least``.
+
+    That window holds at most ``slack`` characters of its own.  If n grams are known to stand in it, all but n - 1 of a needle's grams are enough, and the commonest are left out.
+    Grams are pairs of characters, or single characters where no pair is certain; those for texts too short for a window begin with ``~``.  known: ``needle``.
     """
-    squeezed = {i: re.sub(r"[^A-Z0-9]", "", i.upper()) for i in known_ids}
-
-    def best(hay: str) -> tuple[str | None, float | None]:
-        numbers = {int(x) for x in re.findall(r"SP0*(\d{1,3})", hay)}
-        named = [i for i in known_ids if i.upper() in {f"IRC:SP:{n}" for n in numbers}]
-        if len(named) == 1:
-            return named[0], 0.96
-        top: tuple[float, str | None] = (0.0, None)
-        for i, needle in squeezed.items():
-            if needle in hay:
-                score = 1.0 if needle else 0.0
-            else:
-                score = window_score(needle, hay, least)
-            top = max(top, (score, i), key=lambda x: x[0])
-        return (None, None) if top[0] < least else (top[1], round(top[0], 4))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(p, *best(h or "")) for p, h in pdf.itertuples(index=False)], columns=["source_path", "candidate_standard_id", "candidate_score"])
+            rows = []
+            for needle in pdf["needle"]:
+                m = len(needle)
+                for short in (False, True):
+                    if not (widths := alignments(m, least, short)):
+                        continue
+                    size = 2 if least_shared(m, widths, 2) > 0 else 1
+                    wanted, slack = max(1, least_shared(m, widths, size)), max(w - matched for w, matched in widths)
+                    own = [needle[k : k + size] for k in range(m - size + 1)]
+                    rows += [(needle, "~" * short + g, k, len(own) - wanted + 1, slack) for k, g in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["needle", "gram", "place", "kept", "slack"])
+
+    own = cut(known.select("needle").distinct().mapInPandas(run, "needle string, gram string, place int, kept int, slack int"))
+    common = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("needle", F.col("gram").startswith("~")).orderBy("n", "place"))
+    return own.join(common, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("kept")).drop("rank", "n", "kept")
+
+
+#: Characters of known ids up to which their grams are sent to every task.
+SMALL_REGISTRY = 1_000_000
+
+
+def fuzzy_candidates(unknown: DataFrame, known_ids: list[str] | DataFrame, least: float = 0.78) -> DataFrame:
+    """A likely standard for documents without identity; a suggestion that is never taken for a fact.
+
+    known_ids: the ids in order, or a table with ``standard_id`` (its order is that of the ids).  Gives ``source_path, candidate_standard_id, candidate_score``, a row
+    a row of ``unknown``.  One id whose SP number the text names scores 0.96; else the best ratio of an id to a window of the text counts, the first id at ties, if it reaches ``least``.
+
+    Places are found by an index of the ids' rarest grams; what they could be part of is a stretch little longer than the id, and only
+    stretches with a common subsequence long enough meet the sequence matcher.  So the work grows with places that look like an id, not with documents times ids.  Null texts are empty; repeated ids count once; ids without a letter or digit are never suggested.
+    """
+    spark = unknown.sparkSession
+    listed = isinstance(known_ids, list)
+    if listed:
+        ids = spark.createDataFrame([(k, i) for k, i in enumerate(known_ids) if i is not None], "position long, standard_id string")
+    else:
+        ids = known_ids.where("standard_id is not null").select(F.lit(0).cast("long").alias("position"), "standard_id")
+    ids = ids.groupBy("standard_id").agg(F.min("position").alias("position")).withColumn("needle", F.regexp_replace(F.upper("standard_id"), "[^A-Z0-9]", ""))
+    needles = ids.where("needle <> ''").groupBy("needle").agg(F.min(F.struct("position", "standard_id")).alias("first"))
+    index = gram_index(needles, least)
+    reach = index.agg(F.max(F.greatest(F.length("needle"), F.lit(3)) + F.col("slack"))).first()[0] or 1
+    if listed and sum(map(len, filter(None, known_ids))) <= SMALL_REGISTRY:
+        index, needles = F.broadcast(index), F.broadcast(needles)
 
     hay = F.regexp_replace(F.upper(text.repair_ocr(F.concat_ws(" ", "source", F.substring(F.coalesce("cover", F.lit("")), 1, 3000)))), "[^A-Z0-9]", "")
-    return unknown.select("source_path", hay.alias("hay")).mapInPandas(run, "source_path string, candidate_standard_id string, candidate_score double")
+    documents = unknown.select("source_path", hay.alias("hay")).withColumn("key", F.sha2("hay", 256))
+    texts = documents.groupBy("key").agg(F.first("hay").alias("hay"))
+
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all("hay", F.lit(r"SP0*(\d{1,3})"), F.lit(1)), lambda n: F.concat(F.lit("IRC:SP:"), n.cast("int").cast("string"))))
+    named = texts.select("key", F.explode(numbers).alias("named")).join(ids.select("standard_id", F.upper("standard_id").alias("named")), "named")
+    named = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("standard_id").alias("__named")).where("n = 1").drop("n")
+
+    pairs = F.transform(F.sequence(F.lit(1), F.length("hay")), lambda k: F.col("hay").substr(k, F.lit(2)))
+    places = texts.where("hay <> ''").select("key", "hay", F.posexplode(pairs).alias("at", "pair"))
+    # what a window around the place can hold, so that no text travels with each of its places
+    before = F.least("at", F.lit(reach))
+    around = F.col("hay").substr(F.col("at") - before + 1, before + F.lit(reach))
+    grams = F.array_distinct(F.array("pair", F.substring("pair", 1, 1)))
+    grams = F.when(F.length("hay") < reach, F.concat(grams, F.transform(grams, lambda g: F.concat(F.lit("~"), g)))).otherwise(grams)
+    places = places.select("key", F.length("hay").alias("whole"), around.alias("around"), before.alias("before"), F.explode(grams).alias("gram"))
+    own = F.least("before", F.col("place") + F.col("slack"))
+    window = F.col("around").substr(F.col("before") - own + 1, own - F.col("place") + F.length("needle") + F.col("slack"))
+    likely = places.join(index, "gram").select("key", "needle", window.alias("window"), F.least("whole", F.length("needle") + 2).alias("whole")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @functools.lru_cache(maxsize=100_000)
+        def score(needle: str, window: str, whole: int) -> float:
+            if needle in window:
+                return 1.0
+            return window_score(needle, window, least, whole) if common_subsequence(needle, window) >= fewest(len(needle), whole) else 0.0
+
+        @functools.cache
+        def fewest(m: int, whole: int) -> int:
+            return min((matched for _, matched in alignments(m, least, whole < max(3, m - 2))), default=m + 1)
+
+        for pdf in batches:
+            scores = [score(*x) for x in zip(pdf["needle"], pdf["window"], pdf["whole"], strict=True)]
+            yield pd.DataFrame({"key": pdf["key"], "needle": pdf["needle"], "score": scores, "shown": [round(x, 4) for x in scores]})
+
+    scored = likely.mapInPandas(run, "key string, needle string, score double, shown double").where(F.col("score") >= least)
+    best = scored.join(needles, "needle").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "first", "shown")).alias("__best"))
+    out = documents.select("source_path", "key").join(best, "key", "left").join(named, "key", "left")
+    standard = F.coalesce("__named", "__best.first.standard_id").alias("candidate_standard_id")
+    return out.select("source_path", standard, F.when(F.col("__named").isNotNull(), 0.96).otherwise(F.col("__best.shown")).alias("candidate_score"))
 
 
 def covers(pages: DataFrame, first: int = 4) -> DataFrame:

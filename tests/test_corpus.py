@@ -2,10 +2,13 @@
 
 import difflib
 import random
+import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from specaudit.functions import text
 from specaudit.operators import chunking, corpus
 
 POLICY = "standard_id string, active_edition_year int, approved_sha256 array<string>, approved_sources array<string>, source_aliases array<string>"
@@ -119,6 +122,54 @@ def test_window_score_is_that_of_all_windows():
         assert corpus.window_score(needle, hay, 0.78) == (every if every >= 0.78 else 0.0)
 
 
+def plain_candidate(hay, ids, least=0.78):
+    """Every window of every id."""
+    named = [i for i in ids if i.upper() in {f"IRC:SP:{int(n)}" for n in re.findall(r"SP0*(\d{1,3})", hay)}]
+    if len(named) == 1:
+        return named[0], 0.96
+    top = (0.0, None)
+    for i in ids:
+        needle = re.sub("[^A-Z0-9]", "", i.upper())
+        widths = {min(w, len(hay)) for w in range(max(3, len(needle) - 2), len(needle) + 3)}
+        windows = {hay[k : k + w] for w in widths for k in range(len(hay) - w + 1)}
+        score = 0.0 if not needle else 1.0 if needle in hay else max((difflib.SequenceMatcher(None, needle, x).ratio() for x in windows), default=0.0)
+        top = max(top, (score, i), key=lambda x: x[0])
+    return (None, None) if top[0] < least else (top[1], round(top[0], 4))
+
+
+@pytest.mark.parametrize("least", [0.78, 0.6])
+def test_fuzzy_candidates_are_those_of_every_window_of_every_id(spark, least):
+    rng = random.Random(11)
+    word = lambda a, b, n: "".join(rng.choice(a) for _ in range(rng.randrange(*b))) + "".join(rng.choice("0123456789") for _ in range(n))
+    ids = [f"IRC:{n}" for n in range(3, 60, 4)] + [f"IRC:SP:{n}" for n in range(5, 130, 9)] + ["A", "Q7", "XY3", "IRC:SP:84", "--"] + [f"{word('ABCD', (1, 9), 2)}-{k}" for k in range(20)]
+    ids = list(dict.fromkeys(ids))
+    hays = ["", "I", "RC", "A", "Q7", *(word("IRCSPABCDQXY", (0, 30), rng.randrange(4)) for _ in range(80))]
+    for i in rng.sample(ids, 30):
+        own = list(re.sub("[^A-Z0-9]", "", i.upper()))
+        if own:
+            own[rng.randrange(len(own))] = rng.choice(["", "Z", "7"])
+        hays.append(word("MNWK", (0, 9), 0) + "".join(own) + word("MNWK", (0, 9), 0))
+    docs = spark.createDataFrame([(str(k), h) for k, h in enumerate(hays)] * 2 + [("none", None)], "source_path string, source string").selectExpr("*", "cast(null as string) as cover", "1 as needle")
+    repaired = {r.source_path: r.h for r in docs.select("source_path", text.repair_ocr(F.coalesce("source", F.lit(""))).alias("h")).collect()}
+    got = corpus.fuzzy_candidates(docs, ids, least).collect()
+    assert len(got) == 2 * len(hays) + 1
+    for r in got:
+        assert (r.candidate_standard_id, r.candidate_score) == plain_candidate(re.sub("[^A-Z0-9]", "", repaired[r.source_path].upper()), ids, least), repaired[r.source_path]
+    assert sum(r.candidate_score is not None and r.candidate_score < 0.96 for r in got) > 20
+
+
+def test_fuzzy_candidates_of_thousands_of_ids(spark):
+    """Every text says IRC many times, as every id does; that pair of letters is no entry of the index."""
+    ids = spark.range(4000).selectExpr("concat('IRC:', lpad(cast(id * 7919 % 100003 as string), 6, '0')) as standard_id", "id as noise")
+    docs = spark.range(30).selectExpr("cast(id as string) as source_path", "concat('scan IRC ', lpad(cast(id * 7919 % 100003 as string), 6, '0'), 'x') as source", "repeat('plain words about IRC roads and lanes of 2 and 3 m ', 50) as cover")
+    began = time.time()
+    got = corpus.fuzzy_candidates(docs, ids).collect()
+    assert all(r.candidate_score == 1.0 and r.candidate_standard_id == f"IRC:{int(r.source_path) * 7919 % 100003:06d}" for r in got) and len(got) == 30
+    assert time.time() - began < 90
+    assert corpus.fuzzy_candidates(docs, ids.limit(0)).where("candidate_score is not null").count() == 0
+    assert corpus.fuzzy_candidates(docs.limit(0), ["IRC:1"]).count() == 0
+
+
 def test_fuzzy_identity_query_reads_past_the_first_words(spark, tmp_path):
     from specaudit.plans.queries import QUERIES
 
