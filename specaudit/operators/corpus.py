@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,31 +169,49 @@ def gram_index(known: DataFrame, least: float) -> DataFrame:
     return own.join(common, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("kept")).drop("rank", "n", "kept")
 
 
-#: Characters of known ids up to which their grams are sent to every task.
-SMALL_REGISTRY = 1_000_000
+def fuzzy_candidates(unknown: DataFrame, known_ids: list[str], least: float = 0.78) -> DataFrame:
+    """A likely standard for documents without identity; a suggestion that is never taken for a fact.
 
+    known_ids is the registry's list (tens); :func:`indexed_candidates` takes a table of many.  Gives ``source_path, candidate_standard_id, candidate_score``.
+    """
+    squeezed = {i: re.sub(r"[^A-Z0-9]", "", i.upper()) for i in known_ids}
+
+    def best(hay: str) -> tuple[str | None, float | None]:
+        numbers = {int(x) for x in re.findall(r"SP0*(\d{1,3})", hay)}
+        named = [i for i in known_ids if i.upper() in {f"IRC:SP:{n}" for n in numbers}]
+        if len(named) == 1:
+            return named[0], 0.96
+        top: tuple[float, str | None] = (0.0, None)
+        for i, needle in squeezed.items():
+            if needle in hay:
+                score = 1.0 if needle else 0.0
+            else:
+                score = window_score(needle, hay, least)
+            top = max(top, (score, i), key=lambda x: x[0])
+        return (None, None) if top[0] < least else (top[1], round(top[0], 4))
 
-def fuzzy_candidates(unknown: DataFrame, known_ids: list[str] | DataFrame, least: float = 0.78) -> DataFrame:
-    """A likely standard for documents without identity; a suggestion that is never taken for a fact.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(p, *best(h or "")) for p, h in pdf.itertuples(index=False)], columns=["source_path", "candidate_standard_id", "candidate_score"])
+
+    hay = F.regexp_replace(F.upper(text.repair_ocr(F.concat_ws(" ", "source", F.substring(F.coalesce("cover", F.lit("")), 1, 3000)))), "[^A-Z0-9]", "")
+    return unknown.select("source_path", hay.alias("hay")).mapInPandas(run, "source_path string, candidate_standard_id string, candidate_score double")
+
+
+def indexed_candidates(unknown: DataFrame, known: DataFrame, least: float = 0.78) -> DataFrame:
+    """As :func:`fuzzy_candidates`, for thousands of known ids: each costs something only where a text looks like it.
 
-    known_ids: the ids in order, or a table with ``standard_id`` (its order is that of the ids).  Gives ``source_path, candidate_standard_id, candidate_score``, a row
+    known: ``position, standard_id``, the position being the order at ties.  Gives ``source_path, candidate_standard_id, candidate_score``, a row
     a row of ``unknown``.  One id whose SP number the text names scores 0.96; else the best ratio of an id to a window of the text counts, the first id at ties, if it reaches ``least``.
 
     Places are found by an index of the ids' rarest grams; what they could be part of is a stretch little longer than the id, and only
     stretches with a common subsequence long enough meet the sequence matcher.  So the work grows with places that look like an id, not with documents times ids.  Null texts are empty; repeated ids count once; ids without a letter or digit are never suggested.
     """
-    spark = unknown.sparkSession
-    listed = isinstance(known_ids, list)
-    if listed:
-        ids = spark.createDataFrame([(k, i) for k, i in enumerate(known_ids) if i is not None], "position long, standard_id string")
-    else:
-        ids = known_ids.where("standard_id is not null").select(F.lit(0).cast("long").alias("position"), "standard_id")
+    ids = known.where("standard_id is not null")
     ids = ids.groupBy("standard_id").agg(F.min("position").alias("position")).withColumn("needle", F.regexp_replace(F.upper("standard_id"), "[^A-Z0-9]", ""))
     needles = ids.where("needle <> ''").groupBy("needle").agg(F.min(F.struct("position", "standard_id")).alias("first"))
     index = gram_index(needles, least)
     reach = index.agg(F.max(F.greatest(F.length("needle"), F.lit(3)) + F.col("slack"))).first()[0] or 1
-    if listed and sum(map(len, filter(None, known_ids))) <= SMALL_REGISTRY:
-        index, needles = F.broadcast(index), F.broadcast(needles)
 
     hay = F.regexp_replace(F.upper(text.repair_ocr(F.concat_ws(" ", "source", F.substring(F.coalesce("cover", F.lit("")), 1, 3000)))), "[^A-Z0-9]", "")
     documents = unknown.select("source_path", hay.alias("hay")).withColumn("key", F.sha2("hay", 256))

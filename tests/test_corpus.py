@@ -151,7 +151,9 @@ def test_fuzzy_candidates_are_those_of_every_window_of_every_id(spark, least):
         hays.append(word("MNWK", (0, 9), 0) + "".join(own) + word("MNWK", (0, 9), 0))
     docs = spark.createDataFrame([(str(k), h) for k, h in enumerate(hays)] * 2 + [("none", None)], "source_path string, source string").selectExpr("*", "cast(null as string) as cover", "1 as needle")
     repaired = {r.source_path: r.h for r in docs.select("source_path", text.repair_ocr(F.coalesce("source", F.lit(""))).alias("h")).collect()}
-    got = corpus.fuzzy_candidates(docs, ids, least).collect()
+    listed = spark.createDataFrame(list(enumerate(ids)), "position long, standard_id string")
+    got = corpus.indexed_candidates(docs, listed, least).collect()
+    assert sorted(got, key=str) == sorted(corpus.fuzzy_candidates(docs, ids, least).collect(), key=str)
     assert len(got) == 2 * len(hays) + 1
     for r in got:
         assert (r.candidate_standard_id, r.candidate_score) == plain_candidate(re.sub("[^A-Z0-9]", "", repaired[r.source_path].upper()), ids, least), repaired[r.source_path]
@@ -160,14 +162,14 @@ def test_fuzzy_candidates_are_those_of_every_window_of_every_id(spark, least):
 
 def test_fuzzy_candidates_of_thousands_of_ids(spark):
     """Every text says IRC many times, as every id does; that pair of letters is no entry of the index."""
-    ids = spark.range(4000).selectExpr("concat('IRC:', lpad(cast(id * 7919 % 100003 as string), 6, '0')) as standard_id", "id as noise")
+    ids = spark.range(4000).selectExpr("concat('IRC:', lpad(cast(id * 7919 % 100003 as string), 6, '0')) as standard_id", "id as position", "id as noise")
     docs = spark.range(30).selectExpr("cast(id as string) as source_path", "concat('scan IRC ', lpad(cast(id * 7919 % 100003 as string), 6, '0'), 'x') as source", "repeat('plain words about IRC roads and lanes of 2 and 3 m ', 50) as cover")
     began = time.time()
-    got = corpus.fuzzy_candidates(docs, ids).collect()
+    got = corpus.indexed_candidates(docs, ids).collect()
     assert all(r.candidate_score == 1.0 and r.candidate_standard_id == f"IRC:{int(r.source_path) * 7919 % 100003:06d}" for r in got) and len(got) == 30
     assert time.time() - began < 90
-    assert corpus.fuzzy_candidates(docs, ids.limit(0)).where("candidate_score is not null").count() == 0
-    assert corpus.fuzzy_candidates(docs.limit(0), ["IRC:1"]).count() == 0
+    assert corpus.indexed_candidates(docs, ids.limit(0)).where("candidate_score is not null").count() == 0
+    assert corpus.indexed_candidates(docs.limit(0), ids).count() == 0
 
 
 def test_fuzzy_identity_query_reads_past_the_first_words(spark, tmp_path):
