@@ -131,10 +131,14 @@ def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, most
     nearest place is farther than the farthest place of another holds no answer, so a point far from a town meets the town's edge and not its streets.  A point is
     settled when its best segment is nearer than anything beyond the ring can be.  Points without a place, and all points where no way has a
     geometry, get nulls.
+
+    A place is searched once, however many points stand there, and a segment goes once, under its least ``way_id``; so the search grows with
+    places and segments that differ, and the points are joined with their places' answers at the end.
     """
     c = F.col
     two = F.transform(geo.segments(c("geometry")), lambda s: F.array(s["a"], s["b"]))
     parts = ways.select("way_id", F.explode(F.when(F.size("geometry") >= 2, two).otherwise(F.array("geometry"))).alias("pts")).where("get(pts, 0).lat is not null and get(pts, 0).lon is not null")
+    parts = parts.groupBy("pts").agg(F.min("way_id").alias("way_id"))
     for axis in ("lat", "lon"):
         of = c(f"pts.{axis}")
         parts = parts.withColumn(f"{axis}0", F.array_min(of)).withColumn(f"{axis}1", F.array_max(of))
@@ -142,8 +146,7 @@ def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, most
     parts = cut(parts.withColumn("level", F.when(extent > cell_deg, F.ceil(F.log2(extent / cell_deg)).cast("int")).otherwise(0)))
     levels = sorted(r[0] for r in parts.select("level").distinct().collect())  # a degree of cells doubles fifteen times to the globe
     cell = lambda x, level: F.floor(x / (F.lit(cell_deg) * F.pow(F.lit(2.0), level))).cast("long")
-    ids = points.select("point_id").distinct()
-    open_ = points.select("point_id", "lat", "lon").where("lat is not null and lon is not null")
+    open_ = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()
     open_ = open_.withColumn("b", F.lit(None).cast(f"struct<metres: double, way_id: {ways.schema['way_id'].dataType.simpleString()}>"))
     # rings narrower than the shortest segments' cells would look at the same cells
     found, ring, first = None, min(levels, default=0), True
@@ -152,23 +155,23 @@ def nearest_way(points: DataFrame, ways: DataFrame, cell_deg: float = 0.01, most
         last = reach >= 360
         # the cells of coarser levels were looked at in the first ring
         own = levels if first else [k for k in levels if k <= ring]
-        best = _in_ring(open_.drop("b"), parts if first else parts.where(c("level") <= ring), own, ring, cell).select("point_id", F.struct("metres", "way_id").alias("n"))
-        nearer = cut(open_.join(best, "point_id", "left").withColumn("b", F.array_min(F.filter(F.array("b", "n"), lambda x: x.isNotNull()))).drop("n"))
+        best = _in_ring(open_.drop("b"), parts if first else parts.where(c("level") <= ring), own, ring, cell).select("lat", "lon", F.struct("metres", "way_id").alias("n"))
+        nearer = cut(open_.join(best, ["lat", "lon"], "left").withColumn("b", F.array_min(F.filter(F.array("b", "n"), lambda x: x.isNotNull()))).drop("n"))
         # anything that no probed cell holds differs by the ring's width in latitude or in longitude
         within = _beyond(c("lat"), F.lit(reach))
         done = F.coalesce((c("b.metres") <= within) | (within > (math.inf if most_m is None else most_m)), F.lit(False)) | F.lit(last)
-        new = nearer.where(done & c("b").isNotNull()).select("point_id", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
+        new = nearer.where(done & c("b").isNotNull()).select("lat", "lon", "b")
         found = new if found is None else found.unionByName(new)
         open_ = nearer.where(~done)
         if last or not open_.limit(1).count():
             break
         ring, first = ring + 2, False
     if found is None:
-        return ids.select("point_id", F.lit(None).cast(ways.schema["way_id"].dataType).alias("way_id"), F.lit(None).cast("double").alias("metres"))
+        return points.select("point_id").distinct().select("point_id", F.lit(None).cast(ways.schema["way_id"].dataType).alias("way_id"), F.lit(None).cast("double").alias("metres"))
     if most_m is not None:
-        found = found.where(c("metres") <= most_m)
-    one = found.groupBy("point_id").agg(F.min(F.struct("metres", "way_id")).alias("b")).select("point_id", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
-    return ids.join(one, "point_id", "left")
+        found = found.where(c("b.metres") <= most_m)
+    one = points.select("point_id", "lat", "lon").join(found, ["lat", "lon"], "left").groupBy("point_id").agg(F.min("b").alias("b"))
+    return one.select("point_id", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
 
 
 def _beyond(lat: Column, degrees: Column) -> Column:
@@ -177,7 +180,7 @@ def _beyond(lat: Column, degrees: Column) -> Column:
 
 
 def _in_ring(open_: DataFrame, parts: DataFrame, levels: list[int], ring: int, cell: Callable[[Column, Column], Column]) -> DataFrame:
-    """``point_id, way_id, metres``: each point's best segment among those of the nine cells around it at the ring's level and at each coarser level that has segments."""
+    """``lat, lon, way_id, metres``: each place's best segment among those of the nine cells around it at the ring's level and at each coarser level that has segments."""
     c = F.col
     # boxes are three levels finer than the ring, where the segments allow it
     fine = F.greatest(c("level"), F.lit(ring - 3))
@@ -188,17 +191,17 @@ def _in_ring(open_: DataFrame, parts: DataFrame, levels: list[int], ring: int, c
     posted = boxes.withColumn("g", grid).withColumn("y", F.explode(span("lat"))).withColumn("x", F.explode(span("lon")))
     around = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
     probes = open_.withColumn("g", F.explode(F.array(*map(F.lit, sorted({max(k, ring) for k in levels}))))).withColumn("d", around)
-    probes = probes.select("point_id", "lat", "lon", "g", (cell(c("lat"), c("g")) + c("d.y")).alias("y"), (cell(c("lon"), c("g")) + c("d.x")).alias("x"))
+    probes = probes.select("lat", "lon", "g", (cell(c("lat"), c("g")) + c("d.y")).alias("y"), (cell(c("lon"), c("g")) + c("d.x")).alias("x"))
     apart = lambda axis: F.greatest(F.lit(0.0), c(f"{axis}0") - c(axis), c(axis) - c(f"{axis}1"))
     across = lambda axis: F.greatest(F.abs(c(f"{axis}0") - c(axis)), F.abs(c(f"{axis}1") - c(axis)))
     metre = math.radians(1.0) * geo.EARTH_M
     nearest = F.greatest(apart("lat") * metre, _beyond(c("lat"), apart("lon")))
-    met = probes.join(posted, ["g", "y", "x"]).select("point_id", "lat", "lon", "box", nearest.alias("near"), ((across("lat") + across("lon")) * metre).alias("far")).distinct()
-    sure = met.groupBy("point_id").agg(F.min("far").alias("sure"))
-    kept = met.join(sure, "point_id").where("near <= sure + 0.001").select("point_id", "lat", "lon", "box")
+    met = probes.join(posted, ["g", "y", "x"]).select("lat", "lon", "box", nearest.alias("near"), ((across("lat") + across("lon")) * metre).alias("far")).distinct()
+    sure = met.groupBy("lat", "lon").agg(F.min("far").alias("sure"))
+    kept = met.join(sure, ["lat", "lon"]).where("near <= sure + 0.001").select("lat", "lon", "box")
     pairs = kept.join(boxed.select("box", "way_id", "pts"), "box")
     metres = F.round(geo.polyline_distance_m(c("lat"), c("lon"), c("pts")), 6)
-    return pairs.groupBy("point_id").agg(F.min(F.struct(metres.alias("metres"), "way_id")).alias("b")).select("point_id", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
+    return pairs.groupBy("lat", "lon").agg(F.min(F.struct(metres.alias("metres"), "way_id")).alias("b")).select("lat", "lon", c("b.way_id").alias("way_id"), c("b.metres").alias("metres"))
 
 
 def classify_route(points: DataFrame, ways: DataFrame) -> DataFrame:

@@ -201,3 +201,14 @@ def test_routes_resolve_from_map_features(spark):
     assert r.osm_maxspeed_values_kmph == [80.0, 80.5] and got["lost"].road_class is None and got["lost"].terrain == "unknown"
     bare = features.withColumn("geometry", F.array().cast("array<struct<lat:double,lon:double>>"))
     assert {x.route_id: x.road_class for x in context.resolve_routes(pts, bare).collect()}["r"] == "National Highway"
+
+
+def test_nearest_way_searches_a_place_and_a_shape_once(spark, monkeypatch):
+    points = spark.range(3000).select(F.col("id").alias("point_id"), (17 + F.col("id") % 5 * 0.01).alias("lat"), F.lit(78.0).alias("lon"))
+    at = lambda x: F.struct((17 + F.col("id") % 3 * 0.01).alias("lat"), x.alias("lon"))
+    ways = spark.range(900).select((900 - F.col("id")).alias("way_id"), F.array(at(F.lit(78.001)), at(F.lit(78.5))).alias("geometry"))
+    met, plain = [], context._in_ring
+    monkeypatch.setattr(context, "_in_ring", lambda open_, parts, *rest: met.append((open_.count(), parts.count())) or plain(open_, parts, *rest))
+    got = context.nearest_way(points, ways).groupBy("point_id").agg(F.count("metres").alias("n"), F.min("way_id").alias("w"), F.min("metres").alias("m")).collect()
+    assert len(got) == 3000 and {r.n for r in got} == {1} and {(r.point_id % 5, r.w) for r in got} == {(0, 3), (1, 2), (2, 1), (3, 1), (4, 1)}
+    assert max(p for p, _ in met) <= 5 and max(w for _, w in met) <= 3
