@@ -209,17 +209,29 @@ def classify_route(points: DataFrame, ways: DataFrame) -> DataFrame:
 
     points: ``route_id, pos, lat, lon`` (sampled: a dozen a route); ways: ``route_id, way_id, road_class, confidence, geometry, oneway``.
     Gives ``route_id, road_class, way_id, quality, confidence``.
+
+    A route's points stay one array, which meets each of its ways once, so a way's distances are an array too; a way stands in a route once.  Both
+    sides are joined as sorted partitions of routes: Spark guesses exploded points too low and would send them through the driver.
     """
-    near = points.join(ways, "route_id").withColumn("d", geo.polyline_distance_m(F.col("lat"), F.col("lon"), F.col("geometry")))
-    by_point = near.groupBy("route_id", "road_class", "pos").agg(F.min("d").alias("d"))
-    share = by_point.groupBy("route_id", "road_class").agg(F.avg((F.col("d") <= 35.0).cast("int")).alias("coverage"), geo.upper_median("d").alias("mid"))
-    ends = points.groupBy("route_id").agg(F.min(F.struct("pos", "lat", "lon")).alias("a"), F.max(F.struct("pos", "lat", "lon")).alias("z"))
-    ends = ends.select("route_id", F.when(F.col("a.pos") < F.col("z.pos"), geo.bearing(F.col("a.lat"), F.col("a.lon"), F.col("z.lat"), F.col("z.lon"))).alias("heading"))
-    aligned = ways.join(ends, "route_id").withColumn("fit", F.when(F.size("geometry") >= 2, F.greatest(F.lit(0.0), 1.0 - geo.undirected_difference(travel_bearing(F.col("geometry"), F.col("oneway")), F.col("heading")) / 90.0)))
-    fits = aligned.groupBy("route_id", "road_class").agg(F.coalesce(F.max("fit"), F.lit(0.5)).alias("alignment"), F.max("confidence").alias("prior"))
-    middle = near.groupBy("route_id", "road_class", "way_id", "confidence").agg(F.expr("median(d)").alias("m")).groupBy("route_id", "road_class").agg(F.min(F.struct("m", "way_id", "confidence")).alias("w"))
-    quality = 0.65 * F.col("coverage") + 0.25 * F.greatest(F.lit(0.0), 1.0 - F.col("mid") / 60.0) + 0.10 * F.col("alignment")
-    scored = share.join(fits, ["route_id", "road_class"]).join(middle, ["route_id", "road_class"]).withColumn("quality", quality)
+    c = F.col
+    routes = points.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))).alias("at"))
+    a, z = F.get("at", F.lit(0)), F.get("at", F.size("at") - 1)
+    routes = routes.select("route_id", "at", F.when(a["pos"] < z["pos"], geo.bearing(a["lat"], a["lon"], z["lat"], z["lon"])).alias("heading"))
+    near = ways.hint("merge").join(routes.hint("merge"), "route_id")
+    near = near.withColumn("ds", F.transform("at", lambda p: geo.polyline_distance_m(p["lat"], p["lon"], c("geometry"))))
+    near = near.withColumn("fit", F.when(F.size("geometry") >= 2, F.greatest(F.lit(0.0), 1.0 - geo.undirected_difference(travel_bearing(c("geometry"), c("oneway")), c("heading")) / 90.0)))
+    inner = lambda ds: F.array_sort(F.filter(ds, lambda d: d.isNotNull()))
+    near = near.select("route_id", "road_class", "way_id", "confidence", "fit", "ds", inner(c("ds")).alias("own"))
+    n = F.size("own")
+    middle = F.when(n % 2 == 1, F.get("own", F.floor(n / 2).cast("int"))).otherwise(0.5 * F.get("own", F.floor(n / 2).cast("int") - 1) + 0.5 * F.get("own", F.floor(n / 2).cast("int")))
+    by_class = near.groupBy("route_id", "road_class").agg(F.collect_list("ds").alias("all"), F.coalesce(F.max("fit"), F.lit(0.5)).alias("alignment"), F.max("confidence").alias("prior"), F.min(F.struct(middle.alias("m"), "way_id", "confidence")).alias("w"))
+    # each point's nearest way of the class
+    nearest = F.transform(F.get("all", F.lit(0)), lambda _, k: F.array_min(F.transform("all", lambda ds: F.get(ds, k))))
+    scored = by_class.select("route_id", "road_class", "alignment", "prior", "w", inner(nearest).alias("ds"))
+    coverage = F.size(F.filter("ds", lambda d: d <= 35.0)) / F.nullif(F.size("ds"), F.lit(0))
+    mid = F.get("ds", F.floor(F.size("ds") / 2).cast("int"))
+    quality = 0.65 * coverage + 0.25 * F.greatest(F.lit(0.0), 1.0 - mid / 60.0) + 0.10 * c("alignment")
+    scored = scored.withColumn("quality", quality)
     best = scored.groupBy("route_id").agg(F.max(F.struct((F.col("quality") * (0.85 + 0.15 * F.col("prior"))).alias("s"), "road_class", "w", "quality")).alias("b"))
     return best.select("route_id", F.col("b.road_class").alias("road_class"), F.col("b.w.way_id").alias("way_id"), F.col("b.quality").alias("quality"), F.bround(F.least(F.lit(0.95), F.col("b.w.confidence") * (0.55 + 0.45 * F.col("b.quality"))), 3).alias("confidence"))
 

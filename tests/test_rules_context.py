@@ -212,3 +212,14 @@ def test_nearest_way_searches_a_place_and_a_shape_once(spark, monkeypatch):
     got = context.nearest_way(points, ways).groupBy("point_id").agg(F.count("metres").alias("n"), F.min("way_id").alias("w"), F.min("metres").alias("m")).collect()
     assert len(got) == 3000 and {r.n for r in got} == {1} and {(r.point_id % 5, r.w) for r in got} == {(0, 3), (1, 2), (2, 1), (3, 1), (4, 1)}
     assert max(p for p, _ in met) <= 5 and max(w for _, w in met) <= 3
+
+
+def test_classified_routes_are_not_sent_through_the_driver(spark):
+    n = F.col("route_id")
+    routes = spark.range(40).select(F.col("id").alias("route_id"))
+    points = routes.select("route_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pos")).select("route_id", "pos", (17 + F.col("pos") * 0.001).alias("lat"), F.lit(78.0).alias("lon"))
+    at = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
+    ways = routes.select("route_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("way_id")).select("route_id", "way_id", F.concat(F.lit("class "), (F.col("way_id") % 2).cast("string")).alias("road_class"), F.lit(0.9).alias("confidence"), F.array(at(F.lit(17.0), 78 + F.col("way_id") * 0.0001), at(F.lit(17.006), 78 + F.col("way_id") * 0.0001)).alias("geometry"), F.lit(None).cast("string").alias("oneway"))
+    out = context.classify_route(points, ways)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.road_class, r.way_id) for r in out.collect()} == {("class 0", 0)} and out.where(n.isNotNull()).count() == 40
