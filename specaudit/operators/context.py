@@ -238,7 +238,8 @@ def classify_route(points: DataFrame, ways: DataFrame) -> DataFrame:
 
 def vote_class(ways: DataFrame) -> DataFrame:
     """Class by summed confidence where no geometry is known."""
-    sums = ways.groupBy("route_id", "road_class").agg(F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("n"), F.max("confidence").alias("top"))
+    # sums of fractions differ in their last digits by the order of rows; equal ones must tie
+    sums = ways.groupBy("route_id", "road_class").agg(F.round(F.sum("confidence"), 6).alias("s"), F.count(F.lit(1)).alias("n"), F.max("confidence").alias("top"))
     total = F.sum("n").over(Window.partitionBy("route_id"))
     best = sums.withColumn("share", F.col("n") / total).groupBy("route_id").agg(F.max(F.struct("s", "road_class", "share", "top")).alias("b"))
     return best.select("route_id", F.col("b.road_class").alias("road_class"), F.bround(F.least(F.lit(0.90), F.col("b.top") * (0.60 + 0.30 * F.col("b.share"))), 3).alias("confidence"))

@@ -223,3 +223,12 @@ def test_classified_routes_are_not_sent_through_the_driver(spark):
     out = context.classify_route(points, ways)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.road_class, r.way_id) for r in out.collect()} == {("class 0", 0)} and out.where(n.isNotNull()).count() == 40
+
+
+def test_votes_of_equal_sums_tie_in_any_order(spark):
+    def vote(rows):
+        return [(r.route_id, r.road_class) for r in context.vote_class(spark.createDataFrame(rows, "route_id int, road_class string, confidence double").coalesce(1)).collect()]
+
+    # 45 times 0.92 is 46 times 0.90
+    assert vote([(1, "National Highway", 0.92)] * 45 + [(1, "State Highway", 0.90)] * 46) == [(1, "State Highway")]
+    assert vote([(1, "State Highway", 0.92)] * 45 + [(1, "National Highway", 0.90)] * 46) == [(1, "State Highway")]
