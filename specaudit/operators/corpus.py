@@ -329,7 +329,9 @@ def merge_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     j = pages.join(o, ["source_path", "page"], "full")
     base = F.lower(text.normalize_text(F.col("text")))
     lines = F.transform(F.split("o_text", "\n"), lambda x: text.normalize_text(x))
-    new = F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= 4) & ~F.contains(base, F.lower(x)) & (x.rlike(text.DIMENSION_LINE) | x.rlike(text.LOCATOR_LINE))))
+    # the page is normalised once, not for each line, and only lines of interest are looked for in it
+    wanted = F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= 4) & (x.rlike(text.DIMENSION_LINE) | x.rlike(text.LOCATOR_LINE))))
+    new = text.let(base, lambda own: F.filter(wanted, lambda x: ~F.contains(own, F.lower(x))))
     longer = F.length("o_text") > F.length("text")
     weak = text.weak_page(F.col("text"))
     # the new lines are worked out once; text and parser follow from them
