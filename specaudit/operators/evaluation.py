@@ -15,14 +15,15 @@ def abstains(status: Column) -> Column:
     return F.coalesce(status.isin(*ABSTAINED), F.lit(False))
 
 
-def passage_matches(g: str, h: str) -> Column:
-    """All locators that a case supplies hold for a hit; a case without locators matches nothing."""
+def passage_matches(g: str, h: str, formed: bool = False) -> Column:
+    """All locators that a case supplies hold for a hit; a case without locators matches nothing.  ``formed``: both sides have their match forms as ``__form``."""
     supplied = F.array(*(F.when(F.col(f"{g}.{c}").isNotNull(), F.lit(c)) for c in ("expected_evidence_id", "expected_content_hash", "expected_quote")))
     some = F.size(F.filter(supplied, lambda x: x.isNotNull())) > 0
     def held(a, b):
         return F.col(f"{g}.{a}").isNull() | F.coalesce(F.col(f"{g}.{a}") == F.col(f"{h}.{b}"), F.lit(False))
 
-    quote = F.col(f"{g}.expected_quote").isNull() | F.coalesce(F.contains(text.match_form(F.col(f"{h}.text")), text.match_form(F.col(f"{g}.expected_quote"))), F.lit(False))
+    said, wanted = (F.col(f"{h}.__form"), F.col(f"{g}.__form")) if formed else (text.match_form(F.col(f"{h}.text")), text.match_form(F.col(f"{g}.expected_quote")))
+    quote = F.col(f"{g}.expected_quote").isNull() | F.coalesce(F.contains(said, wanted), F.lit(False))
     meta = held("expected_edition_year", "edition_year") & held("expected_page", "page") & (F.col(f"{g}.expected_standard_id").isNull() | F.coalesce(F.lower(f"{g}.expected_standard_id") == F.lower(f"{h}.standard_id"), F.lit(False)))
     return some & held("expected_evidence_id", "evidence_id") & held("expected_content_hash", "content_hash") & quote & meta
 
@@ -35,10 +36,12 @@ def first_matches(gold: DataFrame, hits: DataFrame) -> DataFrame:
     """
     own = gold if "request_id" in gold.columns else gold.withColumn("request_id", F.col("case_id"))
     named, hashed = F.col("expected_evidence_id").isNotNull(), F.col("expected_content_hash").isNotNull()
-    h = hits.alias("h")
+    # a text's form is made once and not for each pair
+    own = own.withColumn("__form", text.match_form(F.col("expected_quote")))
+    h = hits.withColumn("__form", text.match_form(F.col("text"))).alias("h")
     same = F.col("g.request_id") == F.col("h.request_id")
     ways = [(named, same & (F.col("g.expected_evidence_id") == F.col("h.evidence_id"))), (~named & hashed, same & (F.col("g.expected_content_hash") == F.col("h.content_hash"))), (~named & ~hashed & F.col("expected_quote").isNotNull(), same)]
-    found = [own.where(which).alias("g").join(h, on).where(passage_matches("g", "h")).select("g.case_id", "h.rank") for which, on in ways]
+    found = [own.where(which).alias("g").join(h, on).where(passage_matches("g", "h", formed=True)).select("g.case_id", "h.rank") for which, on in ways]
     ranks = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("case_id").agg(F.min("rank").alias("first_rank"))
     return gold.select("case_id").join(ranks, "case_id", "left")
 

@@ -43,7 +43,9 @@ def first_matching_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases look for their passage by id, digest or quote among the first forty hits of its standard."""
     c, n = fx.chunks(spark, sf_dir), F.col("corpus_idx")
     name = F.concat(F.lit("E"), n.cast("string"))
-    k = c.withColumn("rank", F.row_number().over(Window.partitionBy("standard_id").orderBy("corpus_idx"))).where("rank <= 40").withColumn("evidence_id", name)
+    # ids are ranked, and only the forty's texts are fetched
+    best = c.select("standard_id", "corpus_idx").withColumn("rank", F.row_number().over(Window.partitionBy("standard_id").orderBy("corpus_idx"))).where("rank <= 40")
+    k = c.join(F.broadcast(best), ["standard_id", "corpus_idx"]).withColumn("evidence_id", name)
     quote = F.concat(F.lit("THE  w beam rail stands at "), (700 + n % 60).cast("string"), F.lit(" +/- "), (5 + n % 30).cast("string"), F.lit(" mm"))
     gold = c.select(
         n.alias("case_id"), F.col("standard_id").alias("request_id"), F.when(n % 5 == 0, name).alias("expected_evidence_id"), F.when(n % 5 == 1, F.col("content_hash")).alias("expected_content_hash"), F.when(n % 5 == 2, quote).alias("expected_quote"),

@@ -249,3 +249,12 @@ def test_w_beam_quote_of_a_long_passage_is_found_in_time(spark):
     start = time.monotonic()
     got = rules.extract_tolerances(h).select("raw_value", "quote").collect()
     assert [r.raw_value for r in got] == [705.0] * 8 and {len(r.quote) for r in got} == {313} and time.monotonic() - start < 30
+
+
+def test_forms_of_hits_are_not_made_for_each_pair(spark):
+    gold = spark.createDataFrame([(1, "r", None, None, "The  RAIL", None, None, None), (2, "r", None, None, "post", None, None, None)], "case_id int, request_id string, expected_evidence_id string, expected_content_hash string, expected_quote string, expected_edition_year int, expected_page int, expected_standard_id string")
+    hits = spark.createDataFrame([("r", 1, "E1", "h", 2000, 1, "s", "no"), ("r", 2, "E2", "i", 2000, 1, "s", "see the\nrail")], "request_id string, rank int, evidence_id string, content_hash string, edition_year int, page int, standard_id string, text string")
+    out = evaluation.first_matches(gold, hits)
+    assert {r.case_id: r.first_rank for r in out.collect()} == {1: 2, 2: None}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+    assert joins and not any("regexp_replace" in x for x in joins)
