@@ -258,29 +258,52 @@ def travel_bearing(geometry: Column, oneway: Column) -> Column:
 def opposite_carriageways(ways: DataFrame, most_m: float = 80.0) -> DataFrame:
     """``way_id, other_id, metres``: nearest one-way way of the same road that runs the other way close by.
 
-    ways: ``way_id, highway, ref, name, oneway, geometry``.  Vertices are posted to grid cells of about ``most_m``, and a vertex meets
-    only those of its road in its own and the eight cells beside it, so a long road costs its length and not its square.  Roads do not cross the antimeridian.
+    ways: ``way_id, highway, ref, name, oneway, geometry``.  Vertices of one place, road and course are one spot, which goes under its least ``way_id`` and is
+    searched once, however many ways have it.  Spots are posted to grid cells and meet only those of their road in their own and the eight cells beside it: of a sixteenth of
+    ``most_m`` first, then of fourfold width for spots that found nothing, so a dense road costs a few neighbours of each spot and not all within ``most_m``.
+    Roads do not cross the antimeridian.
     """
-    squeezed = lambda c: F.lower(F.regexp_replace(F.trim(F.coalesce(F.col(c), F.lit(""))), r"\s+", "" if c == "ref" else " "))
+    c = F.col
+    squeezed = lambda n: F.lower(F.regexp_replace(F.trim(F.coalesce(c(n), F.lit(""))), r"\s+", "" if n == "ref" else " "))
     road = F.when(squeezed("ref") != "", F.concat(F.lit("r:"), squeezed("ref"))).when(squeezed("name") != "", F.concat(F.lit("n:"), squeezed("name")))
-    one = ways.where(is_oneway(F.col("oneway")) & (F.size("geometry") >= 2)).select("way_id", F.coalesce("highway", F.lit("")).alias("highway"), road.alias("road"), travel_bearing(F.col("geometry"), F.col("oneway")).alias("b"), F.explode("geometry").alias("p")).where("road is not null")
+    one = ways.where(is_oneway(c("oneway")) & (F.size("geometry") >= 2)).select("way_id", F.coalesce("highway", F.lit("")).alias("highway"), road.alias("road"), travel_bearing(c("geometry"), c("oneway")).alias("b"), "geometry").where("road is not null and b is not null")
+    # a way never meets its own course; one that is given with several courses keeps spots of its own, so that it isn't its own partner
+    same = Window.partitionBy("way_id")
+    own = F.when(F.min("b").over(same) < F.max("b").over(same), F.concat(F.lit("w:"), c("way_id").cast("string"))).otherwise("")
+    key = ["highway", "road", "own", "b", "lat", "lon"]
+    vertices = cut(one.withColumn("own", own)).select("way_id", "highway", "road", "own", "b", F.explode("geometry").alias("p")).select("way_id", "highway", "road", "own", "b", c("p.lat").alias("lat"), c("p.lon").alias("lon"))
+    spots = cut(vertices.where("lat is not null and lon is not null").groupBy(key).agg(F.min("way_id").alias("other_id")))
+    open_, found, reach = spots.select(key), None, most_m / 16
+    while True:
+        # nothing beyond the cells is as near as what is within reach
+        searched = cut(open_.join(_opposite_within(open_, spots, key, reach), key, "left"))
+        new = searched.where("n is not null")
+        found, open_ = new if found is None else found.unionByName(new), searched.where("n is null").select(key)
+        if reach >= most_m or not open_.limit(1).count():
+            break
+        reach = min(most_m, 4 * reach)
+    best = vertices.join(found, key).groupBy("way_id").agg(F.min("n").alias("n"))
+    return best.select("way_id", c("n.other_id").alias("other_id"), c("n.metres").alias("metres"))
+
+
+def _opposite_within(open_: DataFrame, spots: DataFrame, key: list[str], reach: float) -> DataFrame:
+    """``key, n``: the nearest spot (``metres, other_id``) of the same road that runs the other way, within ``reach`` metres."""
+    c = F.col
     # cells are as wide as the distance on the ground at the vertex's own latitude, and a little more
-    step = math.degrees(most_m / geo.EARTH_M) * 1.01
-    row = F.floor(F.col("p.lat") / step)
-    spots = one.withColumn("y", row.cast("long")).withColumn("p_lat", F.col("p.lat")).withColumn("p_lon", F.col("p.lon")).drop("p")
+    step = math.degrees(max(reach, 0.001) / geo.EARTH_M) * 1.01
+    row = F.floor(c("lat") / step).cast("long")
 
     def column_at(y: Column) -> Column:
         # one width for a whole row of cells: the widest in it, at its edge away from the equator
         edge = F.greatest(F.abs(y * step), F.abs((y + 1) * step))
-        return F.floor(F.col("p_lon") / (step / F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.01)))).cast("long")
-
-    near = F.array(*(F.struct((F.col("y") + dy).alias("y"), (column_at(F.col("y") + dy) + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    left = spots.withColumn("cell", F.explode(near))
-    right = spots.select("highway", "road", F.struct("y", column_at(F.col("y")).alias("x")).alias("cell"), F.col("way_id").alias("other_id"), F.col("b").alias("b2"), F.col("p_lat").alias("q_lat"), F.col("p_lon").alias("q_lon"))
-    pairs = left.join(right, ["highway", "road", "cell"]).where((F.col("way_id") != F.col("other_id")) & (geo.heading_difference(F.col("b2"), F.col("b")) >= 120.0))
-    metres = F.round(geo.distance_m(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon")), 6)
-    found = pairs.withColumn("metres", metres).where(F.col("metres") <= most_m)
-    return found.groupBy("way_id").agg(F.min(F.struct("metres", "other_id")).alias("b")).select("way_id", F.col("b.other_id").alias("other_id"), F.col("b.metres").alias("metres"))
+        return F.floor(c("lon") / (step / F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.01)))).cast("long")
+
+    near = F.array(*(F.struct((c("y") + dy).alias("y"), (column_at(c("y") + dy) + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    left = open_.withColumn("y", row).withColumn("cell", F.explode(near)).drop("y")
+    right = spots.withColumn("y", row).select("highway", "road", F.struct("y", column_at(c("y")).alias("x")).alias("cell"), "other_id", c("own").alias("own2"), c("b").alias("b2"), c("lat").alias("q_lat"), c("lon").alias("q_lon"))
+    pairs = left.join(right, ["highway", "road", "cell"]).where((F.abs(c("lat") - c("q_lat")) <= step) & (geo.heading_difference(c("b2"), c("b")) >= 120.0) & ((c("own") == "") | (c("own") != c("own2"))))
+    metres = F.round(geo.distance_m(c("lat"), c("lon"), c("q_lat"), c("q_lon")), 6)
+    return pairs.withColumn("metres", metres).where(c("metres") <= reach).groupBy(key).agg(F.min(F.struct("metres", "other_id")).alias("n"))
 
 
 def lane_context(ways: DataFrame, pairs: DataFrame) -> DataFrame:

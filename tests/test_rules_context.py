@@ -258,3 +258,16 @@ def test_forms_of_hits_are_not_made_for_each_pair(spark):
     assert {r.case_id: r.first_rank for r in out.collect()} == {1: 2, 2: None}
     joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
     assert joins and not any("regexp_replace" in x for x in joins)
+
+
+def test_opposite_carriageways_search_a_spot_once_and_near_ones_first(spark, monkeypatch):
+    seen, within = [], context._opposite_within
+    monkeypatch.setattr(context, "_opposite_within", lambda open_, spots, key, reach: seen.append((open_.count(), spots.count(), reach)) or within(open_, spots, key, reach))
+    up, down = [(17.0, 78.0), (17.01, 78.0)], [(17.01, 78.0), (17.0, 78.0)]
+    rows = [(k, "trunk", "NH 65", None, "yes", down if k % 2 else up) for k in range(2000)]
+    # one partner farther off, and a way given twice with both courses, which is not its own partner
+    rows += [(5000, "trunk", "SH1", None, "yes", up), (5001, "trunk", "SH1", None, "yes", [(17.01, 78.0005), (17.0, 78.0005)]), (6000, "trunk", "SH2", None, "yes", up), (6000, "trunk", "SH2", None, "yes", down), (6001, "trunk", "SH2", None, "yes", [(17.0, 78.0006), (17.01, 78.0006)])]
+    ways = spark.createDataFrame(rows, "way_id int, highway string, ref string, name string, oneway string, geometry array<struct<lat:double,lon:double>>")
+    got = {r.way_id: (r.other_id, round(r.metres)) for r in context.opposite_carriageways(ways).collect()}
+    assert got == {k: (1 - k % 2, 0) for k in range(2000)} | {5000: (5001, 53), 5001: (5000, 53), 6000: (6001, 64), 6001: (6000, 64)}
+    assert [(n, m) for n, m, _ in seen] == [(14, 14), (10, 14), (10, 14)] and [r for *_, r in seen] == [5.0, 20.0, 80.0]
