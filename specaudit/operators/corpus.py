@@ -78,26 +78,38 @@ def strict_identity(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__x", best).select(*documents.columns, F.col("__x.standard_id").alias("standard_id"), F.col("__x.edition_year").alias("edition_year"))
 
 
-def window_score(needle: str, hay: str, least: float, whole: int | None = None) -> float:
+#: Widths of windows differ by so much at most.
+SPREAD = 4
+
+
+def window_score(needle: str, hay: str, least: float, whole: int | None = None, sums: dict[str, np.ndarray] | None = None) -> float:
     """Best ratio of ``needle`` to a window of ``hay`` about as wide; 0 where none reaches ``least``.
 
-    ``whole`` is the length of the text that ``hay`` is a stretch of.
-    A window's shared characters bound its ratio, so only windows whose bound reaches ``least`` are matched.
+    ``whole`` is the length of the text that ``hay`` is a stretch of; ``sums`` keeps what is counted in ``hay`` from needle to needle.
+    A window's shared characters bound its ratio, so only windows whose bound reaches ``least`` are matched.  A window shares no more than the
+    widest from the same place does, so the other widths are looked at only where the widest may reach it.
     """
     most = sum(min(needle.count(c), hay.count(c)) for c in set(needle))
     # no window shares more characters than the whole does, which rules out most widths before any window is looked at
     widths = [w for w in sorted({min(w, len(hay) if whole is None else whole) for w in range(max(3, len(needle) - 2), len(needle) + 3)}) if w <= len(hay) and 2.0 * most + 1e-9 >= least * (len(needle) + w)]
     windows: dict[str, float] = {}
     if widths:
-        codes = np.frombuffer(hay.encode("utf-32-le"), "<u4")
-        sums = {c: np.concatenate([[0], np.cumsum(codes == ord(c))]) for c in set(needle)}
-    for wide in widths:
-        shared = np.zeros(len(hay) - wide + 1, np.int64)
-        for c, own in sums.items():
-            shared += np.minimum(own[wide:] - own[: len(own) - wide], needle.count(c))
-        bound = 2.0 * shared / (len(needle) + wide)
-        for k in np.flatnonzero(bound >= least).tolist():
-            windows[hay[k : k + wide]] = float(bound[k])
+        sums = {} if sums is None else sums
+        if fresh := set(needle) - sums.keys():
+            codes = np.frombuffer(hay.encode("utf-32-le"), "<u4")
+            for c in fresh:
+                sums[c] = np.zeros(len(hay) + 1 + SPREAD, np.int32)
+                np.cumsum(codes == ord(c), out=sums[c][1 : len(hay) + 1])
+                sums[c][len(hay) + 1 :] = sums[c][len(hay)]  # windows that would reach past the end
+        counted = [(sums[c], needle.count(c)) for c in set(needle)]
+        starts, wide = len(hay) - widths[0] + 1, widths[-1]
+        shared = sum((np.minimum(own[wide : wide + starts] - own[:starts], n) for own, n in counted), np.zeros(starts, np.int32))
+        places = np.flatnonzero(2.0 * shared + 1e-9 >= least * (len(needle) + widths[0]))
+        for wide in widths if len(places) else ():
+            at = places[places <= len(hay) - wide]
+            bound = 2.0 * sum((np.minimum(own[at + wide] - own[at], n) for own, n in counted), np.zeros(len(at), np.int32)) / (len(needle) + wide)
+            good = bound >= least
+            windows.update((hay[k : k + wide], b) for k, b in zip(at[good].tolist(), bound[good].tolist(), strict=True))
     matcher = difflib.SequenceMatcher(None, needle, "")
     score = 0.0
     for window, bound in sorted(windows.items(), key=lambda x: -x[1]):
@@ -182,12 +194,16 @@ def fuzzy_candidates(unknown: DataFrame, known_ids: list[str], least: float = 0.
         if len(named) == 1:
             return named[0], 0.96
         top: tuple[float, str | None] = (0.0, None)
+        sums: dict[str, np.ndarray] = {}
         for i, needle in squeezed.items():
             if needle in hay:
                 score = 1.0 if needle else 0.0
             else:
-                score = window_score(needle, hay, least)
+                # an id that only ties with an earlier one isn't taken, so none below the best so far is matched
+                score = window_score(needle, hay, max(least, top[0]), sums=sums)
             top = max(top, (score, i), key=lambda x: x[0])
+            if top[0] >= 1.0:
+                break
         return (None, None) if top[0] < least else (top[1], round(top[0], 4))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
