@@ -1,12 +1,13 @@
 """A stored approximate index of unit vectors: coarse cells, product codes, exact scores at the end.
 
 A quantiser is fitted on a bounded sample: ``cells`` centroids, and for the residual of a vector from its centroid a book of up to 256
-codewords for each of its ``parts``.  Every vector is stored in its cell's bucket with its code, a byte a part.
+codewords for each of its ``parts``.  Every vector is stored in its cell's bucket with its code, a byte a part; cells share at most 64 buckets,
+so that an index of a thousand cells isn't thousands of small files.
 
 How many cells a search must read depends on the data, so it is measured when the quantiser is fitted: few where vectors stand in
 clusters, most of them where directions are random.
 
-A search ranks the centroids of its queries, reads the codes of the ``probes`` best cells (a partition filter, and no vectors), adds up
+A search ranks the centroids of its queries, reads the codes of the ``probes`` best cells (a partition filter on their buckets, and no vectors), adds up
 looked-up products to an approximate score, keeps a shortlist of each query on each task and then of all, joins it with the vectors of
 the same cells and scores those exactly.  All cells and no shortlist is :func:`specaudit.operators.retrieval.dense`.
 """
@@ -19,13 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specaudit.operators import retrieval
 from specaudit.operators.inverted import without_gone
 from specaudit.operators.retrieval import HITS, QUERY_BLOCK, keep_best
-from specaudit.sources.versions import Change, Snapshot, Store
+from specaudit.sources.versions import BUCKETS, Change, Snapshot, Store
 
 #: Rows (those of the least hashes) that a quantiser is fitted on, and rows of the sample for each cell at least.
 SAMPLE, PER_CELL = 40_000, 30
@@ -116,7 +117,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def create(change: Change, vectors: DataFrame, id_col: str = "corpus_idx", cells: int | None = None) -> None:
     """Fit a quantiser and store every vector.  All vectors have one length."""
     own = _unit_rows(vectors, id_col)
-    sample = [r[0] for r in own.orderBy(F.xxhash64("corpus_idx")).select("embedding").limit(SAMPLE).collect()]
+    # rows that can't be among the least hashes stay on their tasks
+    n, least = own.count(), F.xxhash64("corpus_idx")
+    few = own.where(least < int(-(2**63) + 2**64 * 1.2 * SAMPLE / n)) if n > 2 * SAMPLE else own
+    sample = [r[0] for r in few.orderBy(least).select("embedding").limit(SAMPLE).collect()]
+    if len(sample) < min(n, SAMPLE):
+        sample = [r[0] for r in own.orderBy(least).select("embedding").limit(SAMPLE).collect()]
     if not sample:
         return
     cells = cells or max(1, min(MOST_CELLS, len(sample) // PER_CELL))
@@ -132,15 +138,21 @@ def add(change: Change, vectors: DataFrame, id_col: str = "corpus_idx", fitted:
     fitted = fitted or quantiser(change.store, change.base)
     sent = vectors.sparkSession.sparkContext.broadcast(fitted)  # at most a thousand centroids and 256 words a part
     length, born = fitted.centroids.shape[1], change.number
+    buckets = change.buckets("vectors", min(BUCKETS, len(fitted.centroids)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cell, codes = sent.value.encode(_matrix(batch.column("embedding")))
-                yield pa.RecordBatch.from_arrays([batch.column("corpus_idx"), batch.column("embedding"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([born] * len(cell), pa.int64())], names=["corpus_idx", "embedding", "bucket", "code", "born"])
+                yield pa.RecordBatch.from_arrays([batch.column("corpus_idx"), batch.column("embedding"), pa.array(cell % buckets, pa.int32()), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([born] * len(cell), pa.int64())], names=["corpus_idx", "embedding", "bucket", "cell", "code", "born"])
 
-    rows = _unit_rows(vectors, id_col).where(F.size("embedding") == length).mapInArrow(code, "corpus_idx long, embedding array<double>, bucket int, code binary, born long")
-    change.append("vectors", rows, None, len(fitted.centroids))
+    rows = _unit_rows(vectors, id_col).where(F.size("embedding") == length).mapInArrow(code, "corpus_idx long, embedding array<double>, bucket int, cell int, code binary, born long")
+    change.append("vectors", rows, None, buckets)
+
+
+def _cell(table: DataFrame) -> Column:
+    """A stored vector's cell; indexes that were written before cells shared buckets have a bucket a cell."""
+    return F.coalesce("cell", "bucket") if "cell" in table.columns else F.col("bucket")
 
 
 def quantiser(store: Store, at: Snapshot) -> Quantiser:
@@ -166,10 +178,14 @@ def search(store: Store, queries: DataFrame, k: int, probes: int | None = None,
         cells = sorted(set(nearest.ravel().tolist()))
         asked = {c: np.flatnonzero((nearest == c).any(1)) for c in cells}
         sent = spark.sparkContext.broadcast((fitted, q, asked))
-        table = without_gone(store, at, store.read("vectors", at, cells))
-        near = retrieval.top(table.select("corpus_idx", "bucket", "code").mapInArrow(_approximate(sent, shortlist * k), "query int, corpus_idx long, bucket int, score double"), ["query"], "score", shortlist * k)
+        buckets = at.tables["vectors"]["buckets"]
+        table = without_gone(store, at, store.read("vectors", at, sorted({c % buckets for c in cells})))
+        table = table.withColumn("cell", _cell(table))
+        if len(cells) < len(fitted.centroids):
+            table = table.where(F.col("cell").isin(*cells))
+        near = retrieval.top(table.select("corpus_idx", "cell", "code").mapInArrow(_approximate(sent, shortlist * k), "query int, corpus_idx long, cell int, score double"), ["query"], "score", shortlist * k)
         named = spark.createDataFrame([(j, r["request_id"], r["query_idx"]) for j, r in enumerate(rows)], "query int, request_id string, query_idx int")
-        exact = near.select("query", "bucket", "corpus_idx").join(table.select("bucket", "corpus_idx", "embedding"), ["bucket", "corpus_idx"]).mapInArrow(_exact(sent), "query int, corpus_idx long, score double")
+        exact = near.select("query", "cell", "corpus_idx").join(table.select("cell", "corpus_idx", "embedding"), ["cell", "corpus_idx"]).mapInArrow(_exact(sent), "query int, corpus_idx long, score double")
         out = out.unionByName(exact.join(F.broadcast(named), "query").select("request_id", "query_idx", "corpus_idx", "score"))
     return retrieval.top(out, ["request_id", "query_idx"], "score", k)
 
@@ -183,10 +199,10 @@ def _approximate(sent, keep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         cell_of: dict[int, int] = {}
         for batch in batches:
-            bucket, ids = batch.column("bucket").to_numpy(), batch.column("corpus_idx").to_numpy()
+            cell, ids = batch.column("cell").to_numpy(), batch.column("corpus_idx").to_numpy()
             codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            for c in np.unique(bucket).tolist():
-                mine, who = np.flatnonzero(bucket == c), asked[c]
+            for c in np.unique(cell).tolist():
+                mine, who = np.flatnonzero(cell == c), asked[c]
                 score = base[who, c][:, None] + sum(products[who, m][:, codes[mine, m]] for m in range(codes.shape[1]))
                 least = np.partition(score, -keep, axis=1)[:, -keep] if len(mine) > keep else np.full(len(who), -np.inf)
                 query, row = np.nonzero(score >= least[:, None])
@@ -195,7 +211,7 @@ def _approximate(sent, keep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if len(cell_of) > 4 * len(held[0]) + 10_000:
                 cell_of = {i: cell_of[i] for i in held[0].tolist()}
         ids, which, score = held
-        yield pa.RecordBatch.from_pydict({"query": pa.array(which, pa.int32()), "corpus_idx": pa.array(ids, pa.int64()), "bucket": pa.array([cell_of[i] for i in ids.tolist()], pa.int32()), "score": pa.array(score, pa.float64())})
+        yield pa.RecordBatch.from_pydict({"query": pa.array(which, pa.int32()), "corpus_idx": pa.array(ids, pa.int64()), "cell": pa.array([cell_of[i] for i in ids.tolist()], pa.int32()), "score": pa.array(score, pa.float64())})
 
     return run
 
